@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from siftline.llm import decontaminate, line_dedup
+from siftline.llm import decontaminate, line_dedup, mixing, secrets, simhash
 
 QUERIES = {
+    "op1_simhash": simhash.op1_simhash,
+    "op2_mixing": mixing.op2_mixing,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_line_dedup": line_dedup.op6_line_dedup,
+    "op10_secrets": secrets.op10_secrets,
 }
 ORACLES = {
     "op5_decontaminate": decontaminate.ORACLE_SQL,
