@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
-from siftline.llm import decontaminate, line_dedup, mixing, secrets, simhash
+from siftline.llm import (
+    decontaminate,
+    line_dedup,
+    mixing,
+    phrase_dedup,
+    secrets,
+    simhash,
+    suffix_dedup,
+)
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_mixing": mixing.op2_mixing,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_line_dedup": line_dedup.op6_line_dedup,
+    "op7_phrase_dedup": phrase_dedup.op7_phrase_dedup,
+    "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op10_secrets": secrets.op10_secrets,
 }
 ORACLES = {
     "op5_decontaminate": decontaminate.ORACLE_SQL,
     "op6_line_dedup": line_dedup.ORACLE_SQL,
+    "op7_phrase_dedup": phrase_dedup.ORACLE_SQL,
 }
