@@ -7,6 +7,7 @@ from siftline.llm import (
     line_dedup,
     mixing,
     phrase_dedup,
+    quality,
     secrets,
     simhash,
     suffix_dedup,
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_phrase_dedup": phrase_dedup.op7_phrase_dedup,
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
+    "op9_quality": quality.op9_quality,
     "op10_secrets": secrets.op10_secrets,
 }
 ORACLES = {
