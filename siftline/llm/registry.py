@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from siftline.llm import (
     decontaminate,
+    hnsw,
     line_dedup,
     mixing,
     phrase_dedup,
@@ -11,11 +12,14 @@ from siftline.llm import (
     secrets,
     simhash,
     suffix_dedup,
+    token_counts,
 )
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_mixing": mixing.op2_mixing,
+    "op3_token_counts": token_counts.op3_token_counts,
+    "op4_hnsw": hnsw.op4_hnsw,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_phrase_dedup": phrase_dedup.op7_phrase_dedup,
