@@ -120,7 +120,7 @@ def mix(
     most: int = MOST,
     seed: int = SEED,
 ) -> DataFrame:
-    """How often the mix takes each document: doc_id, source, size, source_size, target, copies, taken.
+    """How often the mix takes each document: row (a struct of all columns but text), size, source_size, target, copies, taken.
 
     Size is the number of words in the text (null: 0). A null source is a source, the last one. Documents of one
     length are taken in order of a seeded hash of their id; rows that repeat an id are separate documents, and
@@ -131,8 +131,7 @@ def mix(
     draw = F.xxhash64(F.lit(seed), F.col("doc_id"))
     sizes = settle(
         docs.select(
-            "doc_id",
-            "source",
+            F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"),
             F.coalesce(F.col("source"), F.lit("")).alias("sk"),
             F.col("source").isNull().alias("sn"),
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
@@ -160,14 +159,15 @@ def mix(
     cell = ["sk", "sn", "size", "range"]
     met = sizes.join(plan, cell)
     part = (F.col("quota") > 0) & (F.col("quota") < F.col("n"))
-    rank = F.row_number().over(Window.partitionBy(*cell).orderBy("draw", F.coalesce("doc_id", F.lit(NULL_ID))))
+    rank = F.row_number().over(Window.partitionBy(*cell).orderBy("draw", F.coalesce("row.doc_id", F.lit(NULL_ID))))
     sure = met.filter(~part).withColumn("extra", (F.col("quota") > 0).cast("long"))
     ranked = met.filter(part).withColumn("extra", (rank <= F.col("quota")).cast("long"))
     copies = F.when(F.col("size") > 0, F.col("passes") + F.col("extra")).otherwise(F.lit(0)).cast("long")
     return sure.unionByName(ranked).select(
-        "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
+        "row", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
     )
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
+    mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select("row.doc_id", "size", "source_size", "target", "taken")

@@ -27,7 +27,7 @@ def brute_targets(sizes, weights=(5, 2, 1)):
 
 def mixed(spark, rows):
     docs = spark.createDataFrame([(*r, "clash", 0) for r in rows], SCHEMA)
-    return mixing.mix(docs).collect()
+    return mixing.mix(docs).select("row.source", "size", "source_size", "target", "copies", "taken").collect()
 
 
 def test_targets_and_takes(spark):
