@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from siftline.llm.common import as_bytes, doc_key, need, settle, slices, text_mark
 
 SLICE_BYTES = 16_000_000
+CONTEXT_BYTES = 4_000_000
 #: Windows of a long text that are looked at together.
 PIECE = 1 << 20
 #: Distinct contexts of a gram beyond which it is split.
@@ -264,9 +266,16 @@ def with_text(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def _contexts(shape: Shape):
+    types = (pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+    names = [c.split()[0] for c in CONTEXT.split(", ")]
+
+    def packed(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", SLICE_BYTES // 4):
-            out: list[tuple] = []
+        out: list[tuple] = []
+        size = 0
+        for batch in slices(batches, "text", CONTEXT_BYTES):
             for doc, mark, text, found in zip(
                 batch.column("doc").to_pylist(), batch.column("mark").to_pylist(), as_bytes(batch.column("text")), batch.column("found").to_pylist(), strict=True
             ):
@@ -277,13 +286,17 @@ def _contexts(shape: Shape):
                         for i in range(many):
                             window = units.bytes_of(first + i, first + i + shape.window)
                             out.append((None, a["known"], doc, mark, first + i, 1 << 8, None, window))
+                            size += len(window)
                     else:
                         lead = units.bytes_of(first + at, first + at + shape.gram)
-                        out.append((a["gram"], a["known"], doc, mark, first, a["meta"], lead, units.bytes_of(first, first + many + shape.window - 1)))
-            if out:
-                types = (pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-                columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in CONTEXT.split(", ")])
+                        context = units.bytes_of(first, first + many + shape.window - 1)
+                        out.append((a["gram"], a["known"], doc, mark, first, a["meta"], lead, context))
+                        size += len(context)
+                    if size >= CONTEXT_BYTES:  # windows of hot grams overlap: they leave in small batches
+                        yield packed(out)
+                        out, size = [], 0
+        if out:
+            yield packed(out)
 
     return run
 
@@ -339,24 +352,33 @@ def hot_repeats(parts: DataFrame, first_stays: bool) -> DataFrame:
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str, most: int) -> Iterator[pa.Table]:
-    """Tables of about ``most`` rows that never part rows of one key; rows come sorted by it."""
+    """Tables of up to ``most`` rows (more only for one key) that never part rows of one key; rows come sorted by it."""
     held: list[pa.RecordBatch] = []
     size = 0
+
+    def pieces(rows: pa.Table, last: bool) -> tuple[list[pa.Table], pa.Table]:
+        keys = rows.column(key).combine_chunks()
+        new = np.flatnonzero(pc.not_equal(keys[1:], keys[:-1]).to_numpy(zero_copy_only=False)) + 1
+        borders = [*new.tolist(), *([len(keys)] if last else [])]
+        out, begin, end = [], 0, 0
+        for b in borders:
+            if b - begin > most and end > begin:
+                out.append(rows.slice(begin, end - begin))
+                begin = end
+            end = b
+        if end > begin:
+            out.append(rows.slice(begin, end - begin))
+        return out, rows.slice(end)
+
     for batch in batches:
         held.append(batch)
         size += batch.num_rows
         if size >= most:
-            rows = pa.Table.from_batches(held).combine_chunks()
-            keys = rows.column(key)
-            last = keys[len(keys) - 1]
-            cut = len(keys) - 1
-            while cut > 0 and keys[cut - 1] == last:
-                cut -= 1
-            if cut:
-                yield rows.slice(0, cut)
-            held, size = rows.slice(cut).to_batches(), len(keys) - cut
+            done, rest = pieces(pa.Table.from_batches(held).combine_chunks(), False)
+            yield from done
+            held, size = rest.combine_chunks().to_batches(), rest.num_rows
     if size:
-        yield pa.Table.from_batches(held).combine_chunks()
+        yield from pieces(pa.Table.from_batches(held).combine_chunks(), True)[0]
 
 
 def once(rows: pa.Table) -> pa.Table:
