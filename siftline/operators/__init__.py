@@ -1 +1 @@
-
+"""Operators on DataFrames; each module covers one family."""
