@@ -54,9 +54,9 @@ def scramble_diagnostics(scrambled: DataFrame, by: list[str], value: str, out: s
 def gate_verdict(metrics: DataFrame, delta: float = 0.05, null_cutoff: float = 0.15, low_n: int = 100) -> DataFrame:
     """One row per assay from (assay, feature_block, n, spearman).
 
-    Blocks: surface_composition, real_topology, scrambled_topology_*, label_shuffle_*. PASS needs the real topology to
-    beat composition and the mean scramble by ``delta`` and the scrambles by a standard deviation, with shuffled
-    labels near zero; WEAK PASS beats the scrambles only.
+    Blocks: global_composition, surface_composition, real_topology, scrambled_topology_*, label_shuffle_*. Shuffled labels
+    away from zero void the gate. Otherwise PASS needs the real topology to beat the scrambles (by ``delta`` and by a
+    standard deviation) and the surface composition, WEAK PASS the scrambles only; few rows are marked.
     """
     block, rho = F.col("feature_block"), F.col("spearman")
 
@@ -67,48 +67,41 @@ def gate_verdict(metrics: DataFrame, delta: float = 0.05, null_cutoff: float = 0
         return f(F.when(block.startswith(prefix), rho))
 
     rows = metrics.groupBy("assay").agg(
-        F.max("n").alias("n"),
+        F.coalesce(F.max(F.when(block == "real_topology", F.col("n"))), F.lit(0)).cast("long").alias("n"),
+        one("global_composition").alias("global"),
         one("surface_composition").alias("surface"),
         one("real_topology").alias("real"),
-        over(F.avg, "scrambled_topology").alias("scrambled_mean"),
-        over(F.stddev_pop, "scrambled_topology").alias("scrambled_sd"),
-        over(F.avg, "label_shuffle").alias("shuffle_mean"),
+        over(F.avg, "scrambled_topology_").alias("scrambled_mean"),
+        over(F.stddev_pop, "scrambled_topology_").alias("scrambled_sd"),
+        over(F.avg, "label_shuffle_").alias("shuffle_mean"),
+        over(F.stddev_pop, "label_shuffle_").alias("shuffle_sd"),
     )
     c = F.col
-    beats_null = (c("real") - c("scrambled_mean") > delta) & (c("real") > c("scrambled_mean") + c("scrambled_sd"))
-    quiet = F.coalesce(F.abs("shuffle_mean") < null_cutoff, F.lit(False))
-    verdict = (
-        F.when(c("real").isNull() | c("scrambled_mean").isNull(), "NO SCORE")
-        .when(beats_null & (c("real") - c("surface") > delta) & quiet, "PASS")
-        .when((c("real") > c("scrambled_mean")) & (c("real") - c("scrambled_mean") > delta) & quiet, "WEAK PASS")
-        .otherwise("FAIL")
-    )
-    caution = F.when(c("n") < low_n, "LOW-N CAUTION").otherwise("")
-    return rows.withColumn("verdict", verdict).withColumn("caution", caution)
+    yes = lambda x: F.coalesce(x, F.lit(False))
+    beats_scrambled = yes((c("real") - c("scrambled_mean") > delta) & (c("real") > c("scrambled_mean") + c("scrambled_sd")))
+    beats_surface = yes(c("real") - c("surface") > delta)
+    grade = F.when(beats_scrambled & beats_surface, "PASS").when(beats_scrambled, "WEAK PASS").otherwise("FAIL")
+    caution = F.when((c("n") > 0) & (c("n") < low_n), "; LOW-N CAUTION").otherwise("")
+    verdict = F.when(yes(F.abs("shuffle_mean") >= null_cutoff), "NEGATIVE CONTROL FAIL").otherwise(F.concat(grade, caution))
+    return rows.withColumn("delta_surface", c("real") - c("surface")).withColumn("delta_scrambled", c("real") - c("scrambled_mean")).withColumn("verdict", verdict)
 
 
 def positive_controls(metrics: DataFrame, margin: float = 0.15, tolerance: float = 0.10, cutoff: float = 0.15) -> DataFrame:
-    """Three calibration rules as rows (control, value, passed) from (assay, feature_block, spearman)."""
-    block, assay, rho = F.col("feature_block"), F.col("assay"), F.col("spearman")
-
-    def at(a: str, b: str) -> Column:
-        return F.max(F.when((assay == a) & (block == b), rho))
-
-    def mean(a: str) -> Column:
-        return F.avg(F.when((assay == a) & block.startswith("scrambled_topology"), rho))
-
-    worst = F.max(F.when(assay == "positive_control_shuffled", F.abs(rho)))
-    one = metrics.agg(
-        (at("positive_control_composition", "real_topology") - at("positive_control_composition", "surface_composition")).alias("composition"),
-        (at("positive_control_topology", "real_topology") - mean("positive_control_topology")).alias("topology"),
-        worst.alias("shuffled"),
+    """One row for each synthetic assay from (assay, feature_block, spearman): what is compared, and PASS or FAIL."""
+    c = F.col
+    rows = gate_verdict(metrics.withColumn("n", F.lit(0))).select("assay", "surface", "real", "scrambled_mean", "scrambled_sd")
+    kind = c("assay")
+    delta = (
+        F.when(kind == "positive_control_composition", c("real") - c("surface"))
+        .when(kind == "positive_control_topology", c("real") - c("scrambled_mean"))
+        .when(kind == "positive_control_shuffled", c("real"))
     )
-    rows = F.array(
-        F.struct(F.lit("positive_control_composition").alias("control"), F.col("composition").alias("value"), (F.abs("composition") <= tolerance).alias("passed")),
-        F.struct(F.lit("positive_control_topology").alias("control"), F.col("topology").alias("value"), (F.col("topology") > margin).alias("passed")),
-        F.struct(F.lit("positive_control_shuffled").alias("control"), F.col("shuffled").alias("value"), (F.col("shuffled") < cutoff).alias("passed")),
+    passed = (
+        F.when(kind == "positive_control_composition", F.abs(delta) <= tolerance)
+        .when(kind == "positive_control_topology", (delta > margin) & (c("real") > c("scrambled_mean") + c("scrambled_sd")))
+        .when(kind == "positive_control_shuffled", F.abs(delta) <= cutoff)
     )
-    return one.select(F.explode(rows).alias("r")).select("r.*")
+    return rows.withColumn("diagnostic_delta", delta).withColumn("verdict", F.when(F.coalesce(passed, F.lit(False)), "PASS").otherwise("FAIL"))
 
 
 def zscores(frame: DataFrame, by: list[str], columns: list[str]) -> DataFrame:

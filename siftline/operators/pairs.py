@@ -7,13 +7,15 @@ the best of each block are merged.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.functions.sequences import aligned_identity
-from siftline.functions.vectors import dot
 from siftline.operators.ranking import average_rank, guarded_corr
-from siftline.tables import both
 
 BROADCAST_ROWS = 20_000
 
@@ -76,22 +78,79 @@ def nearest(
     return found if blocks == 1 else best(found.drop("rank"))
 
 
+def _matrix(column) -> np.ndarray:
+    return np.asarray(column.flatten()).astype(float).reshape(len(column), -1)
+
+
+def nearest_by_dot(queries: DataFrame, reference: DataFrame, k: int, query_key: str, reference_key: str, vector: str, group: str | None = None, itself: bool = True) -> DataFrame:
+    """(q, r, similarity) of the ``k`` reference vectors with the largest inner product: one matrix product a batch.
+
+    The reference comes in blocks of at most ``BROADCAST_ROWS`` vectors, each broadcast once; blocks' best are merged.
+    Similarities are rounded to nine digits, ties go to the least key. NULL vectors are left out; with ``group`` a
+    query's own group is, and without ``itself`` its own key.
+    """
+    spark = queries.sparkSession
+    kinds = {f.name: f.dataType.simpleString() for f in reference.schema}
+    known = reference.filter(F.col(vector).isNotNull())
+    blocks = max(1, -(-known.count() // BROADCAST_ROWS))
+    columns = [reference_key, vector, *([group] if group else [])]
+    q = queries.filter(F.col(vector).isNotNull()).select(query_key, F.col(vector).cast("array<double>").alias("__v"), *([F.col(group).alias("__g")] if group else []))
+
+    def of(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            keys, vectors, groups = shared.value
+            for batch in batches:
+                if not batch.num_rows or not len(keys):
+                    continue
+                names = np.asarray(batch.column(0))
+                for begin in range(0, batch.num_rows, 512):
+                    part = batch.slice(begin, 512)
+                    score = np.round(_matrix(part.column(1)) @ vectors.T, 9)
+                    if not itself:
+                        score[names[begin : begin + 512][:, None] == keys[None]] = -np.inf
+                    if groups is not None:
+                        score[np.asarray(part.column(2))[:, None] == groups[None]] = -np.inf
+                    most = min(k, len(keys))
+                    bar = np.partition(score, len(keys) - most, axis=1)[:, len(keys) - most]
+                    row, col = np.nonzero((score >= bar[:, None]) & np.isfinite(score))
+                    order = np.lexsort((keys[col], -score[row, col], row))
+                    row, col = row[order], col[order]
+                    place = np.arange(len(row)) - np.searchsorted(row, row)
+                    row, col = row[place < k], col[place < k]
+                    yield pa.RecordBatch.from_arrays([pa.array(names[begin + row]), pa.array(keys[col]), pa.array(score[row, col])], names=["q", "r", "similarity"])
+
+        return run
+
+    schema = f"q {queries.schema[query_key].dataType.simpleString()}, r {kinds[reference_key]}, similarity double"
+    found = None
+    for b in range(blocks):
+        part = known if blocks == 1 else known.filter(F.pmod(F.xxhash64(reference_key), F.lit(blocks)) == b)
+        rows = part.select(columns[0], F.col(vector).cast("array<double>").alias("v"), *columns[2:]).toArrow().combine_chunks().sort_by(reference_key)
+        column = rows.column("v").combine_chunks()
+        payload = (rows.column(0).to_numpy(), _matrix(column) if len(column) else np.zeros((0, 1)), rows.column(2).to_numpy() if group else None)
+        top = q.mapInArrow(of(spark.sparkContext.broadcast(payload)), schema)
+        found = top if found is None else found.unionByName(top)
+    if blocks == 1:
+        return found
+    order = Window.partitionBy("q").orderBy(F.desc("similarity"), "r")
+    return found.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k).drop("n")
+
+
 def knn_predictions(frame: DataFrame, key: str, vector: str, target: str, k: int = 8, group: str | None = None) -> DataFrame:
     """Leave-one-out mean of the k nearest rows' targets; with ``group``, rows of the query's own group are left out."""
     known = frame.filter(F.col(target).isNotNull())
-    q = frame.select(F.col(key).alias("q"), F.col(vector).alias("qv"), F.col(target).cast("double").alias("y_true"), *([F.col(group).alias("qg")] if group else []))
-    r = known.select(F.col(key).alias("r"), F.col(vector).alias("rv"), F.col(target).cast("double").alias("rt"), *([F.col(group).alias("rg")] if group else []))
-    apart = [F.col("q") != F.col("r")] + ([F.col("qg") != F.col("rg")] if group else [])
-    found = nearest(q, r, k, dot(F.col("qv"), F.col("rv")), where=both(apart))
-    return found.groupBy("q").agg(F.first("y_true").alias("y_true"), F.avg("rt").alias("y_pred"), F.avg("similarity").alias("mean_similarity"))
+    near = nearest_by_dot(frame, known, k, key, key, vector, group, itself=False)
+    targets = known.select(F.col(key).alias("r"), F.col(target).cast("double").alias("rt"))
+    means = near.join(targets, "r").groupBy("q").agg(F.avg("rt").alias("y_pred"), F.avg("similarity").alias("mean_similarity"))
+    return frame.select(F.col(key).alias("q"), F.col(target).cast("double").alias("y_true")).join(means, "q")
 
 
 def external_knn(train: DataFrame, test: DataFrame, key: str, vector: str, target: str, k: int) -> DataFrame:
     """Mean target of the k training rows nearest to each test row."""
-    q = test.select(F.col(key).alias("q"), F.col(vector).alias("qv"), F.col(target).cast("double").alias("y_true"))
-    r = train.filter(F.col(target).isNotNull()).select(F.col(key).alias("r"), F.col(vector).alias("rv"), F.col(target).cast("double").alias("rt"))
-    found = nearest(q, r, k, dot(F.col("qv"), F.col("rv")))
-    return found.groupBy("q").agg(F.first("y_true").alias("y_true"), F.avg("rt").alias("y_pred"))
+    known = train.filter(F.col(target).isNotNull())
+    near = nearest_by_dot(test, known, k, key, key, vector)
+    means = near.join(known.select(F.col(key).alias("r"), F.col(target).cast("double").alias("rt")), "r").groupBy("q").agg(F.avg("rt").alias("y_pred"))
+    return test.select(F.col(key).alias("q"), F.col(target).cast("double").alias("y_true")).join(means, "q")
 
 
 def nearest_point(rows: DataFrame, points: DataFrame, key: str, scales: dict[str, float], tie: list[str]) -> DataFrame:

@@ -142,6 +142,10 @@ def compare_targets(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(compare.compare_to_targets(_model_scores(spark, sf), compare.target_table(spark)))
 
 
+def external_status(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(compare.compare_external(_model_scores(spark, sf), compare.target_table(spark)))
+
+
 def external_compare(spark: SparkSession, sf: str) -> DataFrame:
     """Internal rows (fold over 0) against external ones (fold 0): deltas and verdict."""
     rows = order_lines(spark, sf)
@@ -253,7 +257,7 @@ def residual_nulls(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bootstrap_mean_ci(spark: SparkSession, sf: str) -> DataFrame:
-    suppliers = load(spark, sf, "supplier", "s_suppkey", "s_acctbal").withColumn("x", F.col("s_acctbal") / 7)
+    suppliers = load(spark, sf, "supplier", "s_suppkey", "s_acctbal").withColumn("x", F.sqrt(F.abs("s_acctbal")))
     return _rounded(nullmodels.bootstrap_means(suppliers, "s_suppkey", "x", 50, SEED))
 
 
@@ -482,7 +486,7 @@ def region_totals(spark: SparkSession, sf: str) -> DataFrame:
 
 def particle_parameters(spark: SparkSession, sf: str) -> DataFrame:
     rows = _customers(spark, sf)
-    found = C.particle_parameters(F.col("net") * 3.1, F.col("cdr"), F.col("imbalance"), F.col("hydro"))
+    found = C.particle_parameters(F.col("net") * 3.0917, F.col("cdr"), F.col("imbalance"), F.col("hydro") * 1.0137)
     return _rounded(rows.select("c_custkey", *[found[k].alias(k) for k in ("fab_charge_strength", "core_charge_strength", "same_charge_repulsion", "hydrophobic_attraction", "patch_valence")]))
 
 
@@ -526,7 +530,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         triage_flagship, missingness, fold_summary, corr_network, composition_features, region_features, pairwise_identity, knn_loo, knn_grouped, knn_external,
-        failure_matrix, jaccard_labels, metric_row, competitive_metrics, top10_recall, cv_fold_metrics, select_best, compare_targets, external_compare, key_mapping,
+        failure_matrix, jaccard_labels, metric_row, competitive_metrics, top10_recall, cv_fold_metrics, select_best, compare_targets, external_status, external_compare, key_mapping,
         fold_ols_calibration, ridge_1d_oof, ridge_oof_multi, pca_ridge_oof, pca_features, ridge_gram, axis_report, feature_families, grouped_importance, residualize,
         residual_nulls, bootstrap_mean_ci, archetypes, medoids, regime_projection, calibrate_grid, leave_group_out, text_numbers, text_condition_flags, surface_mask,
         contact_graph, patch_components, patch_summary, spread_components, adjacency_summary, centroid_distance, dipole, scramble_derange, label_shuffle,

@@ -88,7 +88,7 @@ def composition(s: str, p: str) -> str:
 
 
 def verdict(auroc: str, rho: str) -> str:
-    return f"CASE WHEN {auroc} IS NULL OR {rho} IS NULL THEN 'NO SCORE' WHEN {auroc} >= 0.75 AND {rho} >= 0.30 THEN 'EXTERNAL TRIAGE HOLDS' WHEN {auroc} >= 0.65 AND {rho} >= 0.15 THEN 'EXTERNAL TRIAGE WEAK' ELSE 'EXTERNAL TRIAGE FAIL' END"
+    return f"CASE WHEN {auroc} IS NULL OR {rho} IS NULL THEN 'NO EXTERNAL SCORE' WHEN {auroc} >= 0.75 AND {rho} >= 0.30 THEN 'EXTERNAL TRIAGE HOLDS' WHEN {auroc} >= 0.65 AND {rho} >= 0.15 THEN 'WEAK EXTERNAL TRIAGE' ELSE 'EXTERNAL TRIAGE FAIL' END"
 
 
 DOCS = """
@@ -215,6 +215,8 @@ REGIME_POINTS = """
 rp0 AS (SELECT i AS point, (i % 5) * 0.8::DOUBLE AS ra, (i // 5 % 4) * 0.4::DOUBLE AS rr, (i // 20 * 2 + 1)::DOUBLE AS rv FROM range(60) r(i)),
 rp AS (SELECT *, ra - 0.5::DOUBLE * rr + 0.1::DOUBLE * rv AS o FROM rp0)"""
 
+GATE = """g AS (SELECT assay, max(n) FILTER (feature_block = 'real_topology') AS n, max(spearman) FILTER (feature_block = 'surface_composition') AS surface, max(spearman) FILTER (feature_block = 'real_topology') AS real,
+avg(spearman) FILTER (feature_block LIKE 'scrambled%') AS sm, stddev_pop(spearman) FILTER (feature_block LIKE 'scrambled%') AS ss, avg(spearman) FILTER (feature_block LIKE 'label%') AS lm, stddev_pop(spearman) FILTER (feature_block LIKE 'label%') AS ls FROM bl GROUP BY assay)"""
 MEASURE_PAIRS = (("l_quantity", "l_extendedprice"), ("l_quantity", "l_discount"), ("l_quantity", "l_tax"), ("l_extendedprice", "l_discount"), ("l_extendedprice", "l_tax"), ("l_discount", "l_tax"))
 
 ORACLES = {
@@ -251,8 +253,10 @@ UNION ALL SELECT grp, 'average', sum(n)::BIGINT, round(avg(spearman), 6), round(
     "select_best": f"WITH {MODEL_SCORES} SELECT assay, model, n, spearman FROM (SELECT *, row_number() OVER (PARTITION BY assay ORDER BY spearman DESC NULLS LAST, model) AS k FROM ms) WHERE k = 1",
     "compare_targets": f"""WITH {MODEL_SCORES}, {TARGET_ROWS}, b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY assay ORDER BY spearman DESC NULLS LAST, model) AS k FROM ms) WHERE k = 1)
 SELECT assay, model, n, spearman, top_spearman, first_bar, higher_is_better, {r6('spearman - top_spearman', 'delta_top')}, {r6('spearman - first_bar', 'delta_bar')},
-CASE WHEN top_spearman IS NULL THEN 'no_target' WHEN spearman IS NULL THEN 'no_score' WHEN spearman >= top_spearman THEN 'meets_or_beats_top' WHEN spearman >= first_bar THEN 'meets_first_bar' ELSE 'below_bar' END AS status
+CASE WHEN spearman >= top_spearman THEN 'meets_or_beats_top' WHEN spearman >= first_bar THEN 'near_competitive' ELSE 'below_bar' END AS status
 FROM b LEFT JOIN targets USING (assay)""",
+    "external_status": f"""WITH {MODEL_SCORES}, {TARGET_ROWS} SELECT assay, top_spearman, model, spearman, n, {r6('spearman - top_spearman', 'delta_vs_published_top')},
+CASE WHEN top_spearman IS NULL THEN 'exploratory_no_prize_target' WHEN spearman >= top_spearman THEN 'meets_or_beats_top' WHEN spearman >= 0.8 * top_spearman THEN 'approaches_top' ELSE 'below_top' END AS status FROM targets LEFT JOIN ms USING (assay)""",
     "external_compare": f"""WITH {ORDER_LINES}, i AS ({competitive('(SELECT * FROM ol WHERE fold > 0)', 'grp', 't', 'p', 'id')}), e AS ({competitive('(SELECT * FROM ol WHERE fold = 0)', 'grp', 't', 'p', 'id')})
 SELECT i.grp, round(i.spearman, 6) AS internal_spearman, round(i.worst_auroc, 6) AS internal_auroc, i.n AS internal_n, round(e.spearman, 6) AS external_spearman, round(e.worst_auroc, 6) AS external_auroc, e.n AS external_n,
 round(round(e.spearman, 6) - round(i.spearman, 6), 6) AS delta_spearman, round(round(e.worst_auroc, 6) - round(i.worst_auroc, 6), 6) AS delta_auroc, {verdict('round(e.worst_auroc, 6)', 'round(e.spearman, 6)')} AS verdict FROM i LEFT JOIN e USING (grp)""",
@@ -271,7 +275,7 @@ UNION ALL SELECT p_partkey, 'Demand', round(demand, 6), NULL, 'not assigned', 'd
     "residualize": f"WITH {ORDER_LINES}, r AS (SELECT o_orderstatus, t, t - avg(t) OVER (PARTITION BY grp, o_orderstatus) AS res FROM ol) SELECT o_orderstatus, count(*) AS n, round(avg(res), 6) + 0 AS residual_mean, {r6('stddev_pop(res)', 'residual_sd')}, {r6('1 - var_pop(res) / var_pop(t)', 'r2')} FROM r GROUP BY 1",
     "residual_nulls": f"""WITH {ORDER_LINES}, ob AS (SELECT grp, round(spearman, 6) AS o FROM ({spearman("(SELECT * FROM ol WHERE grp < '3')", 'grp', 't', 'p')})), nu AS ({null_rows()})
 SELECT grp, any_value(o) AS observed, count(*) AS n_null, {r6('avg(v)', 'null_mean')}, {r6('quantile_cont(v, 0.95)', 'null_q95')}, {r6('(1 + count(*) FILTER (v >= o)) / (count(*) + 1)::DOUBLE', 'empirical_p')} FROM nu JOIN ob USING (grp) GROUP BY grp""",
-    "bootstrap_mean_ci": f"""WITH r AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS i, s_acctbal / 7 AS x, count(*) OVER () AS n FROM supplier WHERE s_acctbal IS NOT NULL),
+    "bootstrap_mean_ci": f"""WITH r AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS i, sqrt(abs(s_acctbal)) AS x, count(*) OVER () AS n FROM supplier WHERE s_acctbal IS NOT NULL),
 k AS (SELECT b, ('0x' || substring(md5(concat_ws('|', '7', b, i)), 1, 8))::BIGINT % n AS j FROM r, range(50) q(b)), m AS (SELECT b, avg(x) AS m FROM k JOIN r ON r.i = k.j GROUP BY b)
 SELECT {r6('avg(m)', 'mean')}, {r6('stddev_pop(m)', 'sd')}, {r6('quantile_cont(m, 0.025)', 'low')}, {r6('quantile_cont(m, 0.975)', 'high')} FROM m""",
     "archetypes": f"WITH {ARCHETYPES} SELECT archetype, count(*) AS n FROM ar GROUP BY 1",
@@ -304,15 +308,12 @@ SELECT sid, count(*) FILTER (unlike) AS n_edges, {r6('count(*) FILTER (unlike) /
     "scramble_derange": f"WITH {POINTS} {deranged('pt', 'sid', 'vec_id', 'cls', 7, 'sid, vec_id, cls')}",
     "label_shuffle": f"WITH {POINTS} {shuffled('pt', 'sid', 'vec_id', 'cls', 7, 'd.sid AS sid, d.vec_id AS vec_id, d.cls AS cls')}",
     "scramble_diagnostics": f"WITH {POINTS} " + " UNION ALL ".join(f"SELECT sid, {s}::BIGINT AS replicate, count(*) AS n, {r6('avg((cls <> scrambled)::INT)', 'moved_fraction')}, bool_or(non_derangeable) AS non_derangeable FROM ({deranged('pt', 'sid', 'vec_id', 'cls', s, 'sid, cls')}) GROUP BY sid" for s in (1, 2, 3)),
-    "gate_verdict": f"""WITH {ORDER_LINES}, {blocks()}, g AS (SELECT assay, max(n) AS n, max(spearman) FILTER (feature_block = 'surface_composition') AS surface, max(spearman) FILTER (feature_block = 'real_topology') AS real,
-avg(spearman) FILTER (feature_block LIKE 'scrambled%') AS sm, stddev_pop(spearman) FILTER (feature_block LIKE 'scrambled%') AS ss, avg(spearman) FILTER (feature_block LIKE 'label%') AS lm FROM bl GROUP BY assay)
-SELECT assay, n, surface, real, round(sm, 6) AS scrambled_mean, round(ss, 6) AS scrambled_sd, round(lm, 6) AS shuffle_mean,
-CASE WHEN real IS NULL OR sm IS NULL THEN 'NO SCORE' WHEN real - sm > 0.05 AND real > sm + ss AND real - surface > 0.05 AND abs(lm) < 0.15 THEN 'PASS' WHEN real - sm > 0.05 AND abs(lm) < 0.15 THEN 'WEAK PASS' ELSE 'FAIL' END AS verdict,
-CASE WHEN n < 100 THEN 'LOW-N CAUTION' ELSE '' END AS caution FROM g""",
-    "positive_controls": f"""WITH {ORDER_LINES}, {blocks()}, v AS (SELECT
-max(spearman) FILTER (assay = '1-URGENT' AND feature_block = 'real_topology') - max(spearman) FILTER (assay = '1-URGENT' AND feature_block = 'surface_composition') AS a,
-max(spearman) FILTER (assay = '2-HIGH' AND feature_block = 'real_topology') - avg(spearman) FILTER (assay = '2-HIGH' AND feature_block LIKE 'scrambled%') AS b, max(abs(spearman)) FILTER (assay = '3-MEDIUM') AS c FROM bl)
-SELECT 'positive_control_composition' AS control, round(a, 6) AS value, abs(a) <= 0.10 AS passed FROM v UNION ALL SELECT 'positive_control_topology', round(b, 6), b > 0.15 FROM v UNION ALL SELECT 'positive_control_shuffled', round(c, 6), c < 0.15 FROM v""",
+    "gate_verdict": f"""WITH {ORDER_LINES}, {blocks()}, {GATE}
+SELECT assay, n, NULL::DOUBLE AS "global", surface, real, round(sm, 6) AS scrambled_mean, round(ss, 6) AS scrambled_sd, round(lm, 6) AS shuffle_mean, round(ls, 6) AS shuffle_sd, round(real - surface, 6) AS delta_surface, round(real - sm, 6) AS delta_scrambled,
+CASE WHEN abs(lm) >= 0.15 THEN 'NEGATIVE CONTROL FAIL' ELSE concat(CASE WHEN real - sm > 0.05 AND real > sm + ss AND real - surface > 0.05 THEN 'PASS' WHEN real - sm > 0.05 AND real > sm + ss THEN 'WEAK PASS' ELSE 'FAIL' END, CASE WHEN n > 0 AND n < 100 THEN '; LOW-N CAUTION' ELSE '' END) END AS verdict FROM g""",
+    "positive_controls": f"""WITH {ORDER_LINES}, {blocks()}, {GATE}, d AS (SELECT *, CASE assay WHEN '1-URGENT' THEN real - surface WHEN '2-HIGH' THEN real - sm ELSE real END AS dd FROM g)
+SELECT CASE assay WHEN '1-URGENT' THEN 'positive_control_composition' WHEN '2-HIGH' THEN 'positive_control_topology' ELSE 'positive_control_shuffled' END AS assay, surface, real, round(sm, 6) AS scrambled_mean, round(ss, 6) AS scrambled_sd, round(dd, 6) AS diagnostic_delta,
+CASE WHEN CASE assay WHEN '1-URGENT' THEN abs(dd) <= 0.10 WHEN '2-HIGH' THEN dd > 0.15 AND real > sm + ss ELSE abs(dd) <= 0.15 END THEN 'PASS' ELSE 'FAIL' END AS verdict FROM d""",
     "zscore_signal": f"WITH z AS (SELECT s_suppkey, (s_acctbal - avg(s_acctbal) OVER ()) / stddev_samp(s_acctbal) OVER () AS b, (s_suppkey - avg(s_suppkey) OVER ()) / stddev_samp(s_suppkey) OVER () AS k FROM supplier) SELECT s_suppkey, {r6('b', 'z_balance')}, {r6('b - k', 'excess')} FROM z",
     "vector_pair_blocks": f"""WITH p AS (SELECT a.vec_id // 2 AS pair, unnest(a.embedding)::DOUBLE AS x, unnest(b.embedding)::DOUBLE AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 2 = 0)
 SELECT pair, {r6('sum(x)', 'vh')}, {r6('sum(y)', 'vl')}, {r6('sum((x + y) / 2)', 'mean')}, {r6('sum(x - y)', 'diff')}, {r6('sum(abs(x - y))', 'absdiff')}, {r6('sum(x * y)', 'prod')} FROM p GROUP BY pair""",
@@ -329,7 +330,7 @@ UNION ALL SELECT 'intersect', count(*), coalesce(sum(k), 0)::BIGINT FROM (SELECT
 UNION ALL SELECT 'common', count(*), coalesce(sum(k), 0)::BIGINT FROM (SELECT DISTINCT k FROM a WHERE k IN (SELECT k FROM b))""",
     "average_ranks": f"SELECT p_partkey, p_brand, {rank('p_size', 'p_brand')} AS rank FROM part",
     "region_totals": f"WITH {POINTS} SELECT sid, coalesce(region, 'all') AS region, count(*) AS n, count(*) FILTER (cls = 'pos') AS n_pos, {r6("avg((cls = 'neg')::INT)", 'neg_fraction')} FROM (SELECT *, CASE WHEN is_cdr THEN 'cdr' ELSE 'framework' END AS region FROM pt) GROUP BY GROUPING SETS ((sid, region), (sid))",
-    "particle_parameters": f"""WITH {CUSTOMERS}, d AS (SELECT c_custkey, net * 3.1::DOUBLE AS q, least((abs(cdr) + 0.5::DOUBLE * imbalance) / 14, 1) AS di, least(greatest((hydro - 0.28::DOUBLE) / 0.28::DOUBLE, 0), 1) AS st FROM cu)
+    "particle_parameters": f"""WITH {CUSTOMERS}, d AS (SELECT c_custkey, net * 3.0917::DOUBLE AS q, least((abs(cdr) + 0.5::DOUBLE * imbalance) / 14, 1) AS di, least(greatest((hydro * 1.0137::DOUBLE - 0.28::DOUBLE) / 0.28::DOUBLE, 0), 1) AS st FROM cu)
 SELECT c_custkey, {r6('0.2::DOUBLE + 1.4::DOUBLE * di', 'fab_charge_strength')}, {r6('0.15::DOUBLE + 0.8::DOUBLE * least(abs(q) / 18, 1)', 'core_charge_strength')}, {r6('0.1::DOUBLE + 1.2::DOUBLE * least(abs(q) / 24, 1)', 'same_charge_repulsion')},
 {r6('0.05::DOUBLE + 1.1::DOUBLE * st', 'hydrophobic_attraction')}, least(greatest(ceil(1 + di + st), 1), 4)::BIGINT AS patch_valence FROM d""",
 }
