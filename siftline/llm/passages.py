@@ -5,7 +5,8 @@ Equal windows have equal minimisers at equal places, so all copies of a window m
 about 2 / (window - gram + 2) of the positions become rows (anchors). An anchor stands for the run of windows it
 owns; the bytes of that run are its context.
 
-1. ``anchors``: one row for each anchor of each document: gram hash, context hash, place.
+1. ``anchors``: one row for each anchor of each document: gram hash, context hash, place. Of the copies of a
+   context in one slice of documents only the first goes on under the gram; the others are settled there.
 2. ``classify``: sorted by gram and context. Grams that occur once are gone for good. Copies of a whole
    context are settled at once; what is left are distinct contexts of one gram, which may share some windows.
 3. ``contexts``: the texts are read again and give the bytes of those contexts, for the operator's own comparison.
@@ -166,13 +167,43 @@ def _anchors(shape: Shape):
                     ):
                         part.append(x)
             if parts[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)) for p in parts], names=["gram", "context", "doc", "mark", "first", "meta"])
+                rows = [np.concatenate(p) for p in parts]
+                state = _copies(*rows[:5])
+                # A repeat is settled: it goes along under a key of its own place, not under the gram.
+                lone = state == REPEAT
+                rows[0] = np.where(lone, _mixed((rows[2] ^ (rows[4] << 20)).view(np.uint64)).view(np.int64), rows[0])
+                keep = state != AGAIN
+                yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (*rows, state)], names=["gram", "context", "doc", "mark", "first", "meta", "state"])
 
     return run
 
 
+#: What a slice knows of an anchor: the first of copies, nothing, a later copy, the same place of a repeated row.
+KNOWN, PLAIN, REPEAT, AGAIN = 0, 1, 2, 3
+
+
+def _copies(gram: np.ndarray, context: np.ndarray, doc: np.ndarray, mark: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """State of each anchor among those of its slice: copies of a context are aggregated before they move."""
+    state = np.full(len(gram), PLAIN, dtype=np.int32)
+    order = np.argsort(context, kind="stable")
+    same = context[order[1:]] == context[order[:-1]]
+    twice = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
+    if len(twice):
+        twice = twice[np.lexsort((first[twice], mark[twice], doc[twice], gram[twice], context[twice]))]
+        now, before = twice[1:], twice[:-1]
+        copy = (context[now] == context[before]) & (gram[now] == gram[before])
+        place = copy & (doc[now] == doc[before]) & (mark[now] == mark[before]) & (first[now] == first[before])
+        state[now[copy]] = REPEAT
+        state[now[place]] = AGAIN
+        lead = np.concatenate([[True], ~copy])
+        group = np.cumsum(lead) - 1
+        others = np.bincount(group, weights=np.concatenate([[False], copy & ~place])) > 0
+        state[twice[lead]] = np.where(others, KNOWN, PLAIN)
+    return state
+
+
 def _classify(first_stays: bool):
-    """Rows of (gram, context, doc, mark, first, meta), sorted, to (kind, gram, ordinal, known, doc, mark, first, meta).
+    """Rows of (gram, context, doc, mark, first, meta, state), sorted, to (kind, gram, ordinal, known, doc, mark, first, meta).
 
     Kind 0: all windows of the anchor are repeats. Kind 1: the first of a context of a gram that has others;
     ``known`` says that a copy of it exists, ``ordinal`` counts the contexts of the gram.
@@ -194,7 +225,7 @@ def _classify(first_stays: bool):
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((0, 6), dtype=np.int64)
+        held = np.zeros((0, 7), dtype=np.int64)
         held_n, held_ordinal = 0, 0
 
         def work(r: np.ndarray, last: bool) -> Iterator[pa.RecordBatch]:
@@ -215,6 +246,7 @@ def _classify(first_stays: bool):
                 yield rows(0, repeat, np.zeros(len(repeat)), np.ones(len(repeat), bool), r)
             same_after = np.concatenate([same_before[1:], [False]])
             done = len(begin) if last else len(begin) - 1
+            count += np.maximum.reduceat(r[:, 6] == KNOWN, begin)
             known = count > 1
             if not first_stays and known[:done].any():
                 also = np.flatnonzero(known[:done])
@@ -225,11 +257,15 @@ def _classify(first_stays: bool):
             if not last:
                 held, held_n, held_ordinal = r[begin[-1] : begin[-1] + 1], int(count[-1]), int(ordinal[-1])
 
-        before = np.zeros((0, 6), dtype=np.int64)
+        before = np.zeros((0, 7), dtype=np.int64)
         for batch in batches:
-            r = np.stack([np.asarray(batch.column(i)).astype(np.int64) for i in range(6)], axis=1)
+            r = np.stack([np.asarray(batch.column(i)).astype(np.int64) for i in range(7)], axis=1)
+            settled = np.flatnonzero(r[:, 6] == REPEAT)
+            if len(settled):
+                yield rows(0, settled, np.zeros(len(settled)), np.ones(len(settled), bool), r)
+                r = r[r[:, 6] != REPEAT]
             both = np.concatenate([before, r])
-            fresh = np.concatenate([[True] * bool(len(both)), (both[1:] != both[:-1]).any(axis=1)])[len(before) :]
+            fresh = np.concatenate([[True] * bool(len(both)), (both[1:, :6] != both[:-1, :6]).any(axis=1)])[len(before) :]
             before = r[-1:] if len(r) else before
             if fresh.any():  # rows that repeat a document repeat its places
                 yield from work(np.concatenate([held, r[fresh]]), False)
@@ -239,7 +275,7 @@ def _classify(first_stays: bool):
     return run
 
 
-ANCHOR = "gram long, context long, doc long, mark int, first long, meta int"
+ANCHOR = "gram long, context long, doc long, mark int, first long, meta int, state int"
 PLACED = "kind int, gram long, ordinal long, known boolean, doc long, mark int, first long, meta int"
 CONTEXT = "shard long, known boolean, doc long, mark int, first long, meta int, lead binary, bytes binary"
 
@@ -254,8 +290,8 @@ def keyed(docs: DataFrame) -> DataFrame:
 def placed(docs: DataFrame, shape: Shape, first_stays: bool) -> DataFrame:
     """Steps 1 and 2, settled. docs: from ``keyed``."""
     found = docs.select("doc", "mark", "text").mapInArrow(_anchors(shape), ANCHOR)
-    met = found.repartition("gram").sortWithinPartitions("gram", "context", "doc", "mark", "first")
-    return settle(met.select("gram", "context", "doc", "mark", "first", "meta").mapInArrow(_classify(first_stays), PLACED), "anchors")
+    met = found.repartition("gram").sortWithinPartitions("gram", "context", "doc", "mark", "first", "state")
+    return settle(met.mapInArrow(_classify(first_stays), PLACED), "anchors")
 
 
 def with_text(docs: DataFrame, rows: DataFrame) -> DataFrame:
