@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.llm.bktree import BITS, BKForest, Links
-from siftline.llm.common import as_bytes, need, settle, slices, table
+from siftline.llm.common import as_bytes, doc_key, need, settle, slices, table, text_mark
 from siftline.llm.components import components
 
 SEED = 42
@@ -149,6 +149,143 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, radius: int = RADIUS) -
     return prints.join(ids, "fp").select("row", "fp", "component_id")
 
 
+#: Classes of shingles that a document is also fingerprinted by, and shingles of a class at least (below twice as many).
+SLOTS = 16
+CLASS = 3
+
+
+def _classes(hashes: np.ndarray) -> list[int]:
+    """Keys of the SimHash fingerprints of ``SLOTS`` classes of the distinct shingles.
+
+    Shingles are dealt to 2**level classes by their hash, so that a class holds ``CLASS`` to 2 x ``CLASS`` of them. Of two
+    documents that share four shingles in five, some class is whole in both with a chance over 99 %. A document
+    just below a level's border is keyed on the next level too, where a partner up to a quarter larger is.
+    """
+    keys = []
+    n = len(hashes)
+    levels = {max(4, int(np.log2(max(x, 1) / CLASS))) for x in (n, 1.25 * n)} if n else set()
+    spread = (hashes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+    for level in sorted(levels):
+        slot = spread & np.uint64((1 << level) - 1)
+        for c in range(SLOTS):
+            own = hashes[slot == c]
+            if len(own):
+                keys.append(xxhash.xxh64_intdigest(np.array([level, c, fingerprint(own), len(own)], dtype=np.uint64).tobytes(), SEED))
+    return keys
+
+
+def _sketches(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", SLICE_BYTES):
+            sets, prints, counts, keys = [], [], [], []
+            for text in as_bytes(batch.column("text")):
+                hashes = shingle_hashes(text, width)
+                prints.append(fingerprint(hashes))
+                distinct = np.unique(hashes)
+                counts.append(len(distinct))
+                sets.append(xxhash.xxh3_128_digest(distinct.tobytes()))
+                keys.append(np.array(_classes(distinct), dtype=np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *[batch.column(c) for c in ("row", "doc", "mark")],
+                    pa.array(sets, pa.binary()),
+                    pa.array(counts, pa.int64()),
+                    pa.array(np.array(prints, dtype=np.uint64).view(np.int64)),
+                    pa.array([k.tolist() for k in keys], pa.list_(pa.int64())),
+                ],
+                names=["row", "doc", "mark", "same", "n", "fp", "keys"],
+            )
+
+    return run
+
+
+def _pairs(similarity: float):
+    """Rows (key, n, doc, mark) sorted by key and size in, candidate pairs out: each row with the one before it and with
+    the group's centre, the first row whose size lets it reach the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, centre, before = None, None, None
+        for batch in batches:
+            out = []
+            for k, n, doc, mark in zip(*[batch.column(c).to_pylist() for c in ("key", "n", "doc", "mark")], strict=True):
+                now = (n, doc, mark)
+                if k != key:
+                    key, centre = k, now
+                else:
+                    if n * similarity > centre[0]:
+                        centre = now
+                    for other in {centre, before}:
+                        if other[1:] != now[1:] and n * similarity <= other[0]:
+                            out.append((*min(other[1:], now[1:]), *max(other[1:], now[1:])))
+                before = now
+            if out:
+                types = (pa.int64(), pa.int32(), pa.int64(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["a", "am", "b", "bm"])
+
+    return run
+
+
+def _sets(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", SLICE_BYTES // 4):
+            sets = [np.unique(shingle_hashes(t, width)).tobytes() for t in as_bytes(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("mark"), pa.array(sets, pa.binary())], names=["doc", "mark", "set"])
+
+    return run
+
+
+def _confirm(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for i, (x, y) in enumerate(zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)):
+                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if both >= similarity * (len(x) + len(y) - both):
+                    keep.append(i)
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(at) for c in ("u", "v")], names=["a", "b"])
+
+    return run
+
+
+def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 3) -> DataFrame:
+    """(row, doc, mark, first_doc, first_mark): the least document of each one's group of near duplicates.
+
+    Documents are near duplicates where their sets of ``width``-word shingles have a Jaccard similarity of at least
+    ``similarity``; groups are connected components. Candidates are pairs whose SimHash fingerprints a BK-tree links
+    within ``radius`` bits, or that share the fingerprint of a class of shingles (see ``_classes``); each is confirmed on
+    the whole sets. Equal sets are one node. ``doc`` is the id (nulls last), ``mark`` tells texts of one id apart.
+
+    A text of fewer words is one shingle; null and empty texts have none and are equal to each other; repeated rows are
+    one document. An empty table gives an empty result; columns but text are carried unread in ``row``.
+    """
+    need(docs, "doc_id", "text")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), doc_key().alias("doc"), text_mark().alias("mark"), "text")
+    kind = keyed.schema["row"].dataType.simpleString()
+    found = settle(keyed.mapInArrow(_sketches(width), f"row {kind}, doc long, mark int, same binary, n long, fp long, keys array<long>"), "sketches")
+    least = F.min(F.struct("doc", "mark"))
+    nodes = settle(found.groupBy("same").agg(least.alias("r"), F.first("n").alias("n"), F.first("fp").alias("fp")).select("same", "r.*", "n", "fp"), "nodes")
+    own = found.join(nodes.select("doc", "mark", "same"), ["doc", "mark", "same"]).select("doc", "mark", "n", F.explode(F.array_append("keys", F.xxhash64("fp"))).alias("key")).distinct()
+    shared = own.repartition("key").sortWithinPartitions("key", "n", "doc", "mark").mapInArrow(_pairs(similarity), "a long, am int, b long, bm int")
+    prints = nodes.groupBy("fp").agg(least.alias("r"))
+    links = link_fingerprints(prints.select("fp"), radius)
+    linked = links.join(prints.select(F.col("fp").alias("a"), F.col("r").alias("ra")), "a").join(prints.select(F.col("fp").alias("b"), F.col("r").alias("rb")), "b")
+    lower, upper = F.least("ra", "rb"), F.greatest("ra", "rb")
+    pairs = settle(shared.unionByName(linked.select(lower["doc"].alias("a"), lower["mark"].alias("am"), upper["doc"].alias("b"), upper["mark"].alias("bm"))).distinct(), "pairs")
+    ends = pairs.select(F.col("a").alias("doc"), F.col("am").alias("mark")).union(pairs.select("b", "bm")).distinct()
+    asked = keyed.select("doc", "mark", "text").join(ends.hint("shuffle_hash"), ["doc", "mark"], "left_semi")
+    sets = settle(asked.mapInArrow(_sets(width), "doc long, mark int, set binary").dropDuplicates(["doc", "mark"]), "sets")
+    one = sets.select(F.col("doc").alias("a"), F.col("mark").alias("am"), F.col("set").alias("x"))
+    two = sets.select(F.col("doc").alias("b"), F.col("mark").alias("bm"), F.col("set").alias("y"))
+    met = pairs.join(one, ["a", "am"]).join(two, ["b", "bm"]).select(F.xxhash64("a", "am").alias("u"), F.xxhash64("b", "bm").alias("v"), "x", "y")
+    labels = components(met.mapInArrow(_confirm(similarity), "a long, b long"))
+    noded = nodes.withColumn("node", F.xxhash64("doc", "mark")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    groups = noded.groupBy("label").agg(least.alias("f"))
+    named = noded.select("same", "label").join(groups, "label").select("same", F.col("f.doc").alias("first_doc"), F.col("f.mark").alias("first_mark"))
+    return found.select("row", "doc", "mark", "same").join(named, "same").drop("same")
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("row.doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
