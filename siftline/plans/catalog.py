@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siftline.functions import conditions as C
 from siftline.functions import sequences as S
 from siftline.functions import vectors as V
-from siftline.operators import compare, graph, models, nullmodels, pairs, profile, simulation, stats
+from siftline.operators import compare, graph, models, nullmodels, pairs, profile, simulation, stats, topology
 from siftline.operators.ranking import average_rank, spearman
 from siftline.plans.audit import audit_on_embeddings
 from siftline.tables import load, round6, union
@@ -409,6 +409,50 @@ def scramble_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(nullmodels.scramble_diagnostics(many, ["sid", "replicate"], "cls"))
 
 
+def _residues(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors as residues: label is the structure, three components place them, two more name them."""
+    e = F.col("embedding")
+    names = F.array(*map(F.lit, ("LYS", "ASP", "HIS", "PHE", "ALA", "GLU", "ARG", "GLY")))
+    letters = F.array(*map(F.lit, "KDHFAERG"))
+    kind = F.pmod(F.floor(F.get(e, F.lit(5)).cast("double") * 1000).cast("int"), F.lit(8)) + 1
+    points = load(spark, sf, "embeddings").select("vec_id", F.concat(F.lit("ab"), F.col("label").cast("string")).alias("structure_id"), *[F.round(F.get(e, F.lit(i)).cast("double") * 100, 4).alias(c) for i, c in enumerate("xyz")], (F.get(e, F.lit(3)) > 0).alias("is_cdr"), kind.alias("k"))
+    return points.select("structure_id", F.col("vec_id").alias("residue_id"), F.element_at(names, F.col("k")).alias("resname"), F.element_at(letters, F.col("k")).alias("aa"), "x", "y", "z", "is_cdr")
+
+
+def surface_composition(spark: SparkSession, sf: str) -> DataFrame:
+    found = topology.surface_composition(_residues(spark, sf))
+    return _rounded(found.select("structure_id", "surface_residue_count", "surface_cdr_fraction", "surface_cdr_positive_count", "surface_framework_negative_fraction", "surface_all_aromatic_count", "surface_all_hydrophobic_fraction"))
+
+
+def topology_features(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(topology.topology_features(_residues(spark, sf)))
+
+
+def charge_topology(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(topology.charge_topology(_residues(spark, sf)))
+
+
+def region_positions(spark: SparkSession, sf: str) -> DataFrame:
+    """Ungapped positions inside the heavy windows, spaces standing for gaps."""
+    items = load(spark, sf, "benchmark").select("item_id", F.translate("text", " ", "-").alias("aligned"))
+    found = topology.aligned_positions(items, "item_id", "aligned", S.HEAVY_REGIONS)
+    return found.groupBy("item_id").agg(F.count("*").alias("n"), F.count_if("is_region").alias("n_region"), F.min(F.when(F.col("is_region"), F.col("position"))).alias("first_region"))
+
+
+def literature_conditions(spark: SparkSession, sf: str) -> DataFrame:
+    """Curated conditions as features and regime coordinates."""
+    columns = ("anchor_id", "pH", "buffer", "salt_type", "salt_mM", "additive_type", "additive_concentration", "protein_concentration_mg_ml", "temperature_C", "reported_mechanism", "self_association_measure")
+    rows = [
+        ("a", "6.0", "histidine", "NaCl", "150", "none", None, "~14.5 at 60 mg/mL", "25", "electrostatic patch", "viscosity"),
+        ("b", "7.4", "phosphate", None, "none", "arginine", "50 mM", "60 for viscosity; 10 for DLS", None, "hydrophobic", "kD"),
+        ("c", None, "acetate", "NaCl", "15", None, None, "180", "nan", "fab-fab", None),
+    ]
+    frame = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in columns))
+    features = frame.select("anchor_id", *[v.alias(k) for k, v in C.condition_features(True).items()])
+    given = features.withColumns({c: F.lit(v) for c, v in zip(C.COEFFICIENTS, (1.0, 0.5, 0.75, 0.3, 0.6, 0.4, 1.0), strict=True)})
+    return _rounded(given.select(*features.columns, *[v.alias(k) for k, v in C.literature_coordinates().items()]))
+
+
 def _block_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Long gate metrics: each priority is an assay, blocks are correlations with real and shuffled columns."""
     rows = order_lines(spark, sf).filter("p is not null and grp < '4'").select("id", "grp", "t", "p", "qty")
@@ -535,6 +579,7 @@ QUERIES = {
         residual_nulls, bootstrap_mean_ci, archetypes, medoids, regime_projection, calibrate_grid, leave_group_out, text_numbers, text_condition_flags, surface_mask,
         contact_graph, patch_components, patch_summary, spread_components, adjacency_summary, centroid_distance, dipole, scramble_derange, label_shuffle,
         scramble_diagnostics, gate_verdict, positive_controls, zscore_signal, vector_pair_blocks, mean_pool, edge_turnover, contact_lifetimes, set_ops, average_ranks,
+        surface_composition, topology_features, charge_topology, region_positions, literature_conditions,
         region_totals, particle_parameters, patchy_sim, regime_sweep, hier_clusters, local_alignment, coefficient_bootstrap, feature_importance, triage_audit,
     )
 } | {"rf_oof": _ml("random_forest"), "gbt_oof": _ml("hist_gradient_boosting"), "elasticnet_oof": _ml("elastic_net")}

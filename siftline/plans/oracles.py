@@ -328,6 +328,14 @@ r AS (SELECT event_type, count(*) AS l FROM i GROUP BY user_id, event_type, k) S
 SELECT 'union_all' AS op, count(*) AS n, coalesce(sum(k), 0)::BIGINT AS total FROM (SELECT k FROM a UNION ALL SELECT k FROM b) UNION ALL SELECT 'union', count(*), coalesce(sum(k), 0)::BIGINT FROM (SELECT k FROM a UNION SELECT k FROM b)
 UNION ALL SELECT 'intersect', count(*), coalesce(sum(k), 0)::BIGINT FROM (SELECT k FROM a INTERSECT SELECT k FROM b) UNION ALL SELECT 'except', count(*), coalesce(sum(k), 0)::BIGINT FROM (SELECT k FROM a EXCEPT SELECT k FROM b)
 UNION ALL SELECT 'common', count(*), coalesce(sum(k), 0)::BIGINT FROM (SELECT DISTINCT k FROM a WHERE k IN (SELECT k FROM b))""",
+    "surface_composition": f"""WITH r AS (SELECT concat('ab', label) AS structure_id, embedding[4] > 0 AS is_cdr, (((floor(embedding[6]::DOUBLE * 1000)::INT % 8) + 8) % 8) + 1 AS k FROM embeddings),
+n AS (SELECT structure_id, is_cdr, (['LYS', 'ASP', 'HIS', 'PHE', 'ALA', 'GLU', 'ARG', 'GLY'])[k] AS res FROM r)
+SELECT structure_id, count(*)::DOUBLE AS surface_residue_count, {r6('avg(is_cdr::INT)', 'surface_cdr_fraction')}, (count(*) FILTER (is_cdr AND res IN ('LYS', 'ARG', 'HIS')))::DOUBLE AS surface_cdr_positive_count,
+{r6("count(*) FILTER (NOT is_cdr AND res IN ('ASP', 'GLU')) / count(*) FILTER (NOT is_cdr)::DOUBLE", 'surface_framework_negative_fraction')}, (count(*) FILTER (res = 'PHE'))::DOUBLE AS surface_all_aromatic_count,
+{r6("count(*) FILTER (res IN ('PHE', 'ALA')) / count(*)::DOUBLE", 'surface_all_hydrophobic_fraction')} FROM n GROUP BY 1""",
+    "region_positions": """WITH c AS (SELECT item_id, i, text[i + 1] AS ch FROM (SELECT item_id, text, unnest(range(length(text))) AS i FROM benchmark)),
+p AS (SELECT item_id, i, row_number() OVER (PARTITION BY item_id ORDER BY i) - 1 AS pos, (i >= 25 AND i < 42) OR (i >= 56 AND i < 76) OR (i >= 105 AND i < 138) AS inside FROM c WHERE ch NOT IN (' ', '-'))
+SELECT item_id, count(*) AS n, count(*) FILTER (inside) AS n_region, min(pos) FILTER (inside) AS first_region FROM p GROUP BY 1""",
     "average_ranks": f"SELECT p_partkey, p_brand, {rank('p_size', 'p_brand')} AS rank FROM part",
     "region_totals": f"WITH {POINTS} SELECT sid, coalesce(region, 'all') AS region, count(*) AS n, count(*) FILTER (cls = 'pos') AS n_pos, {r6("avg((cls = 'neg')::INT)", 'neg_fraction')} FROM (SELECT *, CASE WHEN is_cdr THEN 'cdr' ELSE 'framework' END AS region FROM pt) GROUP BY GROUPING SETS ((sid, region), (sid))",
     "particle_parameters": f"""WITH {CUSTOMERS}, d AS (SELECT c_custkey, net * 3.0917::DOUBLE AS q, least((abs(cdr) + 0.5::DOUBLE * imbalance) / 14, 1) AS di, least(greatest((hydro * 1.0137::DOUBLE - 0.28::DOUBLE) / 0.28::DOUBLE, 0), 1) AS st FROM cu)
