@@ -10,6 +10,7 @@ from siftline.functions import sequences as S
 from siftline.functions import vectors as V
 from siftline.operators import compare, graph, models, nullmodels, pairs, profile, simulation, stats, topology
 from siftline.operators.ranking import average_rank, spearman
+from siftline.plans import gate
 from siftline.plans.audit import audit_on_embeddings
 from siftline.tables import load, round6, union
 
@@ -477,6 +478,19 @@ def positive_controls(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(nullmodels.positive_controls(_block_scores(spark, sf).withColumn("assay", names[F.col("assay")])))
 
 
+def topology_gate(spark: SparkSession, sf: str) -> DataFrame:
+    """The gate on ten structures times folds: verdict rows. Small structures, so labels are repeated over row groups."""
+    rows = _residues(spark, sf).withColumn("structure_id", F.concat("structure_id", F.lit("_"), F.pmod(F.col("residue_id"), F.lit(4)).cast("string")))
+    labels = rows.groupBy("structure_id").agg(F.avg("x").alias("HIC"), F.avg(F.when(F.col("resname").isin("LYS", "ARG"), 1.0).otherwise(0.0)).alias("PR_CHO"))
+    long = labels.select("structure_id", F.pmod(F.xxhash64("structure_id"), F.lit(5)).cast("int").alias("fold"), F.expr("stack(2, 'HIC', HIC, 'PR_CHO', PR_CHO)").alias("assay", "y"))
+    return _rounded(gate.topology_gate(rows, long, "fold", [1, 2], [1, 2])[1])
+
+
+def family_drops(spark: SparkSession, sf: str) -> DataFrame:
+    families = {"first": list(range(5)), "second": list(range(5, 10)), "rest": list(range(10, 20))}
+    return _rounded(gate.leave_one_family_out(_model_rows(spark, sf), "vec_id", "x", families, "y", "fold"))
+
+
 def zscore_signal(spark: SparkSession, sf: str) -> DataFrame:
     rows = load(spark, sf, "supplier", "s_suppkey", "s_nationkey", "s_acctbal").withColumn("k", F.col("s_suppkey").cast("double"))
     z = nullmodels.zscores(rows, [], ["s_acctbal", "k"])
@@ -579,7 +593,7 @@ QUERIES = {
         residual_nulls, bootstrap_mean_ci, archetypes, medoids, regime_projection, calibrate_grid, leave_group_out, text_numbers, text_condition_flags, surface_mask,
         contact_graph, patch_components, patch_summary, spread_components, adjacency_summary, centroid_distance, dipole, scramble_derange, label_shuffle,
         scramble_diagnostics, gate_verdict, positive_controls, zscore_signal, vector_pair_blocks, mean_pool, edge_turnover, contact_lifetimes, set_ops, average_ranks,
-        surface_composition, topology_features, charge_topology, region_positions, literature_conditions,
+        surface_composition, topology_gate, family_drops, topology_features, charge_topology, region_positions, literature_conditions,
         region_totals, particle_parameters, patchy_sim, regime_sweep, hier_clusters, local_alignment, coefficient_bootstrap, feature_importance, triage_audit,
     )
 } | {"rf_oof": _ml("random_forest"), "gbt_oof": _ml("hist_gradient_boosting"), "elasticnet_oof": _ml("elastic_net")}
