@@ -3,7 +3,7 @@
 Trusted positives are labelled rows; the unlabelled class is web text as it comes, good and bad. With class
 prior p the negative risk of the unlabelled rows, less the part that positives contribute to it, is never let
 below zero: where it would be, the step undoes that part instead (Kiryo et al., 2017). The model is logistic over
-standardised text statistics and their squares, so its sigmoid is a posterior probability.
+piecewise linear functions of standardised text statistics, so its sigmoid is a posterior probability.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,9 @@ _RANGES = (
 _CLASSES = np.zeros((256, len(_RANGES)))
 for _k, (_a, _b) in enumerate(_RANGES):
     _CLASSES[_a : _b + 1, _k] = 1.0
-N_FEATURES = len(_RANGES) + 10
+_PUNCTUATION = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum())
+_DIGITS = b"0123456789"
+N_FEATURES = len(_RANGES) + 13
 
 
 def features(text: bytes | None) -> np.ndarray:
@@ -58,6 +61,9 @@ def features(text: bytes | None) -> np.ndarray:
                 len(set(lines)) / len(lines),
                 (max(seen.values()) if seen else 0) / max(1, n_words),
                 caps / max(1, len(seen)),
+                sum(map(eq, words, words[1:])) / max(1, n_words - 1),
+                sum(n for w, n in seen.items() if not w.strip(_PUNCTUATION)) / max(1, n_words),
+                sum(n for w, n in seen.items() if any(map(w.__contains__, _DIGITS))) / max(1, n_words),
                 np.log1p(n_words),
                 np.log1p(len(lines)),
                 lengths.mean(),
@@ -76,8 +82,9 @@ class Model:
     prior: float
 
     def design(self, x: np.ndarray) -> np.ndarray:
+        """Each standardised statistic, and what it has beyond one deviation to either side: extremes extend linearly."""
         z = np.clip((x - self.mean) / self.scale, -6, 6)
-        return np.concatenate([z, z * z, np.ones((len(z), 1))], axis=1)
+        return np.concatenate([z, np.maximum(z - 1, 0), np.maximum(-z - 1, 0), np.ones((len(z), 1))], axis=1)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1.0 / (1.0 + np.exp(-np.clip(self.design(x) @ self.weights, -30, 30)))
@@ -87,7 +94,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
     """Minimise prior x E_p[l(g)] + max(0, E_u[l(-g)] - prior x E_p[l(-g)]), l the logistic loss."""
     every = np.concatenate([positive, unlabelled])
     mean, scale = every.mean(axis=0), every.std(axis=0) + 1e-6
-    model = Model(mean, scale, np.zeros(2 * N_FEATURES + 1), prior)
+    model = Model(mean, scale, np.zeros(3 * N_FEATURES + 1), prior)
     p, u = model.design(positive), model.design(unlabelled)
     w = model.weights.copy()
     m, v = np.zeros_like(w), np.zeros_like(w)
