@@ -26,7 +26,7 @@ def clean_sequence(sequence: Column) -> Column:
 
 def count_of(sequence: Column, members: str) -> Column:
     """Characters of ``sequence`` that are in ``members``."""
-    return (F.length(sequence) - F.length(F.translate(sequence, members, ""))).cast("double")
+    return F.regexp_count(sequence, F.lit(f"[{members}]")).cast("double")
 
 
 def region(aligned: Column, window: tuple[int, int]) -> Column:

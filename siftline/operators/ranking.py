@@ -47,8 +47,9 @@ def guarded_corr(x: Column, y: Column, least: int = 3) -> Column:
 
 def both_ranked(frame: DataFrame, by: list[str], x: str, y: str, *keep: str) -> DataFrame:
     """Pairwise complete rows with x, y and their positions, each side ranked from the pinned rows on its own."""
-    pairs = frame.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    pairs = pin(pairs.select(*by, *keep, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")))
+    # Filtered behind the checkpoint: a filter on an expression before it would compute it twice.
+    pairs = pin(frame.select(*by, *keep, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")))
+    pairs = pairs.filter("x is not null and y is not null")
 
     def side(c: str) -> DataFrame:
         at = value_positions(pairs, by, c)

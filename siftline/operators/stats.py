@@ -117,7 +117,7 @@ def competitive_metrics(frame: DataFrame, by: list[str], truth: str, prediction:
 def official_metrics(frame: DataFrame, by: list[str], truth: str, prediction: str, tie: str, fraction: float = 0.1, higher_is_better: bool = True) -> DataFrame:
     """n, spearman and recall of the best floor(fraction x n), at least one row; NULL below three rows."""
     sign = 1.0 if higher_is_better else -1.0
-    pairs = complete(frame, truth, prediction).select(*by, tie, (F.col(truth) * sign).alias("t"), (F.col(prediction) * sign).alias("p"))
+    pairs = frame.select(*by, tie, (F.col(truth) * sign).alias("t"), (F.col(prediction) * sign).alias("p"))
     tails = _tails(pairs, by, "t", "p", tie, lambda total: F.greatest(F.lit(1), F.floor(F.lit(fraction) * total)))
     return tails.groupBy(*by).agg(
         F.count("*").alias("n"), guarded_corr(F.col("rx"), F.col("ry")).alias("spearman"), F.when(F.count("*") >= 3, _recall()).alias("top_recall")

@@ -32,14 +32,14 @@ def order_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def documents_features(spark: SparkSession, sf: str) -> DataFrame:
-    docs = load(spark, sf, "documents", "doc_id", "text", "lang", "source")
-    found = S.composition(S.ascii_upper(F.col("text")), "t")
-    return docs.select("doc_id", "lang", "source", *[v.alias(k) for k, v in found.items()])
+    docs = load(spark, sf, "documents", "doc_id", "text", "lang", "source").withColumn("u", S.ascii_upper(F.col("text")))
+    return docs.select("doc_id", "lang", "source", *[v.alias(k) for k, v in S.composition(F.col("u"), "t").items()])
 
 
 def triage_flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Labelled documents: does the aromatic share tell the hydrophobic one, by language, and does the worst tail hold."""
-    rows = documents_features(spark, sf).join(load(spark, sf, "labels", "doc_id"), "doc_id")
+    labelled = load(spark, sf, "labels", "doc_id")
+    rows = documents_features(spark, sf).select("doc_id", "lang", "t_hydrophobic_fraction", "t_aromatic_fraction").join(labelled, "doc_id")
     metrics = stats.competitive_metrics(rows, ["lang"], "t_hydrophobic_fraction", "t_aromatic_fraction", "doc_id")
     verdict = compare.triage_verdict(round6(F.col("worst_auroc")), round6(F.col("spearman")))
     return _rounded(metrics.withColumn("verdict", verdict))
