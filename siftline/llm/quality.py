@@ -25,10 +25,10 @@ MOST_POSITIVE = 20_000
 MOST_UNLABELLED = 20_000
 FOLDS = 5
 THRESHOLD = 0.3
-STEPS = 1500
+STEPS = 800
 RATE = 0.05
 DECAY = 1e-4
-SLICE_BYTES = 16_000_000
+SLICE_BYTES = 4_000_000
 
 _RANGES = (
     (0x41, 0x5A), (0x61, 0x7A), (0x30, 0x39), (0x20, 0x20), (0x0A, 0x0A), (0x80, 0xFF), (0x21, 0x2F), (0x3A, 0x40),
@@ -38,8 +38,7 @@ _CLASSES = np.zeros((256, len(_RANGES)))
 for _k, (_a, _b) in enumerate(_RANGES):
     _CLASSES[_a : _b + 1, _k] = 1.0
 _PUNCTUATION = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum())
-_DIGITS = b"0123456789"
-N_FEATURES = len(_RANGES) + 13
+N_FEATURES = len(_RANGES) + 12
 
 
 def features(text: bytes | None) -> np.ndarray:
@@ -63,7 +62,6 @@ def features(text: bytes | None) -> np.ndarray:
                 caps / max(1, len(seen)),
                 sum(map(eq, words, words[1:])) / max(1, n_words - 1),
                 sum(n for w, n in seen.items() if not w.strip(_PUNCTUATION)) / max(1, n_words),
-                sum(n for w, n in seen.items() if any(map(w.__contains__, _DIGITS))) / max(1, n_words),
                 np.log1p(n_words),
                 np.log1p(len(lines)),
                 lengths.mean(),
