@@ -29,6 +29,8 @@ WINDOW = 10
 BLOCK_BYTES = 8_000_000
 #: Bytes of document text that one in-memory index covers.
 SLICE_BYTES = 4_000_000
+#: Postings that are checked together.
+CANDIDATES = 200_000
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -84,11 +86,21 @@ class PositionalIndex:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         frequency = self.counts[windows]
         live = np.flatnonzero(frequency.min(axis=1) > 0)
-        by_rarity = np.argsort(frequency[live], axis=1, kind="stable")
-        first = by_rarity[:, 0]
-        term = windows[live, first]
-        many = self.counts[term]
-        row = np.repeat(np.arange(len(live)), many)
+        by_rarity = np.argsort(frequency[live], axis=1, kind="stable").astype(np.int8 if windows.shape[1] < 128 else np.int64)
+        many = frequency[live].min(axis=1)
+        # Common windows have long lists even of their rarest term: so many candidates are looked at together.
+        part = np.cumsum(many) // CANDIDATES
+        borders = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(live)]
+        found = [self._matched(windows[live[b:e]], by_rarity[b:e], many[b:e], live[b:e]) for b, e in zip(borders, borders[1:], strict=False) if e > b]
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+    def _matched(self, windows: np.ndarray, by_rarity: np.ndarray, many: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Matches of a few windows: the postings of their rarest term, checked against the next rarest and so on."""
+        first = by_rarity[:, 0].astype(np.int64)
+        term = windows[np.arange(len(windows)), first]
+        row = np.repeat(np.arange(len(windows)), many)
         within = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         at = self.postings[self.offsets[term][row] + within] - first[row]
         keep = (at >= 0) & (at + windows.shape[1] <= len(self.terms))
@@ -97,9 +109,9 @@ class PositionalIndex:
             if not len(row):
                 break
             offset = by_rarity[row, k]
-            keep = self.terms[at + offset] == windows[live[row], offset]
+            keep = self.terms[at + offset] == windows[row, offset]
             row, at = row[keep], at[keep]
-        return live[row], at
+        return names[row], at
 
     def near(self, windows: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
         """(window, position of its rarest term) where all terms of the window, with their multiplicity, lie within
