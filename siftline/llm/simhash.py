@@ -16,7 +16,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftline.llm.bktree import BITS, BKForest, Links
@@ -200,23 +200,22 @@ def _sketches(width: int):
 
 
 def _pairs(similarity: float):
-    """Rows (key, n, doc, mark) sorted by key and size in, candidate pairs out: each row with the one before it and with
-    the group's centre, the first row whose size lets it reach the similarity."""
+    """Rows (key, n, doc, mark, hub) sorted by key and size in, candidate pairs out: each row with the one before it, with
+    the first row whose size lets it reach the similarity, and with the group's hub. What these leave is for ``_prefix_pairs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, centre, before = None, None, None
         for batch in batches:
             out = []
-            for k, n, doc, mark in zip(*[batch.column(c).to_pylist() for c in ("key", "n", "doc", "mark")], strict=True):
+            for k, n, doc, mark, *hub in zip(*[batch.column(c).to_pylist() for c in ("key", "n", "doc", "mark", "hub_n", "hub_doc", "hub_mark")], strict=True):
                 now = (n, doc, mark)
                 if k != key:
-                    key, centre = k, now
-                else:
-                    if n * similarity > centre[0]:
-                        centre = now
-                    for other in {centre, before}:
-                        if other[1:] != now[1:] and n * similarity <= other[0]:
-                            out.append((*min(other[1:], now[1:]), *max(other[1:], now[1:])))
+                    key, centre, before = k, now, now
+                elif n * similarity > centre[0]:
+                    centre = now
+                for other in {centre, before, tuple(hub)}:
+                    if other[1:] != now[1:] and max(n, other[0]) * similarity <= min(n, other[0]):
+                        out.append((*min(other[1:], now[1:]), *max(other[1:], now[1:])))
                 before = now
             if out:
                 types = (pa.int64(), pa.int32(), pa.int64(), pa.int32())
@@ -249,13 +248,101 @@ def _confirm(similarity: float):
     return run
 
 
+def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) of nodes, for the pairs (a, am, b, bm) whose sets reach the similarity."""
+    one = sets.select(F.col("doc").alias("a"), F.col("mark").alias("am"), F.col("set").alias("x"))
+    two = sets.select(F.col("doc").alias("b"), F.col("mark").alias("bm"), F.col("set").alias("y"))
+    met = pairs.join(one, ["a", "am"]).join(two, ["b", "bm"]).select(F.xxhash64("a", "am").alias("u"), F.xxhash64("b", "bm").alias("v"), "x", "y")
+    return met.mapInArrow(_confirm(similarity), "a long, b long")
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "set", SLICE_BYTES // 8):
+        sets = [np.frombuffer(x, dtype=np.int64) for x in batch.column("set").to_pylist()]
+        n = np.array([len(x) for x in sets], dtype=np.int64)
+        of = pa.array(np.repeat(np.arange(len(sets)), n))
+        yield pa.RecordBatch.from_arrays([*[batch.column(c).take(of) for c in ("doc", "mark", "label")], pa.array(np.repeat(n, n)), pa.array(np.concatenate(sets))], names=["doc", "mark", "label", "n", "token"])
+
+
+def _meet(similarity: float):
+    """Rows of cells (token, lo, hi) sorted by cell in, pairs of unlike labels that can reach the similarity out."""
+
+    def pairs(rows: np.ndarray) -> np.ndarray:
+        lo, hi = rows[0, 1:3]
+        x, y = (rows, rows) if lo == hi else (rows[rows[:, 3] == lo], rows[rows[:, 3] == hi])
+        n, m, p, q = x[:, None, 4], y[None, :, 4], x[:, None, 5], y[None, :, 5]
+        # At the first token two sets share, at most the rest of the shorter tail is common.
+        most = 1 + np.minimum(n - p, m - q)
+        can = (x[:, None, 6] != y[None, :, 6]) & (most + 1e-6 >= similarity * (n + m - most))
+        i, j = np.nonzero(np.triu(can, 1) if lo == hi else can)
+        a, b = x[i, 7:], y[j, 7:]
+        turned = (a[:, 0] > b[:, 0]) | ((a[:, 0] == b[:, 0]) & (a[:, 1] > b[:, 1]))
+        return np.where(turned[:, None], np.hstack([b, a]), np.hstack([a, b]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            cuts = np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1
+            held, size = [], 0
+            for cell in np.split(rows, cuts):
+                held.append(pairs(cell))
+                size += len(held[-1])
+                if size > 1 << 16:
+                    yield batch_of(held)
+                    held, size = [], 0
+            if size:
+                yield batch_of(held)
+
+        def batch_of(held: list[np.ndarray]) -> pa.RecordBatch:
+            rows = np.concatenate(held)
+            return pa.RecordBatch.from_arrays([pa.array(rows[:, i], pa.int64()).cast(t) for i, t in enumerate((pa.int64(), pa.int32()) * 2)], names=["a", "am", "b", "bm"])
+
+        rest = np.zeros((0, 9), dtype=np.int64)
+        for batch in batches:
+            rows = np.concatenate([rest, np.stack([np.asarray(c).astype(np.int64) for c in batch.columns], axis=1)])
+            if len(rows):
+                cut = np.flatnonzero((rows[:, :3] != rows[-1, :3]).any(axis=1))  # the last cell may go on in the next batch
+                cut = cut[-1] + 1 if len(cut) else 0
+                if cut:
+                    yield from out(rows[:cut])
+                rest = rows[cut:]
+        if len(rest):
+            yield from out(rest)
+
+    return run
+
+
+#: Rows of a token's block in the prefix join; two blocks meet in one cell.
+BLOCK = 256
+
+
+def _prefix_pairs(sets: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs (a, am, b, bm) of unlike labels, among them all that reach the similarity: an exact prefix join.
+
+    sets: doc, mark, label, set. With shingles in one order, the rarest first, two sets that reach the similarity share one
+    of the first n - ceil(similarity * n) + 1 of each. Sets of a shingle are dealt to blocks and every two blocks meet in
+    a cell of their own, so no task holds a whole shingle. Shingles of one label only are left out.
+    """
+    tokens = sets.mapInArrow(_tokens, "doc long, mark int, label long, n long, token long")
+    often = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
+    own = Window.partitionBy("doc", "mark")
+    place = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "token"))  # behind the shingles of one set
+    met = tokens.join(often, "token").withColumn("p", place.cast("long"))
+    head = settle(met.filter(F.col("p") <= F.col("n") - F.ceil(similarity * F.col("n") - 1e-6) + 1).drop("df"), "prefixes")
+    held = head.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).alias("k"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+    dealt = head.join(held.select("token", "k"), "token").withColumn("block", F.pmod(F.xxhash64("doc", "mark"), "k"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+    cells = dealt.select("token", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "n", "p", "label", "doc", "mark")
+    return cells.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi").mapInArrow(_meet(similarity), "a long, am int, b long, bm int").distinct()
+
+
 def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 3) -> DataFrame:
     """(row, doc, mark, first_doc, first_mark): the least document of each one's group of near duplicates.
 
     Documents are near duplicates where their sets of ``width``-word shingles have a Jaccard similarity of at least
     ``similarity``; groups are connected components. Candidates are pairs whose SimHash fingerprints a BK-tree links
-    within ``radius`` bits, or that share the fingerprint of a class of shingles (see ``_classes``); each is confirmed on
-    the whole sets. Equal sets are one node. ``doc`` is the id (nulls last), ``mark`` tells texts of one id apart.
+    within ``radius`` bits, or that share the fingerprint of a class of shingles (see ``_classes``); links are confirmed on
+    the whole sets. In a group of candidates each row first meets its neighbour and the group's hub, the row whose
+    keys most rows share; rows of groups that this leaves in several parts go through an exact join. Equal sets are one node. ``doc`` is the id (nulls last), ``mark`` tells texts of one id apart.
 
     A text of fewer words is one shingle; null and empty texts have none and are equal to each other; repeated rows are
     one document. An empty table gives an empty result; columns but text are carried unread in ``row``.
@@ -267,20 +354,34 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     least = F.min(F.struct("doc", "mark"))
     nodes = settle(found.groupBy("same").agg(least.alias("r"), F.first("n").alias("n"), F.first("fp").alias("fp")).select("same", "r.*", "n", "fp"), "nodes")
     own = found.join(nodes.select("doc", "mark", "same"), ["doc", "mark", "same"]).select("doc", "mark", "n", F.explode(F.array_append("keys", F.xxhash64("fp"))).alias("key")).distinct()
-    shared = own.repartition("key").sortWithinPartitions("key", "n", "doc", "mark").mapInArrow(_pairs(similarity), "a long, am int, b long, bm int")
-    prints = nodes.groupBy("fp").agg(least.alias("r"))
-    links = link_fingerprints(prints.select("fp"), radius)
-    linked = links.join(prints.select(F.col("fp").alias("a"), F.col("r").alias("ra")), "a").join(prints.select(F.col("fp").alias("b"), F.col("r").alias("rb")), "b")
-    lower, upper = F.least("ra", "rb"), F.greatest("ra", "rb")
-    pairs = settle(shared.unionByName(linked.select(lower["doc"].alias("a"), lower["mark"].alias("am"), upper["doc"].alias("b"), upper["mark"].alias("bm"))).distinct(), "pairs")
+    alike = Window.partitionBy("key")
+    shared = settle(own.withColumn("size", F.count("*").over(alike)).filter("size > 1"), "keys")
+    votes = shared.groupBy("doc", "mark").agg(F.sum("size").alias("votes"))
+    hubs = shared.join(votes, ["doc", "mark"]).withColumn("hub", F.max(F.struct("votes", "n", "doc", "mark")).over(alike))
+    ranked = hubs.select("key", "n", "doc", "mark", *[F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("n", "doc", "mark")]).sortWithinPartitions("key", "n", "doc", "mark")
+    pairs = settle(ranked.mapInArrow(_pairs(similarity), "a long, am int, b long, bm int").distinct(), "pairs")
     ends = pairs.select(F.col("a").alias("doc"), F.col("am").alias("mark")).union(pairs.select("b", "bm")).distinct()
-    asked = keyed.select("doc", "mark", "text").join(ends.hint("shuffle_hash"), ["doc", "mark"], "left_semi")
-    sets = settle(asked.mapInArrow(_sets(width), "doc long, mark int, set binary").dropDuplicates(["doc", "mark"]), "sets")
-    one = sets.select(F.col("doc").alias("a"), F.col("mark").alias("am"), F.col("set").alias("x"))
-    two = sets.select(F.col("doc").alias("b"), F.col("mark").alias("bm"), F.col("set").alias("y"))
-    met = pairs.join(one, ["a", "am"]).join(two, ["b", "bm"]).select(F.xxhash64("a", "am").alias("u"), F.xxhash64("b", "bm").alias("v"), "x", "y")
-    labels = components(met.mapInArrow(_confirm(similarity), "a long, b long"))
-    noded = nodes.withColumn("node", F.xxhash64("doc", "mark")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    texts = keyed.select("doc", "mark", "text")
+
+    def sets_of(asked: DataFrame) -> DataFrame:
+        return texts.join(asked.hint("shuffle_hash"), ["doc", "mark"], "left_semi").mapInArrow(_sets(width), "doc long, mark int, set binary").dropDuplicates(["doc", "mark"])
+
+    labels = components(_confirmed(pairs, settle(sets_of(ends), "sets"), similarity))
+
+    def labelled(labels: DataFrame) -> DataFrame:
+        return nodes.withColumn("node", F.xxhash64("doc", "mark")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+    # What is left: groups over three rows, of which not all pairs were compared, and close fingerprints, with unlike labels.
+    noded = settle(labelled(labels), "labelled")
+    large = shared.filter("size > 3")
+    unlike = large.join(noded.select("doc", "mark", "label"), ["doc", "mark"]).groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+    close = link_fingerprints(noded.select("fp").distinct(), radius)
+    linked = noded.join(close.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp", "left_semi")
+    rest = settle(large.join(unlike, "key", "left_semi").select("doc", "mark").union(linked.select("doc", "mark")).distinct(), "rest")
+    sets = settle(sets_of(rest).join(noded.select("doc", "mark", "label"), ["doc", "mark"]), "rest-sets")
+    more = settle(_confirmed(settle(_prefix_pairs(sets, similarity), "rest-pairs"), sets, similarity), "more")
+    if not more.isEmpty():
+        noded = labelled(components(more.union(labels.select("node", "label"))))
     groups = noded.groupBy("label").agg(least.alias("f"))
     named = noded.select("same", "label").join(groups, "label").select("same", F.col("f.doc").alias("first_doc"), F.col("f.mark").alias("first_mark"))
     return found.select("row", "doc", "mark", "same").join(named, "same").drop("same")

@@ -50,3 +50,53 @@ def test_repeated_rows_and_nothing(spark):
     docs = spark.createDataFrame([(1, "same words here and there again"), (1, "same words here and there again"), (None, "same words here and there again")], "doc_id long, text string")
     assert {(r.first_doc, r["row"]["doc_id"]) for r in simhash.similar_documents(docs).collect()} == {(1, 1), (1, None)}
     assert simhash.similar_documents(docs.filter("false")).collect() == []
+
+
+def groups_of(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    return sorted((r.doc, r.first_doc) for r in simhash.similar_documents(docs).collect())
+
+
+def test_copies_linked_by_one_original_only(spark):
+    """300 copies are >= 0.8 to the original and < 0.8 to each other; the original is not the least id."""
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(150, " ".join(base))]
+    for i in range(300):
+        copy = list(base)
+        for k, at in enumerate(rng.choice(39, 4, replace=False)):
+            copy[5 * at + 2] = f"x{i}_{k}"
+        rows.append((i + (i >= 150), " ".join(copy)))
+    got = groups_of(spark, rows)
+    assert got == brute(rows)
+    assert {f for _, f in got} == {0}
+
+
+def test_groups_without_a_centre(spark):
+    """Windows that slide over one long text: each is near to its neighbours only, and ids say nothing of the order."""
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(4000)]
+    ids = rng.permutation(250).tolist()
+    rows = [(d, " ".join(words[15 * k : 15 * k + 200])) for k, d in enumerate(ids)]
+    got = groups_of(spark, rows)
+    assert got == brute(rows)
+    assert {f for _, f in got} == {0}
+
+
+def test_prefix_join_misses_no_pair(spark):
+    rng = np.random.default_rng(8)
+    sets = []
+    for i in range(40):
+        base = rng.choice(2000, int(rng.integers(1, 80)), replace=False)
+        for _ in range(int(rng.integers(1, 12))):
+            sets.append(np.unique(np.where(rng.random(len(base)) < 0.1, rng.integers(2000, 2050, len(base)), base)).astype(np.int64))
+    old, simhash.BLOCK = simhash.BLOCK, 3
+    try:
+        frame = spark.createDataFrame([(i, 0, i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "doc long, mark int, label long, set binary")
+        got = {(r.a, r.b) for r in simhash._prefix_pairs(frame, 0.8).collect()}
+    finally:
+        simhash.BLOCK = old
+    near = lambda x, y: (both := len(np.intersect1d(x, y))) >= 0.8 * (len(x) + len(y) - both)
+    want = {(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if near(sets[i], sets[j])}
+    assert want <= got and len(want) > 20
+    assert all(a < b for a, b in got)
