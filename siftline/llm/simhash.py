@@ -82,10 +82,10 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def _search(radius: int, forest: int):
-    """Rows (mask, key, fp) sorted by shard in, links (a, b) out: a star in each group of linked fingerprints."""
+def _stars(radius: int):
+    """Links (a, b): a star in each group of linked fingerprints of a shard."""
 
-    def links(prints: np.ndarray, shards: np.ndarray) -> pa.RecordBatch:
+    def links(prints: np.ndarray, shards: np.ndarray, _: np.ndarray) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((prints.view(np.int64), shards))
         prints, shards = prints[order], shards[order]
         trees, union = BKForest(prints, shards), Links(len(prints))
@@ -94,13 +94,32 @@ def _search(radius: int, forest: int):
         top = union.roots()
         far = np.flatnonzero(top != np.arange(len(top)))
         signed = prints.view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(signed[far]), pa.array(signed[top[far]])], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(signed[far]), pa.array(signed[top[far]])], names=["a", "b"])
+
+    return links
+
+
+def _close(radius: int):
+    """Links (a, b): all pairs within the radius but those whose rows have one label, low and high alike."""
+
+    def links(prints: np.ndarray, shards: np.ndarray, labels: np.ndarray) -> Iterator[pa.RecordBatch]:
+        signed = prints.view(np.int64)
+        for a, b in BKForest(prints, shards).within(radius):
+            unlike = (labels[a] != labels[b]).any(axis=1) | (labels[a, 0] != labels[a, 1])
+            a, b = signed[a[unlike]], signed[b[unlike]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return links
+
+
+def _search(links, forest: int):
+    """Rows (mask, key, fp, labels) sorted by shard in, links (a, b) of whole shards out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
         for batch in batches:
-            held.append(np.stack([np.asarray(batch.column(i)) for i in range(3)], axis=1).astype(np.int64))
+            held.append(np.stack([np.asarray(c) for c in batch.columns], axis=1).astype(np.int64))
             size += batch.num_rows
             if size < forest:
                 continue
@@ -108,28 +127,39 @@ def _search(radius: int, forest: int):
             new = np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])
             cut = np.flatnonzero(new)[-1]  # the last shard may go on in the next batch
             if cut:
-                yield links(*_shared(rows[:cut]))
+                yield from links(*_shared(rows[:cut]))
             held, size = [rows[cut:]], len(rows) - cut
         if size:
-            yield links(*_shared(np.concatenate(held)))
+            yield from links(*_shared(np.concatenate(held)))
 
     return run
 
 
-def _shared(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints and shard numbers of the shards with two fingerprints at least."""
+def _shared(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fingerprints, shard numbers and labels of the shards with two fingerprints at least."""
     new = np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])
     shard = np.cumsum(new) - 1
     many = np.bincount(shard)[shard] > 1
-    return np.ascontiguousarray(rows[many, 2]).view(np.uint64), shard[many]
+    return np.ascontiguousarray(rows[many, 2]).view(np.uint64), shard[many], rows[many, 3:]
+
+
+def _sharded(prints: DataFrame, radius: int) -> DataFrame:
+    """(mask, key, fp, other columns) for every shard of each fingerprint, sorted by shard."""
+    more = [c for c in prints.columns if c != "fp"]
+    masks = F.array(*[F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(blocks(radius))])
+    dealt = prints.select("fp", *more, F.explode(masks).alias("s")).select(F.col("s.mask").cast("long").alias("mask"), F.col("s.key").alias("key"), "fp", *more)
+    return dealt.repartition("mask", "key").sortWithinPartitions("mask", "key")
 
 
 def link_fingerprints(prints: DataFrame, radius: int = RADIUS, forest: int = FOREST) -> DataFrame:
     """prints: distinct fp. Links (a, b) that connect all fingerprints at most ``radius`` bits apart."""
-    masks = F.array(*[F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(blocks(radius))])
-    dealt = prints.select("fp", F.explode(masks).alias("s")).select(F.col("s.mask").cast("long").alias("mask"), F.col("s.key").alias("key"), "fp")
-    sorted_ = dealt.repartition("mask", "key").sortWithinPartitions("mask", "key")
-    return sorted_.mapInArrow(_search(radius, forest), "a long, b long").distinct()
+    return _sharded(prints, radius).mapInArrow(_search(_stars(radius), forest), "a long, b long").distinct()
+
+
+def close_fingerprints(prints: DataFrame, radius: int = RADIUS, forest: int = FOREST) -> DataFrame:
+    """prints: distinct fp, with the low and high label of its rows. All pairs (a, b) at most ``radius`` bits apart, but
+    those whose rows have one label."""
+    return _sharded(prints.select("fp", "low", "high"), radius).mapInArrow(_search(_close(radius), forest), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = WORDS, radius: int = RADIUS) -> DataFrame:
@@ -339,7 +369,7 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     """(row, doc, mark, first_doc, first_mark): the least document of each one's group of near duplicates.
 
     Documents are near duplicates where their sets of ``width``-word shingles have a Jaccard similarity of at least
-    ``similarity``; groups are connected components. Candidates are pairs whose SimHash fingerprints a BK-tree links
+    ``similarity``; groups are connected components. Candidates are all pairs whose SimHash fingerprints a BK-tree finds
     within ``radius`` bits, or that share the fingerprint of a class of shingles (see ``_classes``); links are confirmed on
     the whole sets. In a group of candidates each row first meets its neighbour and the group's hub, the row whose
     keys most rows share; rows of groups that this leaves in several parts go through an exact join. Equal sets are one node. ``doc`` is the id (nulls last), ``mark`` tells texts of one id apart.
@@ -375,7 +405,7 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     noded = settle(labelled(labels), "labelled")
     large = shared.filter("size > 3")
     unlike = large.join(noded.select("doc", "mark", "label"), ["doc", "mark"]).groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-    close = link_fingerprints(noded.select("fp").distinct(), radius)
+    close = close_fingerprints(noded.groupBy("fp").agg(F.min("label").alias("low"), F.max("label").alias("high")), radius)
     linked = noded.join(close.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp", "left_semi")
     rest = settle(large.join(unlike, "key", "left_semi").select("doc", "mark").union(linked.select("doc", "mark")).distinct(), "rest")
     sets = settle(sets_of(rest).join(noded.select("doc", "mark", "label"), ["doc", "mark"]), "rest-sets")

@@ -100,3 +100,13 @@ def test_prefix_join_misses_no_pair(spark):
     want = {(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if near(sets[i], sets[j])}
     assert want <= got and len(want) > 20
     assert all(a < b for a, b in got)
+
+
+def test_close_fingerprints_are_all_true_pairs(spark):
+    """A star per shard would give 1-0 and 3-0 and lose 1-3; pairs of one label are settled."""
+    prints = [(0, 10, 10), (0b111, 11, 11), (0b111111, 12, 12), (0b111 << 40, 10, 10), (1 << 50, 10, 13)]
+    frame = spark.createDataFrame(prints, "fp long, low long, high long")
+    got = {(r.a, r.b) for r in simhash.close_fingerprints(frame, 3).collect()}
+    near = lambda i, j: (prints[i][0] ^ prints[j][0]).bit_count() <= 3 and not prints[i][1:] == prints[j][1:] == (10, 10)
+    want = {(min(prints[i][0], prints[j][0]), max(prints[i][0], prints[j][0])) for i, j in itertools.combinations(range(5), 2) if near(i, j)}
+    assert got == want and want
