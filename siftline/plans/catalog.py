@@ -566,10 +566,7 @@ def hier_clusters(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def local_alignment(spark: SparkSession, sf: str) -> DataFrame:
-    rows = load(spark, sf, "benchmark")
-    a, b = rows.filter("item_id % 4 = 0").select(F.col("item_id").alias("i"), F.col("text").alias("x")), rows.filter("item_id % 4 = 1").select(F.col("item_id").alias("j"), F.col("text").alias("y"))
-    met = a.join(b, F.col("i") < F.col("j"))
-    return _rounded(models.alignment_identity(met, "x", "y").drop("x", "y"))
+    return _rounded(models.all_alignments(load(spark, sf, "benchmark"), "item_id", "text"))
 
 
 def coefficient_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
