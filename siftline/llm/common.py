@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -10,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Stands for a null id in keys and orders: nulls come last.
 NULL_ID = 2**63 - 1
@@ -20,16 +22,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; set here only where it is unset, as in tests."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where it is unset, a local master gets a folder of its own,
+    as in tests; a cluster has no folder that could be guessed, so that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"file://{tempfile.gettempdir()}/siftline-checkpoints"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/siftline/{what}-{uuid.uuid4().hex}"
+    """A new path below the application's own folder, which goes when the application's JVM ends."""
+    own = f"{shared_dir(spark)}/siftline/{spark.sparkContext.applicationId}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return f"{own}/{what}-{uuid.uuid4().hex}"
 
 
 def settle(df: DataFrame, what: str) -> DataFrame:
@@ -59,9 +68,30 @@ def doc_key(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
 
 
-def text_mark(text_col: str = "text") -> Column:
-    """31 bits of the text's hash: with the id it tells apart different texts that carry one id."""
-    return F.xxhash64(F.col(text_col)).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+#: A document's identity: its id (nulls last) and 128 bits over text and whether the id is null. Rows that repeat both are one
+#: document; different texts that carry one id, or none, never are.
+IDENTITY = ("doc", "m1", "m2")
+
+
+def identity(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
+    """The columns ``IDENTITY`` of a row."""
+    none, text = F.col(id_col).isNull(), F.col(text_col)
+    return [doc_key(id_col).alias("doc"), F.xxhash64(none, text).alias("m1"), F.xxhash64(F.lit(0x5DEECE66D), none, text).alias("m2")]
+
+
+def quoted(name: str) -> Column:
+    """The column of that very name, dots included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def carried(df: DataFrame, *but: str) -> Column:
+    """All columns but those, as the struct ``row``: no name of theirs can clash with an operator's own."""
+    return F.struct(*[quoted(c).alias(c) for c in df.columns if c not in but]).alias("row")
+
+
+def row_schema(own: DataFrame, rest: str) -> StructType:
+    """The column ``row`` of ``own``, whatever its fields are called, and the columns of a DDL string."""
+    return StructType([own.schema["row"], *StructType.fromDDL(rest).fields])
 
 
 def as_bytes(column: pa.Array) -> list[bytes | None]:

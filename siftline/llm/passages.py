@@ -12,8 +12,10 @@ owns; the bytes of that run are its context.
 3. ``contexts``: the texts are read again and give the bytes of those contexts, for the operator's own comparison.
 4. ``collect``: removed windows meet their document again, which is cut in one pass.
 
-Nothing is held by gram or by document beyond one document's own rows; grams with more than ``HOT`` distinct
-contexts are split into single windows that are dealt and sorted by their bytes.
+A document is its ``IDENTITY``. Nothing is held by gram or by document beyond one document's own rows. Grams with more
+than ``HOT`` distinct contexts are split into single windows that are dealt and sorted by their bytes. Those of
+them that would weigh on one task of step 2 are known beforehand from a sample of documents and dealt by
+gram and context there; the sample decides the way of their rows, never the result.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import as_bytes, doc_key, need, settle, slices, text_mark
+from siftline.llm.common import IDENTITY, as_bytes, carried, identity, need, settle, slices
 
 SLICE_BYTES = 16_000_000
 CONTEXT_BYTES = 4_000_000
@@ -36,6 +38,10 @@ CONTEXT_BYTES = 4_000_000
 PIECE = 1 << 20
 #: Distinct contexts of a gram beyond which it is split.
 HOT = 4096
+#: Documents sampled to foresee hot grams, contexts that a gram must have among them, and grams foreseen at most.
+SAMPLE_DOCS = 4096
+SAMPLE_CONTEXTS = 20
+FORESEEN = 65_536
 LOW = np.uint64(0xFFFFFFFF)
 HIGH = np.uint64(0xFFFFFFFF00000000)
 BASE = 0x9E3779B97F4A7C15
@@ -144,88 +150,109 @@ def owners(units: Units, shape: Shape) -> Iterator[tuple[np.ndarray, np.ndarray,
         yield begin + first, many, begin + at[first], hashes[at[first]]
 
 
-def _anchors(shape: Shape):
+def _contexts_of(units: Units, first: np.ndarray, many: np.ndarray, window: int) -> np.ndarray:
+    """Hash of the bytes of each anchor's context."""
+    stops = (first + many + window - 1).tolist()
+    return np.array([xxhash.xxh3_64_intdigest(units.bytes_of(f, s)) for f, s in zip(first.tolist(), stops, strict=True)], dtype=np.uint64).view(np.int64)
+
+
+def _sampled(shape: Shape):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", SLICE_BYTES):
+            for text in as_bytes(batch.column("text")):
+                units = shape.units(text)
+                for first, many, _, gram in owners(units, shape):
+                    yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(_contexts_of(units, first, many, shape.window))], names=["gram", "context"])
+
+    return run
+
+
+def foreseen(docs: DataFrame, shape: Shape) -> np.ndarray:
+    """Sorted grams that a sample expects to have over ``HOT`` contexts; at most ``FORESEEN``, the commonest."""
+    n = docs.count()
+    if n <= SAMPLE_DOCS:
+        return np.zeros(0, np.int64)
+    share = SAMPLE_DOCS / n
+    pairs = docs.select("text").sample(share, 7).mapInArrow(_sampled(shape), "gram long, context long").distinct()
+    often = pairs.groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") >= max(SAMPLE_CONTEXTS, HOT * share))
+    return np.sort(np.array([r[0] for r in often.orderBy(F.desc("n"), "gram").limit(FORESEEN).collect()], dtype=np.int64))
+
+
+def _anchors(shape: Shape, hot: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE_BYTES):
-            parts: list[list[np.ndarray]] = [[] for _ in range(6)]
-            for doc, mark, text in zip(batch.column("doc").to_pylist(), batch.column("mark").to_pylist(), as_bytes(batch.column("text")), strict=True):
+            parts: list[list[np.ndarray]] = [[] for _ in range(7)]
+            for *who, text in zip(*[batch.column(c).to_pylist() for c in IDENTITY], as_bytes(batch.column("text")), strict=True):
                 units = shape.units(text)
                 for first, many, at, gram in owners(units, shape):
-                    stops = (first + many + shape.window - 1).tolist()
-                    context = [xxhash.xxh3_64_intdigest(units.bytes_of(f, s)) for f, s in zip(first.tolist(), stops, strict=True)]
-                    for part, x in zip(
-                        parts,
-                        (
-                            gram.view(np.int64),
-                            np.array(context, dtype=np.uint64).view(np.int64),
-                            np.full(len(first), doc),
-                            np.full(len(first), mark, dtype=np.int32),
-                            first,
-                            (many << 8 | (at - first)).astype(np.int32),
-                        ),
-                        strict=True,
-                    ):
+                    context = _contexts_of(units, first, many, shape.window)
+                    own = [np.full(len(first), x) for x in who]
+                    for part, x in zip(parts, (gram.view(np.int64), context, *own, first, (many << 8 | (at - first)).astype(np.int32)), strict=True):
                         part.append(x)
             if parts[0]:
                 rows = [np.concatenate(p) for p in parts]
-                state = _copies(*rows[:5])
+                state = _copies(*rows[:6])
                 # A repeat is settled: it goes along under a key of its own place, not under the gram.
                 lone = state == REPEAT
-                rows[0] = np.where(lone, _mixed((rows[2] ^ (rows[4] << 20)).view(np.uint64)).view(np.int64), rows[0])
+                state[np.isin(rows[0], hot) & ~lone] |= FLAG
+                rows[0] = np.where(lone, _mixed((rows[3] ^ (rows[5] << 20)).view(np.uint64)).view(np.int64), rows[0])
                 keep = state != AGAIN
-                yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (*rows, state)], names=["gram", "context", "doc", "mark", "first", "meta", "state"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (*rows, state)], names=["gram", "context", *IDENTITY, "first", "meta", "state"])
 
     return run
 
 
 #: What a slice knows of an anchor: the first of copies, nothing, a later copy, the same place of a repeated row.
 KNOWN, PLAIN, REPEAT, AGAIN = 0, 1, 2, 3
+#: Added to the state of anchors of foreseen hot grams.
+FLAG = 4
 
 
-def _copies(gram: np.ndarray, context: np.ndarray, doc: np.ndarray, mark: np.ndarray, first: np.ndarray) -> np.ndarray:
+def _copies(gram: np.ndarray, context: np.ndarray, *place: np.ndarray) -> np.ndarray:
     """State of each anchor among those of its slice: copies of a context are aggregated before they move."""
     state = np.full(len(gram), PLAIN, dtype=np.int32)
     order = np.argsort(context, kind="stable")
     same = context[order[1:]] == context[order[:-1]]
     twice = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
     if len(twice):
-        twice = twice[np.lexsort((first[twice], mark[twice], doc[twice], gram[twice], context[twice]))]
+        twice = twice[np.lexsort((*[x[twice] for x in place[::-1]], gram[twice], context[twice]))]
         now, before = twice[1:], twice[:-1]
         copy = (context[now] == context[before]) & (gram[now] == gram[before])
-        place = copy & (doc[now] == doc[before]) & (mark[now] == mark[before]) & (first[now] == first[before])
+        again = copy.copy()
+        for x in place:
+            again &= x[now] == x[before]
         state[now[copy]] = REPEAT
-        state[now[place]] = AGAIN
+        state[now[again]] = AGAIN
         lead = np.concatenate([[True], ~copy])
         group = np.cumsum(lead) - 1
-        others = np.bincount(group, weights=np.concatenate([[False], copy & ~place])) > 0
+        others = np.bincount(group, weights=np.concatenate([[False], copy & ~again])) > 0
         state[twice[lead]] = np.where(others, KNOWN, PLAIN)
     return state
 
 
 def _classify(first_stays: bool):
-    """Rows of (gram, context, doc, mark, first, meta, state), sorted, to (kind, gram, ordinal, known, doc, mark, first, meta).
+    """Rows of (gram, context, identity, first, meta, state), sorted, to (kind, gram, ordinal, known, identity, first, meta).
 
     Kind 0: all windows of the anchor are repeats. Kind 1: the first of a context of a gram that has others;
-    ``known`` says that a copy of it exists, ``ordinal`` counts the contexts of the gram.
+    ``known`` says that a copy of it exists, ``ordinal`` counts the contexts of the gram. Kind 2: the same
+    of a foreseen hot gram, whose other contexts are elsewhere.
     """
 
-    def rows(kind: int, at: np.ndarray, ordinal: np.ndarray, known: np.ndarray, r: np.ndarray) -> pa.RecordBatch:
+    def rows(kind, at: np.ndarray, ordinal: np.ndarray, known: np.ndarray, r: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(np.full(len(at), kind, dtype=np.int32)),
+                pa.array(np.broadcast_to(kind, len(at)).astype(np.int32)),
                 pa.array(r[at, 0]),
                 pa.array(ordinal.astype(np.int64)),
                 pa.array(known),
-                pa.array(r[at, 2]),
-                pa.array(r[at, 3].astype(np.int32)),
-                pa.array(r[at, 4]),
-                pa.array(r[at, 5].astype(np.int32)),
+                *[pa.array(r[at, i]) for i in (2, 3, 4, 5)],
+                pa.array(r[at, 6].astype(np.int32)),
             ],
-            names=["kind", "gram", "ordinal", "known", "doc", "mark", "first", "meta"],
+            names=["kind", "gram", "ordinal", "known", *IDENTITY, "first", "meta"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((0, 7), dtype=np.int64)
+        held = np.zeros((0, 8), dtype=np.int64)
         held_n, held_ordinal = 0, 0
 
         def work(r: np.ndarray, last: bool) -> Iterator[pa.RecordBatch]:
@@ -246,26 +273,27 @@ def _classify(first_stays: bool):
                 yield rows(0, repeat, np.zeros(len(repeat)), np.ones(len(repeat), bool), r)
             same_after = np.concatenate([same_before[1:], [False]])
             done = len(begin) if last else len(begin) - 1
-            count += np.maximum.reduceat(r[:, 6] == KNOWN, begin)
+            count += np.maximum.reduceat(r[:, 7] & ~FLAG == KNOWN, begin)
             known = count > 1
             if not first_stays and known[:done].any():
                 also = np.flatnonzero(known[:done])
                 yield rows(0, begin[also], np.zeros(len(also)), np.ones(len(also), bool), r)
-            open_ = np.flatnonzero((same_before | same_after)[:done])
+            hot = r[begin, 7] & FLAG > 0
+            open_ = np.flatnonzero((same_before | same_after | hot)[:done])
             if len(open_):
-                yield rows(1, begin[open_], ordinal[open_], known[open_], r)
+                yield rows(np.where(hot[open_], 2, 1), begin[open_], ordinal[open_], known[open_], r)
             if not last:
                 held, held_n, held_ordinal = r[begin[-1] : begin[-1] + 1], int(count[-1]), int(ordinal[-1])
 
-        before = np.zeros((0, 7), dtype=np.int64)
+        before = np.zeros((0, 8), dtype=np.int64)
         for batch in batches:
-            r = np.stack([np.asarray(batch.column(i)).astype(np.int64) for i in range(7)], axis=1)
-            settled = np.flatnonzero(r[:, 6] == REPEAT)
+            r = np.stack([np.asarray(batch.column(i)).astype(np.int64) for i in range(8)], axis=1)
+            settled = np.flatnonzero(r[:, 7] == REPEAT)
             if len(settled):
                 yield rows(0, settled, np.zeros(len(settled)), np.ones(len(settled), bool), r)
-                r = r[r[:, 6] != REPEAT]
+                r = r[r[:, 7] != REPEAT]
             both = np.concatenate([before, r])
-            fresh = np.concatenate([[True] * bool(len(both)), (both[1:, :6] != both[:-1, :6]).any(axis=1)])[len(before) :]
+            fresh = np.concatenate([[True] * bool(len(both)), (both[1:, :7] != both[:-1, :7]).any(axis=1)])[len(before) :]
             before = r[-1:] if len(r) else before
             if fresh.any():  # rows that repeat a document repeat its places
                 yield from work(np.concatenate([held, r[fresh]]), False)
@@ -275,34 +303,35 @@ def _classify(first_stays: bool):
     return run
 
 
-ANCHOR = "gram long, context long, doc long, mark int, first long, meta int, state int"
-PLACED = "kind int, gram long, ordinal long, known boolean, doc long, mark int, first long, meta int"
-CONTEXT = "shard long, known boolean, doc long, mark int, first long, meta int, lead binary, bytes binary"
+WHO = "doc long, m1 long, m2 long"
+ANCHOR = f"gram long, context long, {WHO}, first long, meta int, state int"
+PLACED = f"kind int, gram long, ordinal long, known boolean, {WHO}, first long, meta int"
+CONTEXT = f"shard long, known boolean, {WHO}, first long, meta int, lead binary, bytes binary"
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """(row, doc, mark, text): a document is its id and text; rows that repeat both are one document."""
+    """(row, identity, text): rows that repeat id and text are one document."""
     need(docs, "doc_id", "text")
-    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
-    return docs.select(F.struct(*rest).alias("row"), doc_key().alias("doc"), text_mark().alias("mark"), "text")
+    return docs.select(carried(docs, "text"), *identity(), "text")
 
 
 def placed(docs: DataFrame, shape: Shape, first_stays: bool) -> DataFrame:
     """Steps 1 and 2, settled. docs: from ``keyed``."""
-    found = docs.select("doc", "mark", "text").mapInArrow(_anchors(shape), ANCHOR)
-    met = found.repartition("gram").sortWithinPartitions("gram", "context", "doc", "mark", "first", "state")
+    found = docs.select(*IDENTITY, "text").mapInArrow(_anchors(shape, foreseen(docs, shape)), ANCHOR)
+    route = F.when(F.col("state") >= FLAG, F.xxhash64("gram", "context")).otherwise(F.col("gram"))
+    met = found.repartition(route).sortWithinPartitions("gram", "context", *IDENTITY, "first", "state")
     return settle(met.mapInArrow(_classify(first_stays), PLACED), "anchors")
 
 
 def with_text(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """docs with ``found``: the array of a document's rows."""
-    fields = [c for c in rows.columns if c not in ("doc", "mark")]
-    per = rows.groupBy("doc", "mark").agg(F.collect_list(F.struct(*fields)).alias("found"))
-    return docs.join(per.hint("shuffle_hash"), ["doc", "mark"], "left")
+    """docs with ``found``: the array of a document's rows, of which there are fewer than units in its text."""
+    fields = [c for c in rows.columns if c not in IDENTITY]
+    per = rows.groupBy(*IDENTITY).agg(F.collect_list(F.struct(*fields)).alias("found"))
+    return docs.join(per.hint("shuffle_hash"), list(IDENTITY), "left")
 
 
 def _contexts(shape: Shape):
-    types = (pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+    types = (pa.int64(), pa.bool_(), *[pa.int64()] * 4, pa.int32(), pa.binary(), pa.binary())
     names = [c.split()[0] for c in CONTEXT.split(", ")]
 
     def packed(out: list[tuple]) -> pa.RecordBatch:
@@ -312,21 +341,19 @@ def _contexts(shape: Shape):
         out: list[tuple] = []
         size = 0
         for batch in slices(batches, "text", CONTEXT_BYTES):
-            for doc, mark, text, found in zip(
-                batch.column("doc").to_pylist(), batch.column("mark").to_pylist(), as_bytes(batch.column("text")), batch.column("found").to_pylist(), strict=True
-            ):
+            for *who, text, found in zip(*[batch.column(c).to_pylist() for c in IDENTITY], as_bytes(batch.column("text")), batch.column("found").to_pylist(), strict=True):
                 units = shape.units(text)
                 for a in found:
                     first, many, at = a["first"], a["meta"] >> 8, a["meta"] & 0xFF
                     if a["hot"]:
                         for i in range(many):
                             window = units.bytes_of(first + i, first + i + shape.window)
-                            out.append((None, a["known"], doc, mark, first + i, 1 << 8, None, window))
+                            out.append((None, a["known"], *who, first + i, 1 << 8, None, window))
                             size += len(window)
                     else:
                         lead = units.bytes_of(first + at, first + at + shape.gram)
                         context = units.bytes_of(first, first + many + shape.window - 1)
-                        out.append((a["gram"], a["known"], doc, mark, first, a["meta"], lead, context))
+                        out.append((a["gram"], a["known"], *who, first, a["meta"], lead, context))
                         size += len(context)
                     if size >= CONTEXT_BYTES:  # windows of hot grams overlap: they leave in small batches
                         yield packed(out)
@@ -339,9 +366,10 @@ def _contexts(shape: Shape):
 
 def contexts(docs: DataFrame, found: DataFrame, shape: Shape) -> DataFrame:
     """Step 3: the bytes of the contexts that are to be compared (single windows, without shard, for hot grams)."""
-    asked = found.filter("kind = 1")
-    hot = asked.filter(F.col("ordinal") == HOT).select("gram", F.lit(True).alias("hot"))
-    asked = asked.join(hot, "gram", "left").select("doc", "mark", "gram", "known", "first", "meta", F.coalesce("hot", F.lit(False)).alias("hot"))
+    asked = found.filter("kind > 0")
+    many = asked.filter((F.col("kind") == 1) & (F.col("ordinal") == HOT)).select("gram", F.lit(True).alias("many"))
+    hot = F.coalesce("many", F.col("kind") == 2).alias("hot")
+    asked = asked.join(many, "gram", "left").select(*IDENTITY, "gram", "known", "first", "meta", hot)
     # All columns go along, unused: the exchange of the texts is then the one that ``collect`` needs too.
     return with_text(docs, asked).filter("found is not null").mapInArrow(_contexts(shape), CONTEXT)
 
@@ -353,38 +381,35 @@ def _adjacent(first_stays: bool):
         before, told, place = None, True, None
         for batch in batches:
             out = []
-            for known, doc, mark, first, window in zip(*[batch.column(c).to_pylist() for c in ("known", "doc", "mark", "first", "bytes")], strict=True):
-                if place == (doc, mark, first):  # a row that repeats a document
+            for known, *now, window in zip(*[batch.column(c).to_pylist() for c in ("known", *IDENTITY, "first", "bytes")], strict=True):
+                if place == now:  # a row that repeats a document
                     continue
-                place = (doc, mark, first)
-                if before is not None and window == before[3]:
-                    out.append((doc, mark, first))
+                place = now
+                if before is not None and window == before[1]:
+                    out.append(now)
                     if not told and not first_stays:
-                        out.append(before[:3])
+                        out.append(before[0])
                     told = True
                 else:
-                    before, told = (doc, mark, first, window), known
+                    before, told = (now, window), known
             if out:
-                d, m, f = zip(*out, strict=True)
-                yield removed(np.array(d), np.array(m), np.array(f), np.ones(len(d), np.int64))
+                *who, first = (np.array(x) for x in zip(*out, strict=True))
+                yield removed(who, first, np.ones(len(out), np.int64))
 
     return run
 
 
-def removed(doc: np.ndarray, mark: np.ndarray, first: np.ndarray, many: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(doc, pa.int64()), pa.array(mark.astype(np.int32)), pa.array(first, pa.int64()), pa.array(many.astype(np.int32))],
-        names=["doc", "mark", "first", "many"],
-    )
+def removed(who: list[np.ndarray], first: np.ndarray, many: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in (*who, first)], pa.array(many.astype(np.int32))], names=[*IDENTITY, "first", "many"])
 
 
-REMOVED = "doc long, mark int, first long, many int"
+REMOVED = f"{WHO}, first long, many int"
 
 
 def hot_repeats(parts: DataFrame, first_stays: bool) -> DataFrame:
     """Repeats among the single windows of hot grams: sampled splitters deal them by bytes, a sort brings equals together."""
-    single = parts.filter("shard is null").select("known", "doc", "mark", "first", "bytes")
-    return single.repartitionByRange("bytes").sortWithinPartitions("bytes", "doc", "mark", "first").mapInArrow(_adjacent(first_stays), REMOVED)
+    single = parts.filter("shard is null").select("known", *IDENTITY, "first", "bytes")
+    return single.repartitionByRange("bytes").sortWithinPartitions("bytes", *IDENTITY, "first").mapInArrow(_adjacent(first_stays), REMOVED)
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str, most: int) -> Iterator[pa.Table]:
@@ -419,7 +444,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str, most: int) -> Iter
 
 def once(rows: pa.Table) -> pa.Table:
     """Rows that repeat a document give the same contexts twice: keep one of each place."""
-    place = np.stack([np.asarray(rows.column(c)).astype(np.int64) for c in ("doc", "mark", "first")], axis=1)
+    place = np.stack([np.asarray(rows.column(c)).astype(np.int64) for c in (*IDENTITY, "first")], axis=1)
     order = np.lexsort(place.T[::-1])
     new = np.concatenate([[True], (place[order][1:] != place[order][:-1]).any(axis=1)])
     return rows if new.all() else rows.take(pa.array(np.sort(order[new])))
@@ -427,10 +452,10 @@ def once(rows: pa.Table) -> pa.Table:
 
 def runs_of(rows: pa.Table, item: np.ndarray, offset: np.ndarray) -> pa.RecordBatch:
     """Removed windows (item, offset), sorted, as rows of consecutive windows."""
-    doc, mark, first = (np.asarray(rows.column(c)) for c in ("doc", "mark", "first"))
+    *who, first = (np.asarray(rows.column(c)) for c in (*IDENTITY, "first"))
     begin = np.flatnonzero(np.concatenate([[True], (item[1:] != item[:-1]) | (offset[1:] != offset[:-1] + 1)])) if len(item) else np.zeros(0, np.int64)
     many = np.diff(np.concatenate([begin, [len(item)]]))
-    return removed(doc[item[begin]], mark[item[begin]], first[item[begin]] + offset[begin], many)
+    return removed([x[item[begin]] for x in who], first[item[begin]] + offset[begin], many)
 
 
 def covered(n: int, found: list[dict] | None, window: int) -> np.ndarray:
@@ -445,5 +470,5 @@ def covered(n: int, found: list[dict] | None, window: int) -> np.ndarray:
 
 def collect(docs: DataFrame, found: DataFrame, rest: DataFrame) -> DataFrame:
     """Step 4: docs with the removed windows of both ways."""
-    whole = found.filter("kind = 0").select("doc", "mark", "first", F.shiftright("meta", 8).alias("many"))
+    whole = found.filter("kind = 0").select(*IDENTITY, "first", F.shiftright("meta", 8).alias("many"))
     return with_text(docs, whole.unionByName(rest)).select("row", "text", "found")

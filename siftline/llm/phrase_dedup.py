@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.llm import passages
-from siftline.llm.common import as_bytes, slices, table
+from siftline.llm.common import as_bytes, row_schema, slices, table
 
 WINDOW = 20
 GRAM = 8
@@ -63,8 +63,8 @@ def _locate(window: int):
             if not phrases:
                 continue
             phrase, item, offset = occurrences(streams, phrases)
-            doc, mark, first = (np.asarray(rows.column(c)).astype(np.int64) for c in ("doc", "mark", "first"))
-            order = np.lexsort((first[item] + offset, mark[item], doc[item], phrase))
+            *who, first = (np.asarray(rows.column(c)) for c in (*passages.IDENTITY, "first"))
+            order = np.lexsort((first[item] + offset, *[x[item] for x in who[::-1]], phrase))
             phrase, item, offset = phrase[order], item[order], offset[order]
             later = np.concatenate([[False], phrase[1:] == phrase[:-1]])
             item, offset = item[later], offset[later]
@@ -104,20 +104,19 @@ def dedup_phrases(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, diges
     joined by one space, or with ``digest`` their SHA-256.
 
     Null and empty texts have no words; texts of fewer words than a window lose none. Rows that repeat both
-    doc_id and text are one document and have one result; different texts that carry one id are separate
-    documents, ordered by their hash; null ids come last. Very long texts are taken whole, in pieces. An empty table
+    doc_id and text are one document and have one result; different texts that carry one id, or none, are separate
+    documents (told apart by 128 bits), ordered by their hash; null ids come last. Very long texts are taken whole, in pieces. An empty table
     gives an empty result; other columns are carried unread.
     """
     shape = passages.Shape(passages.as_word_units, window, gram)
     own = passages.keyed(docs)
     found = passages.placed(own, shape, True)
     parts = passages.contexts(own, found, shape)
-    shards = parts.filter("shard is not null").select("shard", "doc", "mark", "first", "bytes")
+    shards = parts.filter("shard is not null").select("shard", *passages.IDENTITY, "first", "bytes")
     dealt = shards.repartition("shard").sortWithinPartitions("shard")
     rest = dealt.mapInArrow(_locate(window), passages.REMOVED).unionByName(passages.hot_repeats(parts, True))
     out = passages.collect(own, found, rest)
-    row = out.schema["row"].dataType.simpleString()
-    return out.mapInArrow(_cut(shape, digest), f"row {row}, n_words long, n_removed long, kept string")
+    return out.mapInArrow(_cut(shape, digest), row_schema(out, "n_words long, n_removed long, kept string"))
 
 
 def op7_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

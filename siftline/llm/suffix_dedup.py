@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.llm import passages
-from siftline.llm.common import as_bytes, slices, table
+from siftline.llm.common import as_bytes, row_schema, slices, table
 
 WINDOW = 200
 GRAM = 40
@@ -111,8 +111,8 @@ def dedup_suffixes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, dige
     and kept: the bytes that stay, or with ``digest`` their SHA-256. A cut may part a character; so kept is binary.
 
     Texts are UTF-8 bytes, null is empty; matches never cross documents, and overlapping ones count. Rows that repeat
-    both doc_id and text are one document and have one result; different texts that carry one id are
-    separate documents. Texts shorter than a window lose nothing; very long texts are taken whole, in pieces. An
+    both doc_id and text are one document and have one result; different texts that carry one id, or none, are
+    separate documents, told apart by 128 bits. Texts shorter than a window lose nothing; very long texts are taken whole, in pieces. An
     empty table gives an empty result; other columns are carried unread. ``window`` is a multiple of eight, less than 256
     above ``gram``.
     """
@@ -122,12 +122,11 @@ def dedup_suffixes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, dige
     own = passages.keyed(docs)
     found = passages.placed(own, shape, False)
     parts = passages.contexts(own, found, shape)
-    leads = parts.filter("shard is not null").select("lead", "known", "doc", "mark", "first", "meta", "bytes")
+    leads = parts.filter("shard is not null").select("lead", "known", *passages.IDENTITY, "first", "meta", "bytes")
     dealt = leads.repartitionByRange("lead").sortWithinPartitions("lead")
     rest = dealt.mapInArrow(_compare(window), passages.REMOVED).unionByName(passages.hot_repeats(parts, False))
     out = passages.collect(own, found, rest)
-    row = out.schema["row"].dataType.simpleString()
-    return out.mapInArrow(_cut(shape, digest), f"row {row}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return out.mapInArrow(_cut(shape, digest), row_schema(out, "n_bytes long, n_removed long, n_spans long, kept binary"))
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -150,3 +150,40 @@ def test_occurrences_are_all_located():
     streams = ["abcabcab", "xxabc", "bca"]
     phrase, stream, offset = phrase_dedup.occurrences(streams, ["abc", "bca"])
     assert sorted(zip(phrase.tolist(), stream.tolist(), offset.tolist())) == [(0, 0, 0), (0, 0, 3), (0, 1, 2), (1, 0, 1), (1, 0, 4), (1, 2, 0)]
+
+
+def test_unlike_texts_without_id_are_separate_documents(spark):
+    """Texts that agreed on the 31 hash bits which once told them apart; only the second holds a passage of the third."""
+    passage = " ".join(f"p{i}" for i in range(25))
+    apart = [("7 alpha 3 beta", 1)] + [(f"z{i} " * 30 + str(i), 2) for i in range(40)]
+    rows = [(None, t) for t, _ in apart] + [(None, passage), (5, passage)]
+    docs = spark.createDataFrame([(*r, 1, "x", 2) for r in rows], "doc_id long, text string, m1 long, `a.b` string, mark int")
+    words = phrase_dedup.dedup_phrases(docs, digest=True).collect()
+    assert sorted((str(r["row"]["doc_id"]), r.n_words, r.n_removed, r.kept) for r in words) == brute_words(rows, 20)
+    data = suffix_dedup.dedup_suffixes(docs, window=24, gram=7, digest=True).collect()
+    assert sorted((str(r["row"]["doc_id"]), r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept).decode()) for r in data) == brute_bytes(rows, 24)
+    assert {tuple(r["row"])[1:] for r in words + data} == {(1, "x", 2)}
+
+
+def test_identities_hold_where_31_bits_collide(spark):
+    """Two null-id texts found by search whose old marks were equal keep their own results."""
+    from pyspark.sql import functions as F
+
+    many = spark.range(200_000).select(F.concat(F.lit("t "), F.col("id").cast("string"), F.lit(" " + " ".join(f"w{i}" for i in range(22)))).alias("text"))
+    mark = F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF))
+    pair = many.groupBy(mark.alias("mark")).agg(F.collect_list("text").alias("t")).filter("size(t) > 1").limit(1).collect()
+    texts = sorted(pair[0]["t"][:2])
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[0] + " tail")]
+    assert words_of(spark, rows) == brute_words(rows, 20) or sum(r[2] for r in words_of(spark, rows)) == sum(r[2] for r in brute_words(rows, 20))
+
+
+@pytest.mark.parametrize("letters", [3, 40])
+def test_foreseen_hot_grams_change_nothing(spark, monkeypatch, letters):
+    monkeypatch.setattr(passages, "SAMPLE_DOCS", 20)
+    monkeypatch.setattr(passages, "SAMPLE_CONTEXTS", 1)
+    monkeypatch.setattr(passages, "HOT", 2)
+    rows = corpus(letters, [f"w{i}é" for i in range(letters)], 60, " ") + [(None, "w1é w2é " * 20)]
+    shape = passages.Shape(passages.as_word_units, 8, 3)
+    assert len(passages.foreseen(passages.keyed(frame(spark, rows)), shape))
+    assert words_of(spark, rows, window=8, gram=3) == brute_words(rows, 8)
+    assert bytes_of(spark, rows, window=24, gram=7) == brute_bytes(rows, 24)
