@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from siftline.llm.common import forget, settle
 
 
-def components(edges: DataFrame, kind: str = "long") -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of ``edges`` (a, b): the least node reachable.
 
     Rounds alternate large-star and small-star: each node's neighbours are linked to the least of them, first
     the larger ones, then the smaller. Rows of one node are pre-aggregated before they move; a round writes its edges
-    to the shared folder. Rounds grow with the logarithm of the largest component.
+    to the shared folder. Rounds grow with the logarithm of the largest component. Nodes are of any type that has an order.
+    The joins meet each row with one row of its node, so where a centre is hot, adaptive execution splits its rows.
     """
     spark = edges.sparkSession
     now = settle(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")

@@ -5,7 +5,8 @@ blocks: of ``radius + 2`` blocks two linked fingerprints agree on two at least,
 the shards keyed by a pair of blocks. Each shard is a BK-tree (children keyed by Hamming distance to the parent);
 a search follows only edges within the radius. Trees of all fingerprints grow with the data, so a tree isn't
 broadcast to every task: it goes, once, to the task that has the shard's queries. A shard gives at most one link
-for each of its fingerprints, to the least one it is linked with inside the shard.
+for each of its fingerprints, to the least one it is linked with inside the shard. A shard of over ``SHARD``
+fingerprints is parted again: of ``radius + 1`` blocks of the bits that its key leaves open, linked ones agree on one.
 """
 
 from __future__ import annotations
@@ -16,11 +17,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.llm.bktree import BITS, BKForest, Links
-from siftline.llm.common import as_bytes, doc_key, need, settle, slices, table, text_mark
+from siftline.llm.common import IDENTITY, as_bytes, carried, forget, identity, need, row_schema, settle, slices, table
 from siftline.llm.components import components
 
 SEED = 42
@@ -29,6 +30,9 @@ RADIUS = 2
 SLICE_BYTES = 16_000_000
 #: Fingerprints of whole shards that are built into one forest.
 FOREST = 50_000
+#: Fingerprints of a shard beyond which it is parted again (260 bytes of tree each). With the default radius a part
+#: fixes 42 of 64 bits at least, which bounds it whatever the data.
+SHARD = 200_000
 
 
 def shingle_hashes(text: bytes | None, width: int) -> np.ndarray:
@@ -67,15 +71,20 @@ def _prints(width: int):
 def fingerprints(docs: DataFrame, width: int = WORDS) -> DataFrame:
     """(row, fp): row is the struct of all columns but text."""
     need(docs, "doc_id", "text")
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), "text")
-    return own.mapInArrow(_prints(width), f"row {own.schema['row'].dataType.simpleString()}, fp long")
+    own = docs.select(carried(docs, "text"), "text")
+    return own.mapInArrow(_prints(width), row_schema(own, "fp long"))
+
+
+def _cut(open_: int, parts: int) -> list[int]:
+    """Masks that part the bits of ``open_`` into even blocks."""
+    bits = [1 << b for b in range(BITS) if open_ >> b & 1]
+    edges = np.linspace(0, len(bits), parts + 1).astype(int).tolist()
+    return [sum(bits[b:e]) for b, e in zip(edges, edges[1:], strict=False)]
 
 
 def blocks(radius: int) -> list[int]:
     """Masks of the pairs of ``radius + 2`` bit blocks."""
-    edges = np.linspace(0, BITS, radius + 3).astype(int).tolist()
-    single = [((1 << (e - b)) - 1) << b for b, e in zip(edges, edges[1:], strict=False)]
-    return [a | b for a, b in combinations(single, 2)]
+    return [a | b for a, b in combinations(_cut((1 << BITS) - 1, radius + 2), 2)]
 
 
 def _signed(mask: int) -> int:
@@ -85,7 +94,7 @@ def _signed(mask: int) -> int:
 def _stars(radius: int):
     """Links (a, b): a star in each group of linked fingerprints of a shard."""
 
-    def links(prints: np.ndarray, shards: np.ndarray, _: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def links(prints: np.ndarray, shards: np.ndarray) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((prints.view(np.int64), shards))
         prints, shards = prints[order], shards[order]
         trees, union = BKForest(prints, shards), Links(len(prints))
@@ -99,29 +108,16 @@ def _stars(radius: int):
     return links
 
 
-def _close(radius: int):
-    """Links (a, b): all pairs within the radius but those whose rows have one label, low and high alike."""
-
-    def links(prints: np.ndarray, shards: np.ndarray, labels: np.ndarray) -> Iterator[pa.RecordBatch]:
-        signed = prints.view(np.int64)
-        for a, b in BKForest(prints, shards).within(radius):
-            unlike = (labels[a] != labels[b]).any(axis=1) | (labels[a, 0] != labels[a, 1])
-            a, b = signed[a[unlike]], signed[b[unlike]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    return links
-
-
 def _search(links, forest: int):
-    """Rows (mask, key, fp, labels) sorted by shard in, links (a, b) of whole shards out."""
+    """Rows (mask, key, fp) sorted by shard in, links (a, b) of whole shards out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        size = 0
+        size, enough = 0, forest
         for batch in batches:
             held.append(np.stack([np.asarray(c) for c in batch.columns], axis=1).astype(np.int64))
             size += batch.num_rows
-            if size < forest:
+            if size < enough:
                 continue
             rows = np.concatenate(held)
             new = np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])
@@ -129,37 +125,46 @@ def _search(links, forest: int):
             if cut:
                 yield from links(*_shared(rows[:cut]))
             held, size = [rows[cut:]], len(rows) - cut
+            enough = max(forest, 2 * size)  # a large shard is not looked through again for every batch
         if size:
             yield from links(*_shared(np.concatenate(held)))
 
     return run
 
 
-def _shared(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Fingerprints, shard numbers and labels of the shards with two fingerprints at least."""
+def _shared(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints and shard numbers of the shards with two fingerprints at least."""
     new = np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])
     shard = np.cumsum(new) - 1
     many = np.bincount(shard)[shard] > 1
-    return np.ascontiguousarray(rows[many, 2]).view(np.uint64), shard[many], rows[many, 3:]
+    return np.ascontiguousarray(rows[many, 2]).view(np.uint64), shard[many]
 
 
-def _sharded(prints: DataFrame, radius: int) -> DataFrame:
-    """(mask, key, fp, other columns) for every shard of each fingerprint, sorted by shard."""
-    more = [c for c in prints.columns if c != "fp"]
-    masks = F.array(*[F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(blocks(radius))])
-    dealt = prints.select("fp", *more, F.explode(masks).alias("s")).select(F.col("s.mask").cast("long").alias("mask"), F.col("s.key").alias("key"), "fp", *more)
-    return dealt.repartition("mask", "key").sortWithinPartitions("mask", "key")
+def _keys(masks: list[tuple[int, int]]) -> Column:
+    return F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in masks]))
 
 
-def link_fingerprints(prints: DataFrame, radius: int = RADIUS, forest: int = FOREST) -> DataFrame:
-    """prints: distinct fp. Links (a, b) that connect all fingerprints at most ``radius`` bits apart."""
-    return _sharded(prints, radius).mapInArrow(_search(_stars(radius), forest), "a long, b long").distinct()
+def _sharded(prints: DataFrame, radius: int, most: int) -> DataFrame:
+    """(mask, key, fp) for every shard of each fingerprint, sorted by shard; shards of over ``most`` rows parted again."""
+    masks = blocks(radius)
+    step = radius + 2
+    dealt = prints.select("fp", _keys([(i * step, m) for i, m in enumerate(masks)]).alias("s")).select("s.mask", "s.key", "fp")
+    large = settle(dealt.groupBy("mask", "key").agg(F.count("*").alias("n")).filter(F.col("n") > most).drop("n"), "large-shards")
+    if not large.isEmpty():
+        again = dealt.join(large, ["mask", "key"], "left_semi")
+        finer = [
+            again.filter(F.col("mask") == i * step).select("fp", _keys([(i * step + 1 + j, m | part) for j, part in enumerate(_cut(~m & ((1 << BITS) - 1), radius + 1))]).alias("s"))
+            for i, m in enumerate(masks)
+        ]
+        dealt = dealt.join(large, ["mask", "key"], "left_anti")
+        for f in finer:
+            dealt = dealt.unionByName(f.select("s.mask", "s.key", "fp"))
+    return dealt.select("mask", "key", "fp").repartition("mask", "key").sortWithinPartitions("mask", "key")
 
 
-def close_fingerprints(prints: DataFrame, radius: int = RADIUS, forest: int = FOREST) -> DataFrame:
-    """prints: distinct fp, with the low and high label of its rows. All pairs (a, b) at most ``radius`` bits apart, but
-    those whose rows have one label."""
-    return _sharded(prints.select("fp", "low", "high"), radius).mapInArrow(_search(_close(radius), forest), "a long, b long").distinct()
+def link_fingerprints(prints: DataFrame, radius: int = RADIUS, forest: int = FOREST, shard: int = SHARD) -> DataFrame:
+    """prints: distinct fp. Links (a, b) that connect all fingerprints at most ``radius`` bits apart."""
+    return _sharded(prints.select("fp"), radius, shard).mapInArrow(_search(_stars(radius), forest), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = WORDS, radius: int = RADIUS) -> DataFrame:
@@ -182,6 +187,11 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, radius: int = RADIUS) -
 #: Classes of shingles that a document is also fingerprinted by, and shingles of a class at least (below twice as many).
 SLOTS = 16
 CLASS = 3
+#: Documents sampled to learn which shingles are common, those that a shingle must be in, and shingles kept at most.
+#: The sample only decides the order in which shingles make a prefix, never the result.
+SAMPLE_DOCS = 4096
+SAMPLE_OFTEN = 3
+COMMON = 200_000
 
 
 def _classes(hashes: np.ndarray) -> list[int]:
@@ -194,7 +204,7 @@ def _classes(hashes: np.ndarray) -> list[int]:
     keys = []
     n = len(hashes)
     levels = {max(4, int(np.log2(max(x, 1) / CLASS))) for x in (n, 1.25 * n)} if n else set()
-    spread = (hashes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+    spread = _spread(hashes) >> np.uint64(32)
     for level in sorted(levels):
         slot = spread & np.uint64((1 << level) - 1)
         for c in range(SLOTS):
@@ -204,10 +214,47 @@ def _classes(hashes: np.ndarray) -> list[int]:
     return keys
 
 
-def _sketches(width: int):
+def _spread(hashes: np.ndarray) -> np.ndarray:
+    return hashes * np.uint64(0x9E3779B97F4A7C15)
+
+
+def _some_shingles(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", SLICE_BYTES // 4):
+            for text in as_bytes(batch.column("text")):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(text, width)).view(np.int64))], names=["token"])
+
+    return run
+
+
+def common_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of common shingles, and in how many sampled texts each is."""
+    n = texts.count()
+    some = texts.select("text") if n <= SAMPLE_DOCS else texts.select("text").sample(SAMPLE_DOCS / n, 7)
+    often = some.mapInArrow(_some_shingles(width), "token long").groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") >= SAMPLE_OFTEN)
+    found = often.orderBy(F.desc("n"), "token").limit(COMMON).toArrow()
+    token, many = (np.asarray(c.combine_chunks()).astype(np.int64) for c in found.columns)
+    token = token.view(np.uint64)
+    order = np.argsort(token)
+    return token[order], many[order]
+
+
+def prefix(distinct: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The shingles of a set that come first in one order of all, the rare ones first, of which two sets that reach the
+    similarity share one."""
+    token, many = common
+    often = np.zeros(len(distinct), dtype=np.int64)
+    if len(token):
+        at = np.minimum(np.searchsorted(token, distinct), len(token) - 1)
+        often = np.where(token[at] == distinct, many[at], 0)
+    n = len(distinct)
+    return distinct[np.lexsort((_spread(distinct), often))][: n - int(np.ceil(similarity * n - 1e-6)) + 1]
+
+
+def _sketches(width: int, similarity: float, common: tuple[np.ndarray, np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE_BYTES):
-            sets, prints, counts, keys = [], [], [], []
+            sets, prints, counts, keys, heads = [], [], [], [], []
             for text in as_bytes(batch.column("text")):
                 hashes = shingle_hashes(text, width)
                 prints.append(fingerprint(hashes))
@@ -215,41 +262,42 @@ def _sketches(width: int):
                 counts.append(len(distinct))
                 sets.append(xxhash.xxh3_128_digest(distinct.tobytes()))
                 keys.append(np.array(_classes(distinct), dtype=np.uint64).view(np.int64))
+                heads.append(prefix(distinct, common, similarity).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [
-                    *[batch.column(c) for c in ("row", "doc", "mark")],
+                    *[batch.column(c) for c in ("row", *IDENTITY)],
                     pa.array(sets, pa.binary()),
                     pa.array(counts, pa.int64()),
                     pa.array(np.array(prints, dtype=np.uint64).view(np.int64)),
                     pa.array([k.tolist() for k in keys], pa.list_(pa.int64())),
+                    pa.array(heads, pa.binary()),
                 ],
-                names=["row", "doc", "mark", "same", "n", "fp", "keys"],
+                names=["row", *IDENTITY, "node", "n", "fp", "keys", "head"],
             )
 
     return run
 
 
 def _pairs(similarity: float):
-    """Rows (key, n, doc, mark, hub) sorted by key and size in, candidate pairs out: each row with the one before it, with
+    """Rows (key, n, node, hub_n, hub) sorted by key and size in, candidate pairs out: each row with the one before it, with
     the first row whose size lets it reach the similarity, and with the group's hub. What these leave is for ``_prefix_pairs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, centre, before = None, None, None
         for batch in batches:
             out = []
-            for k, n, doc, mark, *hub in zip(*[batch.column(c).to_pylist() for c in ("key", "n", "doc", "mark", "hub_n", "hub_doc", "hub_mark")], strict=True):
-                now = (n, doc, mark)
+            for k, n, node, *hub in zip(*[batch.column(c).to_pylist() for c in ("key", "n", "node", "hub_n", "hub")], strict=True):
+                now = (n, node)
                 if k != key:
                     key, centre, before = k, now, now
                 elif n * similarity > centre[0]:
                     centre = now
-                for other in {centre, before, tuple(hub)}:
-                    if other[1:] != now[1:] and max(n, other[0]) * similarity <= min(n, other[0]):
-                        out.append((*min(other[1:], now[1:]), *max(other[1:], now[1:])))
+                for m, other in {centre, before, tuple(hub)}:
+                    if other != node and max(n, m) * similarity <= min(n, m):
+                        out.append((min(other, node), max(other, node)))
                 before = now
             if out:
-                types = (pa.int64(), pa.int32(), pa.int64(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["a", "am", "b", "bm"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], names=["a", "b"])
 
     return run
 
@@ -258,7 +306,7 @@ def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE_BYTES // 4):
             sets = [np.unique(shingle_hashes(t, width)).tobytes() for t in as_bytes(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("mark"), pa.array(sets, pa.binary())], names=["doc", "mark", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], names=["node", "set"])
 
     return run
 
@@ -279,19 +327,23 @@ def _confirm(similarity: float):
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) of nodes, for the pairs (a, am, b, bm) whose sets reach the similarity."""
-    one = sets.select(F.col("doc").alias("a"), F.col("mark").alias("am"), F.col("set").alias("x"))
-    two = sets.select(F.col("doc").alias("b"), F.col("mark").alias("bm"), F.col("set").alias("y"))
-    met = pairs.join(one, ["a", "am"]).join(two, ["b", "bm"]).select(F.xxhash64("a", "am").alias("u"), F.xxhash64("b", "bm").alias("v"), "x", "y")
-    return met.mapInArrow(_confirm(similarity), "a long, b long")
+    """Links (a, b) of nodes, for the pairs (a, b) of short names whose sets (short, node, set) reach the similarity. Nodes
+    that share a short name are all compared."""
+    one = sets.select(F.col("short").alias("a"), F.col("node").alias("u"), F.col("set").alias("x"))
+    two = sets.select(F.col("short").alias("b"), F.col("node").alias("v"), F.col("set").alias("y"))
+    met = pairs.join(one, "a").join(two, "b").filter("u <> v").select("u", "v", "x", "y")
+    return met.mapInArrow(_confirm(similarity), "a binary, b binary")
 
 
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "set", SLICE_BYTES // 8):
-        sets = [np.frombuffer(x, dtype=np.int64) for x in batch.column("set").to_pylist()]
-        n = np.array([len(x) for x in sets], dtype=np.int64)
-        of = pa.array(np.repeat(np.arange(len(sets)), n))
-        yield pa.RecordBatch.from_arrays([*[batch.column(c).take(of) for c in ("doc", "mark", "label")], pa.array(np.repeat(n, n)), pa.array(np.concatenate(sets))], names=["doc", "mark", "label", "n", "token"])
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (short, label, n, head) in, (token, short, label, size) out: size is n and the token's place from 1, packed."""
+    for batch in slices(batches, "head", SLICE_BYTES // 8):
+        heads = [np.frombuffer(x, dtype=np.int64) for x in batch.column("head").to_pylist()]
+        many = np.array([len(x) for x in heads], dtype=np.int64)
+        of = pa.array(np.repeat(np.arange(len(heads)), many))
+        place = np.arange(1, many.sum() + 1) - np.repeat(np.cumsum(many) - many, many)
+        size = np.repeat(np.asarray(batch.column("n")).astype(np.int64), many) << 32 | place
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads)), *[batch.column(c).take(of) for c in ("short", "label")], pa.array(size)], names=["token", "short", "label", "size"])
 
 
 def _meet(similarity: float):
@@ -300,14 +352,14 @@ def _meet(similarity: float):
     def pairs(rows: np.ndarray) -> np.ndarray:
         lo, hi = rows[0, 1:3]
         x, y = (rows, rows) if lo == hi else (rows[rows[:, 3] == lo], rows[rows[:, 3] == hi])
-        n, m, p, q = x[:, None, 4], y[None, :, 4], x[:, None, 5], y[None, :, 5]
+        n, p = x[:, None, 4] >> 32, x[:, None, 4] & 0xFFFFFFFF
+        m, q = y[None, :, 4] >> 32, y[None, :, 4] & 0xFFFFFFFF
         # At the first token two sets share, at most the rest of the shorter tail is common.
         most = 1 + np.minimum(n - p, m - q)
-        can = (x[:, None, 6] != y[None, :, 6]) & (most + 1e-6 >= similarity * (n + m - most))
+        can = (x[:, None, 5] != y[None, :, 5]) & (most + 1e-6 >= similarity * (n + m - most))
         i, j = np.nonzero(np.triu(can, 1) if lo == hi else can)
-        a, b = x[i, 7:], y[j, 7:]
-        turned = (a[:, 0] > b[:, 0]) | ((a[:, 0] == b[:, 0]) & (a[:, 1] > b[:, 1]))
-        return np.where(turned[:, None], np.hstack([b, a]), np.hstack([a, b]))
+        both = np.stack([x[i, 6], y[j, 6]], axis=1)
+        return np.unique(np.sort(both, axis=1), axis=0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -323,10 +375,10 @@ def _meet(similarity: float):
                 yield batch_of(held)
 
         def batch_of(held: list[np.ndarray]) -> pa.RecordBatch:
-            rows = np.concatenate(held)
-            return pa.RecordBatch.from_arrays([pa.array(rows[:, i], pa.int64()).cast(t) for i, t in enumerate((pa.int64(), pa.int32()) * 2)], names=["a", "am", "b", "bm"])
+            rows = np.unique(np.concatenate(held), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], names=["a", "b"])
 
-        rest = np.zeros((0, 9), dtype=np.int64)
+        rest = np.zeros((0, 7), dtype=np.int64)
         for batch in batches:
             rows = np.concatenate([rest, np.stack([np.asarray(c).astype(np.int64) for c in batch.columns], axis=1)])
             if len(rows):
@@ -345,76 +397,87 @@ def _meet(similarity: float):
 BLOCK = 256
 
 
-def _prefix_pairs(sets: DataFrame, similarity: float) -> DataFrame:
-    """Distinct pairs (a, am, b, bm) of unlike labels, among them all that reach the similarity: an exact prefix join.
+def _prefix_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs (a, b) of short names of unlike labels, among them all that reach the similarity: an exact prefix join.
 
-    sets: doc, mark, label, set. With shingles in one order, the rarest first, two sets that reach the similarity share one
-    of the first n - ceil(similarity * n) + 1 of each. Sets of a shingle are dealt to blocks and every two blocks meet in
+    nodes: short, label, n, head (see ``prefix``). Sets of a shingle are dealt to blocks and every two blocks meet in
     a cell of their own, so no task holds a whole shingle. Shingles of one label only are left out.
     """
-    tokens = sets.mapInArrow(_tokens, "doc long, mark int, label long, n long, token long")
-    often = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    own = Window.partitionBy("doc", "mark")
-    place = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "token"))  # behind the shingles of one set
-    met = tokens.join(often, "token").withColumn("p", place.cast("long"))
-    head = settle(met.filter(F.col("p") <= F.col("n") - F.ceil(similarity * F.col("n") - 1e-6) + 1).drop("df"), "prefixes")
-    held = head.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).alias("k"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-    dealt = head.join(held.select("token", "k"), "token").withColumn("block", F.pmod(F.xxhash64("doc", "mark"), "k"))
+    heads = nodes.select("short", "label", "n", "head").mapInArrow(_heads, "token long, short long, label long, size long")
+    held = heads.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).alias("k"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+    dealt = heads.join(held.select("token", "k"), "token").withColumn("block", F.pmod(F.xxhash64("short"), "k"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
-    cells = dealt.select("token", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "n", "p", "label", "doc", "mark")
-    return cells.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi").mapInArrow(_meet(similarity), "a long, am int, b long, bm int").distinct()
+    cells = dealt.select("token", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "size", "label", "short")
+    return cells.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi").mapInArrow(_meet(similarity), "a long, b long").distinct()
 
 
 def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 3) -> DataFrame:
-    """(row, doc, mark, first_doc, first_mark): the least document of each one's group of near duplicates.
+    """(row, doc, m1, m2, first_doc, first_m1, first_m2): the least document of each one's group of near duplicates.
 
     Documents are near duplicates where their sets of ``width``-word shingles have a Jaccard similarity of at least
-    ``similarity``; groups are connected components. Candidates are all pairs whose SimHash fingerprints a BK-tree finds
-    within ``radius`` bits, or that share the fingerprint of a class of shingles (see ``_classes``); links are confirmed on
-    the whole sets. In a group of candidates each row first meets its neighbour and the group's hub, the row whose
-    keys most rows share; rows of groups that this leaves in several parts go through an exact join. Equal sets are one node. ``doc`` is the id (nulls last), ``mark`` tells texts of one id apart.
-
-    A text of fewer words is one shingle; null and empty texts have none and are equal to each other; repeated rows are
-    one document. An empty table gives an empty result; columns but text are carried unread in ``row``.
+    ``similarity``; groups are connected components, and no link is lost. Equal sets are one node. Candidates come in
+    two steps, and every link is confirmed on the whole sets:
+
+    1. Nodes whose SimHash fingerprints BK-trees link within ``radius`` bits, and nodes that share the fingerprint of a
+       class of shingles (see ``_classes``): each with its neighbour and with the group's hub, the node whose keys
+       most others share. This joins large groups without looking at all their pairs.
+    2. All nodes, whatever step 1 found, meet in an exact prefix join; only pairs that step 1 left in different groups
+       are compared.
+
+    A document is its ``IDENTITY``: rows that repeat id and text are one document; different texts of one id, or of none,
+    are separate ones. A text of fewer words is one shingle; null and empty texts have none and are equal to each
+    other. Very long texts are taken whole. An empty table gives an empty result; columns but text are carried unread in ``row``.
     """
     need(docs, "doc_id", "text")
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), doc_key().alias("doc"), text_mark().alias("mark"), "text")
-    kind = keyed.schema["row"].dataType.simpleString()
-    found = settle(keyed.mapInArrow(_sketches(width), f"row {kind}, doc long, mark int, same binary, n long, fp long, keys array<long>"), "sketches")
-    least = F.min(F.struct("doc", "mark"))
-    nodes = settle(found.groupBy("same").agg(least.alias("r"), F.first("n").alias("n"), F.first("fp").alias("fp")).select("same", "r.*", "n", "fp"), "nodes")
-    own = found.join(nodes.select("doc", "mark", "same"), ["doc", "mark", "same"]).select("doc", "mark", "n", F.explode(F.array_append("keys", F.xxhash64("fp"))).alias("key")).distinct()
-    alike = Window.partitionBy("key")
-    shared = settle(own.withColumn("size", F.count("*").over(alike)).filter("size > 1"), "keys")
-    votes = shared.groupBy("doc", "mark").agg(F.sum("size").alias("votes"))
-    hubs = shared.join(votes, ["doc", "mark"]).withColumn("hub", F.max(F.struct("votes", "n", "doc", "mark")).over(alike))
-    ranked = hubs.select("key", "n", "doc", "mark", *[F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("n", "doc", "mark")]).sortWithinPartitions("key", "n", "doc", "mark")
-    pairs = settle(ranked.mapInArrow(_pairs(similarity), "a long, am int, b long, bm int").distinct(), "pairs")
-    ends = pairs.select(F.col("a").alias("doc"), F.col("am").alias("mark")).union(pairs.select("b", "bm")).distinct()
-    texts = keyed.select("doc", "mark", "text")
-
-    def sets_of(asked: DataFrame) -> DataFrame:
-        return texts.join(asked.hint("shuffle_hash"), ["doc", "mark"], "left_semi").mapInArrow(_sets(width), "doc long, mark int, set binary").dropDuplicates(["doc", "mark"])
-
-    labels = components(_confirmed(pairs, settle(sets_of(ends), "sets"), similarity))
-
+    spark = docs.sparkSession
+    keyed = docs.select(carried(docs, "text"), *identity(), "text")
+    sketch = _sketches(width, similarity, common_shingles(keyed, width))
+    found = settle(keyed.mapInArrow(sketch, row_schema(keyed, "doc long, m1 long, m2 long, node binary, n long, fp long, keys array<long>, head binary")), "sketches")
+    least = F.min(F.struct(*IDENTITY))
+    nodes = settle(found.groupBy("node").agg(least.alias("r"), F.first("n").alias("n"), F.first("fp").alias("fp")).select("node", "r.*", "n", "fp", F.xxhash64("node").alias("short")), "nodes")
+    of_nodes = found.select(*IDENTITY, "node", "keys", "head").join(nodes.select(*IDENTITY, "node"), [*IDENTITY, "node"], "left_semi")
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        """(short, node, set) of the ends of pairs of short names."""
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("short")).distinct()
+        asked = nodes.join(ends, "short", "left_semi").select(*IDENTITY, "node")
+        texts = keyed.select(*IDENTITY, "text").join(asked.hint("shuffle_hash"), list(IDENTITY))
+        sets = texts.select("node", "text").mapInArrow(_sets(width), "node binary, set binary").dropDuplicates(["node"])
+        return settle(sets.select(F.xxhash64("node").alias("short"), "node", "set"), "sets")
+
+    # Step 1.
+    own = of_nodes.join(nodes.select("node", "n", "fp"), "node").select("node", "n", F.explode(F.array_append("keys", F.xxhash64("fp"))).alias("key")).distinct()
+    own = settle(own, "keys")
+    shared = own.join(own.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "key")
+    votes = shared.groupBy("node").agg(F.sum("size").alias("votes"))
+    hubs = shared.join(votes, "node").groupBy("key").agg(F.max(F.struct("votes", "n", "node")).alias("hub"))
+    ranked = shared.join(hubs, "key").select("key", "n", "node", F.col("hub.n").alias("hub_n"), F.col("hub.node").alias("hub")).sortWithinPartitions("key", "n", "node")
+    met = ranked.mapInArrow(_pairs(similarity), "a binary, b binary")
+    trees = link_fingerprints(nodes.select("fp").distinct(), radius)
+    of_print = nodes.groupBy("fp").agg(F.min("node").alias("node"))
+    linked = trees.join(of_print.select(F.col("fp").alias("a"), F.col("node").alias("u")), "a").join(of_print.select(F.col("fp").alias("b"), F.col("node").alias("v")), "b")
+    pairs = settle(met.unionByName(linked.select(F.col("u").alias("a"), F.col("v").alias("b"))).select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b")).distinct(), "pairs")
+    first_sets = sets_of(pairs)
+    first_links = settle(_confirmed(pairs, first_sets, similarity), "links")
+    labels = settle(components(first_links), "labels")
+    for done in (own, pairs, first_sets, first_links):
+        forget(spark, done)
+
+    # Step 2.
     def labelled(labels: DataFrame) -> DataFrame:
-        return nodes.withColumn("node", F.xxhash64("doc", "mark")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-
-    # What is left: groups over three rows, of which not all pairs were compared, and close fingerprints, with unlike labels.
-    noded = settle(labelled(labels), "labelled")
-    large = shared.filter("size > 3")
-    unlike = large.join(noded.select("doc", "mark", "label"), ["doc", "mark"]).groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-    close = close_fingerprints(noded.groupBy("fp").agg(F.min("label").alias("low"), F.max("label").alias("high")), radius)
-    linked = noded.join(close.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp", "left_semi")
-    rest = settle(large.join(unlike, "key", "left_semi").select("doc", "mark").union(linked.select("doc", "mark")).distinct(), "rest")
-    sets = settle(sets_of(rest).join(noded.select("doc", "mark", "label"), ["doc", "mark"]), "rest-sets")
-    more = settle(_confirmed(settle(_prefix_pairs(sets, similarity), "rest-pairs"), sets, similarity), "more")
+        return nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+    heads = of_nodes.select("node", "head").dropDuplicates(["node"]).join(labelled(labels).select("node", "short", "n", F.xxhash64("label").alias("label")), "node")
+    pairs = settle(_prefix_pairs(heads, similarity), "rest-pairs")
+    rest_sets = sets_of(pairs)
+    more = settle(_confirmed(pairs, rest_sets, similarity), "more")
+    for done in (pairs, rest_sets):
+        forget(spark, done)
     if not more.isEmpty():
-        noded = labelled(components(more.union(labels.select("node", "label"))))
-    groups = noded.groupBy("label").agg(least.alias("f"))
-    named = noded.select("same", "label").join(groups, "label").select("same", F.col("f.doc").alias("first_doc"), F.col("f.mark").alias("first_mark"))
-    return found.select("row", "doc", "mark", "same").join(named, "same").drop("same")
+        labels = components(more.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
+    groups = labelled(labels).select("node", "label", F.struct(*IDENTITY).alias("r"))
+    named = groups.join(groups.groupBy("label").agg(F.min("r").alias("f")), "label").select("node", *[F.col(f"f.{c}").alias(f"first_{c}") for c in IDENTITY])
+    return found.select("row", *IDENTITY, "node").join(named, "node").drop("node")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
