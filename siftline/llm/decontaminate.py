@@ -1,10 +1,11 @@
-"""Benchmark decontamination on a positional inverted index.
-
-The index is partitioned by document: every task turns its slice of documents into postings (term ->
-ascending positions) over the terms that the test items use, and answers all item windows from them. A
-window's lists are offset-adjusted and intersected beginning with the terms rarest in the slice. Postings
-never cross the network; what is broadcast is the test set, in blocks of at most ``block_bytes``, one pass
-over the documents for each block.
+"""Benchmark decontamination on a stored, distributed positional inverted index.
+
+``build_index`` turns every slice of documents into a segment: the postings (term -> ascending positions) of all
+its words, written once to the shared folder. Segments are spread over the executors and hold whole documents, so
+postings never cross the network and a phrase never spans two segments. ``find_items`` streams the segments
+past the test set: a window's lists are offset-adjusted and intersected, beginning with the terms rarest in the
+segment. The test set is broadcast in blocks of at most ``block_bytes`` of its text, one after the other; each
+further block reads the stored segments again, never the texts.
 """
 
 from __future__ import annotations
@@ -16,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
-from siftline.llm.common import as_bytes, need, slices, table
+from siftline.llm.common import as_bytes, carried, forget, need, settle, slices, table
 
 #: A-Z fold to a-z; every other ASCII byte that is no letter or digit parts words.
 FOLD = bytes(
@@ -25,9 +27,9 @@ FOLD = bytes(
     for b in range(256)
 )
 WINDOW = 10
-#: Bytes of test text that one pass broadcasts.
-BLOCK_BYTES = 8_000_000
-#: Bytes of document text that one in-memory index covers.
+#: Bytes of test text that one pass broadcasts: windows of term numbers, some 20 bytes for each byte of text.
+BLOCK_BYTES = 2_000_000
+#: Bytes of document text that one segment covers.
 SLICE_BYTES = 4_000_000
 #: Postings that are checked together.
 CANDIDATES = 200_000
@@ -42,74 +44,123 @@ class Windows:
     """A block of test items: vocabulary, and per window length the distinct windows and the items that have them."""
 
     vocabulary: dict[bytes, int]
-    by_length: dict[int, tuple[np.ndarray, list[np.ndarray]]]
+    #: length -> (windows, one row of term numbers each; where each one's items begin in the next; items)
+    by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
     item_ids: list[str]
 
 
 def compile_windows(items: Iterable[tuple[str, bytes]], width: int = WINDOW) -> Windows:
     vocabulary: dict[bytes, int] = {}
-    seen: dict[tuple[int, ...], set[int]] = {}
+    parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
     item_ids: dict[str, int] = {}
     for item_id, text in items:
-        ids = [vocabulary.setdefault(w, len(vocabulary)) for w in words(text)]
-        if not ids:
-            continue
-        item = item_ids.setdefault(item_id, len(item_ids))
-        for i in range(max(1, len(ids) - width + 1)):
-            seen.setdefault(tuple(ids[i : i + width]), set()).add(item)
+        ids = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words(text)], dtype=np.int32)
+        if len(ids):
+            item = item_ids.setdefault(item_id, len(item_ids))
+            own = np.lib.stride_tricks.sliding_window_view(ids, min(width, len(ids)))
+            parts.setdefault(own.shape[1], []).append((own, np.full(len(own), item, dtype=np.int32)))
     by_length = {}
-    for n in sorted({len(w) for w in seen}):
-        keys = [w for w in seen if len(w) == n]
-        by_length[n] = (np.array(keys, dtype=np.int64), [np.array(sorted(seen[w])) for w in keys])
+    for n, found in sorted(parts.items()):
+        both = np.unique(np.concatenate([np.hstack([w, i[:, None]]) for w, i in found]), axis=0)
+        new = np.concatenate([[True], (both[1:, :n] != both[:-1, :n]).any(axis=1)])
+        begins = np.flatnonzero(np.concatenate([new, [True]]))
+        by_length[n] = (np.ascontiguousarray(both[new, :n]), begins, both[:, n].copy())
     return Windows(vocabulary, by_length, list(item_ids))
 
 
-class PositionalIndex:
-    """Postings of one slice of documents, over a fixed vocabulary; a gap of one position parts documents."""
-
-    def __init__(self, texts: list[bytes | None], vocabulary: dict[bytes, int]):
-        streams = [[vocabulary.get(w, -1) for w in words(t)] for t in texts]
-        self.n_words = np.array([len(s) for s in streams], dtype=np.int64)
+@dataclass
+class Segment:
+    """Postings of a slice of documents: the positions of term i are postings[offsets[i]:offsets[i + 1]], ascending; a gap of
+    one position parts documents."""
+
+    n_words: np.ndarray
+    terms: list[bytes]
+    counts: np.ndarray
+    postings: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[bytes | None]) -> Segment:
+        numbers: dict[bytes, int] = {}
+        n_words, ids = [], []
+        for t in texts:
+            own = [numbers.setdefault(w, len(numbers)) for w in words(t)]
+            n_words.append(len(own))
+            ids += own
+        n_words, ids = np.array(n_words, dtype=np.int64), np.array(ids, dtype=np.int64)
+        order = np.argsort(ids, kind="stable")
+        place = np.arange(len(ids)) + np.repeat(np.arange(len(n_words)), n_words)
+        return cls(n_words, list(numbers), np.bincount(ids, minlength=len(numbers)), place[order])
+
+    def packed(self) -> tuple[bytes, bytes, bytes, bytes]:
+        steps = np.diff(self.postings, prepend=0)
+        return self.n_words.astype("<i4").tobytes(), b" ".join(self.terms), self.counts.astype("<i4").tobytes(), steps.astype("<i4").tobytes()
+
+    @classmethod
+    def unpacked(cls, n_words: bytes, terms: bytes, counts: bytes, postings: bytes) -> Segment:
+        n, c, p = (np.frombuffer(x, "<i4").astype(np.int64) for x in (n_words, counts, postings))
+        return cls(n, terms.split(b" ") if terms else [], c, np.cumsum(p))
+
+    def __post_init__(self):
         self.begins = np.concatenate([[0], np.cumsum(self.n_words + 1)])
-        self.terms = np.full(self.begins[-1], -1, dtype=np.int64)
-        for b, s in zip(self.begins[:-1], streams, strict=True):
-            self.terms[b : b + len(s)] = s
-        held = np.flatnonzero(self.terms >= 0)
-        order = np.argsort(self.terms[held], kind="stable")
-        self.postings = held[order]
-        self.counts = np.bincount(self.terms[held], minlength=len(vocabulary)) if len(vocabulary) else np.zeros(0, int)
+
+    def over(self, vocabulary: dict[bytes, int]) -> PositionalIndex:
+        return PositionalIndex(self, vocabulary)
+
+
+class PositionalIndex:
+    """The lists of a segment over the terms of a block of test items."""
+
+    def __init__(self, segment: Segment, vocabulary: dict[bytes, int]):
+        self.begins, self.end = segment.begins, int(segment.begins[-1])
+        offsets = np.concatenate([[0], np.cumsum(segment.counts)])
+        held = [(k, i) for i, t in enumerate(segment.terms) if (k := vocabulary.get(t)) is not None]
+        held.sort()
+        which = np.array([k for k, _ in held], dtype=np.int64)
+        of = np.array([i for _, i in held], dtype=np.int64)
+        self.counts = np.zeros(len(vocabulary), dtype=np.int64)
+        self.counts[which] = segment.counts[of]
         self.offsets = np.concatenate([[0], np.cumsum(self.counts)])
+        many = self.counts[which]
+        within = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        self.postings = segment.postings[np.repeat(offsets[of], many) + within]
+        #: All lists as one ascending list: a term's positions lie in its own range.
+        self.joint = np.repeat(which, many) * self.end + self.postings
+
+    def holds(self, term: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Whether the term's list holds the position."""
+        key = term * self.end + at
+        return self.joint[np.minimum(np.searchsorted(self.joint, key), len(self.joint) - 1)] == key
 
     def starts(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, position) of every exact phrase match. windows: one row of term ids for each."""
+        """(window, position) of every exact phrase match. windows: one row of term numbers for each."""
         if not len(windows) or not len(self.postings):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         frequency = self.counts[windows]
         live = np.flatnonzero(frequency.min(axis=1) > 0)
-        by_rarity = np.argsort(frequency[live], axis=1, kind="stable").astype(np.int8 if windows.shape[1] < 128 else np.int64)
+        by_rarity = np.argsort(frequency[live], axis=1, kind="stable")
         many = frequency[live].min(axis=1)
         # Common windows have long lists even of their rarest term: so many candidates are looked at together.
         part = np.cumsum(many) // CANDIDATES
         borders = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(live)]
-        found = [self._matched(windows[live[b:e]], by_rarity[b:e], many[b:e], live[b:e]) for b, e in zip(borders, borders[1:], strict=False) if e > b]
+        found = [self._intersected(windows[live[b:e]].astype(np.int64), by_rarity[b:e], many[b:e], live[b:e]) for b, e in zip(borders, borders[1:], strict=False) if e > b]
         if not found:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
-    def _matched(self, windows: np.ndarray, by_rarity: np.ndarray, many: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Matches of a few windows: the postings of their rarest term, checked against the next rarest and so on."""
-        first = by_rarity[:, 0].astype(np.int64)
+    def _intersected(self, windows: np.ndarray, by_rarity: np.ndarray, many: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Matches of a few windows: the list of the rarest term, less its offset, cut with that of the next rarest and so on."""
+        first = by_rarity[:, 0]
         term = windows[np.arange(len(windows)), first]
         row = np.repeat(np.arange(len(windows)), many)
         within = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         at = self.postings[self.offsets[term][row] + within] - first[row]
-        keep = (at >= 0) & (at + windows.shape[1] <= len(self.terms))
+        keep = (at >= 0) & (at + windows.shape[1] <= self.end)
         row, at = row[keep], at[keep]
         for k in range(1, windows.shape[1]):
             if not len(row):
                 break
             offset = by_rarity[row, k]
-            keep = self.terms[at + offset] == windows[row, offset]
+            keep = self.holds(windows[row, offset], at + offset)
             row, at = row[keep], at[keep]
         return names[row], at
 
@@ -118,70 +169,135 @@ class PositionalIndex:
         its length plus ``slop`` consecutive words of one document, in any order."""
         found_w, found_at = [], []
         for i, window in enumerate(windows):
-            need_terms, need_n = np.unique(window, return_counts=True)
-            if self.counts[need_terms].min() == 0:
+            terms, need_n = np.unique(window, return_counts=True)
+            if self.counts[terms].min() == 0:
                 continue
             span = len(window) + slop
-            rare = need_terms[np.argmin(self.counts[need_terms])]
-            for at in self.postings[self.offsets[rare] : self.offsets[rare + 1]]:
-                doc = np.searchsorted(self.begins, at, "right") - 1
-                low, high = max(self.begins[doc], at - span + 1), min(self.begins[doc + 1] - 1, at + span)
-                for begin in range(low, min(at, high - span) + 1) if high - span >= low else [low]:
-                    part = self.terms[begin : min(begin + span, high)]
-                    if all((part == t).sum() >= n for t, n in zip(need_terms, need_n, strict=True)):
-                        found_w.append(i)
-                        found_at.append(at)
-                        break
+            order = np.argsort(self.counts[terms], kind="stable")
+            at = self.postings[self.offsets[terms[order[0]]] : self.offsets[terms[order[0]] + 1]]
+            doc = np.searchsorted(self.begins, at, "right") - 1
+            # Where a run of ``span`` words around the place may begin, within the document.
+            low = np.maximum(self.begins[doc], at - span + 1)
+            begin = low[:, None] + np.arange(span)
+            end = np.minimum(begin + span, self.begins[doc + 1][:, None] - 1)
+            good = begin <= at[:, None]
+            for k in order:
+                own = self.postings[self.offsets[terms[k]] : self.offsets[terms[k] + 1]]
+                good &= np.searchsorted(own, end) - np.searchsorted(own, begin) >= need_n[k]
+                stay = good.any(axis=1)
+                at, begin, end, good = at[stay], begin[stay], end[stay], good[stay]
+            found_w += [i] * len(at)
+            found_at += at.tolist()
         return np.array(found_w, np.int64), np.array(found_at, np.int64)
 
 
-def _scan(shared, slop: int | None, slice_bytes: int):
-    """One pass of one block: grows each document's bitmap of hit words and its items."""
+SEGMENT = "n_words binary, terms binary, counts binary, postings binary"
+
 
+def _index(slice_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block: Windows = shared.value
         for batch in slices(batches, "text", slice_bytes):
-            index = PositionalIndex(as_bytes(batch.column("text")), block.vocabulary)
-            delta = np.zeros(len(index.terms) + 1, dtype=np.int64)
-            pairs: set[tuple[int, int]] = set()
-            for n, (windows, items) in block.by_length.items():
-                which, at = index.starts(windows)
-                np.add.at(delta, at, 1)
-                np.add.at(delta, at + n, -1)
-                if slop is not None:
-                    extra, where = index.near(windows, slop)
-                    which, at = np.concatenate([which, extra]), np.concatenate([at, where])
-                docs = np.searchsorted(index.begins, at, "right") - 1
-                for w, d in set(zip(which.tolist(), docs.tolist(), strict=True)):
-                    pairs.update((d, i) for i in items[w].tolist())
-            hit = np.cumsum(delta[:-1]) > 0
-            names: list[list[str]] = [[] for _ in range(batch.num_rows)]
-            for d, i in pairs:
-                names[d].append(block.item_ids[i])
-            bitmaps, hits, lists = [], [], []
-            for d, (bits, old) in enumerate(zip(batch.column("hits").to_pylist(), batch.column("items").to_pylist(), strict=True)):
-                b, n = index.begins[d], index.n_words[d]
-                own = hit[b : b + n]
-                if bits:
-                    own = own | np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
-                hits.append(int(own.sum()))
-                bitmaps.append(np.packbits(own).tobytes() if hits[-1] else b"")
-                lists.append(sorted({*(old or ()), *names[d]}))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    batch.column("text"),
-                    pa.array(index.n_words, pa.int64()),
-                    pa.array(hits, pa.int64()),
-                    pa.array(bitmaps, pa.binary()),
-                    pa.array(lists, pa.list_(pa.string())),
-                ],
-                names=["doc_id", "text", "n_words", "n_hit", "hits", "items"],
-            )
+            packed = Segment.of(as_bytes(batch.column("text"))).packed()
+            rows = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column("row"))
+            yield pa.RecordBatch.from_arrays([rows, *[pa.array([x], pa.binary()) for x in packed]], names=["rows", *[c.split()[0] for c in SEGMENT.split(", ")]])
 
     return run
 
 
+def build_index(docs: DataFrame, keep_text: bool = False, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """The index of ``docs`` (doc_id, text, any others), stored: one row for each segment, with the documents' rows
+    (a struct of all columns, but the text unless ``keep_text``) in the order of their positions."""
+    need(docs, "doc_id", "text")
+    own = docs.select(carried(docs, *(() if keep_text else ("text",))), "text")
+    schema = StructType([StructField("rows", ArrayType(own.schema["row"].dataType)), *StructType.fromDDL(SEGMENT).fields])
+    return settle(own.mapInArrow(_index(slice_bytes), schema), "index")
+
+
+def _search(shared, slop: int | None, last: bool):
+    """One pass of one block over segments: grows the bitmap of hit words and each document's items; ``last`` parts segments
+    into documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block: Windows = shared.value
+        for batch in batches:
+            for k in range(batch.num_rows):
+                segment = Segment.unpacked(*[batch.column(c.split()[0])[k].as_py() for c in SEGMENT.split(", ")])
+                index = segment.over(block.vocabulary)
+                delta = np.zeros(index.end + 1, dtype=np.int64)
+                names = batch.column("items")[k].as_py() or [[] for _ in segment.n_words]
+                pairs: set[tuple[int, int]] = set()
+                for n, (windows, begins, items) in block.by_length.items():
+                    which, at = index.starts(windows)
+                    np.add.at(delta, at, 1)
+                    np.add.at(delta, at + n, -1)
+                    if slop is not None:
+                        extra, where = index.near(windows, slop)
+                        which, at = np.concatenate([which, extra]), np.concatenate([at, where])
+                    docs = np.searchsorted(index.begins, at, "right") - 1
+                    for w, d in set(zip(which.tolist(), docs.tolist(), strict=True)):
+                        pairs.update((d, i) for i in items[begins[w] : begins[w + 1]].tolist())
+                for d, i in pairs:
+                    names[d].append(block.item_ids[i])
+                hit = np.cumsum(delta[:-1]) > 0
+                if old := batch.column("hits")[k].as_py():
+                    hit |= np.unpackbits(np.frombuffer(old, np.uint8), count=len(hit)).astype(bool)
+                if last:
+                    yield _documents(batch.column("rows")[k].values, segment, hit, names)
+                else:
+                    one = batch.slice(k, 1)
+                    state = [pa.array([np.packbits(hit).tobytes()], pa.binary()), pa.array([names], pa.list_(pa.list_(pa.string())))]
+                    yield pa.RecordBatch.from_arrays([*one.columns[:-2], *state], names=one.schema.names)
+
+    return run
+
+
+def _documents(rows: pa.Array, segment: Segment, hit: np.ndarray, names: list[list[str]]) -> pa.RecordBatch:
+    hits, bitmaps = [], []
+    for b, n in zip(segment.begins.tolist(), segment.n_words.tolist(), strict=False):
+        own = hit[b : b + n]
+        hits.append(int(own.sum()))
+        bitmaps.append(np.packbits(own).tobytes() if hits[-1] else b"")
+    return pa.RecordBatch.from_arrays(
+        [rows, pa.array(segment.n_words), pa.array(hits, pa.int64()), pa.array(bitmaps, pa.binary()), pa.array([sorted(set(x)) for x in names], pa.list_(pa.string()))],
+        names=["row", "n_words", "n_hit", "hits", "items"],
+    )
+
+
+def search_index(index: DataFrame, items: DataFrame, width: int = WINDOW, slop: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(row, n_words, n_hit, hits, items) of every indexed document; see ``find_items``."""
+    need(items, "item_id", "text")
+    spark = index.sparkSession
+    asked = items.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("item_id is not null and text is not null")
+
+    def blocks():
+        block, size = [], 0
+        for row in asked.toLocalIterator():  # one partition of the test set at a time
+            text = row[1].encode()
+            if size and size + len(text) > block_bytes:
+                yield block
+                block, size = [], 0
+            block.append((row[0], text))
+            size += len(text)
+        yield block
+
+    none = {"hits": F.lit(None).cast("binary"), "items": F.lit(None).cast("array<array<string>>")}
+    state = index.select("*", *[x.alias(c) for c, x in none.items()])
+    row = index.schema["rows"].dataType.elementType
+    ahead = blocks()
+    block, written = next(ahead), None
+    while True:
+        following = next(ahead, None)
+        shared = spark.sparkContext.broadcast(compile_windows(block, width))
+        if following is None:
+            schema = StructType([StructField("row", row), *StructType.fromDDL("n_words long, n_hit long, hits binary, items array<string>").fields])
+            return state.mapInArrow(_search(shared, slop, True), schema)
+        after = settle(state.mapInArrow(_search(shared, slop, False), state.schema), "segments")
+        shared.destroy()
+        if written is not None:
+            forget(spark, written)
+        state, block, written = after, following, after
+
+
 def find_items(
     docs: DataFrame,
     items: DataFrame,
@@ -189,60 +305,35 @@ def find_items(
     slop: int | None = None,
     block_bytes: int = BLOCK_BYTES,
     slice_bytes: int = SLICE_BYTES,
+    *,
+    keep_text: bool = False,
 ) -> DataFrame:
     """Every document with the test items found in it.
 
-    docs: doc_id, text; items: item_id, text. Returns doc_id, text, n_words, n_hit, hits (bitmap of the words inside
-    an exact match, empty if none) and items (sorted ids). With ``slop``, items that match only in proximity
-    (all words of a window within its length plus ``slop`` words, any order) are listed too; they hit no word.
+    docs: doc_id, text; items: item_id, text. Returns doc_id, row (a struct of all columns, but the text unless
+    ``keep_text``), n_words, n_hit, hits (bitmap of the words inside an exact match, empty if none) and items (sorted
+    ids). With ``slop``, items that match only in proximity (all words of a window within its length plus
+    ``slop`` words, any order) are listed too; they hit no word.
 
     Null or empty texts have no words; items without words or id are ignored; rows that repeat an item_id are
-    one item with several texts; rows that repeat a doc_id are separate documents; other columns are not
-    looked at. Empty tables give empty results.
+    one item with several texts; rows that repeat a doc_id are separate documents; other columns are carried
+    unread. Very long texts are segments of their own. Empty tables give empty results.
     """
     need(docs, "doc_id", "text")
-    need(items, "item_id", "text")
-    spark = docs.sparkSession
-    doc_id = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.select(
-        "doc_id",
-        "text",
-        F.lit(0).cast("long").alias("n_words"),
-        F.lit(0).cast("long").alias("n_hit"),
-        F.lit(None).cast("binary").alias("hits"),
-        F.lit(None).cast("array<string>").alias("items"),
-    )
-    schema = f"doc_id {doc_id}, text string, n_words long, n_hit long, hits binary, items array<string>"
-    asked = items.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("item_id is not null and text is not null")
-
-    def compiled():
-        block, size = [], 0
-        for row in asked.toLocalIterator():  # one partition of the test set at a time
-            block.append((row[0], row[1].encode()))
-            size += len(block[-1][1])
-            if size >= block_bytes:
-                yield block
-                block, size = [], 0
-        yield block
-
-    for block in compiled():
-        out = out.mapInArrow(_scan(spark.sparkContext.broadcast(compile_windows(block, width)), slop, slice_bytes), schema)
-    return out
+    found = search_index(build_index(docs, keep_text, slice_bytes), items, width, slop, block_bytes)
+    return found.select("row.doc_id", "row", "n_words", "n_hit", "hits", "items")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> DataFrame:
-    """Documents in which no item window occurs; same columns. Rows are judged one by one, as in ``find_items``."""
-    need(docs, "doc_id", "text")
-    names = docs.columns
-    rest = [c for c in names if c not in ("doc_id", "text")]
-    carried = docs.select(F.struct("doc_id", *[F.col(f"`{c}`") for c in rest]).alias("doc_id"), "text")
-    kept = find_items(carried, items, width).filter("n_hit = 0")
-    return kept.select(*[F.col("text") if c == "text" else F.col("doc_id").getField(c).alias(c) for c in names])
+    """Documents in which no item window occurs; same columns, whatever they are called. Rows are judged one by one, as in
+    ``find_items``."""
+    kept = find_items(docs, items, width, keep_text=True).filter("n_hit = 0")
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def report(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> DataFrame:
     """Per document: n_words, n_hit, n_items, items_sha256, contaminated; edge cases as in ``find_items``."""
-    found = find_items(docs, items, width)
+    found = find_items(docs.select("doc_id", "text"), items, width)
     return found.select(
         "doc_id",
         "n_words",

@@ -86,3 +86,44 @@ def test_empty_tables(spark):
     a, b = frames(spark, docs, items)
     assert d.report(a.filter("false"), b).collect() == []
     assert not any(r.contaminated for r in d.report(a, b.filter("false")).collect())
+
+
+def brute_near(words, window, slop):
+    """Whether some run of len(window) + slop words holds the window's words with their multiplicity."""
+    span = len(window) + slop
+    runs = [words[i : i + span] for i in range(max(1, len(words) - span + 1))]
+    return any(all(r.count(w) >= window.count(w) for w in window) for r in runs)
+
+
+def test_proximity_matches_brute_force(spark):
+    rng = np.random.default_rng(5)
+    names = [f"w{i}" for i in range(12)]
+    docs = [(i, " ".join(rng.choice(names, int(rng.integers(0, 40))))) for i in range(40)] + [(90, None)]
+    items = [(i, " ".join(rng.choice(names, int(rng.integers(2, 7))))) for i in range(12)]
+    a, b = frames(spark, docs, items)
+    got = {r.doc_id: list(r["items"]) for r in d.find_items(a, b, 4, slop=3).collect()}
+    for doc, text in docs:
+        words = (text or "").split()
+        want = []
+        for item, t in items:
+            w = t.split()
+            windows = [w[i : i + 4] for i in range(max(1, len(w) - 3))]
+            if any(brute_near(words, x, 3) for x in windows):
+                want.append(str(item))
+        assert got[doc] == sorted(want)
+
+
+def test_stored_segments_answer_any_test_set(spark):
+    docs, items = tables(spark)
+    a, b = frames(spark, docs, items)
+    index = d.build_index(a, slice_bytes=500)
+    assert index.count() > 3
+    for half in (b.filter("item_id < 10"), b):
+        got = sorted((str(r["row"]["doc_id"]), r.n_words, r.n_hit) for r in d.search_index(index, half).collect())
+        assert got == [w[:3] for w in brute(docs, [tuple(r)[:2] for r in half.collect()])]
+
+
+def test_columns_of_any_name_come_back(spark):
+    docs = spark.createDataFrame([(1, "a b c", 5, "x", 7), (None, "one two three", 6, "y", 8)], "doc_id long, text string, k int, `a.b` string, size int")
+    items = spark.createDataFrame([(1, "two three")], "item_id long, text string")
+    assert [tuple(r) for r in d.decontaminate(docs, items).collect()] == [(1, "a b c", 5, "x", 7)]
