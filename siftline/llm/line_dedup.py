@@ -1,9 +1,11 @@
 """Line dedup on levelled sorted runs of line hashes.
 
-``LineRuns`` is a log-structured index: each ingested batch becomes one sorted run (line hash, documents,
-largest document id) on level 0; ``fanout`` runs of a level are merged into one of the next level. A batch can be
-merge-anti-joined against the runs to tell new lines from old ones. Runs are tables in the shared folder, so
-neither a lost executor nor the driver holds any of the index.
+``LineRuns`` is a log-structured index. A run is a table bucketed and sorted by line hash in the shared folder: the
+lines of one batch with their documents and largest document id. Each new batch merge-anti-joins the runs: what no
+run holds is new, and is marked so in the batch's own run; what a run holds only adds to its counts. ``fanout``
+runs of a level are compacted into one of the next. A batch moves once, into its buckets, where the joins with
+the runs read bucket by bucket and move nothing; a compaction moves a line once for each level. Neither a lost
+executor nor the driver holds any of the index.
 
 Keys are 128-bit XXH3 hashes of the normalised line.
 """
@@ -18,8 +20,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from siftline.llm.common import as_bytes, forget, need, settle, shuffle_partitions, slices, table
+from siftline.llm.common import IDENTITY, NULL_ID, as_bytes, carried, forget, fresh_path, identity, need, row_schema, shuffle_partitions, slices, table
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -53,26 +56,33 @@ def _split(min_chars: int):
                 hashes += own
                 rows += [i] * len(own)
             halves = np.frombuffer(b"".join(hashes), dtype=">i8").astype(np.int64).reshape(-1, 2)
+            of = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(halves[:, 0]), pa.array(halves[:, 1]), batch.column("doc_id").take(pa.array(rows, pa.int64()))],
-                names=["h1", "h2", "doc_id"],
+                [pa.array(halves[:, 0]), pa.array(halves[:, 1]), *[batch.column(c).take(of) for c in ("doc_id", "m1", "m2")]],
+                names=["h1", "h2", "doc_id", "m1", "m2"],
             )
 
     return run
 
 
 def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(h1, h2, doc_id): the distinct keys of each document row."""
+    """(h1, h2, doc_id, m1, m2): the distinct keys of each document row, with its id and the rest of its identity."""
     need(docs, "doc_id", "text")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_split(min_chars), "h1 long, h2 long, doc_id long")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *identity()[1:], "text")
+    return own.mapInArrow(_split(min_chars), "h1 long, h2 long, doc_id long, m1 long, m2 long")
+
+
+RUN = "h1 long, h2 long, n_docs long, max_doc long, is_new boolean"
 
 
 class LineRuns:
-    """Levels of sorted runs. A run: h1, h2, n_docs, max_doc, sorted by hash within hash partitions."""
+    """Levels of sorted runs. A run: h1, h2, n_docs, max_doc, is_new (no run before held the line)."""
 
     def __init__(self, spark: SparkSession, fanout: int = FANOUT):
         self.spark, self.fanout = spark, fanout
+        self.buckets = shuffle_partitions(spark)
         self.levels: list[list[DataFrame]] = []
+        self._names: dict[int, str] = {}
 
     def runs(self) -> list[DataFrame]:
         return [r for level in self.levels for r in level]
@@ -80,24 +90,44 @@ class LineRuns:
     def unseen(self, hashes: DataFrame) -> DataFrame:
         """Rows of ``hashes`` whose line is in no run."""
         for run in self.runs():
-            hashes = hashes.join(run, ["h1", "h2"], "left_anti")
+            hashes = hashes.join(run.filter("is_new"), ["h1", "h2"], "left_anti")
         return hashes
 
     def _write(self, rows: DataFrame, level: int) -> None:
-        merged = rows.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"))
+        path = fresh_path(self.spark, f"run-l{level}")
+        name = "siftline_" + path.rpartition("/")[2].replace("-", "_")
+        writer = rows.select(*StructType.fromDDL(RUN).names).write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2")
+        writer.option("compression", "zstd").option("path", path).saveAsTable(name)
+        run = self.spark.table(name)
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(settle(merged.sortWithinPartitions("h1", "h2"), f"run-l{level}"))
+        self.levels[level].append(run)
+        self._names[id(run)] = name
+
+    def _merged(self, runs: list[DataFrame]) -> DataFrame:
+        """Runs as one. Their files are read plainly: a union of bucketed scans is taken for one that is partitioned by bucket."""
+        files = self.spark.read.schema(RUN).parquet(*[f for run in runs for f in run.inputFiles()])
+        return files.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"), F.bool_or("is_new").alias("is_new"))
+
+    def _forget(self, run: DataFrame) -> None:
+        forget(self.spark, run)
+        self.spark.sql(f"DROP TABLE IF EXISTS {self._names.pop(id(run))}")
 
     def ingest(self, hashes: DataFrame) -> None:
-        """Add a batch as a run, then compact the levels that are full."""
-        self._write(hashes.select("h1", "h2", F.lit(1).cast("long").alias("n_docs"), F.col("doc_id").alias("max_doc")), 0)
+        """Merge-anti-join a batch with the runs, add it as a run, then compact the levels that are full."""
+        batch = hashes.repartition(self.buckets, "h1", "h2").groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("max_doc"))
+        known = F.lit(False)
+        for i, run in enumerate(self.runs()):
+            held = run.filter("is_new").select("h1", "h2", F.lit(True).alias(f"in_{i}"))
+            batch = batch.join(held.hint("merge"), ["h1", "h2"], "left")
+            known = known | F.coalesce(F.col(f"in_{i}"), F.lit(False))
+        self._write(batch.withColumn("is_new", ~known), 0)
         level = 0
         while level < len(self.levels) and len(self.levels[level]) >= self.fanout:
             full, self.levels[level] = self.levels[level], []
-            self._write(_union(full), level + 1)
+            self._write(self._merged(full).repartition(self.buckets, "h1", "h2"), level + 1)
             for run in full:
-                forget(self.spark, run)
+                self._forget(run)
             level += 1
 
     def frequent(self, min_docs: int) -> DataFrame:
@@ -105,17 +135,10 @@ class LineRuns:
         runs = self.runs()
         if not runs:
             return self.spark.createDataFrame([], "h1 long, h2 long, max_doc long")
-        merged = runs[0] if len(runs) == 1 else _union(runs).groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"))
+        merged = runs[0] if len(runs) == 1 else self._merged(runs)
         return merged.filter(F.col("n_docs") >= min_docs).select("h1", "h2", "max_doc")
 
 
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
-
-
 def _drop(min_chars: int, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE_BYTES):
@@ -156,35 +179,29 @@ def dedup_lines(
     A key is the line without ASCII white space at both ends, A-Z in lower case. Null and empty texts are one
     empty line. Each row counts as a document: rows that repeat a doc_id are separate ones, and where it is the
     largest of a key, all of them keep their lines. A null doc_id ranks below all others; if only rows
-    with a null doc_id hold a key, all of them keep it. Other columns are carried unread; an empty
-    table gives an empty result.
+    with a null doc_id hold a key, all of them keep it. Very long texts are taken whole. Other columns are carried
+    unread, whatever they are called; an empty table gives an empty result.
     """
     need(docs, "doc_id", "text")
     spark = docs.sparkSession
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")
-    hashes = settle(line_hashes(docs, min_chars), "lines")
+    path = fresh_path(spark, "lines")
+    part = F.pmod(F.xxhash64("doc_id", "m1"), F.lit(batches)).cast("int").alias("part")
+    line_hashes(docs, min_chars).select("*", part).write.option("compression", "zstd").partitionBy("part").parquet(path)
+    hashes = spark.read.schema("h1 long, h2 long, doc_id long, m1 long, m2 long, part int").parquet(path)
     index = LineRuns(spark)
     for b in range(batches):
-        index.ingest(hashes.filter(part == b))
+        index.ingest(hashes.filter(F.col("part") == b))
     frequent = index.frequent(min_docs)
     gone = (
         hashes.join(frequent, ["h1", "h2"])
         .filter(F.col("doc_id").isNull() & F.col("max_doc").isNotNull() | (F.col("doc_id") < F.col("max_doc")))
         .withColumn("h", F.concat(F.unhex(F.lpad(F.hex("h1"), 16, "0")), F.unhex(F.lpad(F.hex("h2"), 16, "0"))))
-        .groupBy("doc_id")
-        .agg(F.collect_set("h").alias("gone"))
-        .select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), "gone")
-    )
-    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
-    own = docs.select(
-        F.struct(*rest).alias("row"),
-        "text",
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"),
-        F.col("doc_id").isNull().alias("none"),
+        .groupBy(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), "m1", "m2")
+        .agg(F.collect_set("h").alias("gone"))  # no more than the document has lines
     )
-    joined = own.join(gone.hint("shuffle_hash"), ["id", "none"], "left").select("row", "text", "gone")
-    row = joined.schema["row"].dataType.simpleString()
-    return joined.mapInArrow(_drop(min_chars, digest), f"row {row}, n_lines long, n_dropped long, kept string")
+    own = docs.select(carried(docs, "text"), *identity(), "text")
+    joined = own.join(gone.hint("shuffle_hash"), list(IDENTITY), "left").select("row", "text", "gone")
+    return joined.mapInArrow(_drop(min_chars, digest), row_schema(joined, "n_lines long, n_dropped long, kept string"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,14 +210,18 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL = r"""
-WITH lines AS (
-  SELECT doc_id, pos, line, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
-  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(generate_series(1, len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents)
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS own FROM documents
+), lines AS (
+  SELECT r, doc_id, pos, line, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT r, doc_id, unnest(own) AS line, unnest(generate_series(1, len(own))) AS pos FROM docs)
 ), frequent AS (
-  SELECT key, max(doc_id) AS keeper FROM lines WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+  SELECT key, max(doc_id) AS keeper FROM lines WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT r) >= 5
+), judged AS (
+  SELECT l.r, l.doc_id, l.pos, l.line, coalesce(f.keeper > coalesce(l.doc_id, f.keeper - 1), false) AS gone
+  FROM lines l LEFT JOIN frequent f ON l.key = f.key
 )
-SELECT l.doc_id, count(*) AS n_lines, count(*) FILTER (f.keeper > l.doc_id) AS n_dropped,
-       sha256(coalesce(string_agg(CASE WHEN f.keeper > l.doc_id THEN NULL ELSE line END, chr(10) ORDER BY pos), '')) AS kept_sha256
-FROM lines l LEFT JOIN frequent f ON l.key = f.key
-GROUP BY l.doc_id
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(CASE WHEN gone THEN NULL ELSE line END, chr(10) ORDER BY pos), '')) AS kept_sha256
+FROM judged GROUP BY r
 """
