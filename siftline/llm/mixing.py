@@ -1,9 +1,10 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
 A source's target is met with whole documents. Passes over all of its documents come first; the rest of the
-budget is fitted on the histogram of exact document lengths: every length gives its proportional share, and what
-the rounding leaves is closed by a bounded-knapsack dynamic programme over length counts. Which documents of a
-length are taken is decided by a seeded hash. What one task holds of a source is one row per distinct length.
+budget is fitted on the histogram of exact document lengths: every length gives its proportional share, one more
+document where the rounding left most, and what still lacks is closed by a bounded-knapsack dynamic programme
+over length counts. No length is preferred, however large the table. Which documents of a length are taken is
+decided by a seeded hash of id and text. What one task holds of a source is one row per distinct length.
 """
 
 from __future__ import annotations
@@ -13,91 +14,108 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftline.llm.common import NULL_ID, need, settle, table
+from siftline.llm.common import carried, need, settle, shuffle_partitions, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 BUDGET = 1.5
 MOST = 2
 SEED = 42
-#: Words that the dynamic programme spans; a larger rest is first brought under it length by length.
-SPAN = 1 << 15
-#: Ranges of the seeded hash that are counted, so that only one range of a length is ever ranked.
-RANGES = 1024
+#: Words that are left to the dynamic programme, of which it fits what whole documents can.
+SPAN = 1 << 14
+#: Steps of the programme between two states that are kept; those between are computed again.
+KEPT = 64
+#: Bits of the seeded hash in one range: only the ranges where a length's quota ends are looked into.
+RANGE_BITS = 10
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def reachable(lengths: np.ndarray, counts: np.ndarray, budget: int) -> dict[int, int]:
     """Bounded knapsack: how many of each length to take for the sum nearest to ``budget``, not above it."""
+    own = [(n, min(many, budget // n)) for n, many in zip(lengths.tolist(), counts.tolist(), strict=True) if 0 < n <= budget and many > 0]
+    unit = int(np.gcd.reduce([n for n, _ in own])) if own else 1
+    budget //= unit
     mask = (1 << (budget + 1)) - 1
-    reach, steps = 1, []
-    for n, many in zip(lengths.tolist(), counts.tolist(), strict=True):
-        if n <= 0 or n > budget:
-            continue
-        many = min(many, budget // n)
+    reach, steps, kept = 1, [], {0: 1}
+    for n, many in own:
         size = 1
         while many > 0 and not reach >> budget & 1:
             size = min(size, many)
-            steps.append((n, size, reach))
-            reach |= (reach << (n * size)) & mask
+            steps.append((n, size))
+            reach |= (reach << (n // unit * size)) & mask
+            if len(steps) % KEPT == 0:
+                kept[len(steps)] = reach
             many -= size
             size *= 2
     at, taken = reach.bit_length() - 1, {}
-    for n, size, before in reversed(steps):
-        if not before >> at & 1:
-            at -= n * size
-            taken[n] = taken.get(n, 0) + size
+    for begin in range((len(steps) - 1) // KEPT * KEPT, -1, -KEPT):
+        part = steps[begin : begin + KEPT]
+        before = [kept[begin]]
+        for n, size in part[:-1]:
+            before.append(before[-1] | (before[-1] << (n // unit * size)) & mask)
+        for (n, size), old in zip(reversed(part), reversed(before), strict=True):
+            if not old >> at & 1:
+                at -= n // unit * size
+                taken[n] = taken.get(n, 0) + size
     return taken
 
 
 def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: float, span: int = SPAN) -> np.ndarray:
-    """Documents to take of each length so that their words come nearest to ``budget``."""
+    """Documents to take of each length so that their words come nearest to ``budget``.
+
+    ``span`` words or more are left to the programme where documents are short enough; where they are longer, it spans
+    what the longest makes it.
+    """
     total = int((lengths * counts).sum())
     whole = int(round(min(max(budget, 0.0), total)))
     if whole == 0:
         return np.zeros(len(lengths), dtype=np.int64)
-    if whole == total:
-        return counts.copy()
-    take = np.minimum(counts, np.floor(counts * (whole / total)).astype(np.int64))
+    if 2 * whole > total:  # fewer documents are left out than taken: those are fitted
+        return counts - fit_lengths(lengths, counts, total - whole, span)
+    share = counts * (whole / total)
+    take = np.minimum(counts, np.floor(share).astype(np.int64))
     rest = whole - int((take * lengths).sum())
-    for i in np.argsort(-lengths, kind="stable"):  # longest first: what is left fits the programme's span
-        if rest <= span:
-            break
-        more = min(int(counts[i] - take[i]), max(0, rest - span // 2) // int(lengths[i])) if lengths[i] else 0
-        take[i] += more
-        rest -= more * int(lengths[i])
-    if rest > span:
-        return take
-    left = counts - take
-    found = reachable(lengths, left, rest)
+    mixed = np.random.default_rng(SEED).permutation(len(lengths))  # among equals, and where the programme stops early, no length comes first
+    for i in mixed[np.argsort((take - share)[mixed], kind="stable")]:
+        if take[i] < counts[i] and 0 < lengths[i] <= rest - span:
+            take[i] += 1
+            rest -= int(lengths[i])
+    found = reachable(lengths[mixed], (counts - take)[mixed], rest)
     for i, n in enumerate(lengths.tolist()):
         take[i] += found.get(n, 0)
     return take
 
 
+def numbered(sources: DataFrame) -> DataFrame:
+    """Adds ``place``, from 0 by code point with null last: sampled ranges are sorted one by one, none sees all sources."""
+    spark = sources.sparkSession
+    rows = sources.withColumn("sn", F.col("source").isNull()).repartitionByRange(shuffle_partitions(spark), "sn", "source")
+    rows = settle(rows.withColumn("part", F.spark_partition_id()), "sources")
+    sizes = sorted(tuple(r) for r in rows.groupBy("part").agg(F.count("*").alias("n")).collect())  # one row a range
+    before = dict(zip([p for p, _ in sizes], np.cumsum([0] + [n for _, n in sizes]).tolist(), strict=False))
+    offsets = F.create_map(*[F.lit(x).cast("long") for p, n in before.items() for x in (p, n)]) if before else F.create_map(F.lit(0).cast("long"), F.lit(0).cast("long"))
+    within = F.row_number().over(Window.partitionBy("part").orderBy("sn", "source")) - 1
+    return rows.withColumn("place", offsets[F.col("part").cast("long")] + within).drop("part", "sn")
+
+
 def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, most: float = MOST) -> DataFrame:
     """Adds ``target`` to (source, source_size): shares of budget x all words by weight, none above most x its size.
 
-    Weights repeat over the sources by code point, null last. The excess above a cap is shared again by weight;
-    the fixed point is a common level per unit of weight that the capped sources stay under.
+    Weights repeat over the sources by code point, null last. The excess above a cap is shared again by weight: a
+    common level per unit of weight rises until the sources that it does not fill are the same as before. Sums are of whole numbers, so they
+    are exact in any order.
     """
-    everything = Window.partitionBy()
-    order = Window.orderBy(F.col("source").isNull(), "source")
-    cap, w = F.col("cap"), F.col("w")
-    ranked = (
-        sources.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1))
-        .withColumn("cap", most * F.col("source_size").cast("double"))
-        .withColumn("words", F.sum(F.col("source_size").cast("double")).over(everything) * budget)
-    )
-    rise = Window.orderBy(cap / w, F.col("source").isNull(), "source").rowsBetween(Window.unboundedPreceding, -1)
-    rest = Window.orderBy(cap / w, F.col("source").isNull(), "source").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    level = (F.col("words") - F.coalesce(F.sum(cap).over(rise), F.lit(0.0))) / F.sum(w).over(rest)
-    # The first source in rising cap / weight that the level doesn't fill sets it for itself and all after.
-    return (
-        ranked.withColumn("level", level)
-        .withColumn("final", F.min(F.when(F.col("level") <= cap / w, F.struct((cap / w).alias("at"), F.col("source").isNull(), "source", "level"))).over(everything)["level"])
-        .withColumn("target", F.least(cap, F.coalesce(F.col("final") * w, cap)))
-        .drop("w", "cap", "words", "level", "final")
-    )
+    w = F.element_at(F.array(*map(F.lit, weights)), F.pmod("place", F.lit(len(weights))).cast("int") + 1)
+    rows = settle(numbered(sources).withColumn("w", w).withColumn("cap", most * F.col("source_size").cast("double")), "shares")
+    words = (rows.agg(F.sum("source_size")).first()[0] or 0) * budget
+    level, before = 0.0, -1
+    while True:
+        full = F.col("cap") < F.lit(level) * F.col("w")
+        capped, cap, weight = rows.agg(F.count_if(full), F.sum(F.when(full, F.col("cap"))), F.sum(F.when(~full, F.col("w")))).first()
+        if not weight or capped == before:
+            break
+        level, before = (words - (cap or 0.0)) / weight, capped
+    target = F.least("cap", F.lit(level) * F.col("w")) if weight else F.col("cap")
+    return rows.withColumn("target", target).drop("place", "w", "cap")
 
 
 def _fit_source(most: int):
@@ -113,55 +131,86 @@ def _fit_source(most: int):
     return run
 
 
+def _quotas(cells: DataFrame, keys: list[str], cell: str) -> DataFrame:
+    """cells (keys, cell, n, want): adds ``quota``, the documents of a cell that are taken, cells of a key in order."""
+    below = F.sum("n").over(Window.partitionBy(*keys).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1))
+    return cells.withColumn("quota", F.least(F.greatest(F.col("want") - F.coalesce(below, F.lit(0)), F.lit(0)), F.col("n"))).drop("want")
+
+
+#: Whether a cell is taken whole or not at all, or its quota ends inside.
+WHOLE = "quota = 0 OR quota = n"
+PART = "quota > 0 AND quota < n"
+
+
+def _first(rows: DataFrame, keys: list[str], cells: list[str]) -> DataFrame:
+    """Adds ``extra`` to rows (keys, want, cells): 1 for the first ``want`` rows of a key by the cells, 0 for others.
+
+    Each level counts its cells and looks further only into the cell where the quota ends, so no task ranks a key's rows.
+    """
+    done = None
+    for cell in cells:
+        counted = _quotas(rows.groupBy(*keys, cell, "want").agg(F.count("*").alias("n")), keys, cell)
+        met = settle(rows.drop("want").join(counted, [*keys, cell]), "cells")
+        keys = [*keys, cell]
+        part = met.filter(WHOLE).withColumn("extra", (F.col("quota") > 0).cast("long")).drop("quota", "n")
+        done = part if done is None else done.unionByName(part)
+        rows = met.filter(PART).withColumnRenamed("quota", "want").drop("n")
+        if rows.isEmpty():
+            return done
+    # Only equal rows of one salt are left, which are interchangeable.
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(cells[-1]))
+    return done.unionByName(rows.withColumn("extra", (rank <= F.col("want")).cast("long")).drop("want"))
+
+
 def mix(
     docs: DataFrame,
     weights: tuple[float, ...] = WEIGHTS,
     budget: float = BUDGET,
     most: int = MOST,
     seed: int = SEED,
+    *,
+    keep_text: bool = False,
 ) -> DataFrame:
-    """How often the mix takes each document: row (a struct of all columns but text), size, source_size, target, copies, taken.
+    """How often the mix takes each document: row (a struct of all columns, but the text unless ``keep_text``), size,
+    source_size, target, copies, taken.
 
     Size is the number of words in the text (null: 0). A null source is a source, the last one. Documents of one
-    length are taken in order of a seeded hash of their id; rows that repeat an id are separate documents, and
-    equal rows are interchangeable. Documents without words are never taken. An empty table gives an empty result.
-    Reruns agree.
+    length are taken in order of a seeded hash of id and text; rows that repeat an id, or have none, are separate
+    documents, and rows that repeat both are interchangeable. Documents without words are never taken; very long texts
+    are counted whole. An empty table gives an empty result. Other columns are carried unread. Reruns agree.
     """
     need(docs, "doc_id", "text", "source")
-    draw = F.xxhash64(F.lit(seed), F.col("doc_id"))
+    draw = F.xxhash64(F.lit(seed), F.col("doc_id").isNull(), F.col("doc_id"), F.col("text"))
     sizes = settle(
         docs.select(
-            F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"),
+            carried(docs, *(() if keep_text else ("text",))),
             F.coalesce(F.col("source"), F.lit("")).alias("sk"),
             F.col("source").isNull().alias("sn"),
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
             draw.alias("draw"),
-            F.shiftrightunsigned(draw, 64 - RANGES.bit_length() + 1).cast("int").alias("range"),
+            F.shiftrightunsigned(draw, 64 - RANGE_BITS).cast("int").alias("range"),
+            F.pmod(F.monotonically_increasing_id(), F.lit(1 << RANGE_BITS)).cast("int").alias("salt"),
         ),
         "sizes",
     )
     ranges = settle(sizes.groupBy("sk", "sn", "size", "range").agg(F.count("*").alias("n")), "lengths")
     hist = ranges.groupBy("sk", "sn", "size").agg(F.sum("n").alias("n"))
     sources = hist.groupBy("sk", "sn").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
-    goal = targets(sources.withColumn("source", F.when(~F.col("sn"), F.col("sk"))), weights, budget, most).drop("source")
+    goal = targets(sources.select(F.when(~F.col("sn"), F.col("sk")).alias("source"), "source_size"), weights, budget, most)
+    goal = goal.select(F.coalesce("source", F.lit("")).alias("sk"), F.col("source").isNull().alias("sn"), "source_size", "target")
     fitted = (
         hist.join(goal.select("sk", "sn", "target"), ["sk", "sn"])
         .groupBy("sk", "sn")
         .applyInPandas(_fit_source(most), "sk string, sn boolean, size long, passes long, take long")
     )
-    below = Window.partitionBy("sk", "sn", "size").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    plan = (
-        ranges.join(fitted, ["sk", "sn", "size"])
-        .withColumn("below", F.coalesce(F.sum("n").over(below), F.lit(0)))
-        .select("sk", "sn", "size", "range", "passes", F.least(F.greatest(F.col("take") - F.col("below"), F.lit(0)), F.col("n")).alias("quota"), "n")
-    )
+    key = ["sk", "sn", "size"]
+    plan = _quotas(ranges.join(fitted.withColumnRenamed("take", "want"), key), key, "range")
     plan = settle(plan.join(goal, ["sk", "sn"]), "mix-plan")
-    cell = ["sk", "sn", "size", "range"]
-    met = sizes.join(plan, cell)
-    part = (F.col("quota") > 0) & (F.col("quota") < F.col("n"))
-    rank = F.row_number().over(Window.partitionBy(*cell).orderBy("draw", F.coalesce("row.doc_id", F.lit(NULL_ID))))
-    sure = met.filter(~part).withColumn("extra", (F.col("quota") > 0).cast("long"))
-    ranked = met.filter(part).withColumn("extra", (rank <= F.col("quota")).cast("long"))
+    met = sizes.join(plan, [*key, "range"])
+    sure = met.filter(WHOLE).withColumn("extra", (F.col("quota") > 0).cast("long")).drop("quota", "n")
+    open_ = settle(met.filter(PART).withColumnRenamed("quota", "want").drop("n"), "mix-open")
+    finer = open_.withColumn("next", F.shiftrightunsigned(F.shiftleft("draw", RANGE_BITS), 64 - RANGE_BITS).cast("int"))
+    ranked = _first(finer, [*key, "range"], ["next", "draw", "salt"]).drop("next")
     copies = F.when(F.col("size") > 0, F.col("passes") + F.col("extra")).otherwise(F.lit(0)).cast("long")
     return sure.unionByName(ranked).select(
         "row", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")

@@ -83,3 +83,45 @@ def test_fit_lengths_stays_near_a_large_budget():
         take = mixing.fit_lengths(lengths, counts, share * total)
         assert ((take >= 0) & (take <= counts)).all()
         assert abs(int((take * lengths).sum()) - share * total) <= 1
+
+
+def test_long_documents_are_not_preferred():
+    """A rest far beyond the programme's span goes to the lengths by share, not to the longest."""
+    rng = np.random.default_rng(7)
+    lengths = np.arange(50, 20_000, 7)
+    counts = rng.integers(1, 4, len(lengths))
+    total = int((lengths * counts).sum())
+    take = mixing.fit_lengths(lengths, counts, 0.3 * total)
+    assert abs(int((take * lengths).sum()) - 0.3 * total) <= 1
+    halves = np.array_split(np.arange(len(lengths)), 2)
+    shares = [take[h].sum() / counts[h].sum() for h in halves]
+    assert abs(shares[0] - shares[1]) < 0.03, shares
+
+
+def test_documents_longer_than_the_span():
+    lengths, counts = np.array([90_001, 120_000, 150_000]), np.array([4, 4, 4])
+    for budget in (89_000, 210_001, 500_000, 700_003):
+        take = mixing.fit_lengths(lengths, counts, budget)
+        best = max(s for c in itertools.product(range(5), repeat=3) if (s := int((np.array(c) * lengths).sum())) <= budget)
+        assert (take <= counts).all() and budget - int((take * lengths).sum()) <= max(budget - best, 150_000)
+
+
+def test_many_rows_without_id(spark):
+    """Unlike texts of one length and no id are told apart by their text; equal rows are interchangeable."""
+    rows = [(None, f"a{i} b c", "s") for i in range(300)] + [(None, "x y z", "s")] * 300 + [(i, "u v", "t") for i in range(10)]
+    docs = spark.createDataFrame([(*r, "clash", 0) for r in rows], SCHEMA)
+    once = sorted((r["row"]["text"], r.taken) for r in mixing.mix(docs, keep_text=True).collect())
+    again = sorted((r["row"]["text"], r.taken) for r in mixing.mix(docs.repartition(5), keep_text=True).collect())
+    assert once == again and len(once) == len(rows)
+    want = brute_targets({"s": 1800, "t": 20})
+    assert abs(sum(t for x, t in once if x != "u v") - want["s"]) <= 3
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_targets_match_sharing_by_hand(spark, seed):
+    rng = np.random.default_rng(seed)
+    sizes = {f"s{i}": int(10 ** rng.uniform(0, 6)) for i in range(40)} | {None: 77, "": 5}
+    frame = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, source_size long")
+    got = {r.source: r.target for r in mixing.targets(frame).collect()}
+    want = brute_targets(sizes)
+    assert got.keys() == want.keys() and all(got[s] == pytest.approx(want[s]) for s in want)
