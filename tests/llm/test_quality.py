@@ -62,3 +62,43 @@ def test_negative_risk_is_not_overfitted():
     model = quality.fit(positive, unlabelled, 0.5)
     assert model.score(rng.normal(1, 1, (500, k))).mean() > 0.9
     assert model.score(rng.normal(-1, 1, (500, k))).mean() < 0.1
+
+
+def test_prior_is_estimated_without_negatives():
+    rng = np.random.default_rng(9)
+    k = quality.N_FEATURES
+    for share in (0.2, 0.5, 0.8):
+        n = 3000
+        u = np.where(rng.random((n, 1)) < share, rng.normal(0.7, 1, (n, k)), rng.normal(-0.7, 1, (n, k)))
+        assert abs(quality.class_prior(rng.normal(0.7, 1, (n, k)), u) - share) < 0.07
+
+
+def test_risk_is_near_the_least_there_is():
+    """Against a plain minimiser of the written-out risk, with numeric gradients and many small steps."""
+    rng = np.random.default_rng(10)
+    k = quality.N_FEATURES
+    p, n = rng.normal(0.3, 1, (80, k)), rng.normal(-0.3, 1, (80, k))
+    u = np.concatenate([rng.normal(0.3, 1, (80, k)), n])
+    model = quality.fit(p, u, 0.5, decay=0.3)
+    dp, du = model.design(p), model.design(u)
+
+    def loss(w):
+        gp, gu = dp @ w, du @ w
+        own = 0.5 * np.mean(np.log1p(np.exp(-gp)))
+        return own + max(0.0, np.mean(np.log1p(np.exp(gu))) - 0.5 * np.mean(np.log1p(np.exp(gp)))) + 0.15 * w @ w
+
+    w = np.zeros(dp.shape[1])
+    eye = np.eye(len(w)) * 1e-5
+    for _ in range(400):
+        grad = np.array([(loss(w + e) - loss(w - e)) / 2e-5 for e in eye])
+        w -= 0.2 * grad
+    assert abs(loss(model.weights) - loss(w)) < 0.01 and loss(w) < 0.95 * loss(np.zeros(len(w)))
+    own, rest = quality.risk(model.weights, dp, du, 0.5)
+    assert abs(own + max(0.0, rest) + 0.15 * (model.weights @ model.weights) - loss(model.weights)) < 1e-9
+
+
+def test_repeated_rows_of_a_sampled_document_count_once(spark):
+    docs, labels, _ = tables(spark, 300)
+    once = quality.train(docs, labels, 50, 60)
+    many = quality.train(docs.unionByName(docs.filter("doc_id < 20")).unionByName(docs), labels, 50, 60)
+    assert np.allclose(once.weights, many.weights)
