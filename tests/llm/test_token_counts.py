@@ -76,3 +76,37 @@ def test_given_edits(spark, count):
     assert got[1].n_tokens_after == full(" 2 three", count) and got[1].n_edits == 2
     assert got[2].n_tokens == got[2].n_tokens_after == full("one", count)
     assert got[3].n_tokens_after == full("new words", count)
+
+
+def test_stored_trees_take_edits_again_and_again(spark, count):
+    rng = np.random.default_rng(31)
+    texts = {i: random_text(rng, int(rng.integers(0, 900))) for i in range(12)}
+    docs = spark.createDataFrame([(i, t, 1) for i, t in texts.items()], "doc_id long, text string, edits int")
+    trees = tc.build_trees(docs)
+    for _ in range(2):
+        table = []
+        for i, t in texts.items():
+            at = np.sort(rng.choice(len(t) + 1, min(len(t) + 1, 6), replace=False)).tolist()
+            table += [(i, a, b, random_text(rng, 3)) for a, b in zip(at[::2], at[1::2])] if i % 3 else []
+        edits = spark.createDataFrame(table, "doc_id long, start long, stop long, new string")
+        texts = {i: tc.apply_edits(t, [e[1:] for e in table if e[0] == i]) for i, t in texts.items()}
+        done = tc.edit_trees(trees, edits=edits)
+        for r in done.collect():
+            text = texts[r["row"]["doc_id"]]
+            assert r.text == text and (r.n_chars_after, r.n_tokens_after) == (len(text), full(text, count))
+            assert (r.n_reencoded == 0) == (r.n_edits == 0)
+            tree = tc.CountTree.unpacked(r.text, count, r.chars, r.tokens, r.sums)
+            assert (tree.sums == tc.CountTree(text, count).sums).all()
+        trees = tc.settle(done.select("row", "text", "chars", "tokens", "sums", tc.F.col("n_chars_after").alias("n_chars"), tc.F.col("n_tokens_after").alias("n_tokens")), "again")
+
+
+def test_many_edits_of_a_long_text_are_not_quadratic(count):
+    import time
+
+    text = "word by word 123 " * 60_000
+    tree = tc.CountTree(text, count)
+    began = time.time()
+    for at in range(len(text) - 20, 0, -100):
+        tree.edit(at, at + 3, "xy zw")
+    assert time.time() - began < 30
+    assert tree.tokens == full(tree.text, count)
