@@ -261,7 +261,8 @@ def nearest_neighbours(
         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("s"), "id", "v"
     )
     queries = asked.select((F.col("s") + length).alias("shard"), F.lit(1).alias("kind"), "id", "v", F.lit(None).cast("array<bigint>").alias("ids"))
-    dealt = graph.unionByName(queries).repartition(3 * shards, "shard").sortWithinPartitions("shard", "kind", "id")
+    # A shard is a task of its own, none has two: vectors of other lengths share the tasks, graph by graph.
+    dealt = graph.unionByName(queries).repartitionById(shards, F.pmod("shard", F.lit(shards)).cast("int")).sortWithinPartitions("shard", "kind", "id")
     found = dealt.mapInArrow(_search(nearest, ef), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= nearest)
