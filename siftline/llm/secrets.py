@@ -1,10 +1,11 @@
 """Secret scans on DataFrame functions alone: fixed patterns, and sliding-window entropy for the rest.
 
-A candidate is a run of at least ``WINDOW`` characters of the token alphabet. Its class (hex, letters and digits,
-or any token character) sets the entropy that one window of it must reach. The window slides one
+A candidate is a run of at least ``WINDOW`` characters of the token alphabet. Its class (hex, letters of one case or of
+both, letters and digits, or any token character) sets the entropy that one window of it must reach. The window slides one
 character at a time: the counts of the character that leaves and the one that enters change by one, and with them
-the running sum of n*log2(n) from which the entropy follows. Candidates on the allow-list (plain words, plain
-numbers, UUIDs, dotted versions, repeated characters, and stated placeholders) are suppressed.
+the running sum of n*log2(n) from which the entropy follows; the first window that reaches the bar ends the work. A
+candidate is parted into characters once, so time is linear in its length. Candidates on the allow-list (joined
+words, plain numbers, UUIDs, repeated characters, and stated placeholders) are suppressed.
 """
 
 from __future__ import annotations
@@ -23,16 +24,24 @@ BASE = (
 #: Words without which no assignment matches; a cheap test that spares most texts the pattern.
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 WINDOW = 20
-#: The lookbehind keeps a match from starting inside a run, the lookahead asks for a digit: words alone are no keys.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}"
-#: Bits that a window of each class must reach (a window of 20 has at most 4.32, of hex digits at most 4).
-THRESHOLDS = {"hex": 3.0, "alnum": 3.7, "token": 3.9}
+#: The lookbehind keeps a match from starting inside a run.
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+#: Class, what its candidates look like, and the bits that a window must reach; the first class that fits counts. A window of
+#: 20 has at most 4.32 bits, of hex digits at most 4; long words of letters alone stay below 3.65, drawn letters seldom.
+CLASSES = (
+    ("hex", r"^([0-9a-f]+|[0-9A-F]+)$", 3.0),
+    ("letters", r"^([a-z]+|[A-Z]+)$", 3.65),
+    ("mixed", r"^[A-Za-z]+$", 3.65),
+    ("alnum", r"^[A-Za-z0-9]+$", 3.7),
+    ("token", r"", 3.9),
+)
+#: Groups repeat possessively: the engine then loops instead of descending once for each part of a long candidate.
 ALLOWED = (
     r"^[0-9_=+/-]+$",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"^[A-Za-z]+[0-9]{1,4}$",
-    r"^[A-Za-z]+([-_/+=][A-Za-z]*[0-9]{0,4})+$",
-    r"^(.)\1+$",
+    r"^[A-Za-z]+(?:[-_/+=][A-Za-z]*+[0-9]{0,4}+)++$",
+    r"^(.)\1++$",
     r"(?i)(example|placeholder|changeme|xxxxxx|abcdef0123456789)",
 )
 #: Items that one inner pass appends to an array; keeps running sums linear in long texts.
@@ -70,31 +79,33 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
     )
 
 
-def peak_entropy(token: Column, window: int = WINDOW) -> Column:
-    """Largest Shannon entropy, in bits, of ``window`` consecutive characters of ``token`` (at least that long)."""
+def reaches(token: Column, bits: Column, window: int = WINDOW) -> Column:
+    """Whether ``window`` consecutive characters of ``token`` (at least that long) have a Shannon entropy of ``bits``."""
 
     def term(n: Column) -> Column:
         return F.when(n > 1, n * F.log2(n)).otherwise(F.lit(0.0))
 
-    chars = F.split(F.substring(token, 1, window), "")
-    first = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda s, c: s + term(F.size(F.filter(chars, lambda x: x == c))))
-    n_counts = F.transform(F.array_distinct(F.split(token, "")), lambda c: F.struct(c.alias("c"), F.size(F.filter(chars, lambda x: x == c)).alias("n")))
-    counts = F.map_from_entries(F.transform(n_counts, lambda e: F.struct(e["c"], e["n"])))
-
-    def slide(state: Column, i: Column) -> Column:
-        gone, new = F.substring(token, i, F.lit(1)), F.substring(token, i + window, F.lit(1))
+    # What depends on the whole token goes along in the state: in the step it would be worked out for every character.
+    # An entropy of ``bits`` is a sum of n*log2(n) over the window's counts of at most this.
+    most = window * (F.log2(F.lit(float(window))) - bits) + 1e-9
+    start = F.split(F.substring(token, 1, window), "")
+    every = F.split(token, "")
+    many = F.length(token) - window
+    first = F.aggregate(F.array_distinct(start), F.lit(0.0), lambda s, c: s + term(F.size(F.filter(start, lambda x: x == c))))
+    counts = F.map_from_entries(F.transform(F.array_distinct(every), lambda c: F.struct(c, F.size(F.filter(start, lambda x: x == c)))))
+    steps = F.zip_with(F.slice(every, F.lit(1), many), F.slice(every, F.lit(window + 1), many), lambda g, n: F.struct(g.alias("gone"), n.alias("new")))
+
+    def slide(state: Column, step: Column) -> Column:
+        gone, new = step["gone"], step["new"]
         out, into = F.element_at(state["counts"], gone), F.element_at(state["counts"], new)
-        moved = state["sum"] - term(out) + term(out - 1) - term(into) + term(into + 1)
+        total = state["sum"] - term(out) + term(out - 1) - term(into) + term(into + 1)
         changed = F.transform_values(state["counts"], lambda k, n: n - (k == gone).cast("int") + (k == new).cast("int"))
-        same = gone == new
-        total = F.when(same, state["sum"]).otherwise(moved)
-        return F.struct(
-            F.when(same, state["counts"]).otherwise(changed).alias("counts"), total.alias("sum"), F.least(state["low"], total).alias("low")
-        )
+        return F.when(state["hit"] | (gone == new), state).otherwise(held(changed, total, state["most"]))
 
-    slides = F.when(F.length(token) > window, F.sequence(F.lit(1), F.length(token) - window)).otherwise(F.array().cast("array<int>"))
-    lowest = F.aggregate(slides, F.struct(counts.alias("counts"), first.alias("sum"), first.alias("low")), slide, lambda s: s["low"])
-    return F.log2(F.lit(float(window))) - lowest / window
+    def held(counts: Column, total: Column, most: Column) -> Column:
+        return F.struct(counts.alias("counts"), total.alias("sum"), most.alias("most"), (total <= most).alias("hit"))
+
+    return F.aggregate(steps, held(counts, first, most), slide, lambda s: s["hit"])
 
 
 def _at_least(n: int):
@@ -105,12 +116,10 @@ def _suspicious(token: Column) -> Column:
     allowed = F.lit(False)
     for pattern in ALLOWED:
         allowed = allowed | token.rlike(pattern)
-    bar = (
-        F.when(token.rlike("^([0-9a-f]+|[0-9A-F]+)$"), F.lit(THRESHOLDS["hex"]))
-        .when(token.rlike("^[A-Za-z0-9]+$"), F.lit(THRESHOLDS["alnum"]))
-        .otherwise(F.lit(THRESHOLDS["token"]))
-    )
-    return ~allowed & (peak_entropy(token) >= bar)
+    bar = F.lit(CLASSES[-1][2])
+    for _, pattern, bits in CLASSES[-2::-1]:
+        bar = F.when(token.rlike(pattern), F.lit(bits)).otherwise(bar)
+    return ~allowed & reaches(token, bar)
 
 
 def _joined(spans: Column, kinds: list[str]) -> Column:
