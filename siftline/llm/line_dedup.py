@@ -80,7 +80,7 @@ class LineRuns:
 
     def __init__(self, spark: SparkSession, fanout: int = FANOUT):
         self.spark, self.fanout = spark, fanout
-        self.buckets = shuffle_partitions(spark)
+        self.buckets = max(1, shuffle_partitions(spark) // 4)  # hashes take a small part of the room of texts
         self.levels: list[list[DataFrame]] = []
         self._names: dict[int, str] = {}
 
@@ -106,7 +106,7 @@ class LineRuns:
 
     def _merged(self, runs: list[DataFrame]) -> DataFrame:
         """Runs as one. Their files are read plainly: a union of bucketed scans is taken for one that is partitioned by bucket."""
-        files = self.spark.read.schema(RUN).parquet(*[f for run in runs for f in run.inputFiles()])
+        files = self.spark.read.schema(RUN).parquet(*sorted({f.rpartition("/")[0] for run in runs for f in run.inputFiles()}))
         return files.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"), F.bool_or("is_new").alias("is_new"))
 
     def _forget(self, run: DataFrame) -> None:
@@ -186,7 +186,8 @@ def dedup_lines(
     spark = docs.sparkSession
     path = fresh_path(spark, "lines")
     part = F.pmod(F.xxhash64("doc_id", "m1"), F.lit(batches)).cast("int").alias("part")
-    line_hashes(docs, min_chars).select("*", part).write.option("compression", "zstd").partitionBy("part").parquet(path)
+    # Sorted by batch, so that a batch skips the row groups of the others.
+    line_hashes(docs, min_chars).select("*", part).sortWithinPartitions("part").write.option("compression", "zstd").parquet(path)
     hashes = spark.read.schema("h1 long, h2 long, doc_id long, m1 long, m2 long, part int").parquet(path)
     index = LineRuns(spark)
     for b in range(batches):

@@ -189,10 +189,11 @@ def mix(
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
             draw.alias("draw"),
             F.shiftrightunsigned(draw, 64 - RANGE_BITS).cast("int").alias("range"),
-            F.pmod(F.monotonically_increasing_id(), F.lit(1 << RANGE_BITS)).cast("int").alias("salt"),
+            F.monotonically_increasing_id().alias("number"),
         ),
         "sizes",
     )
+    slim = sizes.select("number", "sk", "sn", "size", "draw", "range", F.pmod("number", F.lit(1 << RANGE_BITS)).cast("int").alias("salt"))
     ranges = settle(sizes.groupBy("sk", "sn", "size", "range").agg(F.count("*").alias("n")), "lengths")
     hist = ranges.groupBy("sk", "sn", "size").agg(F.sum("n").alias("n"))
     sources = hist.groupBy("sk", "sn").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
@@ -206,15 +207,15 @@ def mix(
     key = ["sk", "sn", "size"]
     plan = _quotas(ranges.join(fitted.withColumnRenamed("take", "want"), key), key, "range")
     plan = settle(plan.join(goal, ["sk", "sn"]), "mix-plan")
-    met = sizes.join(plan, [*key, "range"])
+    met = slim.join(plan, [*key, "range"])
     sure = met.filter(WHOLE).withColumn("extra", (F.col("quota") > 0).cast("long")).drop("quota", "n")
     open_ = settle(met.filter(PART).withColumnRenamed("quota", "want").drop("n"), "mix-open")
     finer = open_.withColumn("next", F.shiftrightunsigned(F.shiftleft("draw", RANGE_BITS), 64 - RANGE_BITS).cast("int"))
     ranked = _first(finer, [*key, "range"], ["next", "draw", "salt"]).drop("next")
     copies = F.when(F.col("size") > 0, F.col("passes") + F.col("extra")).otherwise(F.lit(0)).cast("long")
-    return sure.unionByName(ranked).select(
-        "row", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
-    )
+    told = sure.unionByName(ranked).select("number", "source_size", "target", copies.alias("copies"))
+    # The documents move once, to what was told of them by number.
+    return sizes.select("number", "row", "size").join(told, "number").select("row", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -159,10 +159,13 @@ def _contexts_of(units: Units, first: np.ndarray, many: np.ndarray, window: int)
 def _sampled(shape: Shape):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE_BYTES):
+            grams, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for text in as_bytes(batch.column("text")):
                 units = shape.units(text)
                 for first, many, _, gram in owners(units, shape):
-                    yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(_contexts_of(units, first, many, shape.window))], names=["gram", "context"])
+                    grams.append(gram.view(np.int64))
+                    found.append(_contexts_of(units, first, many, shape.window))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (grams, found)], names=["gram", "context"])
 
     return run
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.llm.bktree import BITS, BKForest, Links
-from siftline.llm.common import IDENTITY, as_bytes, carried, forget, identity, need, row_schema, settle, slices, table
+from siftline.llm.common import IDENTITY, as_bytes, carried, forget, identity, need, release, row_schema, settle, slices, table
 from siftline.llm.components import components
 
 SEED = 42
@@ -184,8 +184,8 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, radius: int = RADIUS) -
     return prints.join(ids, "fp").select("row", "fp", "component_id")
 
 
-#: Classes of shingles that a document is also fingerprinted by, and shingles of a class at least (below twice as many).
-SLOTS = 16
+#: Classes of shingles that a document is keyed by, and shingles of a class at least (below twice as many).
+SLOTS = 64
 CLASS = 3
 #: Documents sampled to learn which shingles are common, those that a shingle must be in, and shingles kept at most.
 #: The sample only decides the order in which shingles make a prefix, never the result.
@@ -194,24 +194,28 @@ SAMPLE_OFTEN = 3
 COMMON = 200_000
 
 
-def _classes(hashes: np.ndarray) -> list[int]:
-    """Keys of the SimHash fingerprints of ``SLOTS`` classes of the distinct shingles.
+def _classes(hashes: np.ndarray) -> np.ndarray:
+    """Keys of up to ``SLOTS`` classes of the distinct shingles.
 
-    Shingles are dealt to 2**level classes by their hash, so that a class holds ``CLASS`` to 2 x ``CLASS`` of them. Of two
-    documents that share four shingles in five, some class is whole in both with a chance over 99 %. A document
-    just below a level's border is keyed on the next level too, where a partner up to a quarter larger is.
+    Shingles are dealt to 2**level classes by their hash, so that a class holds ``CLASS`` to 2 x ``CLASS`` of them; a key
+    stands for the shingles of one class. Two documents that share four shingles in five agree on a class with a chance
+    of about a quarter, and on none of 64 with one under 1e-6. A document just below a level's border is keyed
+    on the next level too, where a partner up to a quarter larger is.
     """
-    keys = []
+    keys = [np.zeros(0, dtype=np.uint64)]
     n = len(hashes)
     levels = {max(4, int(np.log2(max(x, 1) / CLASS))) for x in (n, 1.25 * n)} if n else set()
-    spread = _spread(hashes) >> np.uint64(32)
+    mixed = _spread(_spread(hashes) ^ (hashes >> np.uint64(29)))
     for level in sorted(levels):
-        slot = spread & np.uint64((1 << level) - 1)
-        for c in range(SLOTS):
-            own = hashes[slot == c]
-            if len(own):
-                keys.append(xxhash.xxh64_intdigest(np.array([level, c, fingerprint(own), len(own)], dtype=np.uint64).tobytes(), SEED))
-    return keys
+        slot = (_spread(hashes) >> np.uint64(32)) & np.uint64((1 << level) - 1)
+        order = np.argsort(slot, kind="stable")
+        order = order[: np.searchsorted(slot[order], SLOTS)]
+        if len(order):
+            own, begin, many = np.unique(slot[order], return_index=True, return_counts=True)
+            sums = np.add.reduceat(mixed[order], begin)
+            head = own * np.uint64(1 << 40) + many.astype(np.uint64) * np.uint64(64) + np.uint64(level)
+            keys.append(_spread(sums ^ _spread(head)))
+    return np.concatenate(keys)
 
 
 def _spread(hashes: np.ndarray) -> np.ndarray:
@@ -221,8 +225,8 @@ def _spread(hashes: np.ndarray) -> np.ndarray:
 def _some_shingles(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE_BYTES // 4):
-            for text in as_bytes(batch.column("text")):
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(text, width)).view(np.int64))], names=["token"])
+            own = [np.unique(shingle_hashes(t, width)) for t in as_bytes(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64))], names=["token"])
 
     return run
 
@@ -251,18 +255,17 @@ def prefix(distinct: np.ndarray, common: tuple[np.ndarray, np.ndarray], similari
     return distinct[np.lexsort((_spread(distinct), often))][: n - int(np.ceil(similarity * n - 1e-6)) + 1]
 
 
-def _sketches(width: int, similarity: float, common: tuple[np.ndarray, np.ndarray]):
+def _sketches(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE_BYTES):
-            sets, prints, counts, keys, heads = [], [], [], [], []
+            sets, prints, counts, keys = [], [], [], []
             for text in as_bytes(batch.column("text")):
                 hashes = shingle_hashes(text, width)
                 prints.append(fingerprint(hashes))
                 distinct = np.unique(hashes)
                 counts.append(len(distinct))
                 sets.append(xxhash.xxh3_128_digest(distinct.tobytes()))
-                keys.append(np.array(_classes(distinct), dtype=np.uint64).view(np.int64))
-                heads.append(prefix(distinct, common, similarity).tobytes())
+                keys.append(_classes(distinct).view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [
                     *[batch.column(c) for c in ("row", *IDENTITY)],
@@ -270,23 +273,22 @@ def _sketches(width: int, similarity: float, common: tuple[np.ndarray, np.ndarra
                     pa.array(counts, pa.int64()),
                     pa.array(np.array(prints, dtype=np.uint64).view(np.int64)),
                     pa.array([k.tolist() for k in keys], pa.list_(pa.int64())),
-                    pa.array(heads, pa.binary()),
                 ],
-                names=["row", *IDENTITY, "node", "n", "fp", "keys", "head"],
+                names=["row", *IDENTITY, "node", "n", "fp", "keys"],
             )
 
     return run
 
 
 def _pairs(similarity: float):
-    """Rows (key, n, node, hub_n, hub) sorted by key and size in, candidate pairs out: each row with the one before it, with
+    """Rows (key, n, short, hub_n, hub) sorted by key and size in, candidate pairs out: each row with the one before it, with
     the first row whose size lets it reach the similarity, and with the group's hub. What these leave is for ``_prefix_pairs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, centre, before = None, None, None
         for batch in batches:
             out = []
-            for k, n, node, *hub in zip(*[batch.column(c).to_pylist() for c in ("key", "n", "node", "hub_n", "hub")], strict=True):
+            for k, n, node, *hub in zip(*[batch.column(c).to_pylist() for c in ("key", "n", "short", "hub_n", "hub")], strict=True):
                 now = (n, node)
                 if k != key:
                     key, centre, before = k, now, now
@@ -297,26 +299,39 @@ def _pairs(similarity: float):
                         out.append((min(other, node), max(other, node)))
                 before = now
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
 
     return run
 
 
-def _sets(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", SLICE_BYTES // 4):
-            sets = [np.unique(shingle_hashes(t, width)).tobytes() for t in as_bytes(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], names=["node", "set"])
+#: Shingles of recent nodes that a task keeps.
+RECENT = 4_000_000
 
-    return run
 
+def _confirm(width: int, similarity: float):
+    """Pairs of nodes with their texts in, those whose sets reach the similarity out. Texts take less room on their way
+    than the hashes of their shingles."""
 
-def _confirm(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        recent: dict[bytes, np.ndarray] = {}
+        held = 0
+
+        def shingles(node: bytes, text: bytes | None) -> np.ndarray:
+            nonlocal held
+            if node not in recent:
+                own = np.unique(shingle_hashes(text, width))
+                if held + len(own) > RECENT:
+                    recent.clear()
+                    held = 0
+                recent[node] = own
+                held += len(own)
+            return recent[node]
+
         for batch in batches:
             keep = []
-            for i, (x, y) in enumerate(zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+            columns = [batch.column("u").to_pylist(), as_bytes(batch.column("x")), batch.column("v").to_pylist(), as_bytes(batch.column("y"))]
+            for i, (u, x, v, y) in enumerate(zip(*columns, strict=True)):
+                x, y = shingles(u, x), shingles(v, y)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 if both >= similarity * (len(x) + len(y) - both):
                     keep.append(i)
@@ -326,40 +341,48 @@ def _confirm(similarity: float):
     return run
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) of nodes, for the pairs (a, b) of short names whose sets (short, node, set) reach the similarity. Nodes
+def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Links (a, b) of nodes, for the pairs (a, b) of short names whose texts (short, node, text) reach the similarity. Nodes
     that share a short name are all compared."""
-    one = sets.select(F.col("short").alias("a"), F.col("node").alias("u"), F.col("set").alias("x"))
-    two = sets.select(F.col("short").alias("b"), F.col("node").alias("v"), F.col("set").alias("y"))
+    one = texts.select(F.col("short").alias("a"), F.col("node").alias("u"), F.col("text").alias("x"))
+    two = texts.select(F.col("short").alias("b"), F.col("node").alias("v"), F.col("text").alias("y"))
     met = pairs.join(one, "a").join(two, "b").filter("u <> v").select("u", "v", "x", "y")
-    return met.mapInArrow(_confirm(similarity), "a binary, b binary")
+    return met.mapInArrow(_confirm(width, similarity), "a binary, b binary")
 
 
-def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (short, label, n, head) in, (token, short, label, size) out: size is n and the token's place from 1, packed."""
-    for batch in slices(batches, "head", SLICE_BYTES // 8):
-        heads = [np.frombuffer(x, dtype=np.int64) for x in batch.column("head").to_pylist()]
-        many = np.array([len(x) for x in heads], dtype=np.int64)
-        of = pa.array(np.repeat(np.arange(len(heads)), many))
-        place = np.arange(1, many.sum() + 1) - np.repeat(np.cumsum(many) - many, many)
-        size = np.repeat(np.asarray(batch.column("n")).astype(np.int64), many) << 32 | place
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads)), *[batch.column(c).take(of) for c in ("short", "label")], pa.array(size)], names=["token", "short", "label", "size"])
+def _heads(width: int, similarity: float, common: tuple[np.ndarray, np.ndarray]):
+    """Rows (short, label, text) in, (token, short, label, size) of their prefixes out: size is that of the set and the token's
+    place from 1, packed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", SLICE_BYTES // 4):
+            sets = [np.unique(shingle_hashes(t, width)) for t in as_bytes(batch.column("text"))]
+            heads = [prefix(x, common, similarity).view(np.int64) for x in sets]
+            many = np.array([len(x) for x in heads], dtype=np.int64)
+            of = pa.array(np.repeat(np.arange(len(heads)), many))
+            place = np.arange(1, many.sum() + 1) - np.repeat(np.cumsum(many) - many, many)
+            size = np.repeat(np.array([len(x) for x in sets], dtype=np.int64), many) << 32 | place
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads)), *[batch.column(c).take(of) for c in ("short", "label")], pa.array(size)], names=["token", "short", "label", "size"])
+
+    return run
 
 
 def _meet(similarity: float):
-    """Rows of cells (token, lo, hi) sorted by cell in, pairs of unlike labels that can reach the similarity out."""
+    """Rows of cells (token, lo, hi) sorted by cell in, pairs of unlike labels out that share the token and can reach the
+    similarity: with the sizes of both, and the number of tokens at which they met."""
 
     def pairs(rows: np.ndarray) -> np.ndarray:
         lo, hi = rows[0, 1:3]
         x, y = (rows, rows) if lo == hi else (rows[rows[:, 3] == lo], rows[rows[:, 3] == hi])
         n, p = x[:, None, 4] >> 32, x[:, None, 4] & 0xFFFFFFFF
         m, q = y[None, :, 4] >> 32, y[None, :, 4] & 0xFFFFFFFF
-        # At the first token two sets share, at most the rest of the shorter tail is common.
-        most = 1 + np.minimum(n - p, m - q)
+        # No more is common than the tokens up to here and those of the shorter tail.
+        most = np.minimum(p, q) + np.minimum(n - p, m - q)
         can = (x[:, None, 5] != y[None, :, 5]) & (most + 1e-6 >= similarity * (n + m - most))
         i, j = np.nonzero(np.triu(can, 1) if lo == hi else can)
-        both = np.stack([x[i, 6], y[j, 6]], axis=1)
-        return np.unique(np.sort(both, axis=1), axis=0)
+        one, two = x[i][:, [6, 4]], y[j][:, [6, 4]]
+        turned = (one[:, 0] > two[:, 0])[:, None]
+        return np.hstack([np.where(turned, two, one), np.where(turned, one, two)])[:, [0, 2, 1, 3]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -368,15 +391,17 @@ def _meet(similarity: float):
             for cell in np.split(rows, cuts):
                 held.append(pairs(cell))
                 size += len(held[-1])
-                if size > 1 << 16:
+                if size > 1 << 17:
                     yield batch_of(held)
                     held, size = [], 0
             if size:
                 yield batch_of(held)
 
         def batch_of(held: list[np.ndarray]) -> pa.RecordBatch:
-            rows = np.unique(np.concatenate(held), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], names=["a", "b"])
+            rows = np.concatenate(held)
+            rows[:, 2:] >>= 32
+            rows, many = np.unique(rows, axis=0, return_counts=True)
+            return pa.RecordBatch.from_arrays([*[pa.array(rows[:, i]) for i in range(4)], pa.array(many)], names=["a", "b", "n", "m", "c"])
 
         rest = np.zeros((0, 7), dtype=np.int64)
         for batch in batches:
@@ -397,32 +422,35 @@ def _meet(similarity: float):
 BLOCK = 256
 
 
-def _prefix_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
+def _prefix_pairs(heads: DataFrame, similarity: float) -> DataFrame:
     """Distinct pairs (a, b) of short names of unlike labels, among them all that reach the similarity: an exact prefix join.
 
-    nodes: short, label, n, head (see ``prefix``). Sets of a shingle are dealt to blocks and every two blocks meet in
-    a cell of their own, so no task holds a whole shingle. Shingles of one label only are left out.
+    heads: from ``_heads``. Sets of a shingle are dealt to blocks and every two blocks meet in
+    a cell of their own, so no task holds a whole shingle. Shingles of one label only are left out. What two sets share
+    is in both prefixes, and then counted, or behind the end of one of them, so the count bounds it.
     """
-    heads = nodes.select("short", "label", "n", "head").mapInArrow(_heads, "token long, short long, label long, size long")
     held = heads.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).alias("k"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
     dealt = heads.join(held.select("token", "k"), "token").withColumn("block", F.pmod(F.xxhash64("short"), "k"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
     cells = dealt.select("token", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "size", "label", "short")
-    return cells.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi").mapInArrow(_meet(similarity), "a long, b long").distinct()
+    met = cells.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi").mapInArrow(_meet(similarity), "a long, b long, n long, m long, c long")
+    behind = F.ceil(similarity * F.greatest("n", "m") - 1e-6) - 1
+    enough = F.col("c") + behind + 1e-6 >= similarity / (1 + similarity) * (F.col("n") + F.col("m"))
+    return met.groupBy("a", "b", "n", "m").agg(F.sum("c").alias("c")).filter(enough).select("a", "b").distinct()
 
 
 def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 3) -> DataFrame:
     """(row, doc, m1, m2, first_doc, first_m1, first_m2): the least document of each one's group of near duplicates.
 
     Documents are near duplicates where their sets of ``width``-word shingles have a Jaccard similarity of at least
-    ``similarity``; groups are connected components, and no link is lost. Equal sets are one node. Candidates come in
-    two steps, and every link is confirmed on the whole sets:
+    ``similarity``; groups are connected components. Equal sets are one node. Candidates come in two steps, and every link is
+    confirmed on the whole sets:
 
-    1. Nodes whose SimHash fingerprints BK-trees link within ``radius`` bits, and nodes that share the fingerprint of a
-       class of shingles (see ``_classes``): each with its neighbour and with the group's hub, the node whose keys
-       most others share. This joins large groups without looking at all their pairs.
-    2. All nodes, whatever step 1 found, meet in an exact prefix join; only pairs that step 1 left in different groups
-       are compared.
+    1. Nodes whose SimHash fingerprints BK-trees link within ``radius`` bits, and nodes that share the key of a class of
+       shingles (see ``_classes``): each with its neighbour and with the group's hub, the node whose keys most
+       others share. This joins large groups without looking at all their pairs.
+    2. Nodes of the groups that step 1 left in several parts meet in an exact prefix join, whatever their number; only
+       pairs of different parts are compared.
 
     A document is its ``IDENTITY``: rows that repeat id and text are one document; different texts of one id, or of none,
     are separate ones. A text of fewer words is one shingle; null and empty texts have none and are equal to each
@@ -431,48 +459,57 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     need(docs, "doc_id", "text")
     spark = docs.sparkSession
     keyed = docs.select(carried(docs, "text"), *identity(), "text")
-    sketch = _sketches(width, similarity, common_shingles(keyed, width))
-    found = settle(keyed.mapInArrow(sketch, row_schema(keyed, "doc long, m1 long, m2 long, node binary, n long, fp long, keys array<long>, head binary")), "sketches")
+    found = settle(keyed.mapInArrow(_sketches(width), row_schema(keyed, "doc long, m1 long, m2 long, node binary, n long, fp long, keys array<long>")), "sketches")
     least = F.min(F.struct(*IDENTITY))
     nodes = settle(found.groupBy("node").agg(least.alias("r"), F.first("n").alias("n"), F.first("fp").alias("fp")).select("node", "r.*", "n", "fp", F.xxhash64("node").alias("short")), "nodes")
-    of_nodes = found.select(*IDENTITY, "node", "keys", "head").join(nodes.select(*IDENTITY, "node"), [*IDENTITY, "node"], "left_semi")
 
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        """(short, node, set) of the ends of pairs of short names."""
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("short")).distinct()
-        asked = nodes.join(ends, "short", "left_semi").select(*IDENTITY, "node")
-        texts = keyed.select(*IDENTITY, "text").join(asked.hint("shuffle_hash"), list(IDENTITY))
-        sets = texts.select("node", "text").mapInArrow(_sets(width), "node binary, set binary").dropDuplicates(["node"])
-        return settle(sets.select(F.xxhash64("node").alias("short"), "node", "set"), "sets")
+    def texts_of(shorts: DataFrame) -> DataFrame:
+        """(short, node, text) of nodes by short name, one text for each node."""
+        asked = nodes.join(shorts.distinct(), "short", "left_semi").select(*IDENTITY, "node", "short")
+        texts = keyed.select(*IDENTITY, "text").join(asked.hint("shuffle_hash"), list(IDENTITY)).dropDuplicates(list(IDENTITY))
+        texts = settle(texts.select("short", "node", "text"), "texts")
+        release(spark)
+        return texts
 
     # Step 1.
-    own = of_nodes.join(nodes.select("node", "n", "fp"), "node").select("node", "n", F.explode(F.array_append("keys", F.xxhash64("fp"))).alias("key")).distinct()
-    own = settle(own, "keys")
-    shared = own.join(own.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "key")
-    votes = shared.groupBy("node").agg(F.sum("size").alias("votes"))
-    hubs = shared.join(votes, "node").groupBy("key").agg(F.max(F.struct("votes", "n", "node")).alias("hub"))
-    ranked = shared.join(hubs, "key").select("key", "n", "node", F.col("hub.n").alias("hub_n"), F.col("hub.node").alias("hub")).sortWithinPartitions("key", "n", "node")
-    met = ranked.mapInArrow(_pairs(similarity), "a binary, b binary")
+    first = found.select(*IDENTITY, "node", "keys").join(nodes.drop("short"), [*IDENTITY, "node"]).dropDuplicates([*IDENTITY, "node"])
+    own = first.select(F.xxhash64("node").alias("short"), "n", F.explode(F.array_append("keys", F.xxhash64("fp"))).alias("key")).repartition("key")
+    sizes = own.groupBy("key").agg(F.count("*").alias("size"), F.max("short"), F.max("n")).filter("size > 1").select("key", "size")
+    shared = settle(own.join(sizes, "key"), "keys")  # both sides read one exchange, as they need the same columns
+    release(spark)
+    votes = shared.groupBy("short").agg(F.sum("size").alias("votes"))
+    hubs = shared.join(votes, "short").groupBy("key").agg(F.max(F.struct("votes", "n", "short")).alias("hub"))
+    ranked = shared.join(hubs, "key").select("key", "n", "short", F.col("hub.n").alias("hub_n"), F.col("hub.short").alias("hub")).sortWithinPartitions("key", "n", "short")
+    met = ranked.mapInArrow(_pairs(similarity), "a long, b long")
     trees = link_fingerprints(nodes.select("fp").distinct(), radius)
-    of_print = nodes.groupBy("fp").agg(F.min("node").alias("node"))
-    linked = trees.join(of_print.select(F.col("fp").alias("a"), F.col("node").alias("u")), "a").join(of_print.select(F.col("fp").alias("b"), F.col("node").alias("v")), "b")
-    pairs = settle(met.unionByName(linked.select(F.col("u").alias("a"), F.col("v").alias("b"))).select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b")).distinct(), "pairs")
-    first_sets = sets_of(pairs)
-    first_links = settle(_confirmed(pairs, first_sets, similarity), "links")
+    of_print = nodes.groupBy("fp").agg(F.min("short").alias("short"))
+    linked = trees.join(of_print.select(F.col("fp").alias("a"), F.col("short").alias("u")), "a").join(of_print.select(F.col("fp").alias("b"), F.col("short").alias("v")), "b")
+    pairs = settle(met.unionByName(linked.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))).distinct(), "pairs")
+    first_texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("short")))
+    first_links = settle(_confirmed(pairs, first_texts, width, similarity), "links")
     labels = settle(components(first_links), "labels")
-    for done in (own, pairs, first_sets, first_links):
+    for done in (pairs, first_texts, first_links):
         forget(spark, done)
+    release(spark)
 
     # Step 2.
     def labelled(labels: DataFrame) -> DataFrame:
         return nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
-    heads = of_nodes.select("node", "head").dropDuplicates(["node"]).join(labelled(labels).select("node", "short", "n", F.xxhash64("label").alias("label")), "node")
-    pairs = settle(_prefix_pairs(heads, similarity), "rest-pairs")
-    rest_sets = sets_of(pairs)
-    more = settle(_confirmed(pairs, rest_sets, similarity), "more")
-    for done in (pairs, rest_sets):
+    # Of groups up to three rows all pairs were compared.
+    part = shared.filter("size > 3").join(labelled(labels).select("short", F.xxhash64("label").alias("label")), "short")
+    unlike = part.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
+    rest = settle(part.join(unlike, "key", "left_semi").select("short", "label").distinct(), "rest")
+    forget(spark, shared)
+    rest_texts = texts_of(rest.select("short"))
+    heads = rest_texts.join(rest, "short").select("short", "label", "text")
+    heads = heads.mapInArrow(_heads(width, similarity, common_shingles(rest_texts, width)), "token long, short long, label long, size long")
+    pairs = settle(_prefix_pairs(heads.repartition("token"), similarity), "rest-pairs")
+    release(spark)
+    more = settle(_confirmed(pairs, rest_texts, width, similarity), "more")
+    for done in (pairs, rest, rest_texts):
         forget(spark, done)
+    release(spark)
     if not more.isEmpty():
         labels = components(more.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
     groups = labelled(labels).select("node", "label", F.struct(*IDENTITY).alias("r"))

@@ -91,8 +91,8 @@ def test_prefix_join_misses_no_pair(spark):
     common = token[many > 5], many[many > 5]
     old, simhash.BLOCK = simhash.BLOCK, 3
     try:
-        rows = [(i, i, len(s), bytearray(simhash.prefix(s, common, 0.8).tobytes())) for i, s in enumerate(sets)]
-        frame = spark.createDataFrame(rows, "short long, label long, n long, head binary")
+        rows = [(int(t), i, i, len(s) << 32 | p) for i, s in enumerate(sets) for p, t in enumerate(simhash.prefix(s, common, 0.8), 1)]
+        frame = spark.createDataFrame(rows, "token long, short long, label long, size long")
         got = {(r.a, r.b) for r in simhash._prefix_pairs(frame, 0.8).collect()}
     finally:
         simhash.BLOCK = old
@@ -102,18 +102,24 @@ def test_prefix_join_misses_no_pair(spark):
     assert all(a < b for a, b in got)
 
 
-def test_step_two_alone_loses_no_link(spark, monkeypatch):
-    """Without the keys of step 1 the exact join finds every link by itself."""
-    monkeypatch.setattr(simhash, "_classes", lambda hashes: [])
+def test_pairs_at_the_border_are_all_found(spark):
+    """Many pairs just above 0.8, of any size: the classes of shingles miss none."""
     rng = np.random.default_rng(21)
     rows = []
-    for i in range(30):
-        base = [f"v{x}" for x in rng.integers(0, 400, int(rng.integers(6, 120)))]
-        for k in range(4):
-            copy = list(base)
-            copy[int(rng.integers(len(copy)))] = f"x{k}"
-            rows.append((i * 10 + k, " ".join(copy)))
-    assert groups_of(spark, rows) == brute(rows)
+    for i in range(400):
+        n = int(rng.integers(12, 600))
+        base = [f"v{i}_{x}" for x in range(n)]
+        copy = list(base)
+        for at in rng.choice(n, max(1, n // 46), replace=False):
+            copy[at] = "x"
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(copy))]
+    got = groups_of(spark, rows)
+    want = []
+    for (d, x), (e, y) in zip(rows[::2], rows[1::2]):
+        x, y = shingles(x), shingles(y)
+        want += [(d, d), (e, d if len(x & y) >= 0.8 * len(x | y) else e)]
+    assert got == want
+    assert sum(d != f for d, f in want) > 150
 
 
 def test_unlike_texts_without_id_or_of_one_id_stay_apart(spark):
