@@ -80,7 +80,8 @@ class LineRuns:
 
     def __init__(self, spark: SparkSession, fanout: int = FANOUT):
         self.spark, self.fanout = spark, fanout
-        self.buckets = max(1, shuffle_partitions(spark) // 4)  # hashes take a small part of the room of texts
+        # As many as the session's partitions: where a task holds rows of other buckets, each task writes a file for each of them.
+        self.buckets = shuffle_partitions(spark)
         self.levels: list[list[DataFrame]] = []
         self._names: dict[int, str] = {}
 
