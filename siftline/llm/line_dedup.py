@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from siftline.llm.common import IDENTITY, NULL_ID, as_bytes, carried, forget, fresh_path, identity, need, row_schema, shuffle_partitions, slices, table
+from siftline.llm.common import IDENTITY, NULL_ID, as_bytes, carried, forget, fresh_path, identity, need, row_schema, settle, shuffle_partitions, slices, table
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -116,7 +116,8 @@ class LineRuns:
 
     def ingest(self, hashes: DataFrame) -> None:
         """Merge-anti-join a batch with the runs, add it as a run, then compact the levels that are full."""
-        batch = hashes.repartition(self.buckets, "h1", "h2").groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("max_doc"))
+        # Summed up before it moves; the groups then lie as the buckets do.
+        batch = hashes.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("max_doc"))
         known = F.lit(False)
         for i, run in enumerate(self.runs()):
             held = run.filter("is_new").select("h1", "h2", F.lit(True).alias(f"in_{i}"))
@@ -193,7 +194,8 @@ def dedup_lines(
     index = LineRuns(spark)
     for b in range(batches):
         index.ingest(hashes.filter(F.col("part") == b))
-    frequent = index.frequent(min_docs)
+    # Settled, its size is known: a small table is broadcast, and beside a larger one the rows of a very common line can be split.
+    frequent = settle(index.frequent(min_docs), "frequent")
     gone = (
         hashes.join(frequent, ["h1", "h2"])
         .filter(F.col("doc_id").isNull() & F.col("max_doc").isNotNull() | (F.col("doc_id") < F.col("max_doc")))
