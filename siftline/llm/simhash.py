@@ -350,9 +350,23 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, similarity: float
     return met.mapInArrow(_confirm(width, similarity), "a binary, b binary")
 
 
+#: Longs of a parity bitmap: 256 bits.
+BITMAP = 4
+HEAD_NAMES = ["token", "short", "label", "size", *[f"bits{i}" for i in range(BITMAP)]]
+HEAD = ", ".join(f"{c} long" for c in HEAD_NAMES)
+
+
+def parity_bitmap(distinct: np.ndarray) -> np.ndarray:
+    """Which bits an odd number of the set's hashes fall on. What two sets share cancels out, so their bitmaps differ in no
+    more bits than the sets in elements."""
+    bits = BITMAP * 64
+    odd = np.bincount((_spread(distinct) >> np.uint64(32)).astype(np.int64) % bits, minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _heads(width: int, similarity: float, common: tuple[np.ndarray, np.ndarray]):
-    """Rows (short, label, text) in, (token, short, label, size) of their prefixes out: size is that of the set and the token's
-    place from 1, packed."""
+    """Rows (short, label, text) in, (token, short, label, size, bitmap) of their prefixes out: size is that of the set and
+    the token's place from 1, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE_BYTES // 4):
@@ -362,7 +376,9 @@ def _heads(width: int, similarity: float, common: tuple[np.ndarray, np.ndarray])
             of = pa.array(np.repeat(np.arange(len(heads)), many))
             place = np.arange(1, many.sum() + 1) - np.repeat(np.cumsum(many) - many, many)
             size = np.repeat(np.array([len(x) for x in sets], dtype=np.int64), many) << 32 | place
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads)), *[batch.column(c).take(of) for c in ("short", "label")], pa.array(size)], names=["token", "short", "label", "size"])
+            bits = np.repeat(np.stack([parity_bitmap(x) for x in sets]), many, axis=0)
+            columns = [pa.array(np.concatenate(heads)), *[batch.column(c).take(of) for c in ("short", "label")], pa.array(size), *[pa.array(bits[:, i]) for i in range(BITMAP)]]
+            yield pa.RecordBatch.from_arrays(columns, names=HEAD_NAMES)
 
     return run
 
@@ -380,6 +396,10 @@ def _meet(similarity: float):
         most = np.minimum(p, q) + np.minimum(n - p, m - q)
         can = (x[:, None, 5] != y[None, :, 5]) & (most + 1e-6 >= similarity * (n + m - most))
         i, j = np.nonzero(np.triu(can, 1) if lo == hi else can)
+        # Nor more than the bits in which the bitmaps differ allow.
+        both = (n[i, 0] + m[0, j]).astype(np.float64)
+        near = (both - np.bitwise_count((x[i, 7:] ^ y[j, 7:]).view(np.uint64)).sum(axis=1, dtype=np.int64)) / 2 + 1e-6 >= similarity / (1 + similarity) * both
+        i, j = i[near], j[near]
         one, two = x[i][:, [6, 4]], y[j][:, [6, 4]]
         turned = (one[:, 0] > two[:, 0])[:, None]
         return np.hstack([np.where(turned, two, one), np.where(turned, one, two)])[:, [0, 2, 1, 3]]
@@ -403,7 +423,7 @@ def _meet(similarity: float):
             rows, many = np.unique(rows, axis=0, return_counts=True)
             return pa.RecordBatch.from_arrays([*[pa.array(rows[:, i]) for i in range(4)], pa.array(many)], names=["a", "b", "n", "m", "c"])
 
-        rest = np.zeros((0, 7), dtype=np.int64)
+        rest = np.zeros((0, 7 + BITMAP), dtype=np.int64)
         for batch in batches:
             rows = np.concatenate([rest, np.stack([np.asarray(c).astype(np.int64) for c in batch.columns], axis=1)])
             if len(rows):
@@ -432,7 +452,7 @@ def _prefix_pairs(heads: DataFrame, similarity: float) -> DataFrame:
     held = heads.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).alias("k"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
     dealt = heads.join(held.select("token", "k"), "token").withColumn("block", F.pmod(F.xxhash64("short"), "k"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
-    cells = dealt.select("token", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "size", "label", "short")
+    cells = dealt.select("token", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "size", "label", "short", *HEAD_NAMES[4:])
     met = cells.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi").mapInArrow(_meet(similarity), "a long, b long, n long, m long, c long")
     behind = F.ceil(similarity * F.greatest("n", "m") - 1e-6) - 1
     enough = F.col("c") + behind + 1e-6 >= similarity / (1 + similarity) * (F.col("n") + F.col("m"))
@@ -503,7 +523,7 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     forget(spark, shared)
     rest_texts = texts_of(rest.select("short"))
     heads = rest_texts.join(rest, "short").select("short", "label", "text")
-    heads = heads.mapInArrow(_heads(width, similarity, common_shingles(rest_texts, width)), "token long, short long, label long, size long")
+    heads = heads.mapInArrow(_heads(width, similarity, common_shingles(rest_texts, width)), HEAD)
     pairs = settle(_prefix_pairs(heads.repartition("token"), similarity), "rest-pairs")
     release(spark)
     more = settle(_confirmed(pairs, rest_texts, width, similarity), "more")

@@ -91,8 +91,8 @@ def test_prefix_join_misses_no_pair(spark):
     common = token[many > 5], many[many > 5]
     old, simhash.BLOCK = simhash.BLOCK, 3
     try:
-        rows = [(int(t), i, i, len(s) << 32 | p) for i, s in enumerate(sets) for p, t in enumerate(simhash.prefix(s, common, 0.8), 1)]
-        frame = spark.createDataFrame(rows, "token long, short long, label long, size long")
+        rows = [(int(t), i, i, len(s) << 32 | p, *simhash.parity_bitmap(s).tolist()) for i, s in enumerate(sets) for p, t in enumerate(simhash.prefix(s, common, 0.8), 1)]
+        frame = spark.createDataFrame(rows, simhash.HEAD)
         got = {(r.a, r.b) for r in simhash._prefix_pairs(frame, 0.8).collect()}
     finally:
         simhash.BLOCK = old
