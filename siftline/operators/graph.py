@@ -63,15 +63,16 @@ def component_labels(nodes: DataFrame, edges: DataFrame, structure: str, key: st
     return rows.groupBy(structure).applyInPandas(label, f"{structure} {kind}, {key} long, component long")
 
 
-def spread_components(edges: DataFrame, nodes: DataFrame, key: str, most_rounds: int = 60) -> DataFrame:
+def spread_components(edges: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
     """(key, component) of one graph of any size: least label among neighbours, with a jump to the label's label.
 
-    Each round is checkpointed to the shared folder, so a lost executor costs a re-read and the plan stays short.
+    Rounds go on until no label moves; labels only fall, so that comes. Each round is checkpointed to the shared folder, so a
+    lost executor costs a re-read and the plan stays short.
     """
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     both = both.distinct().checkpoint()
     labels = nodes.select(F.col(key).alias("v"), F.col(key).alias("l")).checkpoint()
-    for _ in range(most_rounds):
+    while True:
         near = both.join(labels.select(F.col("v").alias("dst"), "l"), "dst").groupBy("src").agg(F.min("l").alias("m"))
         stepped = labels.join(near, labels["v"] == near["src"], "left").select("v", "l", F.least("l", F.coalesce("m", "l")).alias("n"))
         jump = stepped.select(F.col("v").alias("n"), F.col("n").alias("j"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from functools import reduce
 
@@ -61,8 +62,14 @@ def unpivot(frame: DataFrame, ids: list[str], values: list[str], name: str, valu
 
 
 def pin(frame: DataFrame) -> DataFrame:
-    """Cuts lineage in the shared folder: what follows may read the rows several times. The folder is set only where unset."""
+    """Cuts lineage in the shared folder: what follows may read the rows several times. The folder is set only where unset: a
+    local master gets one of its own, as in tests; on a cluster none could be guessed, so that is an error."""
     context = frame.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(frame.sparkSession.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/siftline-checkpoints")
+        folder = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = f"{tempfile.gettempdir()}/siftline-checkpoints"
+        context.setCheckpointDir(folder)
     return frame.checkpoint()
