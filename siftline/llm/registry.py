@@ -13,6 +13,7 @@ from siftline.llm import (
     simhash,
     suffix_dedup,
     token_counts,
+    vector_dedup,
 )
 
 QUERIES = {
@@ -26,9 +27,11 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_quality": quality.op9_quality,
     "op10_secrets": secrets.op10_secrets,
+    "op12_vector_dedup": vector_dedup.op12_vector_dedup,
 }
 ORACLES = {
     "op5_decontaminate": decontaminate.ORACLE_SQL,
     "op6_line_dedup": line_dedup.ORACLE_SQL,
     "op7_phrase_dedup": phrase_dedup.ORACLE_SQL,
+    "op12_vector_dedup": vector_dedup.ORACLE_SQL,
 }
