@@ -5,6 +5,7 @@ from __future__ import annotations
 from siftline.llm import (
     decontaminate,
     hnsw,
+    lexical,
     line_dedup,
     mixing,
     phrase_dedup,
@@ -27,11 +28,13 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_quality": quality.op9_quality,
     "op10_secrets": secrets.op10_secrets,
+    "op11_lexical": lexical.op11_lexical,
     "op12_vector_dedup": vector_dedup.op12_vector_dedup,
 }
 ORACLES = {
     "op5_decontaminate": decontaminate.ORACLE_SQL,
     "op6_line_dedup": line_dedup.ORACLE_SQL,
     "op7_phrase_dedup": phrase_dedup.ORACLE_SQL,
+    "op11_lexical": lexical.ORACLE_SQL,
     "op12_vector_dedup": vector_dedup.ORACLE_SQL,
 }
