@@ -68,6 +68,12 @@ def _tails(frame: DataFrame, by: list[str], truth: str, prediction: str, tie: st
     return among_top(flagged, by, "y", k(F.col("y_total")), tie, "y_above", "y_ties", "told")
 
 
+def tail_flags(frame: DataFrame, by: list[str], truth: str, prediction: str, tie: str, bad_fraction: float = 0.2) -> DataFrame:
+    """Complete pairs (by, tie, truth, prediction) with ``bad`` and ``told``: in the worst tail by truth, and by prediction."""
+    flagged = _tails(frame, by, truth, prediction, tie, lambda total: F.ceil(F.lit(bad_fraction) * total))
+    return flagged.select(*by, tie, F.col("x").alias(truth), F.col("y").alias(prediction), "bad", "told")
+
+
 def _recall() -> Column:
     return F.try_divide(F.count_if(F.col("bad") & F.col("told")).cast("double"), F.count_if("bad"))
 

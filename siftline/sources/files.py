@@ -134,8 +134,8 @@ def sheet(cells: DataFrame, name: str) -> DataFrame:
     return wide.select("row", *[F.col(f"`{h.value}`") for h in header])
 
 
-def normalise_sequences(frame: DataFrame) -> DataFrame:
-    """antibody_name, vh_, vl_protein_sequence, heavy_ and light_aligned_aho with the fallbacks of older layouts.
+def normalise_sequences(frame: DataFrame, *keep: str) -> DataFrame:
+    """antibody_name, vh_, vl_protein_sequence, heavy_ and light_aligned_aho with the fallbacks of older layouts, after ``keep``.
 
     ``aligned_source`` says whether the alignment was there or raw sequences stand in for it.
     """
@@ -147,7 +147,7 @@ def normalise_sequences(frame: DataFrame) -> DataFrame:
     vh, vl = pick("vh_protein_sequence", "protein_sequence"), pick("vl_protein_sequence", "lc_protein_sequence", default="")
     aligned = {"heavy_aligned_aho", "light_aligned_aho"} <= have
     return frame.select(
-        pick("antibody_name", "antibody_id").cast("string").alias("antibody_name"), vh.alias("vh_protein_sequence"), vl.alias("vl_protein_sequence"),
+        *keep, pick("antibody_name", "antibody_id").cast("string").alias("antibody_name"), vh.alias("vh_protein_sequence"), vl.alias("vl_protein_sequence"),
         (F.col("heavy_aligned_aho") if aligned else vh).alias("heavy_aligned_aho"), (F.col("light_aligned_aho") if aligned else vl).alias("light_aligned_aho"),
         F.lit("aligned" if aligned else "raw").alias("aligned_source"),
     )

@@ -61,15 +61,20 @@ def unpivot(frame: DataFrame, ids: list[str], values: list[str], name: str, valu
     return frame.select(*ids, *[F.col(f"`{v}`").cast("double").alias(v) for v in values]).unpivot(ids, values, name, value)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``. Where it is unset, a local master gets one of its own, as in
+    tests; on a cluster none could be guessed, so that is an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = f"{tempfile.gettempdir()}/siftline-checkpoints"
+    return folder.rstrip("/")
+
+
 def pin(frame: DataFrame) -> DataFrame:
-    """Cuts lineage in the shared folder: what follows may read the rows several times. The folder is set only where unset: a
-    local master gets one of its own, as in tests; on a cluster none could be guessed, so that is an error."""
+    """Cuts lineage in the shared folder: what follows may read the rows several times."""
     context = frame.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        folder = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = f"{tempfile.gettempdir()}/siftline-checkpoints"
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(frame.sparkSession))
     return frame.checkpoint()
