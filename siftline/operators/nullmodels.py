@@ -1,42 +1,87 @@
-"""Null models by seeded hash order, and the verdicts drawn from them. Everything is a window over a bounded group."""
+"""Null models by seeded hash order, and the verdicts drawn from them. Groups may be of any size: rows are numbered and shifted
+bucket by bucket of the order (see ``order``), and all replicates are rows of one table."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from siftline.operators.order import hash_bucket, hashed, met, numbered, numbered_by
+from siftline.operators.ranking import both_ranked
+from siftline.tables import pin
 
-def draw(seed: int, key: str, *more: Column) -> Column:
-    """A reproducible order: md5 of seed and key as text."""
-    return F.md5(F.concat_ws("|", F.lit(seed), *more, F.col(key).cast("string")))
+
+def _replicated(frame: DataFrame, seeds: list[int], key: str) -> DataFrame:
+    """Every row once for each seed (``replicate``), with its place ``__h`` in that seed's order."""
+    many = frame.withColumn("replicate", F.explode(F.array(*map(F.lit, seeds))))
+    return many.withColumn("__h", hashed(F.col("replicate"), key))
 
 
-def _shifted(frame: DataFrame, by: list[str], key: str, value: str, out: str, order: list[Column]) -> DataFrame:
-    """Adds the value of the next row in the order; the last row of a group gets the first one's."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return frame.withColumn(out, F.coalesce(F.lead(value).over(w), F.first_value(value).over(w)))
+def derange_replicates(frame: DataFrame, by: list[str], key: str, value: str, seeds: list[int], out: str = "scrambled") -> DataFrame:
+    """One derangement for each seed, as rows with ``replicate``: every row gets ``value`` of the next row of its group in a
+    seeded order, the last row the first one's, so no row keeps its own and composition stays. A group of one
+    cannot be deranged (``non_derangeable``).
+
+    The next row is in the same bucket of the order, or it is the first of the next bucket that holds any: only those
+    first rows, at most one a bucket, are brought into line.
+    """
+    dealt = _replicated(frame, seeds, key).withColumn("__bucket", hash_bucket(F.col("__h")))
+    on = [*by, "replicate"]
+    order = Window.partitionBy(*on, "__bucket").orderBy("__h", key)
+    held = F.struct(F.col(value).alias("v"))  # tells a NULL value from no next row
+    firsts = dealt.groupBy(*on, "__bucket").agg(F.min_by(held, F.struct("__h", key)).alias("__first"), F.count("*").alias("__n"))
+    line = Window.partitionBy(*on).orderBy("__bucket")
+    around = F.coalesce(F.lead("__first").over(line), F.first_value("__first").over(line))
+    total = F.sum("__n").over(Window.partitionBy(*on))
+    after = firsts.select(*on, "__bucket", around.alias("__after"), (total <= 1).alias("non_derangeable"))
+    moved = met(dealt.withColumn("__next", F.lead(held).over(order)), after, [*on, "__bucket"])
+    return moved.withColumn(out, F.coalesce("__next", "__after")["v"]).drop("__h", "__bucket", "__next", "__after")
 
 
 def derange(frame: DataFrame, by: list[str], key: str, value: str, seed: int, out: str = "scrambled") -> DataFrame:
-    """Moves ``value`` one place on in a seeded order inside each group: no row keeps its own row's value, composition
-    stays. A group of one cannot be deranged (``non_derangeable``)."""
-    moved = _shifted(frame, by, key, value, out, [draw(seed, key), F.col(key)])
-    return moved.withColumn("non_derangeable", F.count("*").over(Window.partitionBy(*by)) <= 1)
+    """The derangement of one seed."""
+    return derange_replicates(frame, by, key, value, [seed], out).drop("replicate")
 
 
-def derange_replicates(frame: DataFrame, by: list[str], key: str, value: str, seeds: list[int], out: str = "scrambled") -> DataFrame:
-    """One derangement for each seed, as rows with ``replicate``."""
-    many = frame.withColumn("replicate", F.explode(F.array(*map(F.lit, seeds))))
-    order = [F.md5(F.concat_ws("|", F.col("replicate").cast("string"), F.col(key).cast("string"))), F.col(key)]
-    moved = _shifted(many, [*by, "replicate"], key, value, out, order)
-    return moved.withColumn("non_derangeable", F.count("*").over(Window.partitionBy(*by, "replicate")) <= 1)
+def shuffle_replicates(frame: DataFrame, by: list[str], key: str, label: str, seeds: list[int], out: str = "shuffled") -> DataFrame:
+    """One permutation of ``label`` inside each group for each seed, as rows with ``replicate``: the i-th row in a seeded
+    order gets the label of the i-th row by ``key``, which is numbered once for all seeds (keys that are no numbers by their hash)."""
+    own = frame.select(*by, key, F.col(label).alias(out))
+    if isinstance(frame.schema[key].dataType, T.NumericType):
+        plain = numbered_by(own, by, key, "__i")
+    else:
+        plain = numbered(own.withColumn("__h", hashed(F.lit(""), key)), by, [F.col("__h"), F.col(key)], hash_bucket(F.col("__h")), "__i").drop("__h")
+    drawn = numbered(_replicated(frame, seeds, key), [*by, "replicate"], [F.col("__h"), F.col(key)], hash_bucket(F.col("__h")), "__i").drop("__h")
+    return met(drawn, plain.select(*by, "__i", out), [*by, "__i"]).drop("__i")
 
 
 def shuffle_labels(frame: DataFrame, by: list[str], key: str, label: str, seed: int, out: str = "shuffled") -> DataFrame:
-    """Gives the label of the i-th row by key to the i-th row in a seeded order of the group: a permutation."""
-    plain, drawn = Window.partitionBy(*by).orderBy(key), Window.partitionBy(*by).orderBy(draw(seed, key), key)
-    source = frame.select(*by, F.row_number().over(plain).alias("__i"), F.col(label).alias(out))
-    return frame.withColumn("__i", F.row_number().over(drawn)).join(source, [*by, "__i"]).drop("__i")
+    """The permutation of one seed."""
+    return shuffle_replicates(frame, by, key, label, [seed], out).drop("replicate")
+
+
+def ranked_once(frame: DataFrame, by: list[str], key: str, x: str, y: str) -> DataFrame:
+    """Complete pairs (by, key) with ``cx`` and ``cy``: ranks of x and y less the group's mean rank, pinned. Permuting one
+    side inside a group moves its ranks along, so no null needs a ranking of its own."""
+    ranked = both_ranked(frame, by, x, y, key)
+    middle = (F.col("x_total") + 1) / 2
+    return pin(ranked.select(*by, key, (F.col("rx") - middle).alias("cx"), (F.col("ry") - middle).alias("cy")))
+
+
+def rank_correlations(ranked: DataFrame, by: list[str], x: str = "cx", y: str = "cy", least: int = 3) -> DataFrame:
+    """(by, n, spearman) of centred ranks; NULL for fewer than ``least`` rows or a constant side."""
+    a, b = F.col(x), F.col(y)
+    sums = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.sum(a * b).alias("ab"), F.sum(a * a).alias("aa"), F.sum(b * b).alias("bb"))
+    known = (F.col("n") >= least) & (F.col("aa") > 0) & (F.col("bb") > 0)
+    return sums.select(*by, "n", F.when(known, F.col("ab") / F.sqrt("aa") / F.sqrt("bb")).alias("spearman"))
+
+
+def null_correlations(ranked: DataFrame, by: list[str], key: str, seeds: list[int], moved: str = "cx", how: str = "shuffle") -> DataFrame:
+    """(by, replicate, n, spearman) of ``ranked_once`` rows with one side shuffled or deranged inside each group, by seed."""
+    other = "cy" if moved == "cx" else "cx"
+    many = {"shuffle": shuffle_replicates, "derange": derange_replicates}[how](ranked.select(*by, key, "cx", "cy"), by, key, moved, seeds, "__m")
+    return rank_correlations(many, [*by, "replicate"], "__m", other)
 
 
 def gaussian_rows(frame: DataFrame, columns: list[str], seed: int) -> DataFrame:
@@ -87,10 +132,11 @@ def gate_verdict(metrics: DataFrame, delta: float = 0.05, null_cutoff: float = 0
 
 
 def positive_controls(metrics: DataFrame, margin: float = 0.15, tolerance: float = 0.10, cutoff: float = 0.15) -> DataFrame:
-    """One row for each synthetic assay from (assay, feature_block, spearman): what is compared, and PASS or FAIL."""
+    """One row for each synthetic assay from (assay, feature_block, spearman): what is compared, and PASS or FAIL. An assay
+    is named by its control; a colon and a name of its own may follow."""
     c = F.col
     rows = gate_verdict(metrics.withColumn("n", F.lit(0))).select("assay", "surface", "real", "scrambled_mean", "scrambled_sd")
-    kind = c("assay")
+    kind = F.substring_index("assay", ":", 1)
     delta = (
         F.when(kind == "positive_control_composition", c("real") - c("surface"))
         .when(kind == "positive_control_topology", c("real") - c("scrambled_mean"))
@@ -117,8 +163,8 @@ def bootstrap_means(frame: DataFrame, key: str, value: str, replicates: int, see
 
     Multiplicities are drawn for row numbers, aggregated to one sum for each replicate before anything moves on.
     """
-    n = F.count("*").over(Window.partitionBy())
-    rows = frame.filter(F.col(value).isNotNull()).select((F.row_number().over(Window.orderBy(key)) - 1).alias("i"), F.col(value).cast("double").alias("x"), n.alias("n"))
+    known = frame.filter(F.col(value).isNotNull()).select(key, F.col(value).cast("double").alias("x"))
+    rows = pin(numbered_by(known, [], key, "i", keep_size="n").select((F.col("i") - 1).alias("i"), "x", "n"))
     many = rows.select("i", "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"))
     picked = many.select("b", F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("b"), F.col("i"))), 1, 8), 16, 10).cast("long"), F.col("n")).alias("i"))
     means = picked.join(rows.select("i", "x"), "i").groupBy("b").agg(F.avg("x").alias("m"))

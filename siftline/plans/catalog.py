@@ -249,11 +249,10 @@ def residualize(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def residual_nulls(spark: SparkSession, sf: str) -> DataFrame:
-    """Correlation of price and total against the same with labels shuffled inside the group, 5 seeds, and empirical p."""
-    rows = order_lines(spark, sf).filter("p is not null and grp < '3'").select("id", "grp", "t", "p")
-    observed = spearman(rows, ["grp"], "t", "p").select("grp", F.round("spearman", 6).alias("spearman"))
-    shuffled = [spearman(nullmodels.shuffle_labels(rows, ["grp"], "id", "t", s), ["grp"], "shuffled", "p") for s in range(5)]
-    controls = union(shuffled).select("grp", F.round("spearman", 6).alias("spearman"))
+    """Correlation of price and total against the same with labels shuffled inside the group, 100 seeds, and empirical p."""
+    ranked = nullmodels.ranked_once(order_lines(spark, sf).select("id", "grp", "t", "p"), ["grp"], "id", "t", "p")
+    observed = nullmodels.rank_correlations(ranked, ["grp"]).select("grp", F.round("spearman", 9).alias("spearman"))
+    controls = nullmodels.null_correlations(ranked, ["grp"], "id", list(range(100))).select("grp", F.round("spearman", 9).alias("spearman"))
     return _rounded(stats.empirical_p(observed, controls, ["grp"], "spearman"))
 
 
@@ -455,18 +454,17 @@ def literature_conditions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _block_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Long gate metrics: each priority is an assay, blocks are correlations with real and shuffled columns."""
-    rows = order_lines(spark, sf).filter("p is not null and grp < '4'").select("id", "grp", "t", "p", "qty")
-
-    def block(name: str, x: str, y: str, frame: DataFrame) -> DataFrame:
-        return spearman(frame, ["grp"], x, y).select(F.col("grp").alias("assay"), F.lit(name).alias("feature_block"), "n", F.round("spearman", 6).alias("spearman"))
-
-    parts = [block("real_topology", "p", "qty", rows), block("surface_composition", "t", "p", rows)]
-    for s in (1, 2, 3):
-        moved = nullmodels.derange(rows, ["grp"], "id", "p", s)
-        parts.append(block(f"scrambled_topology_{s}", "scrambled", "qty", moved))
-        parts.append(block(f"label_shuffle_{s}", "shuffled", "p", nullmodels.shuffle_labels(rows, ["grp"], "id", "qty", s)))
-    return union(parts)
+    """Long gate metrics: each priority is an assay, blocks are correlations with real, 30 times scrambled and 30 times
+    shuffled columns."""
+    rows = order_lines(spark, sf).select("id", "grp", "t", "p", "qty")
+    ranked, seeds = nullmodels.ranked_once(rows, ["grp"], "id", "p", "qty"), list(range(1, 31))
+    parts = [
+        nullmodels.rank_correlations(ranked, ["grp"]).withColumn("feature_block", F.lit("real_topology")),
+        spearman(rows, ["grp"], "t", "p").withColumn("feature_block", F.lit("surface_composition")),
+        nullmodels.null_correlations(ranked, ["grp"], "id", seeds, "cx", "derange").withColumn("feature_block", F.concat(F.lit("scrambled_topology_"), F.col("replicate"))),
+        nullmodels.null_correlations(ranked, ["grp"], "id", seeds, "cy", "shuffle").withColumn("feature_block", F.concat(F.lit("label_shuffle_"), F.col("replicate"))),
+    ]
+    return union([f.select(F.col("grp").alias("assay"), "feature_block", "n", F.round("spearman", 9).alias("spearman")) for f in parts])
 
 
 def gate_verdict(spark: SparkSession, sf: str) -> DataFrame:
@@ -474,8 +472,10 @@ def gate_verdict(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def positive_controls(spark: SparkSession, sf: str) -> DataFrame:
-    names = F.create_map(F.lit("1-URGENT"), F.lit("positive_control_composition"), F.lit("2-HIGH"), F.lit("positive_control_topology"), F.lit("3-MEDIUM"), F.lit("positive_control_shuffled"))
-    return _rounded(nullmodels.positive_controls(_block_scores(spark, sf).withColumn("assay", names[F.col("assay")])))
+    """The three controls on the gate's metrics, each priority standing for a synthetic assay of one of them."""
+    kinds = {"1": "composition", "2": "topology", "3": "shuffled", "4": "composition", "5": "topology"}
+    names = F.create_map(*[F.lit(v) for k, kind in kinds.items() for v in (k, f"positive_control_{kind}:")])
+    return _rounded(nullmodels.positive_controls(_block_scores(spark, sf).withColumn("assay", F.concat(names[F.substring("assay", 1, 1)], F.col("assay")))))
 
 
 def topology_gate(spark: SparkSession, sf: str) -> DataFrame:

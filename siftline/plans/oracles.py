@@ -163,18 +163,32 @@ def shuffled(source: str, by: str, key: str, label: str, seed: int, keep: str) -
   JOIN (SELECT {by} AS sb, row_number() OVER (PARTITION BY {by} ORDER BY {key}) AS si, {label} AS shuffled FROM {source}) s ON s.sb = d.{by} AND s.si = d.i"""
 
 
+def _replicates(first: int, last: int) -> str:
+    """Rows of ``ol`` with both measures, once for each seed ``r``, with their place in its order."""
+    return f"(SELECT *, {draw('r::VARCHAR', 'id')} AS h FROM (SELECT id, grp, t, p, qty FROM ol WHERE p IS NOT NULL), range({first}, {last + 1}) q(r))"
+
+
+def all_deranged(first: int, last: int, value: str) -> str:
+    w = "PARTITION BY grp, r ORDER BY h, id"
+    return f"SELECT grp, r, t, p, qty, coalesce(lead({value}) OVER ({w}), first_value({value}) OVER ({w})) AS scrambled FROM {_replicates(first, last)}"
+
+
+def all_shuffled(first: int, last: int, label: str) -> str:
+    return f"""SELECT d.grp AS grp, r, p, qty, shuffled FROM (SELECT *, row_number() OVER (PARTITION BY grp, r ORDER BY h, id) AS i FROM {_replicates(first, last)}) d
+  JOIN (SELECT grp AS sb, row_number() OVER (PARTITION BY grp ORDER BY id) AS si, {label} AS shuffled FROM ol WHERE p IS NOT NULL) s ON s.sb = d.grp AND s.si = d.i"""
+
+
 def blocks() -> str:
-    rows = "(SELECT id, grp, t, p, qty FROM ol WHERE p IS NOT NULL AND grp < '4')"
-    parts = [("real_topology", rows, "p", "qty"), ("surface_composition", rows, "t", "p")]
-    for s in (1, 2, 3):
-        parts.append((f"scrambled_topology_{s}", f"({deranged(rows, 'grp', 'id', 'p', s, 'grp, qty')})", "scrambled", "qty"))
-        parts.append((f"label_shuffle_{s}", f"({shuffled(rows, 'grp', 'id', 'qty', s, 'd.grp AS grp, d.p AS p')})", "shuffled", "p"))
-    return "bl AS (" + " UNION ALL ".join(f"SELECT grp AS assay, '{n}' AS feature_block, n, round(spearman, 6) AS spearman FROM ({spearman(src, 'grp', x, y)})" for n, src, x, y in parts) + ")"
+    plain = [("'real_topology'", spearman("ol", "grp", "p", "qty")), ("'surface_composition'", spearman("ol", "grp", "t", "p"))]
+    nulls = [
+        ("'scrambled_topology_' || r", spearman(f"({all_deranged(1, 30, 'p')})", "grp, r", "scrambled", "qty")),
+        ("'label_shuffle_' || r", spearman(f"({all_shuffled(1, 30, 'qty')})", "grp, r", "shuffled", "p")),
+    ]
+    return "bl AS (" + " UNION ALL ".join(f"SELECT grp AS assay, {n} AS feature_block, n, round(spearman, 9) AS spearman FROM ({q})" for n, q in plain + nulls) + ")"
 
 
 def null_rows() -> str:
-    rows = "(SELECT id, grp, t, p FROM ol WHERE p IS NOT NULL AND grp < '3')"
-    return " UNION ALL ".join(f"SELECT grp, round(spearman, 6) AS v FROM ({spearman(f'({shuffled(rows, "grp", "id", "t", s, "d.grp AS grp, d.p AS p")})', 'grp', 'shuffled', 'p')})" for s in range(5))
+    return f"SELECT grp, round(spearman, 9) AS v FROM ({spearman(f'({all_shuffled(0, 99, "t")})', 'grp, r', 'shuffled', 'p')})"
 
 
 def knn(apart: str, k: int = 8) -> str:
@@ -273,8 +287,8 @@ UNION ALL SELECT p_partkey, 'Demand', round(demand, 6), NULL, 'not assigned', 'd
 ('vh_vl_charge_imbalance', 'vh', 'charge', false, true), ('vh_vl_hydrophobicity_imbalance', 'vh', 'hydrophobic_aromatic', false, true), ('other', 'global', 'composition_other', false, false)) v(feature, chain_region, chemistry, is_cdr, is_framework_or_full_variable)""",
     "grouped_importance": f"WITH {ORDER_LINES} SELECT grp, 'charge' AS chemistry, {r6('spearman', 'importance')} FROM ({spearman('ol', 'grp', 't', 'p')}) UNION ALL SELECT grp, NULL, round(spearman, 6) FROM ({spearman('ol', 'grp', 't', 'qty')})",
     "residualize": f"WITH {ORDER_LINES}, r AS (SELECT o_orderstatus, t, t - avg(t) OVER (PARTITION BY grp, o_orderstatus) AS res FROM ol) SELECT o_orderstatus, count(*) AS n, round(avg(res), 6) + 0 AS residual_mean, {r6('stddev_pop(res)', 'residual_sd')}, {r6('1 - var_pop(res) / var_pop(t)', 'r2')} FROM r GROUP BY 1",
-    "residual_nulls": f"""WITH {ORDER_LINES}, ob AS (SELECT grp, round(spearman, 6) AS o FROM ({spearman("(SELECT * FROM ol WHERE grp < '3')", 'grp', 't', 'p')})), nu AS ({null_rows()})
-SELECT grp, any_value(o) AS observed, count(*) AS n_null, {r6('avg(v)', 'null_mean')}, {r6('quantile_cont(v, 0.95)', 'null_q95')}, {r6('(1 + count(*) FILTER (v >= o)) / (count(*) + 1)::DOUBLE', 'empirical_p')} FROM nu JOIN ob USING (grp) GROUP BY grp""",
+    "residual_nulls": f"""WITH {ORDER_LINES}, ob AS (SELECT grp, round(spearman, 9) AS o FROM ({spearman('ol', 'grp', 't', 'p')})), nu AS ({null_rows()})
+SELECT grp, round(any_value(o), 6) AS observed, count(*) AS n_null, {r6('avg(v)', 'null_mean')}, {r6('quantile_cont(v, 0.95)', 'null_q95')}, {r6('(1 + count(*) FILTER (v >= o)) / (count(*) + 1)::DOUBLE', 'empirical_p')} FROM nu JOIN ob USING (grp) GROUP BY grp""",
     "bootstrap_mean_ci": f"""WITH r AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS i, sqrt(abs(s_acctbal)) AS x, count(*) OVER () AS n FROM supplier WHERE s_acctbal IS NOT NULL),
 k AS (SELECT b, ('0x' || substring(md5(concat_ws('|', '7', b, i)), 1, 8))::BIGINT % n AS j FROM r, range(50) q(b)), m AS (SELECT b, avg(x) AS m FROM k JOIN r ON r.i = k.j GROUP BY b)
 SELECT {r6('avg(m)', 'mean')}, {r6('stddev_pop(m)', 'sd')}, {r6('quantile_cont(m, 0.025)', 'low')}, {r6('quantile_cont(m, 0.975)', 'high')} FROM m""",
@@ -309,11 +323,12 @@ SELECT sid, count(*) FILTER (unlike) AS n_edges, {r6('count(*) FILTER (unlike) /
     "label_shuffle": f"WITH {POINTS} {shuffled('pt', 'sid', 'vec_id', 'cls', 7, 'd.sid AS sid, d.vec_id AS vec_id, d.cls AS cls')}",
     "scramble_diagnostics": f"WITH {POINTS} " + " UNION ALL ".join(f"SELECT sid, {s}::BIGINT AS replicate, count(*) AS n, {r6('avg((cls <> scrambled)::INT)', 'moved_fraction')}, bool_or(non_derangeable) AS non_derangeable FROM ({deranged('pt', 'sid', 'vec_id', 'cls', s, 'sid, cls')}) GROUP BY sid" for s in (1, 2, 3)),
     "gate_verdict": f"""WITH {ORDER_LINES}, {blocks()}, {GATE}
-SELECT assay, n, NULL::DOUBLE AS "global", surface, real, round(sm, 6) AS scrambled_mean, round(ss, 6) AS scrambled_sd, round(lm, 6) AS shuffle_mean, round(ls, 6) AS shuffle_sd, round(real - surface, 6) AS delta_surface, round(real - sm, 6) AS delta_scrambled,
+SELECT assay, n, NULL::DOUBLE AS "global", round(surface, 6) AS surface, round(real, 6) AS real, round(sm, 6) AS scrambled_mean, round(ss, 6) AS scrambled_sd, round(lm, 6) AS shuffle_mean, round(ls, 6) AS shuffle_sd, round(real - surface, 6) AS delta_surface, round(real - sm, 6) AS delta_scrambled,
 CASE WHEN abs(lm) >= 0.15 THEN 'NEGATIVE CONTROL FAIL' ELSE concat(CASE WHEN real - sm > 0.05 AND real > sm + ss AND real - surface > 0.05 THEN 'PASS' WHEN real - sm > 0.05 AND real > sm + ss THEN 'WEAK PASS' ELSE 'FAIL' END, CASE WHEN n > 0 AND n < 100 THEN '; LOW-N CAUTION' ELSE '' END) END AS verdict FROM g""",
-    "positive_controls": f"""WITH {ORDER_LINES}, {blocks()}, {GATE}, d AS (SELECT *, CASE assay WHEN '1-URGENT' THEN real - surface WHEN '2-HIGH' THEN real - sm ELSE real END AS dd FROM g)
-SELECT CASE assay WHEN '1-URGENT' THEN 'positive_control_composition' WHEN '2-HIGH' THEN 'positive_control_topology' ELSE 'positive_control_shuffled' END AS assay, surface, real, round(sm, 6) AS scrambled_mean, round(ss, 6) AS scrambled_sd, round(dd, 6) AS diagnostic_delta,
-CASE WHEN CASE assay WHEN '1-URGENT' THEN abs(dd) <= 0.10 WHEN '2-HIGH' THEN dd > 0.15 AND real > sm + ss ELSE abs(dd) <= 0.15 END THEN 'PASS' ELSE 'FAIL' END AS verdict FROM d""",
+    "positive_controls": f"""WITH {ORDER_LINES}, {blocks()}, {GATE}, k AS (SELECT *, CASE left(assay, 1) WHEN '1' THEN 'composition' WHEN '4' THEN 'composition' WHEN '3' THEN 'shuffled' ELSE 'topology' END AS kind FROM g),
+d AS (SELECT *, CASE kind WHEN 'composition' THEN real - surface WHEN 'topology' THEN real - sm ELSE real END AS dd FROM k)
+SELECT concat('positive_control_', kind, ':', assay) AS assay, round(surface, 6) AS surface, round(real, 6) AS real, round(sm, 6) AS scrambled_mean, round(ss, 6) AS scrambled_sd, round(dd, 6) AS diagnostic_delta,
+CASE WHEN CASE kind WHEN 'composition' THEN abs(dd) <= 0.10 WHEN 'topology' THEN dd > 0.15 AND real > sm + ss ELSE abs(dd) <= 0.15 END THEN 'PASS' ELSE 'FAIL' END AS verdict FROM d""",
     "zscore_signal": f"WITH z AS (SELECT s_suppkey, (s_acctbal - avg(s_acctbal) OVER ()) / stddev_samp(s_acctbal) OVER () AS b, (s_suppkey - avg(s_suppkey) OVER ()) / stddev_samp(s_suppkey) OVER () AS k FROM supplier) SELECT s_suppkey, {r6('b', 'z_balance')}, {r6('b - k', 'excess')} FROM z",
     "vector_pair_blocks": f"""WITH p AS (SELECT a.vec_id // 2 AS pair, unnest(a.embedding)::DOUBLE AS x, unnest(b.embedding)::DOUBLE AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 2 = 0)
 SELECT pair, {r6('sum(x)', 'vh')}, {r6('sum(y)', 'vl')}, {r6('sum((x + y) / 2)', 'mean')}, {r6('sum(x - y)', 'diff')}, {r6('sum(abs(x - y))', 'absdiff')}, {r6('sum(x * y)', 'prod')} FROM p GROUP BY pair""",

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from siftline.operators import compare, graph, models, nullmodels, pairs, profile, simulation, stats
+from siftline.operators import compare, graph, models, nullmodels, order, pairs, profile, simulation, stats
 from siftline.operators.ranking import average_rank, spearman
 
 
@@ -183,3 +183,37 @@ def test_simulation(spark):
         simulation.simulate({}, 1)
     with pytest.raises(ValueError):
         simulation.regime_grid(spark, [-1.0], [0.0], [1])
+
+
+def test_null_models_over_any_buckets(spark, monkeypatch):
+    """Numbers, shifts and permutations against plain sorting, with hot groups, null groups and null values."""
+    import hashlib
+
+    rows = [(["a", "b", None, "c"][0 if i % 3 == 0 else i % 4], i * i - 40 * i if i % 2 else 10_000_000 + i, float(i) if i % 7 else None) for i in range(400)] + [("one", 3, 5.0)]
+    frame = spark.createDataFrame(rows, "g string, id long, v double").repartition(5)
+    place = lambda seed, key: (int(hashlib.md5(f"{seed}|{key}".encode()).hexdigest()[:15], 16), key)
+    groups = {g: [r for r in rows if r[0] == g] for g in {r[0] for r in rows}}
+    shifted, permuted = {}, {}
+    for seed in (3, 4):
+        for g, own in groups.items():
+            line = sorted(own, key=lambda r: place(seed, r[1]))
+            shifted |= {(seed, g, r[1]): n[2] for r, n in zip(line, line[1:] + line[:1], strict=True)}
+            permuted |= {(seed, g, r[1]): n[2] for r, n in zip(line, sorted(own, key=lambda r: r[1]), strict=True)}
+    for buckets in (256, 4):
+        monkeypatch.setattr(order, "BUCKETS", buckets)
+        monkeypatch.setattr(order, "STEPS", [buckets >> k for k in range(1, buckets.bit_length())])
+        assert {(r.replicate, r.g, r.id): r.scrambled for r in nullmodels.derange_replicates(frame, ["g"], "id", "v", [3, 4]).collect()} == shifted
+        assert {(r.replicate, r.g, r.id): r.shuffled for r in nullmodels.shuffle_replicates(frame, ["g"], "id", "v", [3, 4]).collect()} == permuted
+        got = {(r.g, r.id): r.i for r in order.numbered_by(frame, ["g"], "id", "i").collect()}
+        assert got == {(g, r[1]): i + 1 for g, own in groups.items() for i, r in enumerate(sorted(own, key=lambda r: r[1]))}
+
+
+def test_nulls_ranked_once_equal_nulls_ranked_each(spark):
+    rng = np.random.default_rng(8)
+    frame = frame_of(spark, g=["a", "b"] * 60, id=range(120), x=[float(v) for v in rng.integers(0, 9, 120)], y=rng.normal(size=120))
+    once = nullmodels.ranked_once(frame, ["g"], "id", "x", "y")
+    for how, many, out in (("shuffle", nullmodels.shuffle_replicates, "shuffled"), ("derange", nullmodels.derange_replicates, "scrambled")):
+        each = spearman(many(frame, ["g"], "id", "x", [1, 2, 3]), ["g", "replicate"], out, "y")
+        got = nullmodels.null_correlations(once, ["g"], "id", [1, 2, 3], "cx", how)
+        key = lambda f: {(r.g, r.replicate): (r.n, pytest.approx(r.spearman, abs=1e-12)) for r in f.collect()}
+        assert key(got) == key(each)
