@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftline.operators.order import quantiles
 from siftline.operators.ranking import among_top, average_rank, both_ranked, guarded_corr
-from siftline.tables import union
+from siftline.tables import pin, union
 
 
 def missingness(frame: DataFrame) -> DataFrame:
@@ -140,7 +141,8 @@ def fold_totals(frame: DataFrame, by: list[str], fold: str, truth: str, predicti
 
 def failure_labels(frame: DataFrame, directions: dict[str, str], quantile: float = 0.2) -> tuple[DataFrame, DataFrame]:
     """Worst-quantile labels (NULL where not measured) and the table of thresholds, measured rows and failures."""
-    bars = frame.agg(*[F.percentile(F.col(c).cast("double"), F.lit(1 - quantile if d == "high" else quantile)).alias(f"__{c}") for c, d in directions.items()])
+    found = quantiles(frame, [], {c: [1 - quantile if d == "high" else quantile] for c, d in directions.items()})
+    bars = pin(found.select(*[F.get(c, F.lit(0)).alias(f"__{c}") for c in directions]))
     met = frame.crossJoin(F.broadcast(bars))  # one row
     labels = met.select(*[c for c in frame.columns if c not in directions], *[(F.col(c) >= F.col(f"__{c}") if d == "high" else F.col(c) <= F.col(f"__{c}")).alias(c) for c, d in directions.items()])
     summary = labels.agg(*[F.struct(F.count(c).alias("measured"), F.count_if(F.col(c)).alias("failures")).alias(c) for c in directions]).crossJoin(F.broadcast(bars))

@@ -9,6 +9,7 @@ from siftline.functions import conditions as C
 from siftline.functions import sequences as S
 from siftline.functions import vectors as V
 from siftline.operators import compare, graph, models, nullmodels, pairs, profile, simulation, stats, topology
+from siftline.operators.order import quantiles
 from siftline.operators.ranking import average_rank, spearman
 from siftline.plans import gate
 from siftline.plans.audit import audit_on_embeddings
@@ -270,7 +271,7 @@ def _customers(spark: SparkSession, sf: str) -> DataFrame:
 
 def _archetypes(spark: SparkSession, sf: str) -> DataFrame:
     rows = _customers(spark, sf)
-    bars = rows.agg(F.percentile("imbalance", F.lit(0.75)).alias("bi"), F.percentile("hydro", F.lit(0.75)).alias("bh"))
+    bars = quantiles(rows, [], {"imbalance": [0.75], "hydro": [0.75]}).select(F.get("imbalance", F.lit(0)).alias("bi"), F.get("hydro", F.lit(0)).alias("bh"))
     met = rows.crossJoin(F.broadcast(bars))  # one row
     return met.select(*rows.columns, C.archetype(F.col("net"), F.col("cdr"), F.col("imbalance"), F.col("hydro"), F.col("bi"), F.col("bh")).alias("archetype"))
 
@@ -283,7 +284,8 @@ def medoids(spark: SparkSession, sf: str) -> DataFrame:
     """The member nearest (L1) to its archetype's median centre, ties to the least key."""
     rows = _archetypes(spark, sf)
     columns = ["net", "cdr", "imbalance", "hydro"]
-    centres = rows.groupBy("archetype").agg(*[F.percentile(c, F.lit(0.5)).alias(f"m_{c}") for c in columns], F.count("*").alias("n"))
+    medians = quantiles(rows, ["archetype"], {c: [0.5] for c in columns}).select("archetype", *[F.get(c, F.lit(0)).alias(f"m_{c}") for c in columns])
+    centres = medians.join(rows.groupBy("archetype").agg(F.count("*").alias("n")), "archetype")
     gap = F.round(sum((F.abs(F.col(c) - F.col(f"m_{c}")) for c in columns), F.lit(0.0)), 9)
     met = rows.join(centres, "archetype").withColumn("distance", gap)
     best = met.groupBy("archetype", "n").agg(F.min(F.struct("distance", "c_custkey")).alias("b"))
@@ -520,7 +522,9 @@ def edge_turnover(spark: SparkSession, sf: str) -> DataFrame:
 
 def contact_lifetimes(spark: SparkSession, sf: str) -> DataFrame:
     runs = graph.contact_lifetimes(_contacts(spark, sf), "day", ["user_id", "event_type"])
-    return _rounded(runs.groupBy("event_type").agg(F.count("*").alias("n_runs"), F.avg("lifetime").alias("lifetime_mean"), F.percentile("lifetime", F.lit(0.9)).alias("lifetime_p90"), F.max("lifetime").alias("lifetime_max")))
+    sums = runs.groupBy("event_type").agg(F.count("*").alias("n_runs"), F.avg("lifetime").alias("lifetime_mean"), F.max("lifetime").alias("lifetime_max"))
+    tails = quantiles(runs, ["event_type"], {"lifetime": [0.9]}).select("event_type", F.get("lifetime", F.lit(0)).alias("lifetime_p90"))
+    return _rounded(sums.join(tails, "event_type").select("event_type", "n_runs", "lifetime_mean", "lifetime_p90", "lifetime_max"))
 
 
 def set_ops(spark: SparkSession, sf: str) -> DataFrame:

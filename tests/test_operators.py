@@ -217,3 +217,19 @@ def test_nulls_ranked_once_equal_nulls_ranked_each(spark):
         got = nullmodels.null_correlations(once, ["g"], "id", [1, 2, 3], "cx", how)
         key = lambda f: {(r.g, r.replicate): (r.n, pytest.approx(r.spearman, abs=1e-12)) for r in f.collect()}
         assert key(got) == key(each)
+
+
+def test_exact_quantiles_by_brackets(spark):
+    rng = np.random.default_rng(4)
+    rows = [(["a", None, "b"][i % 3], float(v) if i % 11 else None, 7.0 if i % 4 else float(i)) for i, v in enumerate(rng.lognormal(0, 3, 900))] + [("none", None, None), ("one", 2.5, None)]
+    frame = spark.createDataFrame(rows, "g string, x double, hot double").repartition(4)
+    asked = {"x": [0.0, 0.2, 0.5, 0.975, 1.0], "hot": [0.5, 0.9]}
+    for most in (1_000_000, 20):
+        got = {r.g: (r.x, r.hot) for r in order.quantiles(frame, ["g"], asked, most).collect()}
+        assert got.keys() == {"a", None, "b", "one"}
+        for g, (x, hot) in got.items():
+            for found, at, qs in ((x, 1, asked["x"]), (hot, 2, asked["hot"])):
+                own = [r[at] for r in rows if r[0] == g and r[at] is not None]
+                assert found == ([pytest.approx(v) for v in np.quantile(own, qs)] if own else [None] * len(qs))
+        assert order.quantiles(frame, [], {"x": [0.25]}, most).first().x == [pytest.approx(np.quantile([r[1] for r in rows if r[1] is not None], 0.25))]
+    assert order.quantiles(frame.filter("false"), [], {"x": [0.5]}).first().x == [None]
