@@ -74,23 +74,23 @@ SORTED_VALUES = 1_000_000
 
 
 def _select(values: DataFrame, group: list[str], targets: DataFrame, most: int, level: int = 0) -> DataFrame:
-    """``targets`` (group, rank from 0, any others) with ``value``: the value that holds the rank among ``values`` (group, v, n times).
+    """``targets`` (group, __rank from 0, any others) with ``__value``: the value that holds the rank among ``values`` (group, __v, so many times).
 
     Groups of more than ``most`` distinct values are cut at their splitters, and only the buckets that hold a rank are
     kept; so each step leaves a small part of a group, until what is left can be sorted.
     """
     largest = values.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
     if largest <= most:
-        upto = F.sum("n").over(Window.partitionBy(*group).orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+        upto = F.sum("__times").over(Window.partitionBy(*group).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
         ranged = values.withColumn("__upto", upto)
-        found = met(ranged, targets, group).filter((F.col("rank") < F.col("__upto")) & (F.col("rank") >= F.col("__upto") - F.col("n")))
-        return found.withColumn("value", F.col("v")).drop("v", "n", "__upto")
+        found = met(ranged, targets, group).filter((F.col("__rank") < F.col("__upto")) & (F.col("__rank") >= F.col("__upto") - F.col("__times")))
+        return found.withColumn("__value", F.col("__v")).drop("__v", "__times", "__upto")
     bucket = f"__b{level}"
-    dealt = met(values, splitters(values, group, ["v"]), group).withColumn(bucket, bucket_of(F.col("v"), F.col("splits_v"))).drop("splits_v")
-    counts = dealt.groupBy(*group, bucket).agg(F.sum("n").alias("__n"))
+    dealt = met(values, splitters(values, group, ["__v"]), group).withColumn(bucket, bucket_of(F.col("__v"), F.col("splits___v"))).drop("splits___v")
+    counts = dealt.groupBy(*group, bucket).agg(F.sum("__times").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    located = met(counts.withColumn("__before", before), targets, group).filter((F.col("rank") >= F.col("__before")) & (F.col("rank") < F.col("__before") + F.col("__n")))
-    located = pin(located.withColumn("rank", F.col("rank") - F.col("__before")).drop("__before", "__n"))
+    located = met(counts.withColumn("__before", before), targets, group).filter((F.col("__rank") >= F.col("__before")) & (F.col("__rank") < F.col("__before") + F.col("__n")))
+    located = pin(located.withColumn("__rank", F.col("__rank") - F.col("__before")).drop("__before", "__n"))
     kept = pin(met(dealt, located.select(*group, bucket).distinct(), [*group, bucket]))
     return _select(kept, [*group, bucket], located, most, level + 1)
 
@@ -101,18 +101,18 @@ def quantiles(frame: DataFrame, by: list[str], fractions: dict[str, list[float]]
     NULL values are left out. A column without values gives NULLs; a group without values in any column is not there (without
     ``by`` there is always one row). No buffer holds a group: values are counted first, then narrowed to brackets.
     """
-    long = frame.select(*by, F.explode(F.array(*[F.struct(F.lit(c).alias("__c"), F.col(c).cast("double").alias("v")) for c in fractions])).alias("e")).select(*by, "e.*")
+    long = frame.select(*by, F.explode(F.array(*[F.struct(F.lit(c).alias("__c"), F.col(c).cast("double").alias("__v")) for c in fractions])).alias("__e")).select(*by, "__e.*")
     group = [*by, "__c"]
-    values = pin(long.filter("v is not null").groupBy(*group, "v").agg(F.count("*").alias("n")))
+    values = pin(long.filter("__v is not null").groupBy(*group, "__v").agg(F.count("*").alias("__times")))
     asked = F.create_map(*[x for c, own in fractions.items() for x in (F.lit(c), F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("q")) for i, q in enumerate(own)]))])
-    sizes = values.groupBy(*group).agg(F.sum("n").alias("__total")).withColumn("e", F.explode(asked[F.col("__c")]))
-    at = F.col("e.q") * (F.col("__total") - 1)
-    ends = F.explode(F.array(F.struct(F.lit(0).alias("end"), F.floor(at).alias("rank")), F.struct(F.lit(1).alias("end"), F.ceil(at).alias("rank")))).alias("t")
-    targets = sizes.select(*group, F.col("e.i").alias("i"), at.alias("at"), ends).select(*group, "i", "at", "t.*")
+    sizes = values.groupBy(*group).agg(F.sum("__times").alias("__total")).withColumn("__e", F.explode(asked[F.col("__c")]))
+    at = F.col("__e.q") * (F.col("__total") - 1)
+    ends = F.explode(F.array(F.struct(F.lit(0).alias("__end"), F.floor(at).alias("__rank")), F.struct(F.lit(1).alias("__end"), F.ceil(at).alias("__rank")))).alias("t")
+    targets = sizes.select(*group, F.col("__e.i").alias("__i"), at.alias("__at"), ends).select(*group, "__i", "__at", "t.*")
     found = _select(values, group, targets, most)
-    side = lambda k: F.max(F.when(F.col("end") == k, F.col("value")))
-    both_ends = found.groupBy(*group, "i", "at").agg(side(0).alias("low"), side(1).alias("high"))
-    low = F.floor("at")
-    value = F.when(F.col("at") == low, F.col("low")).otherwise((low + 1 - F.col("at")) * F.col("low") + (F.col("at") - low) * F.col("high"))
-    picked = both_ends.withColumn("value", value)
-    return picked.groupBy(*by).agg(*[F.array(*[F.max(F.when((F.col("__c") == c) & (F.col("i") == i), F.col("value"))) for i in range(len(own))]).alias(c) for c, own in fractions.items()])
+    side = lambda k: F.max(F.when(F.col("__end") == k, F.col("__value")))
+    both_ends = found.groupBy(*group, "__i", "__at").agg(side(0).alias("__low"), side(1).alias("__high"))
+    low = F.floor("__at")
+    value = F.when(F.col("__at") == low, F.col("__low")).otherwise((low + 1 - F.col("__at")) * F.col("__low") + (F.col("__at") - low) * F.col("__high"))
+    picked = both_ends.withColumn("__value", value)
+    return picked.groupBy(*by).agg(*[F.array(*[F.max(F.when((F.col("__c") == c) & (F.col("__i") == i), F.col("__value"))) for i in range(len(own))]).alias(c) for c, own in fractions.items()])

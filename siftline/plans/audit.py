@@ -13,7 +13,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.operators import compare, models, stats
+from siftline.operators import compare, ridge, stats
 from siftline.tables import load, union
 
 
@@ -38,27 +38,34 @@ def job_table(frame: DataFrame, key: str, feature_sets: dict[str, str], assays:
 
 def internal_metrics(frame: DataFrame, key: str, feature_sets: dict[str, str], assays: list[str], fold: str, pca: int | None = None) -> DataFrame:
     """Out-of-fold competitive metrics of every feature set and assay; values are risk-oriented by assay."""
-    found = models.fold_predictions(job_table(frame, key, feature_sets, assays, fold), ["feature_set", "assay"], key, "x", "y", fold, pca=pca)
+    found = ridge.fold_predictions(job_table(frame, key, feature_sets, assays, fold), ["feature_set", "assay"], key, "x", "y", fold, pca=pca)
     return stats.competitive_metrics(found, ["feature_set", "assay"], "y_true", "y_pred", key).withColumn("model", F.lit("ridge"))
 
 
-def freeze(metrics: DataFrame, metric: str = "spearman") -> FrozenSpec:
-    """The best feature set of each assay, frozen. One row per assay reaches the driver."""
+def freeze(metrics: DataFrame, train: DataFrame, key: str, feature_sets: dict[str, str], metric: str = "spearman") -> FrozenSpec:
+    """The best feature set of each assay with the penalty that all training rows choose for it, frozen. One row per
+    assay reaches the driver."""
     best = stats.best_per(metrics, ["assay"], metric, "feature_set", "model").select("assay", "feature_set", "model", F.round(metric, 6).alias(metric)).orderBy("assay").collect()
-    text = json.dumps([r.asDict() for r in best], sort_keys=True)
+    rows = [r.asDict() for r in best]
+    for row in rows:
+        none = train.filter("false")
+        models, _ = ridge.external_predictions(_for(train, key, row, feature_sets), _for(none, key, row, feature_sets), ["assay", "feature_set"], key, "x", "y")
+        row["alpha"] = models.first()["alpha"]
+    text = json.dumps(rows, sort_keys=True)
     return FrozenSpec(text, hashlib.sha256(text.encode()).hexdigest())
 
 
+def _for(frame: DataFrame, key: str, row: dict, feature_sets: dict[str, str]) -> DataFrame:
+    """The features and labels of one row of the specification."""
+    return frame.select(key, F.lit(row["assay"]).alias("assay"), F.lit(row["feature_set"]).alias("feature_set"), F.col(feature_sets[row["feature_set"]]).alias("x"), F.col(row["assay"]).cast("double").alias("y"))
+
+
 def evaluate_external(spec: FrozenSpec, train: DataFrame, external: DataFrame, key: str, feature_sets: dict[str, str]) -> DataFrame:
-    """Full-train fit and one external score for each frozen row."""
+    """Full-train fit with the frozen penalty and one external score for each frozen row."""
     parts = []
     for row in spec.rows():
-        a, s = row["assay"], row["feature_set"]
-        sums = models.gram_sums(train, feature_sets[s], a)["z"]
-        w, b = models.ridge_from_sums(sums, 1.0)
-        weights = F.array(*[F.lit(float(v)) for v in w])
-        dot = F.aggregate(F.zip_with(F.col(feature_sets[s]).cast("array<double>"), weights, lambda x, v: x * v), F.lit(float(b)), lambda t, x: t + x)
-        parts.append(external.select(F.lit(a).alias("assay"), F.lit(s).alias("feature_set"), F.col(key).alias("id"), F.col(a).cast("double").alias("y_true"), dot.alias("y_pred")))
+        _, found = ridge.external_predictions(_for(train, key, row, feature_sets), _for(external, key, row, feature_sets), ["assay", "feature_set"], key, "x", "y", (row["alpha"],))
+        parts.append(found.withColumnRenamed(key, "id"))
     return stats.competitive_metrics(union(parts), ["assay", "feature_set"], "y_true", "y_pred", "id")
 
 
@@ -79,7 +86,7 @@ def useful(external: DataFrame, rho: float, auroc: float) -> DataFrame:
 
 def audit(train: DataFrame, external: DataFrame, key: str, feature_sets: dict[str, str], assays: list[str], fold: str) -> tuple[FrozenSpec, DataFrame]:
     internal = internal_metrics(train, key, feature_sets, assays, fold)
-    spec = freeze(internal)
+    spec = freeze(internal, train, key, feature_sets)
     return spec, comparison(internal, evaluate_external(spec, train, external, key, feature_sets))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siftline.functions import conditions as C
 from siftline.functions import sequences as S
 from siftline.functions import vectors as V
-from siftline.operators import compare, graph, models, nullmodels, pairs, profile, simulation, stats, topology
+from siftline.operators import compare, graph, models, nullmodels, pairs, profile, ridge, simulation, stats, topology
 from siftline.operators.order import quantiles
 from siftline.operators.ranking import average_rank, spearman
 from siftline.plans import gate
@@ -186,13 +186,13 @@ def _model_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 def ridge_oof_multi(spark: SparkSession, sf: str) -> DataFrame:
     rows = _model_rows(spark, sf).withColumn("assay", F.lit("y"))
-    found = models.fold_predictions(rows, ["assay"], "vec_id", "x", "y", "fold")
+    found = ridge.fold_predictions(rows, ["assay"], "vec_id", "x", "y", "fold")
     return _rounded(stats.competitive_metrics(found, ["assay"], "y_true", "y_pred", "vec_id"))
 
 
 def pca_ridge_oof(spark: SparkSession, sf: str) -> DataFrame:
     rows = _model_rows(spark, sf).withColumn("assay", F.lit("y"))
-    found = models.fold_predictions(rows, ["assay"], "vec_id", "embedding", "y", "fold", pca=16)
+    found = ridge.fold_predictions(rows, ["assay"], "vec_id", "embedding", "y", "fold", pca=16)
     return _rounded(stats.competitive_metrics(found, ["assay"], "y_true", "y_pred", "vec_id"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions.vectors import pair_blocks
-from siftline.operators import models, nullmodels, topology
+from siftline.operators import nullmodels, ridge, topology
 from siftline.operators.ranking import spearman
 from siftline.tables import pin, union
 
@@ -42,7 +42,7 @@ def block_metrics(blocks: DataFrame, labels: DataFrame, fold: str, shuffles: lis
     for s in shuffles:
         moved = nullmodels.shuffle_labels(labels.filter("y is not null"), ["assay"], topology.KEY, "y", s).drop("y").withColumnRenamed("shuffled", "y")
         jobs.append(real.join(moved, topology.KEY).withColumn("feature_block", F.lit(f"label_shuffle_{s}")))
-    found = models.fold_predictions(union(jobs), ["assay", "feature_block"], topology.KEY, "x", "y", fold)
+    found = ridge.fold_predictions(union(jobs), ["assay", "feature_block"], topology.KEY, "x", "y", fold)
     return spearman(found, ["assay", "feature_block"], "y_true", "y_pred")
 
 
@@ -85,7 +85,7 @@ def leave_one_family_out(frame: DataFrame, key: str, features: str, families: di
     for name, places in families.items():
         sets.append(F.struct(F.lit(name).alias("family_removed"), _without(x, places).alias("x")))
     jobs = frame.select(key, fold, target, F.explode(F.array(*sets)).alias("s")).select(key, fold, target, "s.*")
-    rho = pin(spearman(models.fold_predictions(jobs, ["family_removed"], key, "x", target, fold), ["family_removed"], "y_true", "y_pred"))
+    rho = pin(spearman(ridge.fold_predictions(jobs, ["family_removed"], key, "x", target, fold), ["family_removed"], "y_true", "y_pred"))
     base = rho.filter("family_removed = ''").select(F.col("spearman").alias("baseline"))
     rest = rho.filter("family_removed <> ''").crossJoin(F.broadcast(base))  # one row
     return rest.select("family_removed", "n", "baseline", "spearman", (F.col("baseline") - F.col("spearman")).alias("spearman_drop"))

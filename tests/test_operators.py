@@ -122,10 +122,8 @@ def test_ridge(spark):
     frame = frame_of(spark, a=["y"] * 60, id=range(60), fold=[i % 5 for i in range(60)], x=[list(map(float, r)) for r in x], y=y)
     w, b = models.ridge_from_sums(models.gram_sums(frame, "x", "y")["z"], 2.0)
     assert np.allclose(w * x.std(0), m["weights"]) and b == pytest.approx(y.mean() - w @ x.mean(0))
-    found = models.fold_predictions(frame, ["a"], "id", "x", "y", "fold").toPandas()
-    assert np.corrcoef(found["y_true"], found["y_pred"])[0, 1] > 0.95
-    assert models.fold_predictions(frame.limit(5), ["a"], "id", "x", "y", "fold").filter("y_pred is not null").count() == 0
-    assert models.pca_fit(rng.normal(size=(12, 30)), 64)[1].shape[1] == 11
+    wide = frame_of(spark, e=[list(map(float, r)) for r in rng.normal(size=(12, 30))])
+    assert len(models.pca_columns(wide, "e", 64).first().pca) == 11
 
 
 def test_clusters_and_alignment():
