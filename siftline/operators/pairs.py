@@ -1,8 +1,7 @@
 """Pair operators: similarity matrices in long form, k nearest neighbours, and nearest-point joins.
 
-A pair operator looks at all pairs only where the question is about all pairs of a small table. A reference set
-goes to every task only while its measured size is under ``BROADCAST_ROWS``; beyond that it comes in blocks, and
-the best of each block are merged.
+A pair operator looks at all pairs only where the question is about all pairs of a small table. Nearest neighbours
+multiply shuffled blocks of both sides and merge the best; a grid of points is broadcast behind a check of its size.
 """
 
 from __future__ import annotations
@@ -11,12 +10,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.functions.sequences import aligned_identity
+from siftline.operators.order import numbered_by
 from siftline.operators.ranking import average_rank, guarded_corr
+from siftline.tables import pin
 
+#: Rows of a block of vectors, and points of a grid that may be broadcast.
+BLOCK_ROWS = 20_000
 BROADCAST_ROWS = 20_000
 
 
@@ -40,106 +43,109 @@ def pairwise_identity(frame: DataFrame, key: str, sequence: str) -> DataFrame:
     return a.join(b, F.col("i") < F.col("j")).select("i", "j", aligned_identity(F.col("x"), F.col("y")).alias("identity"))
 
 
-def symmetric(pairs: DataFrame, keys: DataFrame, key: str, value: str) -> DataFrame:
-    """Both directions of every pair and a diagonal of one."""
-    back = pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), value)
-    own = keys.select(F.col(key).alias("i"), F.col(key).alias("j"), F.lit(1.0).alias(value))
-    return pairs.unionByName(back).unionByName(own)
-
-
-def nearest(
-    queries: DataFrame,
-    reference: DataFrame,
-    k: int,
-    similarity: Column,
-    query_key: str = "q",
-    reference_key: str = "r",
-    where: Column | None = None,
-) -> DataFrame:
-    """The ``k`` rows of ``reference`` most similar to each query: (q, r, similarity, rank).
-
-    ``similarity`` is an expression over both sides' columns; NULL is never near. Similarities are compared after
-    rounding to nine digits, ties go to the least reference key.
-    """
-    n = reference.count()
-    blocks = max(1, -(-n // BROADCAST_ROWS))
-    order = Window.partitionBy(query_key).orderBy(F.desc("similarity"), reference_key)
-
-    def best(pairs: DataFrame) -> DataFrame:
-        return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+def _matrix(column) -> np.ndarray:
+    return np.asarray(column.flatten()).astype(float).reshape(len(column), -1)
 
-    found = None
-    for b in range(blocks):
-        part = reference if blocks == 1 else reference.filter(F.pmod(F.xxhash64(reference_key), F.lit(blocks)) == b)
-        pairs = queries.join(F.broadcast(part), where if where is not None else F.lit(True))
-        scored = pairs.withColumn("similarity", F.round(similarity, 9)).filter(F.col("similarity").isNotNull())
-        top = best(scored)
-        found = top if found is None else found.unionByName(top)
-    return found if blocks == 1 else best(found.drop("rank"))
 
+def _best(keys: np.ndarray, vectors: np.ndarray, groups: np.ndarray | None, part: pa.RecordBatch, k: int, itself: bool) -> pa.RecordBatch:
+    """The best ``k`` of a block of reference rows, sorted by key, for some queries."""
+    names = np.asarray(part.column("key"))
+    score = np.round(_matrix(part.column("v")) @ vectors.T, 9)
+    if not itself:
+        score[names[:, None] == keys[None]] = -np.inf
+    if groups is not None:
+        score[np.asarray(part.column("g"))[:, None] == groups[None]] = -np.inf
+    most = min(k, len(keys))
+    bar = np.partition(score, len(keys) - most, axis=1)[:, len(keys) - most]
+    row, col = np.nonzero((score >= bar[:, None]) & np.isfinite(score))
+    order = np.lexsort((keys[col], -score[row, col], row))
+    row, col = row[order], col[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    row, col = row[place < k], col[place < k]
+    return pa.RecordBatch.from_arrays([pa.array(names[row]), pa.array(keys[col]), pa.array(score[row, col])], names=["q", "r", "similarity"])
+
+
+def _tiles(k: int, itself: bool):
+    """Rows sorted by tile, reference before queries: holds a tile's reference block and streams its queries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, held, block = None, [], None
+        for batch in batches:
+            tiles, kinds = np.asarray(batch.column("tile")), np.asarray(batch.column("kind"))
+            cuts = np.flatnonzero((tiles[1:] != tiles[:-1]) | (kinds[1:] != kinds[:-1])) + 1
+            for begin, end in zip([0, *cuts], [*cuts, len(tiles)], strict=True):
+                if begin == end:
+                    continue
+                if tiles[begin] != tile:
+                    tile, held, block = tiles[begin], [], None
+                part = batch.slice(begin, end - begin)
+                if kinds[begin] == 0:
+                    held.append(part)
+                    continue
+                if block is None and held:
+                    rows = pa.Table.from_batches(held).sort_by("key").combine_chunks()
+                    column = lambda c: rows.column(c).combine_chunks()
+                    block = (np.asarray(column("key")), _matrix(column("v")), np.asarray(column("g")) if "g" in rows.column_names else None)
+                for i in range(0, part.num_rows if block else 0, 512):
+                    yield _best(*block, part.slice(i, 512), k, itself)
 
-def _matrix(column) -> np.ndarray:
-    return np.asarray(column.flatten()).astype(float).reshape(len(column), -1)
+    return run
 
 
-def nearest_by_dot(queries: DataFrame, reference: DataFrame, k: int, query_key: str, reference_key: str, vector: str, group: str | None = None, itself: bool = True) -> DataFrame:
-    """(q, r, similarity) of the ``k`` reference vectors with the largest inner product: one matrix product a batch.
+def nearest_by_dot(queries: DataFrame, reference: DataFrame, k: int, query_key: str, reference_key: str, vector: str, group: str | None = None, itself: bool = True, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(q, r, similarity) of the ``k`` reference vectors with the largest inner product, on the executors.
 
-    The reference comes in blocks of at most ``BROADCAST_ROWS`` vectors, each broadcast once; blocks' best are merged.
+    Both sides are shuffled into blocks, the reference by falling norm, and a tile multiplies a block of one with a
+    block of the other. The first round meets the longest reference vectors; what a query has found there bounds the
+    rest: it goes on only to blocks whose longest vector could still reach its k-th best. Best of tiles are merged.
     Similarities are rounded to nine digits, ties go to the least key. NULL vectors are left out; with ``group`` a
     query's own group is, and without ``itself`` its own key.
     """
-    spark = queries.sparkSession
-    kinds = {f.name: f.dataType.simpleString() for f in reference.schema}
-    known = reference.filter(F.col(vector).isNotNull())
-    blocks = max(1, -(-known.count() // BROADCAST_ROWS))
-    columns = [reference_key, vector, *([group] if group else [])]
-    q = queries.filter(F.col(vector).isNotNull()).select(query_key, F.col(vector).cast("array<double>").alias("__v"), *([F.col(group).alias("__g")] if group else []))
-
-    def of(shared):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            keys, vectors, groups = shared.value
-            for batch in batches:
-                if not batch.num_rows or not len(keys):
-                    continue
-                names = np.asarray(batch.column(0))
-                for begin in range(0, batch.num_rows, 512):
-                    part = batch.slice(begin, 512)
-                    score = np.round(_matrix(part.column(1)) @ vectors.T, 9)
-                    if not itself:
-                        score[names[begin : begin + 512][:, None] == keys[None]] = -np.inf
-                    if groups is not None:
-                        score[np.asarray(part.column(2))[:, None] == groups[None]] = -np.inf
-                    most = min(k, len(keys))
-                    bar = np.partition(score, len(keys) - most, axis=1)[:, len(keys) - most]
-                    row, col = np.nonzero((score >= bar[:, None]) & np.isfinite(score))
-                    order = np.lexsort((keys[col], -score[row, col], row))
-                    row, col = row[order], col[order]
-                    place = np.arange(len(row)) - np.searchsorted(row, row)
-                    row, col = row[place < k], col[place < k]
-                    yield pa.RecordBatch.from_arrays([pa.array(names[begin + row]), pa.array(keys[col]), pa.array(score[row, col])], names=["q", "r", "similarity"])
-
-        return run
-
-    schema = f"q {queries.schema[query_key].dataType.simpleString()}, r {kinds[reference_key]}, similarity double"
-    found = None
-    for b in range(blocks):
-        part = known if blocks == 1 else known.filter(F.pmod(F.xxhash64(reference_key), F.lit(blocks)) == b)
-        rows = part.select(columns[0], F.col(vector).cast("array<double>").alias("v"), *columns[2:]).toArrow().combine_chunks().sort_by(reference_key)
-        column = rows.column("v").combine_chunks()
-        payload = (rows.column(0).to_numpy(), _matrix(column) if len(column) else np.zeros((0, 1)), rows.column(2).to_numpy() if group else None)
-        top = q.mapInArrow(of(spark.sparkContext.broadcast(payload)), schema)
-        found = top if found is None else found.unionByName(top)
-    if blocks == 1:
-        return found
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("norm")
+    own = lambda frame, key: frame.filter(F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"), *([F.col(group).alias("g")] if group else []))
+    known = own(reference, reference_key)
+    place = numbered_by(known.select("*", norm), [], "norm", "n", "key", keep_size="size")
+    blocks = pin(place.select(*known.columns, "norm", F.floor((F.col("size") - F.col("n")) / block_rows).cast("int").alias("block")))
+    asked = own(queries, query_key).select("*", norm)
+    parts = max(1, -(-asked.count() // block_rows))
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int"))
+    longest = blocks.groupBy("block").agg(F.max("norm").alias("longest"))
+    schema = f"q {queries.schema[query_key].dataType.simpleString()}, r {reference.schema[reference_key].dataType.simpleString()}, similarity double"
+    tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def round_of(met_blocks: DataFrame, given: DataFrame) -> DataFrame:
+        """One product of each query with each block it is given."""
+        left = met_blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("kind", F.lit(0))
+        both_sides = left.unionByName(given.withColumn("kind", F.lit(1)), allowMissingColumns=True).withColumn("tile", F.col("part") + F.col("block").cast("long") * parts)
+        dealt = both_sides.select("tile", "kind", *known.columns).repartition(tasks, "tile").sortWithinPartitions("tile", "kind")
+        return dealt.mapInArrow(_tiles(k, itself), schema)
+
+    first = round_of(blocks.filter("block = 0"), asked.withColumn("block", F.lit(0)))
+    if not blocks.filter("block > 0").take(1):
+        return _merged(first, k) if parts > 1 else first
+    first = pin(first)
+    given = _in_reach(asked, first, longest, k)
+    return _merged(first.unionByName(round_of(blocks.filter("block > 0"), given)), k)
+
+
+def _in_reach(asked: DataFrame, first: DataFrame, longest: DataFrame, k: int) -> DataFrame:
+    """Queries once for each further block whose longest vector times their own length could reach their k-th best so far."""
+    bars = first.groupBy("q").agg(F.when(F.count("*") >= k, F.min("similarity")).alias("bar")).withColumnRenamed("q", "key")
+    rest = longest.filter("block > 0").agg(F.collect_list(F.struct("block", "longest")).alias("blocks"))
+    more = asked.join(bars, "key", "left").crossJoin(F.broadcast(rest))  # one row: a number for each block of vectors
+    open_ = F.filter("blocks", lambda b: F.col("bar").isNull() | (b["longest"] * F.col("norm") * (1 + 1e-12) + 1e-8 >= F.col("bar")))
+    return more.withColumn("b", F.explode(open_)).select(*asked.columns, F.col("b.block").alias("block"))
+
+
+def _merged(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("q").orderBy(F.desc("similarity"), "r")
     return found.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k).drop("n")
 
 
-def knn_predictions(frame: DataFrame, key: str, vector: str, target: str, k: int = 8, group: str | None = None) -> DataFrame:
+def knn_predictions(frame: DataFrame, key: str, vector: str, target: str, k: int = 8, group: str | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Leave-one-out mean of the k nearest rows' targets; with ``group``, rows of the query's own group are left out."""
     known = frame.filter(F.col(target).isNotNull())
-    near = nearest_by_dot(frame, known, k, key, key, vector, group, itself=False)
+    near = nearest_by_dot(frame, known, k, key, key, vector, group, itself=False, block_rows=block_rows)
     targets = known.select(F.col(key).alias("r"), F.col(target).cast("double").alias("rt"))
     means = near.join(targets, "r").groupBy("q").agg(F.avg("rt").alias("y_pred"), F.avg("similarity").alias("mean_similarity"))
     return frame.select(F.col(key).alias("q"), F.col(target).cast("double").alias("y_true")).join(means, "q")

@@ -71,12 +71,30 @@ def test_correlated_assays(spark):
     assert [(e.a, e.b) for e in edges] == [("a", "b")]
 
 
-def test_knn_in_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("scale", [0.0, 2.0])
+def test_knn_in_blocks(spark, scale):
     rng = np.random.default_rng(1)
-    frame = frame_of(spark, id=range(40), g=[i % 4 for i in range(40)], v=[list(map(float, r)) for r in rng.normal(size=(40, 5))], y=rng.normal(size=40))
-    whole = pairs.knn_predictions(frame, "id", "v", "y", 3, "g").orderBy("q").collect()
-    monkeypatch.setattr(pairs, "BROADCAST_ROWS", 7)
-    assert [tuple(r) for r in pairs.knn_predictions(frame, "id", "v", "y", 3, "g").orderBy("q").collect()] == [pytest.approx(tuple(r)) for r in whole]
+    v = rng.normal(size=(60, 5)) * np.exp(rng.normal(size=(60, 1)) * scale)
+    v[7], v[8] = v[9], v[9]
+    rows = [(i, i % 4, list(map(float, v[i])) if i != 13 else None, float(rng.normal()) if i % 9 else None) for i in range(60)]
+    frame = spark.createDataFrame(rows, "id long, g int, v array<double>, y double").repartition(3)
+    for group in (None, "g"):
+        want = {}
+        for i, g, x, _ in rows:
+            near = sorted((-round(float(np.dot(x, r[2])), 9), r[0], r[3]) for r in rows if x and r[2] and r[3] is not None and r[0] != i and (group is None or r[1] != g))[:3] if x else []
+            if near:
+                want[i] = (pytest.approx(np.mean([n[2] for n in near])), pytest.approx(-np.mean([n[0] for n in near])))
+        for block in (7, 20_000):
+            got = {r.q: (r.y_pred, r.mean_similarity) for r in pairs.knn_predictions(frame, "id", "v", "y", 3, group, block).collect()}
+            assert got == want
+
+
+def test_knn_skips_blocks_out_of_reach(spark):
+    asked = frame_of(spark, key=[1, 2, 3], norm=[1.0, 1.0, 0.1], part=[0, 0, 0])
+    first = frame_of(spark, q=[1, 1, 2, 3, 3], r=[8, 9, 8, 8, 9], similarity=[0.9, 0.5, 0.9, 0.6, 0.4])
+    longest = frame_of(spark, block=[0, 1, 2], longest=[2.0, 0.6, 0.4])
+    # the second of query 1 is out of reach for block 2; query 2 has found one only; query 3 is too short for both
+    assert {(r.key, r.block) for r in pairs._in_reach(asked, first, longest, 2).collect()} == {(1, 1), (2, 1), (2, 2)}
 
 
 def test_contact_edges_match_all_pairs(spark):
