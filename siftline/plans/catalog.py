@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siftline.functions import conditions as C
 from siftline.functions import sequences as S
 from siftline.functions import vectors as V
-from siftline.operators import compare, graph, models, nullmodels, pairs, profile, ridge, simulation, stats, topology
+from siftline.operators import compare, graph, models, nullmodels, pairs, profile, ridge, similar, simulation, stats, topology
 from siftline.operators.order import quantiles
 from siftline.operators.ranking import average_rank, spearman
 from siftline.plans import gate
@@ -564,9 +564,16 @@ def regime_sweep(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(grid.select("run_id", "attraction_strength", "repulsion_strength", F.col("patch_valence").alias("valence")).join(simulation.sweep(grid, 40, 20), "run_id"))
 
 
+def identity_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Addresses of pages as aligned sequences: pairs of distinct ones that agree in 85 % of the positions both have."""
+    return _rounded(similar.identity_links(similar.distinct_sequences(load(spark, sf, "pages", "page_id", "url"), "page_id", "url"), 0.85))
+
+
 def hier_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    items = load(spark, sf, "benchmark")
-    return models.sequence_clusters(pairs.pairwise_identity(items, "item_id", "text"), items, "item_id", 0.25)
+    """Benchmark items and page addresses in average-linkage clusters."""
+    items = load(spark, sf, "benchmark").select(F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("key"), "text")
+    pages = load(spark, sf, "pages").select(F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("key"), F.col("url").alias("text"))
+    return union([similar.sequence_clusters(items, "key", "text", 0.25), similar.sequence_clusters(pages, "key", "text", 0.85)])
 
 
 def local_alignment(spark: SparkSession, sf: str) -> DataFrame:
@@ -595,6 +602,6 @@ QUERIES = {
         contact_graph, patch_components, patch_summary, spread_components, adjacency_summary, centroid_distance, dipole, scramble_derange, label_shuffle,
         scramble_diagnostics, gate_verdict, positive_controls, zscore_signal, vector_pair_blocks, mean_pool, edge_turnover, contact_lifetimes, set_ops, average_ranks,
         surface_composition, topology_gate, family_drops, topology_features, charge_topology, region_positions, literature_conditions,
-        region_totals, particle_parameters, patchy_sim, regime_sweep, hier_clusters, local_alignment, coefficient_bootstrap, feature_importance, triage_audit,
+        region_totals, particle_parameters, patchy_sim, regime_sweep, identity_links, hier_clusters, local_alignment, coefficient_bootstrap, feature_importance, triage_audit,
     )
 } | {"rf_oof": _ml("random_forest"), "gbt_oof": _ml("hist_gradient_boosting"), "elasticnet_oof": _ml("elastic_net")}

@@ -252,6 +252,10 @@ SELECT doc_id, {r6(f"length({clean('substring(h, 106, 33)')})", 'cdr_h3_length')
 {r6(f"length({clean('concat(hc, lc)')})", 'fv_cdr_length')} FROM c""",
     "pairwise_identity": f"""WITH p AS (SELECT a.item_id AS i, b.item_id AS j, a.text AS x, b.text AS y, unnest(range(1, least(length(a.text), length(b.text)) + 1)) AS k FROM benchmark a JOIN benchmark b ON a.item_id < b.item_id)
 SELECT i, j, {r6("count(*) FILTER (x[k] = y[k]) / count(*)::DOUBLE", 'identity')} FROM p WHERE x[k] <> '-' AND y[k] <> '-' GROUP BY i, j""",
+    "identity_links": f"""WITH d AS (SELECT url, min(page_id) AS id FROM pages WHERE url IS NOT NULL GROUP BY url),
+p AS (SELECT a.id AS i, b.id AS j, a.url AS x, b.url AS y, unnest(range(1, least(len(a.url), len(b.url)) + 1)) AS k FROM d a JOIN d b ON a.id < b.id),
+m AS (SELECT i, j, count(*) FILTER (substring(x, k, 1) = substring(y, k, 1)) / count(*)::DOUBLE AS v FROM p WHERE substring(x, k, 1) <> '-' AND substring(y, k, 1) <> '-' GROUP BY i, j)
+SELECT i, j, {r6('v', 'identity')} FROM m WHERE v >= 0.85""",
     "knn_loo": knn("a.vec_id <> b.vec_id"),
     "knn_grouped": knn("a.vec_id <> b.vec_id AND a.label <> b.label"),
     "knn_external": "WITH v AS (SELECT vec_id, embedding[1]::DOUBLE AS y, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT a.vec_id AS q, a.y AS y_true, b.y AS r, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_dot_product(a.e, b.e), 9) DESC, b.vec_id) AS n FROM v a JOIN v b ON a.vec_id % 4 = 0 AND b.vec_id % 4 <> 0), "
