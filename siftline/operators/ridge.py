@@ -66,16 +66,17 @@ def solved(z: np.ndarray, pca: int | None) -> dict[str, np.ndarray | float]:
     scale = np.sqrt(np.maximum(np.diag(a), 0.0))
     scale = np.where(scale > 1e-7 * (scale.max(initial=0.0) if pca else np.abs(means[:p])), scale, 1.0)
     values, vectors = np.linalg.eigh(n * a / np.outer(scale, scale))
-    return {"n": n, "mean": means[:p], "centre": means[p], "values": np.maximum(values, 0.0), "turn": turn / scale @ vectors, "pull": vectors.T @ (n * b / scale)}
+    return {"n": n, "mean": means[:p], "centre": means[p], "values": np.maximum(values, 0.0), "scale": scale, "turn": turn / scale @ vectors, "pull": vectors.T @ (n * b / scale)}
 
 
-def errors(model: dict, x: np.ndarray, y: np.ndarray, alphas: np.ndarray) -> np.ndarray:
-    """Summed squared leave-one-out errors of training rows, for every penalty."""
+def errors(model: dict, x: np.ndarray, y: np.ndarray, alphas: np.ndarray, times: np.ndarray | None = None) -> np.ndarray:
+    """Summed squared leave-one-out errors of training rows, each so many ``times``, for every penalty."""
     u = (x - model["mean"]) @ model["turn"]
     inverse = 1 / (model["values"][:, None] + alphas)
     leverage = 1 / model["n"] + (u * u) @ inverse
     fitted = u @ (inverse * model["pull"][:, None])
-    return (((y[:, None] - model["centre"] - fitted) / np.maximum(1 - leverage, 1e-12)) ** 2).sum(axis=0)
+    squares = ((y[:, None] - model["centre"] - fitted) / np.maximum(1 - leverage, 1e-12)) ** 2
+    return squares.sum(axis=0) if times is None else times @ squares
 
 
 def _filled(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -223,3 +224,100 @@ def external_predictions(train: DataFrame, external: DataFrame, job: list[str],
     filled = pin(_filled(pin(rows.unionByName(other)), asked))
     models = fit(filled.filter("cell = 'train'"), asked, None, alphas)
     return models, predict(filled.filter("cell = 'external'"), models)
+
+
+#: Bytes of bootstrap models that one pass broadcasts.
+BLOCK_BYTES = 64_000_000
+_POISSON = np.cumsum(np.exp(-1.0) / np.cumprod([1.0, *range(1, 16)]))
+
+
+def multiplicities(row: np.ndarray, replicates: np.ndarray, seed: int) -> np.ndarray:
+    """How often each row (64-bit hash) is in each bootstrap replicate: Poisson with mean one, drawn from the hash of row,
+    replicate and seed, so every pass and every retry draws alike."""
+    x = row.astype(np.uint64)[:, None] ^ (np.uint64(seed) + replicates.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None]
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    x ^= x >> np.uint64(31)
+    return np.searchsorted(_POISSON, (x >> np.uint64(11)).astype(float) / 2**53, side="right").astype(float)
+
+
+def bootstrap_weights(frame: DataFrame, key: str, features: str, target: str, replicates: int = 300, seed: int = 7, alphas: tuple[float, ...] = ALPHAS) -> DataFrame:
+    """(b, alpha, weights) of each replicate: standardised ridge weights, penalty by leave-one-out as in ``fit``.
+
+    No row is copied: one pass sums the weighted Gram matrices of all replicates, a second one their weighted
+    leave-one-out errors. Keys should be unique, rows of one key are drawn together. Rows with missing features are left out.
+    """
+    known = F.col(features).isNotNull() & ~F.exists(features, lambda v: v.isNull() | F.isnan(v)) & F.col(target).isNotNull()
+    rows = frame.filter(known).select(F.xxhash64(key).alias("h"), F.col(features).cast("array<double>").alias("x"), F.col(target).cast("double").alias("y"))
+    every = np.arange(replicates)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            x = as_matrix(batch.column("x")) if batch.num_rows else np.zeros((0, 0))
+            for i in range(0, len(x), 1024):
+                z = np.column_stack([np.ones(len(x[i : i + 1024])), x[i : i + 1024], np.asarray(batch.column("y"))[i : i + 1024]])
+                m = multiplicities(np.asarray(batch.column("h"))[i : i + 1024], every, seed)
+                grams = m.T @ (z[:, :, None] * z[:, None, :]).reshape(len(z), -1)
+                total = grams if total is None else total + grams
+        if total is not None:
+            for b, v in enumerate(total):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), b), pa.int32()), pa.array(np.arange(len(v))), pa.array(v)], names=["b", "i", "v"])
+
+    def solve(part: pd.DataFrame) -> pd.DataFrame:
+        flat = part.sort_values("i")["v"].to_numpy()
+        side = int(round(len(flat) ** 0.5))
+        z = flat.reshape(side, side)
+        return pd.DataFrame({"b": [part["b"].iloc[0]], "model": [pickle.dumps(solved(z, None))]} if z[0, 0] >= 2 else {"b": [], "model": []})
+
+    grams = rows.mapInArrow(sums, "b int, i long, v double").groupBy("b", "i").agg(F.sum("v").alias("v"))
+    models = pin(grams.groupBy("b").applyInPandas(solve, "b int, model binary"))
+    grid = np.array(sorted(alphas))
+    size = models.agg(F.max(F.length("model"))).first()[0] or 1
+    step = max(1, BLOCK_BYTES // size)
+    scores = None
+    for begin in range(0, replicates, step):
+        held = {r["b"]: pickle.loads(r["model"]) for r in models.filter(F.col("b").between(begin, begin + step - 1)).collect()}
+        part = rows.mapInArrow(_bootstrap_errors(frame.sparkSession.sparkContext.broadcast(held), grid, seed), "b int, k int, e double")
+        scores = part if scores is None else scores.unionByName(part)
+    best = scores.groupBy("b", "k").agg(F.sum("e").alias("e")).groupBy("b").agg(F.min_by("k", F.struct("e", "k")).alias("k"))
+
+    def final(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in frames:
+            out = []
+            for b, model, k in zip(part["b"], part["model"], part["k"], strict=True):
+                m = pickle.loads(model)
+                out.append((b, float(grid[k]), (m["scale"] * (m["turn"] @ (m["pull"] / (m["values"] + grid[k])))).tolist()))
+            yield pd.DataFrame(out, columns=["b", "alpha", "weights"])
+
+    return models.join(best, "b").mapInPandas(final, "b int, alpha double, weights array<double>")
+
+
+def _bootstrap_errors(shared, grid: np.ndarray, seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models = shared.value
+        names, total = np.array(sorted(models)), {}
+        for batch in batches:
+            if not batch.num_rows or not len(names):
+                continue
+            x, y, h = as_matrix(batch.column("x")), np.asarray(batch.column("y")), np.asarray(batch.column("h"))
+            for b in names.tolist():
+                m = multiplicities(h, np.array([b]), seed)[:, 0]
+                drawn = m > 0
+                total[b] = total.get(b, 0) + errors(models[b], x[drawn], y[drawn], grid, m[drawn])
+        for b, sums in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sums), b), pa.int32()), pa.array(np.arange(len(sums)), pa.int32()), pa.array(sums)], names=["b", "k", "e"])
+
+    return run
+
+
+def bootstrap_coefficients(frame: DataFrame, key: str, features: str, names: list[str], target: str, replicates: int = 300, seed: int = 7) -> DataFrame:
+    """Mean, deviation, 2.5 and 97.5 % quantiles, mean size and sign agreement of standardised ridge weights over bootstrap replicates."""
+    weights = bootstrap_weights(frame, key, features, target, replicates, seed)
+    named = F.array(*map(F.lit, names))
+    long = weights.select(F.posexplode("weights").alias("i", "w")).select(F.get(named, F.col("i")).alias("feature"), "w")
+    w = F.col("w")
+    return long.groupBy("feature").agg(
+        F.avg(w).alias("mean"), F.stddev_pop(w).alias("sd"), F.percentile(w, F.lit(0.025)).alias("low"), F.percentile(w, F.lit(0.975)).alias("high"),
+        F.avg(F.abs(w)).alias("size"), F.greatest(F.avg((w > 0).cast("double")), F.avg((w < 0).cast("double"))).alias("sign_agreement"),
+    )

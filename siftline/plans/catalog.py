@@ -581,7 +581,7 @@ def local_alignment(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def coefficient_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(models.bootstrap_coefficients(_model_rows(spark, sf), "x", [f"x{i}" for i in range(20)], "y", 40))
+    return _rounded(ridge.bootstrap_coefficients(_model_rows(spark, sf), "vec_id", "x", [f"x{i}" for i in range(20)], "y"))
 
 
 def feature_importance(spark: SparkSession, sf: str) -> DataFrame:

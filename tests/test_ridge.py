@@ -86,3 +86,28 @@ def test_audit_freezes_the_penalty(spark):
     assert compared.first().external_n == 30
     with pytest.raises(ValueError, match="changed"):
         audit.evaluate_external(spec._replace(text=spec.text.replace(str(row["alpha"]), "1.0")), train, outside, "id", {"a": "a", "b": "b"})
+
+
+def test_bootstrap_equals_fits_of_drawn_rows(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from siftline.operators.models import ridge_fit
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(70, 3)) * [1, 10, 0.1] + 5
+    y = x[:, 0] * 2 - x[:, 1] / 5 + rng.normal(size=70)
+    rows = [(i, list(map(float, v)), float(t)) for i, (v, t) in enumerate(zip(x, y, strict=True))] + [(100, [1.0, None, 2.0], 3.0), (101, [1.0, 2.0, 3.0], None)]
+    frame = spark.createDataFrame(rows, "id int, x array<double>, y double").repartition(3)
+    h = np.array([r[0] for r in frame.filter("id < 100").orderBy("id").select(F.xxhash64("id")).collect()])
+    m = ridge.multiplicities(h, np.arange(12), 7).astype(int)
+    assert 0.9 < m.mean() < 1.1 and 0.8 < m.var() < 1.25
+    for size in (ridge.BLOCK_BYTES, 1):
+        monkeypatch.setattr(ridge, "BLOCK_BYTES", size)
+        got = {r.b: r for r in ridge.bootstrap_weights(frame, "id", "x", "y", 12).collect()}
+        assert len(got) == 12
+        for b, r in got.items():
+            pick = np.repeat(np.arange(70), m[:, b])
+            want = ridge_fit(x[pick], y[pick])
+            assert r.alpha == pytest.approx(want["alpha"]) and r.weights == pytest.approx(want["weights"].tolist(), rel=1e-6)
+    table = {r.feature: r for r in ridge.bootstrap_coefficients(frame, "id", "x", ["a", "b", "c"], "y", 30).collect()}
+    assert table["a"].mean > 1 and table["a"].low < table["a"].mean < table["a"].high and table["b"].sign_agreement == 1.0
