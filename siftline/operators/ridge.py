@@ -51,10 +51,10 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([job] * n), pa.array([cell] * n), pa.array([own] * n), pa.array(np.arange(n)), pa.array(sums.ravel())], names=["job", "cell", "own", "i", "v"])
 
 
-def solved(z: np.ndarray, pca: int | None) -> dict[str, np.ndarray | float]:
+def solved(z: np.ndarray, pca: int | None, scaled: bool = True) -> dict[str, np.ndarray | float]:
     """A model before its penalty is known, from the sums of its rows: rows x turn into (x - mean) @ turn, whose squares are
     weighed by 1 / (values + penalty); ``pull`` is what the target adds along each. A feature counts as constant where it deviates by
-    less than 1e-7 of its mean: sums tell no better."""
+    less than 1e-7 of its mean: sums tell no better. Unless ``scaled``, features keep their scale."""
     n, p = z[0, 0], len(z) - 2
     means = z[0, 1:] / n
     cov = z[1:, 1:] / n - np.outer(means, means)
@@ -63,7 +63,7 @@ def solved(z: np.ndarray, pca: int | None) -> dict[str, np.ndarray | float]:
         k = int(max(0, min(n - 1, p, pca)))
         turn = np.linalg.eigh(a)[1][:, ::-1][:, :k]
         a, b = turn.T @ a @ turn, turn.T @ b
-    scale = np.sqrt(np.maximum(np.diag(a), 0.0))
+    scale = np.sqrt(np.maximum(np.diag(a), 0.0)) if scaled else np.zeros(len(a))
     scale = np.where(scale > 1e-7 * (scale.max(initial=0.0) if pca else np.abs(means[:p])), scale, 1.0)
     values, vectors = np.linalg.eigh(n * a / np.outer(scale, scale))
     return {"n": n, "mean": means[:p], "centre": means[p], "values": np.maximum(values, 0.0), "scale": scale, "turn": turn / scale @ vectors, "pull": vectors.T @ (n * b / scale)}
@@ -321,3 +321,62 @@ def bootstrap_coefficients(frame: DataFrame, key: str, features: str, names: lis
         F.avg(w).alias("mean"), F.stddev_pop(w).alias("sd"), F.percentile(w, F.lit(0.025)).alias("low"), F.percentile(w, F.lit(0.975)).alias("high"),
         F.avg(F.abs(w)).alias("size"), F.greatest(F.avg((w > 0).cast("double")), F.avg((w < 0).cast("double"))).alias("sign_agreement"),
     )
+
+
+#: Levels of all controls together: their Gram matrix, and a model of that width, are worked out on the driver and broadcast.
+LEVELS = 2_000
+
+
+def residualise(frame: DataFrame, target: str, controls: list[str], alphas: tuple[float, ...] = ALPHAS) -> tuple[DataFrame, DataFrame]:
+    """(rows with ``<target>_residual``, one row of n, alpha, control_r2, residual_sd): what a ridge on one-hot controls leaves.
+
+    Levels are compared as text and NULL is a level of its own. All sums come from the cells, the combinations of levels that
+    occur: counts of pairs of levels make the Gram matrix, and as rows of a cell share fit and leverage, the leave-one-out errors too.
+    Rows without target keep a NULL residual.
+    """
+    text = [F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit("")).alias(f"c{i}") for i, c in enumerate(controls)]
+    names = [f"c{i}" for i in range(len(controls))]
+    y = F.col(target).cast("double")
+    cells = pin(frame.filter(y.isNotNull()).select(*text, y.alias("y")).groupBy(*names).agg(F.count("*").alias("n"), F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("q")))
+    each = F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).alias("level")) for i, c in enumerate(names)])
+    levels = cells.select(F.explode(each).alias("e")).select("e.*").distinct().orderBy("i", "level").limit(LEVELS + 1).collect()
+    if len(levels) > LEVELS:
+        raise ValueError(f"controls of more than {LEVELS} levels")
+    place = {(r["i"], r["level"]): k for k, r in enumerate(levels)}
+    p = len(place)
+    pairs = cells.select("n", "s", F.explode(each).alias("a"), each.alias("all")).select("n", "s", "a", F.explode("all").alias("b"))
+    z = np.zeros((p + 2, p + 2))
+    for r in pairs.groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).collect():
+        a, b = place[tuple(r["a"])] + 1, place[tuple(r["b"])] + 1
+        z[a, b] = r["n"]
+        if a == b:
+            z[0, a] = z[a, 0] = r["n"]
+            z[a, p + 1] = z[p + 1, a] = r["s"]
+    n, s, q = cells.agg(F.sum("n"), F.sum("s"), F.sum("q")).first()
+    if not n:
+        summary = frame.sparkSession.createDataFrame([(0, None, None, None)], "n long, alpha double, control_r2 double, residual_sd double")
+        return frame.withColumn(f"{target}_residual", F.lit(None).cast("double")), summary
+    z[0, 0], z[0, p + 1], z[p + 1, 0], z[p + 1, p + 1] = n, s, s, q
+    model, grid = solved(z, None, scaled=False), np.array(sorted(alphas))
+    shared = frame.sparkSession.sparkContext.broadcast((place, model))  # at most LEVELS squared
+
+    def fitted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        where, m = shared.value
+        inverse = 1 / (m["values"][:, None] + grid)
+        for part in frames:
+            u = sum(m["turn"][[where[i, v] for v in part[c]]] for i, c in enumerate(names)) - m["mean"] @ m["turn"]
+            fit_ = m["centre"] + u @ (inverse * m["pull"][:, None])
+            left = np.maximum(1 - 1 / m["n"] - (u * u) @ inverse, 1e-12)
+            count, total, squares = (part[c].to_numpy(float)[:, None] for c in ("n", "s", "q"))
+            yield part[names].assign(fits=list(fit_), errors=list((squares - 2 * fit_ * total + count * fit_ * fit_) / left**2))
+
+    schema = ", ".join([*[f"{c} string" for c in names], "fits array<double>, errors array<double>"])
+    told = pin(cells.mapInPandas(fitted, schema))
+    sums = told.select(F.posexplode("errors").alias("k", "e")).groupBy("k").agg(F.sum("e").alias("e")).collect()
+    k = min(sums, key=lambda r: (r["e"], r["k"]))["k"]
+    named = frame.withColumns({f"__c{i}": t for i, t in enumerate(text)})
+    fits = told.select(*[F.col(c).alias(f"__c{i}") for i, c in enumerate(names)], F.get("fits", F.lit(k)).alias("__fit"))
+    rows = named.join(fits, [f"__c{i}" for i in range(len(names))], "left").withColumn(f"{target}_residual", y - F.col("__fit")).drop("__fit", *[f"__c{i}" for i in range(len(names))])
+    r = F.col(f"{target}_residual")
+    summary = rows.filter(r.isNotNull()).agg(F.count("*").alias("n"), F.lit(float(grid[k])).alias("alpha"), (1 - F.try_divide(F.sum(r * r), F.nullif(F.var_pop(y) * F.count("*"), F.lit(0.0)))).alias("control_r2"), F.stddev_pop(r).alias("residual_sd"))
+    return rows, summary

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siftline.functions import conditions as C
 from siftline.functions import sequences as S
 from siftline.functions import vectors as V
-from siftline.operators import compare, graph, models, nullmodels, pairs, profile, ridge, similar, simulation, stats, topology
+from siftline.operators import compare, folds, graph, models, nullmodels, pairs, prepare, profile, ridge, similar, simulation, stats, topology
 from siftline.operators.order import quantiles
 from siftline.operators.ranking import average_rank, spearman
 from siftline.plans import gate
@@ -249,6 +249,29 @@ def residualize(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(rows.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.avg(r).alias("residual_mean"), F.stddev_pop(r).alias("residual_sd"), (1 - F.var_pop(r) / F.var_pop(t)).alias("r2")))
 
 
+def residual_ridge(spark: SparkSession, sf: str) -> DataFrame:
+    """What a ridge on priority, state and customer's nation leaves of totals: fit and deviation."""
+    people = load(spark, sf, "customer", "c_custkey", "c_nationkey")
+    rows = order_lines(spark, sf).join(people, F.col("o_custkey") == F.col("c_custkey"), "left")
+    return _rounded(ridge.residualise(rows, "t", ["grp", "o_orderstatus", "c_nationkey"])[1])
+
+
+def group_fold_deal(spark: SparkSession, sf: str) -> DataFrame:
+    """Users in five folds of about as many events."""
+    users = folds.group_folds(load(spark, sf, "events", "user_id"), "user_id")
+    return users.groupBy("user_id").agg(F.count("*").alias("n"), F.min("fold").cast("long").alias("fold"))
+
+
+def fold_preprocess(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as features, every fold by what the others hold: filled and scaled numbers, places of levels."""
+    people = load(spark, sf, "customer", "c_custkey", "c_nationkey")
+    rows = order_lines(spark, sf).join(people, F.col("o_custkey") == F.col("c_custkey"), "left")
+    rows = rows.select("id", "fold", "t", F.when(F.col("qty") < 180, F.col("qty")).alias("qty"), F.nullif("grp", F.lit("5-LOW")).alias("grp"), F.col("c_nationkey").alias("nation"))
+    numeric, levels = ["t", "qty"], ["grp", "nation"]
+    done = prepare.transform(rows, "fold", prepare.fit(rows, "fold", numeric, levels), numeric, levels)
+    return _rounded(done.select("id", *[F.get("scaled", F.lit(i)).alias(c) for i, c in enumerate(numeric)], F.array_join("hot", "|", "none").alias("hot")))
+
+
 def residual_nulls(spark: SparkSession, sf: str) -> DataFrame:
     """Correlation of price and total against the same with labels shuffled inside the group, 100 seeds, and empirical p."""
     ranked = nullmodels.ranked_once(order_lines(spark, sf).select("id", "grp", "t", "p"), ["grp"], "id", "t", "p")
@@ -597,7 +620,7 @@ QUERIES = {
     for f in (
         triage_flagship, missingness, fold_summary, corr_network, composition_features, region_features, pairwise_identity, knn_loo, knn_grouped, knn_external,
         failure_matrix, jaccard_labels, metric_row, competitive_metrics, top10_recall, cv_fold_metrics, select_best, compare_targets, external_status, external_compare, key_mapping,
-        fold_ols_calibration, ridge_1d_oof, ridge_oof_multi, pca_ridge_oof, pca_features, ridge_gram, axis_report, feature_families, grouped_importance, residualize,
+        fold_ols_calibration, ridge_1d_oof, ridge_oof_multi, pca_ridge_oof, pca_features, ridge_gram, axis_report, feature_families, grouped_importance, residualize, residual_ridge, group_fold_deal, fold_preprocess,
         residual_nulls, bootstrap_mean_ci, archetypes, medoids, regime_projection, calibrate_grid, leave_group_out, text_numbers, text_condition_flags, surface_mask,
         contact_graph, patch_components, patch_summary, spread_components, adjacency_summary, centroid_distance, dipole, scramble_derange, label_shuffle,
         scramble_diagnostics, gate_verdict, positive_controls, zscore_signal, vector_pair_blocks, mean_pool, edge_turnover, contact_lifetimes, set_ops, average_ranks,

@@ -252,6 +252,21 @@ SELECT doc_id, {r6(f"length({clean('substring(h, 106, 33)')})", 'cdr_h3_length')
 {r6(f"length({clean('concat(hc, lc)')})", 'fv_cdr_length')} FROM c""",
     "pairwise_identity": f"""WITH p AS (SELECT a.item_id AS i, b.item_id AS j, a.text AS x, b.text AS y, unnest(range(1, least(length(a.text), length(b.text)) + 1)) AS k FROM benchmark a JOIN benchmark b ON a.item_id < b.item_id)
 SELECT i, j, {r6("count(*) FILTER (x[k] = y[k]) / count(*)::DOUBLE", 'identity')} FROM p WHERE x[k] <> '-' AND y[k] <> '-' GROUP BY i, j""",
+    "group_fold_deal": """WITH RECURSIVE g AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id),
+o AS (SELECT user_id, n, row_number() OVER (ORDER BY n DESC, md5(concat_ws('|', '7', user_id::VARCHAR)), user_id) AS i FROM g),
+r AS (SELECT 0::BIGINT AS i, 0::BIGINT AS fold, list_transform(range(least(5, (SELECT count(*) FROM g))), lambda x: 0::HUGEINT) AS loads
+  UNION ALL SELECT r.i + 1, list_position(loads, list_min(loads)) - 1, list_transform(loads, lambda v, k: v + CASE WHEN k = list_position(loads, list_min(loads)) THEN o.n ELSE 0 END)
+  FROM r JOIN o ON o.i = r.i + 1)
+SELECT user_id, n, fold FROM o JOIN r USING (i)""",
+    "fold_preprocess": f"""WITH {ORDER_LINES}, d AS (SELECT id, fold, t, CASE WHEN qty < 180 THEN qty END AS qty, nullif(grp, '5-LOW') AS grp, c_nationkey::VARCHAR AS nation FROM ol LEFT JOIN customer ON c_custkey = o_custkey),
+f AS (SELECT DISTINCT fold AS f FROM d), tr AS (SELECT f, d.* FROM d JOIN f ON fold <> f),
+med AS (SELECT f, median(t) AS mt, median(qty) AS mq FROM tr GROUP BY f),
+mom AS (SELECT f, any_value(mt) AS mt, any_value(mq) AS mq, avg(coalesce(t, mt)) AS avt, stddev_pop(coalesce(t, mt)) AS st, avg(coalesce(qty, mq)) AS avq, stddev_pop(coalesce(qty, mq)) AS sq FROM tr JOIN med USING (f) GROUP BY f),
+lev AS (SELECT f, 'g' AS c, grp AS l, count(*) AS n FROM tr WHERE grp IS NOT NULL GROUP BY ALL UNION ALL SELECT f, 'n', nation, count(*) FROM tr WHERE nation IS NOT NULL GROUP BY ALL),
+pl AS (SELECT *, row_number() OVER (PARTITION BY f, c ORDER BY l) - 1 AS k, first_value(l) OVER (PARTITION BY f, c ORDER BY n DESC, l) AS mode FROM lev), mo AS (SELECT DISTINCT f, c, mode FROM pl)
+SELECT id, {r6('(coalesce(t, mt) - avt) / st', 't')}, {r6('(coalesce(qty, mq) - avq) / sq', 'qty')}, coalesce(g.k::VARCHAR, 'none') || '|' || coalesce(n.k::VARCHAR, 'none') AS hot
+FROM d JOIN mom ON mom.f = fold JOIN mo a ON a.f = fold AND a.c = 'g' JOIN mo b ON b.f = fold AND b.c = 'n'
+LEFT JOIN pl g ON g.f = fold AND g.c = 'g' AND g.l = coalesce(grp, a.mode) LEFT JOIN pl n ON n.f = fold AND n.c = 'n' AND n.l = coalesce(nation, b.mode)""",
     "identity_links": f"""WITH d AS (SELECT url, min(page_id) AS id FROM pages WHERE url IS NOT NULL GROUP BY url),
 p AS (SELECT a.id AS i, b.id AS j, a.url AS x, b.url AS y, unnest(range(1, least(len(a.url), len(b.url)) + 1)) AS k FROM d a JOIN d b ON a.id < b.id),
 m AS (SELECT i, j, count(*) FILTER (substring(x, k, 1) = substring(y, k, 1)) / count(*)::DOUBLE AS v FROM p WHERE substring(x, k, 1) <> '-' AND substring(y, k, 1) <> '-' GROUP BY i, j)
