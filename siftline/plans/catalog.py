@@ -217,13 +217,14 @@ def ridge_gram(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def axis_report(spark: SparkSession, sf: str) -> DataFrame:
-    """Parts as molecules: price, size and sold quantity as features of two axes."""
+    """Parts as molecules: price, size and sold quantity as features of two axes; every other part has a network projection."""
     sold = load(spark, sf, "lineitem", "l_partkey", "l_quantity").groupBy("l_partkey").agg(F.sum("l_quantity").alias("sold"))
-    parts = load(spark, sf, "part", "p_partkey", "p_size", "p_retailprice").join(sold, F.col("p_partkey") == F.col("l_partkey"), "left")
-    rows = parts.select("p_partkey", F.col("p_size").cast("double"), F.col("p_retailprice"), F.col("sold"))
-    axes = {"Cost": ({"p_retailprice": 0.6, "p_size": 0.4}, True, "cost"), "Demand": ({"sold": 0.7, "p_size": 0.3}, False, "demand")}
-    found = profile.axis_report(rows, "p_partkey", axes).select("p_partkey", "axis", F.round("score", 6).alias("score"), F.round("display_score", 6).alias("display_score"), "risk", "suggested_assay")
-    return found
+    parts = load(spark, sf, "part", "p_partkey", "p_size", "p_retailprice", "p_brand").join(sold, F.col("p_partkey") == F.col("l_partkey"), "left")
+    rows = parts.select("p_partkey", F.col("p_size").cast("double").alias("p_size"), "p_retailprice", F.when(F.col("sold") < 900, F.col("sold")).alias("sold"), "p_brand")
+    axes = {"Cost": profile.Axis({"p_retailprice": 0.6, "p_size": 0.4}, "cost", "medium"), "Demand": profile.Axis({"sold": 0.7, "p_size": 0.3}, "demand", assign_risk=False), "Stock": profile.Axis({"sold": 1.0, "absent": 1.0}, "stock")}
+    network = rows.filter("p_partkey % 2 = 0").select("p_partkey", (F.col("p_size") / 50).alias("network_risk_score"), F.col("p_brand").alias("mapped_regime"), (F.col("p_retailprice") / 7e6).alias("mapped_mean_degree"))
+    found = profile.axis_report(rows.drop("p_brand"), "p_partkey", network, axes)
+    return _rounded(found.select("p_partkey", "axis", F.col("axis_pos").cast("long").alias("axis_pos"), "risk_score", "risk_label", "main_features", "suggested_assay", "confidence"))
 
 
 FEATURES = ("vh_net_charge", "vl_hydrophobic_fraction", "heavy_cdr_positive_count", "light_cdr_length", "fv_cdr_aromatic_fraction", "cdr_h3_length", "fv_net_charge", "vh_vl_charge_imbalance", "vh_vl_hydrophobicity_imbalance", "other")

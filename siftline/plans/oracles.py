@@ -296,11 +296,21 @@ round(round(e.spearman, 6) - round(i.spearman, 6), 6) AS delta_spearman, round(r
     "key_mapping": "SELECT concat('c', c_custkey) AS legacy_name, concat('EXT-', min(c_custkey) OVER (PARTITION BY c_mktsegment, c_nationkey)) AS external_id FROM customer",
     "fold_ols_calibration": f"WITH {ORDER_LINES}, {loo_sums('qty', 't')} SELECT fo.fold::BIGINT AS fold, {r6('regr_slope(y, x)', 'slope')}, {r6('regr_intercept(y, x)', 'intercept')} FROM fo JOIN pr ON pr.fold <> fo.fold GROUP BY fo.fold",
     "ridge_1d_oof": f"WITH {ORDER_LINES}, {loo_sums('qty', 'p')} SELECT fo.fold::BIGINT AS fold, {r6('avg(x)', 'mean_x')}, {r6('avg(y)', 'mean_y')}, {r6('stddev_pop(x)', 'scale')}, {r6('covar_pop(x, y) * count(*) / stddev_pop(x) / (count(*) + 10)', 'weight')} FROM fo JOIN pr ON pr.fold <> fo.fold GROUP BY fo.fold",
-    "axis_report": """WITH f AS (SELECT p_partkey, p_size::DOUBLE AS p_size, p_retailprice, sold FROM part LEFT JOIN (SELECT l_partkey, sum(l_quantity) AS sold FROM lineitem GROUP BY 1) ON l_partkey = p_partkey),
-q AS (SELECT p_partkey, cume_dist() OVER (ORDER BY p_size) AS s, cume_dist() OVER (ORDER BY p_retailprice) AS r, CASE WHEN sold IS NOT NULL THEN cume_dist() OVER (PARTITION BY sold IS NULL ORDER BY sold) END AS d FROM f),
-c AS (SELECT p_partkey, (0.6::DOUBLE * r + 0.4::DOUBLE * s) / 1.0 AS cost, CASE WHEN d IS NULL THEN s ELSE 0.7::DOUBLE * d + 0.3::DOUBLE * s END AS demand FROM q)
-SELECT p_partkey, 'Cost' AS axis, round(cost, 6) AS score, round(cost, 6) AS display_score, CASE WHEN cost >= 0.75 THEN 'high' WHEN cost >= 0.5 THEN 'medium' ELSE 'low' END AS risk, 'cost' AS suggested_assay FROM c
-UNION ALL SELECT p_partkey, 'Demand', round(demand, 6), NULL, 'not assigned', 'demand' FROM c""",
+    "axis_report": f"""WITH f AS (SELECT p_partkey, p_size::DOUBLE AS p_size, p_retailprice, CASE WHEN sold < 900 THEN sold END AS sold, p_brand FROM part LEFT JOIN (SELECT l_partkey, sum(l_quantity) AS sold FROM lineitem GROUP BY 1) ON l_partkey = p_partkey),
+q AS (SELECT *, cume_dist() OVER (ORDER BY p_size) AS s, cume_dist() OVER (ORDER BY p_retailprice) AS r, CASE WHEN sold IS NOT NULL THEN cume_dist() OVER (PARTITION BY sold IS NULL ORDER BY sold) END AS d FROM f),
+w AS (SELECT p_partkey, unnest([
+  {{'axis': 'Cost', 'pos': 0, 'k': 0, 'f': 'p_retailprice', 'v': p_retailprice, 'p': r, 'w': 0.6::DOUBLE}}, {{'axis': 'Cost', 'pos': 0, 'k': 1, 'f': 'p_size', 'v': p_size, 'p': s, 'w': 0.4::DOUBLE}},
+  {{'axis': 'Demand', 'pos': 1, 'k': 0, 'f': 'sold', 'v': sold, 'p': d, 'w': 0.7::DOUBLE}}, {{'axis': 'Demand', 'pos': 1, 'k': 1, 'f': 'p_size', 'v': p_size, 'p': s, 'w': 0.3::DOUBLE}},
+  {{'axis': 'Stock', 'pos': 2, 'k': 0, 'f': 'sold', 'v': sold, 'p': d, 'w': 1::DOUBLE}}], recursive := true) FROM q),
+c AS (SELECT p_partkey, axis, any_value(pos) AS axis_pos, sum(w * p) / nullif(sum(w) FILTER (p IS NOT NULL), 0) AS score,
+  string_agg(CASE WHEN v IS NULL THEN f || ' high vs reference' ELSE concat(f, '=', printf('%.3g', v), ' (percentile ', printf('%.2f', p), ')') END, '; ' ORDER BY coalesce(p, -1) DESC, k) AS main_features FROM w GROUP BY p_partkey, axis)
+SELECT p_partkey, axis, axis_pos::BIGINT AS axis_pos, CASE WHEN axis <> 'Demand' THEN round(score, 6) END AS risk_score,
+  CASE WHEN axis = 'Demand' THEN 'not assigned' WHEN score IS NULL THEN 'unknown' WHEN score >= 0.75 THEN 'high' WHEN score >= 0.5 THEN 'medium' ELSE 'low' END AS risk_label, main_features,
+  CASE axis WHEN 'Cost' THEN 'cost' WHEN 'Demand' THEN 'demand' ELSE 'stock' END AS suggested_assay, CASE axis WHEN 'Cost' THEN 'medium' ELSE 'low' END AS confidence FROM c
+UNION ALL SELECT p_partkey, 'Bulk network / viscosity', 3, CASE WHEN p_partkey % 2 = 0 THEN round(p_size / 50, 6) END,
+  CASE WHEN p_partkey % 2 = 1 THEN 'unknown' WHEN p_size / 50 >= 0.75 THEN 'high' WHEN p_size / 50 >= 0.5 THEN 'medium' ELSE 'low' END,
+  CASE WHEN p_partkey % 2 = 0 THEN concat('network_risk_score=', printf('%.3g', p_size / 50), '; mapped_regime=', p_brand, '; mapped_mean_degree=', printf('%.3g', p_retailprice / 7e6::DOUBLE)) ELSE 'network projection not supplied' END,
+  'HAC / high-concentration viscosity', CASE WHEN p_partkey % 2 = 0 THEN 'low-medium' ELSE 'low' END FROM f""",
     "feature_families": """SELECT * FROM (VALUES ('vh_net_charge', 'vh', 'charge', false, true), ('vl_hydrophobic_fraction', 'vl', 'hydrophobic_aromatic', false, true), ('heavy_cdr_positive_count', 'heavy_cdr', 'charge', true, false),
 ('light_cdr_length', 'light_cdr', 'length', true, false), ('fv_cdr_aromatic_fraction', 'cdr', 'hydrophobic_aromatic', true, false), ('cdr_h3_length', 'cdr', 'length', true, false), ('fv_net_charge', 'global', 'charge', false, false),
 ('vh_vl_charge_imbalance', 'vh', 'charge', false, true), ('vh_vl_hydrophobicity_imbalance', 'vh', 'hydrophobic_aromatic', false, true), ('other', 'global', 'composition_other', false, false)) v(feature, chain_region, chemistry, is_cdr, is_framework_or_full_variable)""",

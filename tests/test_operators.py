@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from siftline.functions.text import fixed2, general3
 from siftline.operators import compare, graph, models, nullmodels, order, pairs, profile, simulation, stats
 from siftline.operators.ranking import average_rank, spearman
 
@@ -166,13 +167,32 @@ def test_clusters_and_alignment():
 
 
 def test_profile(spark):
-    frame = frame_of(spark, k=[1, 2, 3, 4], a=[1.0, 2.0, 3.0, 4.0], b=[4.0, 3.0, 2.0, 1.0])
-    report = profile.axis_report(frame, "k", {"x": ({"a": 0.75, "b": 0.25}, True, "t"), "y": ({"b": 1.0}, False, "u")})
-    got = {(r.k, r.axis): (r.score, r.risk, r.display_score) for r in report.collect()}
-    assert got[4, "x"] == (pytest.approx(0.8125), "high", pytest.approx(0.8125)) and got[4, "y"][1:] == ("not assigned", None)
-    more = profile.with_network(report, frame_of(spark, k=[4], network_risk_score=[0.9], mapped_regime=["percolated_network"]), "k", 1)
-    assert [r.axis for r in more.filter("k = 4").orderBy("axis_pos").collect()] == ["x", "Network self-association", "y"]
-    assert profile.reference_percentile(F.lit(3.0), frame, "a").first()[0] == 0.75
+    names = list(dict.fromkeys(f for a in profile.AXES.values() for f in a.weights))
+    rows = [(k, *[float(k * (i + 1)) / 10 if not (k == 2 and i == 4) else None for i in range(len(names))]) for k in range(1, 5)]
+    frame = spark.createDataFrame(rows, ", ".join(["k long", *[f"{n} double" for n in names]]))
+    projection = frame_of(spark, k=[4], network_risk_score=[0.8], mapped_regime=["finite_reversible_clusters"], mapped_largest_cluster_fraction=[0.4], mapped_percolation_probability=[0.2], mapped_mean_degree=[1.3])
+    report = {k: sorted((r for r in profile.axis_report(frame, "k", projection).collect() if r.k == k), key=lambda r: r.axis_pos) for k in (2, 4)}
+    assert [r.axis for r in report[4]] == ["Hydrophobicity", "Polyreactivity", "Local self-association", "Bulk network / viscosity", "Thermostability", "Titer / expression"]
+    by = {k: {r.axis: r for r in own} for k, own in report.items()}
+    assert by[4]["Hydrophobicity"].risk_score == 1.0 and by[4]["Hydrophobicity"].risk_label == "high"
+    assert by[4]["Hydrophobicity"].main_features == "fv_cdr_hydrophobic_fraction=0.4 (percentile 1.00); fv_cdr_aromatic_fraction=0.8 (percentile 1.00); vh_hydrophobic_fraction=1.2 (percentile 1.00)"
+    assert by[2]["Local self-association"].main_features.endswith("fv_cdr_aromatic_fraction=0.4 (percentile 0.50)") and by[2]["Local self-association"].risk_score == 0.5
+    network = by[4]["Bulk network / viscosity"]
+    assert (network.risk_label, network.confidence) == ("high", "low-medium")
+    assert network.main_features == "network_risk_score=0.8; mapped_regime=finite_reversible_clusters; mapped_largest_cluster_fraction=0.4; mapped_percolation_probability=0.2; mapped_mean_degree=1.3"
+    assert (by[2]["Bulk network / viscosity"].risk_label, by[2]["Bulk network / viscosity"].main_features) == ("unknown", "network projection not supplied")
+    assert {r.risk_label for r in profile.axis_report(frame, "k").collect() if r.axis in ("Thermostability", "Titer / expression")} == {"not assigned"}
+    assert all(r.main_features and r.mutation_direction and r.benchmark_support for r in report[4])
+    assert profile.reference_percentile(F.lit(3.0), frame_of(spark, a=[1.0, 2.0, 3.0, 4.0]), "a").first()[0] == 0.75
+
+
+def test_numbers_as_text(spark):
+    values = [0.0, 1.0, -2.5, 3.14159, 900.5, 999.5, 999.4, 1000.0, 1235.0, 1245.0, 123456.0, 0.0001234, 0.00001234, 99.95, 1e-5, 1e22, 1e100, -0.05, 10.0, 100.0, 0.3, 12.5, 0.999999]
+    frame = frame_of(spark, x=values)
+    assert [r[0] for r in frame.select(general3(F.col("x"))).collect()] == [f"{v:.3g}" for v in values]
+    shares = [k / 2000 for k in range(0, 2001, 5)]
+    assert [r[0] for r in frame_of(spark, x=shares).select(fixed2(F.col("x"))).collect()] == [f"{v:.2f}" for v in shares]
+
 
 
 def test_compare(spark):
