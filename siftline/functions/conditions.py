@@ -37,6 +37,15 @@ def joined(*columns: str) -> Column:
     return F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
 
 
+# Words that tell a mechanism, and those that tell an additive.
+MECHANISMS = {
+    "charge_mechanism_signal": "charge|electrostatic|fab-fc|fab fc|cation|anion|salt|pi",
+    "hydrophobic_mechanism_signal": "hydrophobic|aromatic|short-range",
+    "specific_interface_signal": "fab-fab|fab fab|fab-fc|fab fc|fv|patch|anisotropic",
+}
+ADDITIVES = "arg|trehalose|excipient|additive"
+
+
 def condition_features(include_mechanism: bool = False) -> dict[str, Column]:
     """Features of a curated solution condition, by the names of its text columns."""
     salt = numeric_max(F.col("salt_mM"), 0.0)
@@ -46,11 +55,6 @@ def condition_features(include_mechanism: bool = False) -> dict[str, Column]:
     additive = F.lower(joined("additive_type", "additive_concentration"))
     screening = ionic_strength_screening(salt)
     mechanism = F.lower(joined("reported_mechanism", "self_association_measure")) if include_mechanism else F.lit("")
-    signals = {
-        "charge_mechanism_signal": "charge|electrostatic|fab-fc|fab fc|cation|anion|salt|pi",
-        "hydrophobic_mechanism_signal": "hydrophobic|aromatic|short-range",
-        "specific_interface_signal": "fab-fab|fab fab|fab-fc|fab fc|fv|patch|anisotropic",
-    }
     return {
         "pH_numeric": ph,
         "salt_mM_numeric": salt,
@@ -61,11 +65,11 @@ def condition_features(include_mechanism: bool = False) -> dict[str, Column]:
         "salt_load": 1 - screening,
         "low_salt_condition": flag((salt > 0) & (salt <= 50)),
         "high_salt_condition": flag(salt >= 100),
-        "arginine_or_excipient": flag(salt_text.contains("arg") | additive.rlike("arg|trehalose|excipient|additive")),
+        "arginine_or_excipient": flag(salt_text.contains("arg") | additive.rlike(ADDITIVES)),
         "concentration_scaled": clip(concentration / 200, 0.0, 1.5),
         "high_concentration": flag(concentration >= 100),
         "low_pH_charge_boost": clip(7.4 - F.coalesce(ph, F.lit(7.4)), 0.0, 2.0) / 2,
-        **{k: flag(mechanism.rlike(p)) for k, p in signals.items()},
+        **{k: flag(mechanism.rlike(p)) for k, p in MECHANISMS.items()},
     }
 
 

@@ -95,10 +95,6 @@ def aligned_identity(a: Column, b: Column, gap: str = "-") -> Column:
     return F.when(n > 0, F.try_divide(same.cast("double"), F.size(open_)))
 
 
-def combined_sequence(heavy: Column, light: Column) -> Column:
-    return F.concat_ws("|", heavy, light)
-
-
 def feature_family(name: Column) -> dict[str, Column]:
     """Chain region and chemistry of a feature name, by prefix and then by substring; the first rule that fits counts."""
     place = (

@@ -25,6 +25,27 @@ def contact_edges(points: DataFrame, structure: str, key: str, xyz: tuple[str, s
     return met.withColumn("distance", d).filter(F.col("distance") <= cutoff).select(structure, "src", "dst", "distance")
 
 
+def periodic_edges(points: DataFrame, structure: str, key: str, xyz: tuple[str, str, str], cutoff: float, box: float) -> DataFrame:
+    """``contact_edges`` in a cube that repeats with edge ``box``: the distance is to the nearest image.
+
+    The box is cut into whole cells no thinner than ``cutoff``; the cells around one wrap at its walls, so images meet without
+    being written out. A box of less than three cells has fewer neighbours, each looked at once. ``cutoff`` is at most half of ``box``.
+    """
+    if not 0 < cutoff <= box / 2:
+        raise ValueError("cutoff: at most half the box")
+    cells = int(box // cutoff)
+    cell = [F.least(F.floor(F.pmod(F.col(c), F.lit(box)) / (box / cells)), F.lit(cells - 1)).cast("long").alias(f"c{i}") for i, c in enumerate(xyz)]
+    a = points.select(structure, F.col(key).alias("src"), *[F.col(c).alias(f"a{i}") for i, c in enumerate(xyz)], *cell)
+    b = a.select(structure, F.col("src").alias("dst"), *[F.col(f"a{i}").alias(f"b{i}") for i in range(3)], *[F.col(f"c{i}") for i in range(3)])
+    for i in range(3):
+        b = b.withColumn(f"c{i}", F.explode(F.array_distinct(F.transform(_around(f"c{i}"), lambda c: F.pmod(c, F.lit(cells).cast("long"))))))
+    met = a.join(b, [structure, "c0", "c1", "c2"]).filter("src < dst")
+    steps = [F.col(f"a{i}") - F.col(f"b{i}") for i in range(3)]
+    nearest = [s - box * F.rint(s / box) for s in steps]
+    d = F.sqrt(sum((s * s for s in nearest), F.lit(0.0)))
+    return met.withColumn("distance", d).filter(F.col("distance") <= cutoff).select(structure, "src", "dst", "distance")
+
+
 def _around(cell: str) -> Column:
     return F.array(F.col(cell) - 1, F.col(cell), F.col(cell) + 1)
 

@@ -84,11 +84,6 @@ def null_correlations(ranked: DataFrame, by: list[str], key: str, seeds: list[in
     return rank_correlations(many, [*by, "replicate"], "__m", other)
 
 
-def gaussian_rows(frame: DataFrame, columns: list[str], seed: int) -> DataFrame:
-    """The same rows with standard normal noise in place of the columns."""
-    return frame.select(*[c for c in frame.columns if c not in columns], *[F.randn(seed + i).alias(c) for i, c in enumerate(columns)])
-
-
 def scramble_diagnostics(scrambled: DataFrame, by: list[str], value: str, out: str = "scrambled") -> DataFrame:
     """Rows, share of rows that differ from their own value, and whether the group is too small to derange."""
     return scrambled.groupBy(*by).agg(

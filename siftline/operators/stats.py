@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftline.operators.order import quantiles
+from siftline.operators.order import met, quantiles
 from siftline.operators.ranking import among_top, average_rank, both_ranked, guarded_corr
 from siftline.tables import pin, union
 
@@ -79,11 +79,6 @@ def _recall() -> Column:
     return F.try_divide(F.count_if(F.col("bad") & F.col("told")).cast("double"), F.count_if("bad"))
 
 
-def tail_recall(frame: DataFrame, by: list[str], truth: str, prediction: str, tie: str, k, out: str) -> DataFrame:
-    """Share of the k(total) largest by truth that are among the k largest by prediction, over complete pairs."""
-    return _tails(frame, by, truth, prediction, tie, k).groupBy(*by).agg(_recall().alias(out))
-
-
 def auroc(frame: DataFrame, by: list[str], positive: str, score: str, out: str) -> DataFrame:
     """Rank-sum area under the ROC curve; NULL without both classes."""
     ranked = average_rank(frame.filter(F.col(score).isNotNull() & F.col(positive).isNotNull()), by, score, "__r")
@@ -163,6 +158,15 @@ def jaccard_pairs(labels: DataFrame, columns: list[str]) -> DataFrame:
     return wide.select(rows.alias("e")).select("e.*")
 
 
+def rank_of(frame: DataFrame, by: list[str], value: str, ours: Column) -> DataFrame:
+    """(by, value, rank, n): the competition rank of each group's own row (the largest where several are ``ours``) among all known
+    values, largest first. One aggregation finds the row, another counts what lies above it."""
+    known = frame.filter(F.col(value).isNotNull())
+    own = known.filter(ours).groupBy(*by).agg(F.max(value).alias("__own"))
+    counted = met(known, own, by).groupBy(*by, "__own").agg(F.count_if(F.col(value) > F.col("__own")).alias("above"), F.count("*").alias("n"))
+    return counted.select(*by, F.col("__own").alias(value), (F.col("above") + 1).alias("rank"), "n")
+
+
 def empirical_p(observed: DataFrame, controls: DataFrame, by: list[str], value: str) -> DataFrame:
     """Null mean, 95 % quantile and (1 + controls at or above the observed value) / (controls + 1)."""
     met = controls.withColumnRenamed(value, "__null").join(observed.select(*by, value), by)

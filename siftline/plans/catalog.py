@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftline.functions import conditions as C
@@ -13,7 +15,8 @@ from siftline.operators.order import quantiles
 from siftline.operators.ranking import average_rank, spearman
 from siftline.plans import gate
 from siftline.plans.audit import audit_on_embeddings
-from siftline.tables import load, round6, union
+from siftline.sources import files
+from siftline.tables import load, pin, round6, shared_folder, union
 
 SEED = 7
 
@@ -171,6 +174,53 @@ def key_mapping(spark: SparkSession, sf: str) -> DataFrame:
     return compare.map_keys(named, external, on, "name", "external_id").select("legacy_name", F.col("name").alias("external_id"))
 
 
+def join_validation(spark: SparkSession, sf: str) -> DataFrame:
+    """What two checked joins met, beside the sums they were made for: lines to their order, orders to their lines' sum."""
+    orders = load(spark, sf, "orders", "o_orderkey", "o_totalprice").withColumnRenamed("o_orderkey", "k")
+    lines = load(spark, sf, "lineitem", "l_orderkey", "l_quantity").withColumnRenamed("l_orderkey", "k")
+    # A third of the orders is missing on the right side, so some lines stay unmatched.
+    many, one = Observation("many"), Observation("one")
+    first = pin(compare.validated_left_join(lines, orders.filter("k % 3 <> 0"), ["k"], "many_to_one", many)).agg(F.sum("o_totalprice").alias("total"))
+    sums = lines.groupBy("k").agg(F.sum("l_quantity").alias("qty"))
+    second = pin(compare.validated_left_join(orders, sums.filter("k % 5 <> 0"), ["k"], "one_to_one", one)).agg(F.sum("qty").alias("total"))
+    told = [f.withColumns({"cardinality": F.lit(n), **{c: F.lit(o.get[c]) for c in ("rows", "unmatched", "doubled")}}) for f, n, o in ((first, "many_to_one", many), (second, "one_to_one", one))]
+    return _rounded(union(told))
+
+
+def rank_among_baselines(spark: SparkSession, sf: str) -> DataFrame:
+    """The first supplier of each nation among all of its nation by balance."""
+    rows = load(spark, sf, "supplier", "s_suppkey", "s_nationkey", "s_acctbal")
+    first = rows.groupBy("s_nationkey").agg(F.min("s_suppkey").alias("first"))
+    return _rounded(stats.rank_of(rows.join(first, "s_nationkey"), ["s_nationkey"], "s_acctbal", F.col("s_suppkey") == F.col("first")))
+
+
+def _own_folder(spark: SparkSession, what: str) -> str:
+    return f"{shared_folder(spark)}/round-trips/{what}-{uuid.uuid4().hex}"
+
+
+def csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as CSV in a folder for each state, read again by one pattern with the folder each row came from."""
+    orders = load(spark, sf, "orders", "o_orderkey", "o_totalprice", "o_orderpriority", "o_orderstatus").withColumn("remark", F.when(F.col("o_orderkey") % 2 == 0, F.lit('says "a, b"')))
+    here = _own_folder(spark, "csv")
+    for state in ("F", "O", "P"):
+        files.write_csv(orders.filter(F.col("o_orderstatus") == state).drop("o_orderstatus"), f"{here}/state_{state}")
+    found = files.read_tables(spark, f"{here}/*/*.csv", "o_orderkey long, o_totalprice double, o_orderpriority string, remark string")
+    return _rounded(found.groupBy("source_dir", "o_orderpriority").agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("total"), F.count("remark").alias("remarks"), F.max("remark").alias("remark")))
+
+
+def pdb_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Residues as fixed-width atom records, a file for each structure, read again as residues of two chains."""
+    rows = _residues(spark, sf).withColumn("chain", F.when(F.col("residue_id") % 2 == 0, "H").otherwise("L"))
+    number = F.col("residue_id").cast("string")
+    place = [F.format_string("%8.3f", F.floor(c).cast("double")) for c in ("x", "y", "z")]
+    line = F.concat(F.lit("ATOM  "), F.lpad(number, 5, " "), F.lit("  CA  "), F.col("resname"), F.lit(" "), F.col("chain"), F.lpad(number, 4, " "), F.lit("    "), *place)
+    here = _own_folder(spark, "pdb")
+    named = rows.filter("residue_id < 10000").select("structure_id", "residue_id", line.alias("value"))
+    named.repartition("structure_id").sortWithinPartitions("structure_id", "residue_id").select("structure_id", "value").write.partitionBy("structure_id").text(here)
+    found = files.read_pdb(spark, f"{here}/*/*.txt", F.element_at(F.split("_metadata.file_path", "/"), -2))
+    return _rounded(found.groupBy("chain", "aa").agg(F.count("*").alias("n"), F.sum("x").alias("x"), F.sum("sequence_index").alias("places")))
+
+
 def fold_ols_calibration(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(stats.fold_calibration(order_lines(spark, sf), "fold", "qty", "t"))
 
@@ -227,19 +277,23 @@ def axis_report(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(found.select("p_partkey", "axis", F.col("axis_pos").cast("long").alias("axis_pos"), "risk_score", "risk_label", "main_features", "suggested_assay", "confidence"))
 
 
-FEATURES = ("vh_net_charge", "vl_hydrophobic_fraction", "heavy_cdr_positive_count", "light_cdr_length", "fv_cdr_aromatic_fraction", "cdr_h3_length", "fv_net_charge", "vh_vl_charge_imbalance", "vh_vl_hydrophobicity_imbalance", "other")
+PREFIXES = ("vh_", "vl_", "heavy_cdr_", "light_cdr_", "fv_cdr_", "cdr_", "fv_", "")
+STEMS = ("net_charge", "hydrophobic_fraction", "positive_count", "length", "aromatic_fraction", "charge_imbalance", "hydrophobicity_asymmetry", "other", "lys_arg_asymmetry", "h3_length", "size_imbalance")
 
 
 def feature_families(spark: SparkSession, sf: str) -> DataFrame:
-    names = spark.createDataFrame([(f,) for f in FEATURES], "feature string")
-    return names.select("feature", *[v.alias(k) for k, v in S.feature_family(F.col("feature")).items()])
+    """Parts' names as feature names (a prefix by size, a stem by key): parts of each region and chemistry."""
+    pick = lambda words, c: F.element_at(F.array(*map(F.lit, words)), (F.pmod(F.col(c), F.lit(len(words))) + 1).cast("int"))
+    names = load(spark, sf, "part", "p_partkey", "p_size").select(F.concat(pick(PREFIXES, "p_size"), pick(STEMS, "p_partkey")).alias("feature"))
+    found = names.select("feature", *[v.alias(k) for k, v in S.feature_family(F.col("feature")).items()])
+    return found.groupBy("chain_region", "chemistry", "is_cdr", "is_framework_or_full_variable").agg(F.count("*").alias("n"), F.count_distinct("feature").alias("n_features"))
 
 
 def grouped_importance(spark: SparkSession, sf: str) -> DataFrame:
     """Importances of line measures summed by family; families that are not known stay as NULL."""
     scores = spearman(order_lines(spark, sf), ["grp"], "t", "p").select("grp", F.lit("vh_net_charge").alias("feature"), "spearman")
     more = spearman(order_lines(spark, sf), ["grp"], "t", "qty").select("grp", F.lit("unknown").alias("feature"), "spearman")
-    families = feature_families(spark, sf).select("feature", "chemistry")
+    families = spark.createDataFrame([("vh_net_charge",)], "feature string").select("feature", S.feature_family(F.col("feature"))["chemistry"].alias("chemistry"))
     met = scores.unionByName(more).join(F.broadcast(families), "feature", "left")
     return _rounded(met.groupBy("grp", "chemistry").agg(F.sum("spearman").alias("importance")))
 
@@ -384,6 +438,11 @@ def contact_graph(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(graph.contact_edges(_points(spark, sf), "sid", "vec_id", XYZ, 10.0))
 
 
+def periodic_contacts(spark: SparkSession, sf: str) -> DataFrame:
+    """Contacts in a repeating cube that is smaller than the cloud of points."""
+    return _rounded(graph.periodic_edges(_points(spark, sf), "sid", "vec_id", XYZ, 9.0, 40.0))
+
+
 def _patches(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     charged = _points(spark, sf).filter("cls = 'pos'")
     return charged, graph.contact_edges(charged, "sid", "vec_id", XYZ, 12.0)
@@ -466,17 +525,18 @@ def region_positions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def literature_conditions(spark: SparkSession, sf: str) -> DataFrame:
-    """Curated conditions as features and regime coordinates."""
-    columns = ("anchor_id", "pH", "buffer", "salt_type", "salt_mM", "additive_type", "additive_concentration", "protein_concentration_mg_ml", "temperature_C", "reported_mechanism", "self_association_measure")
-    rows = [
-        ("a", "6.0", "histidine", "NaCl", "150", "none", None, "~14.5 at 60 mg/mL", "25", "electrostatic patch", "viscosity"),
-        ("b", "7.4", "phosphate", None, "none", "arginine", "50 mM", "60 for viscosity; 10 for DLS", None, "hydrophobic", "kD"),
-        ("c", None, "acetate", "NaCl", "15", None, None, "180", "nan", "fab-fab", None),
-    ]
-    frame = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in columns))
-    features = frame.select("anchor_id", *[v.alias(k) for k, v in C.condition_features(True).items()])
-    given = features.withColumns({c: F.lit(v) for c, v in zip(C.COEFFICIENTS, (1.0, 0.5, 0.75, 0.3, 0.6, 0.4, 1.0), strict=True)})
-    return _rounded(given.select(*features.columns, *[v.alias(k) for k, v in C.literature_coordinates().items()]))
+    """Events as curated conditions, their texts made of type, value and user: features and regime coordinates."""
+    n, v = F.col("event_id"), F.col("value")
+    pick = lambda *words: F.element_at(F.array(*[F.lit(w).cast("string") for w in words]), (F.pmod(n, F.lit(len(words))) + 1).cast("int"))
+    rows = load(spark, sf, "events", "event_id", "user_id", "event_type", "value").select(
+        F.col("event_id").alias("anchor_id"), F.when(n % 7 > 0, F.format_string("pH %s", F.round(v / 10, 1))).alias("pH"), pick("histidine", "phosphate", None).alias("buffer"), pick("NaCl", None).alias("salt_type"),
+        F.when(n % 5 > 0, F.concat(F.lit("~"), (F.col("user_id") % 200).cast("string"), F.lit(" mM"))).otherwise("none").alias("salt_mM"), pick("none", "arginine", "trehalose", None).alias("additive_type"),
+        pick(None, "50 mM").alias("additive_concentration"), F.concat(F.round(v).cast("int").cast("string"), pick(" for viscosity; 10 for DLS", " mg/mL")).alias("protein_concentration_mg_ml"),
+        pick("25", None, "nan", "37 C").alias("temperature_C"), pick("electrostatic patch", "hydrophobic", "fab-fab", None).alias("reported_mechanism"), F.col("event_type").alias("self_association_measure"),
+    )
+    features = rows.select("anchor_id", *[c.alias(k) for k, c in C.condition_features(True).items()])
+    given = features.withColumns({c: F.lit(x) for c, x in zip(C.COEFFICIENTS, (1.0, 0.5, 0.75, 0.3, 0.6, 0.4, 1.0), strict=True)})
+    return _rounded(given.select(*features.columns, *[c.alias(k) for k, c in C.literature_coordinates().items()]))
 
 
 def _block_scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -584,7 +644,11 @@ def patchy_sim(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def regime_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    grid = simulation.regime_grid(spark, [0.0, 1.4], [0.0, 1.0], [1, 3])
+    """The regimes at the corners of the parameters that customers have."""
+    p = C.particle_parameters(F.col("net"), F.col("cdr"), F.col("imbalance"), F.col("hydro"))
+    rows = _customers(spark, sf).select(p["hydrophobic_attraction"].alias("a"), p["same_charge_repulsion"].alias("r"))
+    corners = quantiles(rows, [], {"a": [0.1, 0.9], "r": [0.1, 0.9]}).first()
+    grid = simulation.regime_grid(spark, corners.a, corners.r, [1, 3])
     return _rounded(grid.select("run_id", "attraction_strength", "repulsion_strength", F.col("patch_valence").alias("valence")).join(simulation.sweep(grid, 40, 20), "run_id"))
 
 
@@ -620,10 +684,10 @@ QUERIES = {
     f.__name__: f
     for f in (
         triage_flagship, missingness, fold_summary, corr_network, composition_features, region_features, pairwise_identity, knn_loo, knn_grouped, knn_external,
-        failure_matrix, jaccard_labels, metric_row, competitive_metrics, top10_recall, cv_fold_metrics, select_best, compare_targets, external_status, external_compare, key_mapping,
+        failure_matrix, jaccard_labels, metric_row, competitive_metrics, top10_recall, cv_fold_metrics, select_best, compare_targets, external_status, external_compare, key_mapping, join_validation, rank_among_baselines, csv_round_trip, pdb_round_trip,
         fold_ols_calibration, ridge_1d_oof, ridge_oof_multi, pca_ridge_oof, pca_features, ridge_gram, axis_report, feature_families, grouped_importance, residualize, residual_ridge, group_fold_deal, fold_preprocess,
         residual_nulls, bootstrap_mean_ci, archetypes, medoids, regime_projection, calibrate_grid, leave_group_out, text_numbers, text_condition_flags, surface_mask,
-        contact_graph, patch_components, patch_summary, spread_components, adjacency_summary, centroid_distance, dipole, scramble_derange, label_shuffle,
+        contact_graph, periodic_contacts, patch_components, patch_summary, spread_components, adjacency_summary, centroid_distance, dipole, scramble_derange, label_shuffle,
         scramble_diagnostics, gate_verdict, positive_controls, zscore_signal, vector_pair_blocks, mean_pool, edge_turnover, contact_lifetimes, set_ops, average_ranks,
         surface_composition, topology_gate, family_drops, topology_features, charge_topology, region_positions, literature_conditions,
         region_totals, particle_parameters, patchy_sim, regime_sweep, identity_links, hier_clusters, local_alignment, coefficient_bootstrap, feature_importance, triage_audit,

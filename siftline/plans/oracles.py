@@ -267,6 +267,20 @@ pl AS (SELECT *, row_number() OVER (PARTITION BY f, c ORDER BY l) - 1 AS k, firs
 SELECT id, {r6('(coalesce(t, mt) - avt) / st', 't')}, {r6('(coalesce(qty, mq) - avq) / sq', 'qty')}, coalesce(g.k::VARCHAR, 'none') || '|' || coalesce(n.k::VARCHAR, 'none') AS hot
 FROM d JOIN mom ON mom.f = fold JOIN mo a ON a.f = fold AND a.c = 'g' JOIN mo b ON b.f = fold AND b.c = 'n'
 LEFT JOIN pl g ON g.f = fold AND g.c = 'g' AND g.l = coalesce(grp, a.mode) LEFT JOIN pl n ON n.f = fold AND n.c = 'n' AND n.l = coalesce(nation, b.mode)""",
+    "join_validation": """WITH m AS (SELECT o_totalprice AS v, o_orderkey AS k FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey AND o_orderkey % 3 <> 0),
+s AS (SELECT l_orderkey AS k, sum(l_quantity) AS v FROM lineitem WHERE l_orderkey % 5 <> 0 GROUP BY 1), o AS (SELECT s.k AS k, v FROM orders LEFT JOIN s ON s.k = o_orderkey)
+SELECT 'many_to_one' AS cardinality, round(sum(v), 6) AS total, count(*) AS rows, count(*) FILTER (k IS NULL) AS unmatched, 0::BIGINT AS doubled FROM m
+UNION ALL SELECT 'one_to_one', round(sum(v), 6), count(*), count(*) FILTER (k IS NULL), 0::BIGINT FROM o""",
+    "rank_among_baselines": """WITH r AS (SELECT s_nationkey::BIGINT AS s_nationkey, s_suppkey, s_acctbal, rank() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC) AS rank, count(*) OVER (PARTITION BY s_nationkey) AS n, min(s_suppkey) OVER (PARTITION BY s_nationkey) AS f FROM supplier)
+SELECT s_nationkey, round(s_acctbal, 6) AS s_acctbal, rank, n FROM r WHERE s_suppkey = f""",
+    "csv_round_trip": """SELECT 'state_' || o_orderstatus AS source_dir, o_orderpriority, count(*) AS n, round(sum(o_totalprice), 6) AS total, count(*) FILTER (o_orderkey % 2 = 0) AS remarks, max(CASE WHEN o_orderkey % 2 = 0 THEN 'says "a, b"' END) AS remark
+FROM orders WHERE o_orderstatus IN ('F', 'O', 'P') GROUP BY o_orderstatus, o_orderpriority""",
+    "pdb_round_trip": """WITH r AS (SELECT label, vec_id, CASE WHEN vec_id % 2 = 0 THEN 'H' ELSE 'L' END AS chain, floor(round(embedding[1]::DOUBLE * 100, 4)) AS x, (floor(embedding[6]::DOUBLE * 1000)::INT % 8 + 8) % 8 AS k FROM embeddings WHERE vec_id < 10000),
+p AS (SELECT *, row_number() OVER (PARTITION BY label, chain ORDER BY vec_id) - 1 AS place FROM r)
+SELECT chain, substring('KDHFAERG', k + 1, 1) AS aa, count(*) AS n, round(sum(x), 6) AS x, sum(place)::BIGINT AS places FROM p GROUP BY ALL""",
+    "periodic_contacts": f"""WITH {POINTS}, d AS (SELECT a.sid, a.vec_id AS src, b.vec_id AS dst, a.x - b.x AS dx, a.y - b.y AS dy, a.z - b.z AS dz FROM pt a JOIN pt b ON a.sid = b.sid AND a.vec_id < b.vec_id),
+n AS (SELECT sid, src, dst, sqrt((dx - 40 * round_even(dx / 40, 0)) ** 2 + (dy - 40 * round_even(dy / 40, 0)) ** 2 + (dz - 40 * round_even(dz / 40, 0)) ** 2) AS v FROM d)
+SELECT sid, src, dst, {r6('v', 'distance')} FROM n WHERE v <= 9""",
     "identity_links": f"""WITH d AS (SELECT url, min(page_id) AS id FROM pages WHERE url IS NOT NULL GROUP BY url),
 p AS (SELECT a.id AS i, b.id AS j, a.url AS x, b.url AS y, unnest(range(1, least(len(a.url), len(b.url)) + 1)) AS k FROM d a JOIN d b ON a.id < b.id),
 m AS (SELECT i, j, count(*) FILTER (substring(x, k, 1) = substring(y, k, 1)) / count(*)::DOUBLE AS v FROM p WHERE substring(x, k, 1) <> '-' AND substring(y, k, 1) <> '-' GROUP BY i, j)
@@ -311,9 +325,11 @@ UNION ALL SELECT p_partkey, 'Bulk network / viscosity', 3, CASE WHEN p_partkey %
   CASE WHEN p_partkey % 2 = 1 THEN 'unknown' WHEN p_size / 50 >= 0.75 THEN 'high' WHEN p_size / 50 >= 0.5 THEN 'medium' ELSE 'low' END,
   CASE WHEN p_partkey % 2 = 0 THEN concat('network_risk_score=', printf('%.3g', p_size / 50), '; mapped_regime=', p_brand, '; mapped_mean_degree=', printf('%.3g', p_retailprice / 7e6::DOUBLE)) ELSE 'network projection not supplied' END,
   'HAC / high-concentration viscosity', CASE WHEN p_partkey % 2 = 0 THEN 'low-medium' ELSE 'low' END FROM f""",
-    "feature_families": """SELECT * FROM (VALUES ('vh_net_charge', 'vh', 'charge', false, true), ('vl_hydrophobic_fraction', 'vl', 'hydrophobic_aromatic', false, true), ('heavy_cdr_positive_count', 'heavy_cdr', 'charge', true, false),
-('light_cdr_length', 'light_cdr', 'length', true, false), ('fv_cdr_aromatic_fraction', 'cdr', 'hydrophobic_aromatic', true, false), ('cdr_h3_length', 'cdr', 'length', true, false), ('fv_net_charge', 'global', 'charge', false, false),
-('vh_vl_charge_imbalance', 'vh', 'charge', false, true), ('vh_vl_hydrophobicity_imbalance', 'vh', 'hydrophobic_aromatic', false, true), ('other', 'global', 'composition_other', false, false)) v(feature, chain_region, chemistry, is_cdr, is_framework_or_full_variable)""",
+    "feature_families": """WITH f AS (SELECT concat(['vh_', 'vl_', 'heavy_cdr_', 'light_cdr_', 'fv_cdr_', 'cdr_', 'fv_', ''][p_size % 8 + 1],
+  ['net_charge', 'hydrophobic_fraction', 'positive_count', 'length', 'aromatic_fraction', 'charge_imbalance', 'hydrophobicity_asymmetry', 'other', 'lys_arg_asymmetry', 'h3_length', 'size_imbalance'][p_partkey % 11 + 1]) AS f FROM part),
+g AS (SELECT f, CASE WHEN f LIKE 'vh\\_%' ESCAPE '\\' THEN 'vh' WHEN f LIKE 'vl\\_%' ESCAPE '\\' THEN 'vl' WHEN starts_with(f, 'heavy_cdr_') THEN 'heavy_cdr' WHEN starts_with(f, 'light_cdr_') THEN 'light_cdr' WHEN starts_with(f, 'fv_cdr_') OR starts_with(f, 'cdr_') THEN 'cdr' ELSE 'global' END AS r,
+  CASE WHEN contains(f, 'hydrophobic') OR contains(f, 'aromatic') THEN 'hydrophobic_aromatic' WHEN contains(f, 'charge') OR contains(f, 'positive') OR contains(f, 'negative') OR contains(f, 'lys_arg') OR contains(f, 'acid_base') THEN 'charge' WHEN contains(f, 'length') THEN 'length' WHEN contains(f, 'imbalance') OR contains(f, 'asymmetry') THEN 'imbalance' ELSE 'composition_other' END AS c FROM f)
+SELECT r AS chain_region, c AS chemistry, r IN ('heavy_cdr', 'light_cdr', 'cdr') AS is_cdr, r IN ('vh', 'vl') AS is_framework_or_full_variable, count(*) AS n, count(DISTINCT f) AS n_features FROM g GROUP BY ALL""",
     "grouped_importance": f"WITH {ORDER_LINES} SELECT grp, 'charge' AS chemistry, {r6('spearman', 'importance')} FROM ({spearman('ol', 'grp', 't', 'p')}) UNION ALL SELECT grp, NULL, round(spearman, 6) FROM ({spearman('ol', 'grp', 't', 'qty')})",
     "residualize": f"WITH {ORDER_LINES}, r AS (SELECT o_orderstatus, t, t - avg(t) OVER (PARTITION BY grp, o_orderstatus) AS res FROM ol) SELECT o_orderstatus, count(*) AS n, round(avg(res), 6) + 0 AS residual_mean, {r6('stddev_pop(res)', 'residual_sd')}, {r6('1 - var_pop(res) / var_pop(t)', 'r2')} FROM r GROUP BY 1",
     "residual_nulls": f"""WITH {ORDER_LINES}, ob AS (SELECT grp, round(spearman, 9) AS o FROM ({spearman('ol', 'grp', 't', 'p')})), nu AS ({null_rows()})

@@ -39,10 +39,6 @@ def require_unique(frame: DataFrame, *keys: str) -> DataFrame:
     return frame
 
 
-def numeric_columns(frame: DataFrame, exclude: tuple[str, ...] = ()) -> list[str]:
-    return [f.name for f in frame.schema if isinstance(f.dataType, T.NumericType) and f.name not in exclude]
-
-
 def round6(x: Column) -> Column:
     return F.round(x.cast("double"), 6)
 

@@ -205,8 +205,8 @@ def test_compare(spark):
     predictions, external = frame_of(spark, h=["A", "B"], name=["x", "y"]), frame_of(spark, h=["A"], ext=["E1"])
     with pytest.raises(Exception, match="no external id"):
         compare.map_keys(predictions, external, ["h"], "name", "ext").collect()
-    with pytest.raises(ValueError):
-        compare.validated_left_join(predictions, external.union(external), ["h"])
+    with pytest.raises(Exception, match="not unique"):
+        compare.validated_left_join(predictions, external.union(external), ["h"]).collect()
 
 
 def test_simulation(spark):
@@ -269,3 +269,31 @@ def test_exact_quantiles_by_brackets(spark):
                 assert found == ([pytest.approx(v) for v in np.quantile(own, qs)] if own else [None] * len(qs))
         assert order.quantiles(frame, [], {"x": [0.25]}, most).first().x == [pytest.approx(np.quantile([r[1] for r in rows if r[1] is not None], 0.25))]
     assert order.quantiles(frame.filter("false"), [], {"x": [0.5]}).first().x == [None]
+
+
+def test_joins_check_themselves(spark):
+    from pyspark.sql import Observation
+
+    left = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d"), (None, "e"), (9, "f")], "k int, v string")
+    right = spark.createDataFrame([(1, 10), (2, None), (None, 5), (None, 6)], "k int, w int")
+    seen = Observation("seen")
+    got = compare.validated_left_join(left, right, ["k"], "many_to_one", seen)
+    assert sorted((r.v, r.w) for r in got.collect()) == [("a", 10), ("b", 10), ("c", None), ("d", None), ("e", None), ("f", None)]
+    assert seen.get == {"rows": 6, "unmatched": 3, "doubled": 0, "repeated": 0}
+    for bad, how in ((left, "one_to_one"), (left.filter("v <> 'b'"), "many_to_one")):
+        with pytest.raises(Exception, match="not unique"):
+            compare.validated_left_join(bad, right if how == "one_to_one" else right.union(right), ["k"], how).collect()
+    assert compare.validated_left_join(left.filter("v <> 'b'"), right, ["k"], "one_to_one").count() == 5
+
+
+def test_periodic_edges_equal_all_pairs(spark):
+    rng = np.random.default_rng(12)
+    pts = rng.uniform(-50, 50, (90, 3))
+    frame = frame_of(spark, sid=[i % 2 for i in range(90)], id=range(90), x=pts[:, 0], y=pts[:, 1], z=pts[:, 2])
+    for cutoff, box in ((7.0, 30.0), (7.0, 15.0), (7.0, 14.0), (3.0, 100.0)):
+        step = pts[:, None] - pts[None]
+        near = np.sqrt(((step - box * np.rint(step / box)) ** 2).sum(axis=2))
+        want = {(i, j) for i in range(90) for j in range(i + 1, 90) if i % 2 == j % 2 and near[i, j] <= cutoff}
+        assert {(r.src, r.dst) for r in graph.periodic_edges(frame, "sid", "id", ("x", "y", "z"), cutoff, box).collect()} == want
+    with pytest.raises(ValueError, match="half"):
+        graph.periodic_edges(frame, "sid", "id", ("x", "y", "z"), 8.0, 15.0)
