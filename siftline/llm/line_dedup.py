@@ -1,10 +1,11 @@
 """Line dedup on levelled sorted runs of line hashes.
 
-``LineRuns`` is a log-structured index. A run is a table bucketed and sorted by line hash in the shared folder: the
-lines of one batch with their documents and largest document id. Each new batch merge-anti-joins the runs: what no
-run holds is new, and is marked so in the batch's own run; what a run holds only adds to its counts. ``fanout``
-runs of a level are compacted into one of the next. A batch moves once, into its buckets, where the joins with
-the runs read bucket by bucket and move nothing; a compaction moves a line once for each level. Neither a lost
+``LineRuns`` is a log-structured index. A run is a table bucketed and sorted by line hash in the shared folder. Each new
+batch merge-anti-joins the runs: a line that none holds enters the batch's run with its documents and largest document id,
+so every line lies in one run only; a line that a run holds is no line of the new run but a change of that one's counts.
+``fanout`` runs of a level are compacted into one of the next: lines are merged as they are, changes are summed. Counts are
+put together at the end, where only changed lines are summed again. A batch moves once, into its buckets, where the joins
+with the runs read bucket by bucket and move nothing; a compaction moves a line once for each level. Neither a lost
 executor nor the driver holds any of the index.
 
 Keys are 128-bit XXH3 hashes of the normalised line.
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -72,18 +74,33 @@ def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return own.mapInArrow(_split(min_chars), "h1 long, h2 long, doc_id long, m1 long, m2 long")
 
 
-RUN = "h1 long, h2 long, n_docs long, max_doc long, is_new boolean"
+RUN = "h1 long, h2 long, n_docs long, max_doc long, known boolean"
+KEY = ["h1", "h2"]
 
 
 class LineRuns:
-    """Levels of sorted runs. A run: h1, h2, n_docs, max_doc, is_new (no run before held the line)."""
+    """Levels of sorted runs: h1, h2, n_docs, max_doc, known. Rows that were not ``known`` are the run's lines, each in no other
+    run; ``known`` ones are changes of lines of earlier runs. The tables live in a database of their own until ``close``."""
 
     def __init__(self, spark: SparkSession, fanout: int = FANOUT):
         self.spark, self.fanout = spark, fanout
         # As many as the session's partitions: where a task holds rows of other buckets, each task writes a file for each of them.
         self.buckets = shuffle_partitions(spark)
         self.levels: list[list[DataFrame]] = []
+        self.changes: list[DataFrame] = []
         self._names: dict[int, str] = {}
+        path = fresh_path(spark, "runs")
+        self.database = "siftline_" + path.rpartition("-")[2]
+        spark.sql(f"CREATE DATABASE {self.database} LOCATION '{path}'")
+
+    def close(self) -> None:
+        """Drop the runs, tables and files."""
+        for run in self.runs():
+            self._forget(run)
+        for change in self.changes:
+            forget(self.spark, change)
+        self.levels, self.changes = [], []
+        self.spark.sql(f"DROP DATABASE IF EXISTS {self.database} CASCADE")
 
     def runs(self) -> list[DataFrame]:
         return [r for level in self.levels for r in level]
@@ -91,13 +108,13 @@ class LineRuns:
     def unseen(self, hashes: DataFrame) -> DataFrame:
         """Rows of ``hashes`` whose line is in no run."""
         for run in self.runs():
-            hashes = hashes.join(run.filter("is_new"), ["h1", "h2"], "left_anti")
+            hashes = hashes.join(run.filter("not known"), KEY, "left_anti")
         return hashes
 
     def _write(self, rows: DataFrame, level: int) -> None:
         path = fresh_path(self.spark, f"run-l{level}")
-        name = "siftline_" + path.rpartition("/")[2].replace("-", "_")
-        writer = rows.select(*StructType.fromDDL(RUN).names).write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2")
+        name = f"{self.database}.run_" + path.rpartition("-")[2]
+        writer = rows.select(*StructType.fromDDL(RUN).names).write.bucketBy(self.buckets, *KEY).sortBy(*KEY)
         writer.option("compression", "zstd").option("path", path).saveAsTable(name)
         run = self.spark.table(name)
         while len(self.levels) <= level:
@@ -105,10 +122,9 @@ class LineRuns:
         self.levels[level].append(run)
         self._names[id(run)] = name
 
-    def _merged(self, runs: list[DataFrame]) -> DataFrame:
-        """Runs as one. Their files are read plainly: a union of bucketed scans is taken for one that is partitioned by bucket."""
-        files = self.spark.read.schema(RUN).parquet(*sorted({f.rpartition("/")[0] for run in runs for f in run.inputFiles()}))
-        return files.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"), F.bool_or("is_new").alias("is_new"))
+    def _files(self, runs: list[DataFrame]) -> DataFrame:
+        """Runs as one table. Their files are read plainly: a union of bucketed scans is taken for one that is partitioned by bucket."""
+        return self.spark.read.schema(RUN).parquet(*sorted({f.rpartition("/")[0] for run in runs for f in run.inputFiles()}))
 
     def _forget(self, run: DataFrame) -> None:
         forget(self.spark, run)
@@ -117,28 +133,38 @@ class LineRuns:
     def ingest(self, hashes: DataFrame) -> None:
         """Merge-anti-join a batch with the runs, add it as a run, then compact the levels that are full."""
         # Summed up before it moves; the groups then lie as the buckets do.
-        batch = hashes.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("max_doc"))
+        batch = hashes.groupBy(*KEY).agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("max_doc"))
         known = F.lit(False)
         for i, run in enumerate(self.runs()):
-            held = run.filter("is_new").select("h1", "h2", F.lit(True).alias(f"in_{i}"))
-            batch = batch.join(held.hint("merge"), ["h1", "h2"], "left")
+            held = run.filter("not known").select(*KEY, F.lit(True).alias(f"in_{i}"))
+            batch = batch.join(held.hint("merge"), KEY, "left")
             known = known | F.coalesce(F.col(f"in_{i}"), F.lit(False))
-        self._write(batch.withColumn("is_new", ~known), 0)
+        self._write(batch.withColumn("known", known), 0)
         level = 0
         while level < len(self.levels) and len(self.levels[level]) >= self.fanout:
             full, self.levels[level] = self.levels[level], []
-            self._write(self._merged(full).repartition(self.buckets, "h1", "h2"), level + 1)
+            merged = self._files(full)
+            changed, before = self._summed([merged.filter("known").drop("known"), *self.changes]), self.changes
+            self.changes = [settle(changed, "changes")]
+            self._write(merged.filter("not known").repartition(self.buckets, *KEY), level + 1)
             for run in full:
                 self._forget(run)
+            for change in before:
+                forget(self.spark, change)
             level += 1
 
+    def _summed(self, changes: list[DataFrame]) -> DataFrame:
+        return reduce(DataFrame.unionByName, changes).groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"))
+
     def frequent(self, min_docs: int) -> DataFrame:
         """(h1, h2, max_doc) of the lines that at least ``min_docs`` ingested documents hold."""
         runs = self.runs()
         if not runs:
             return self.spark.createDataFrame([], "h1 long, h2 long, max_doc long")
-        merged = runs[0] if len(runs) == 1 else self._merged(runs)
-        return merged.filter(F.col("n_docs") >= min_docs).select("h1", "h2", "max_doc")
+        changes = self._summed([*[r.filter("known").drop("known") for r in runs], *self.changes]).select(*KEY, F.col("n_docs").alias("more"), F.col("max_doc").alias("later"))
+        changes = settle(changes, "changes")
+        each = [r.filter("not known").join(changes, KEY, "left").filter(F.col("n_docs") + F.coalesce("more", F.lit(0)) >= min_docs) for r in runs]
+        return reduce(DataFrame.unionByName, [f.select(*KEY, F.greatest("max_doc", "later").alias("max_doc")) for f in each])
 
 
 def _drop(min_chars: int, digest: bool):
@@ -192,10 +218,13 @@ def dedup_lines(
     line_hashes(docs, min_chars).select("*", part).sortWithinPartitions("part").write.option("compression", "zstd").parquet(path)
     hashes = spark.read.schema("h1 long, h2 long, doc_id long, m1 long, m2 long, part int").parquet(path)
     index = LineRuns(spark)
-    for b in range(batches):
-        index.ingest(hashes.filter(F.col("part") == b))
-    # Settled, its size is known: a small table is broadcast, and beside a larger one the rows of a very common line can be split.
-    frequent = settle(index.frequent(min_docs), "frequent")
+    try:
+        for b in range(batches):
+            index.ingest(hashes.filter(F.col("part") == b))
+        # Settled, its size is known: a small table is broadcast, and beside a larger one the rows of a very common line can be split.
+        frequent = settle(index.frequent(min_docs), "frequent")
+    finally:
+        index.close()
     gone = (
         hashes.join(frequent, ["h1", "h2"])
         .filter(F.col("doc_id").isNull() & F.col("max_doc").isNotNull() | (F.col("doc_id") < F.col("max_doc")))

@@ -56,16 +56,32 @@ def test_matches_brute_force(spark):
     assert found(spark, nobody) == brute(nobody)
 
 
-def test_runs_are_levelled_and_tell_new_lines(spark):
+def test_runs_are_levelled_and_hold_a_line_once(spark):
     index = ld.LineRuns(spark, fanout=2)
-    rows = corpus()
-    frame = spark.createDataFrame([r for r in rows if r[0] is not None], "doc_id long, text string")
+    rows = [r for r in corpus() if r[0] is not None]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
     hashes = ld.line_hashes(frame)
-    for b in range(4):
-        index.ingest(hashes.filter(f"doc_id % 4 = {b}"))
-    assert [len(level) for level in index.levels] == [0, 0, 1]
+    for b in range(5):
+        index.ingest(hashes.filter(f"doc_id % 5 = {b}"))
+        lines = [(r.h1, r.h2) for run in index.runs() for r in run.filter("not known").collect()]
+        assert len(lines) == len(set(lines)) == hashes.filter(f"doc_id % 5 <= {b}").select("h1", "h2").distinct().count()
+    assert [len(level) for level in index.levels] == [1, 0, 1] and len(index.changes) == 1
     assert index.unseen(hashes).count() == 0
     other = ld.line_hashes(spark.createDataFrame([(1, "a new line that no run has seen so far, long enough")], "doc_id long, text string"))
     assert index.unseen(other.unionByName(hashes)).count() == 1
-    counts = {r.n_docs for r in index.runs()[0].collect()}
-    assert max(counts) > 5
+    for least in (1, 2, 5, 30):
+        want = hashes.groupBy("h1", "h2").agg({"doc_id": "max", "*": "count"}).collect()
+        assert {tuple(r) for r in index.frequent(least).collect()} == {(r[0], r[1], r["max(doc_id)"]) for r in want if r["count(1)"] >= least}
+    index.close()
+    assert not [d for d in spark.catalog.listDatabases() if d.name.startswith("siftline_")]
+
+
+def test_result_hangs_on_the_anti_join(spark, monkeypatch):
+    """With runs that never tell a line apart, or always do, the counts of a line fall to pieces."""
+    rows = corpus()
+    for told in ("false", "true"):
+        real = ld.LineRuns._write
+        with monkeypatch.context() as m:
+            m.setattr(ld.LineRuns, "_write", lambda self, rows, level, told=told: real(self, rows.selectExpr("h1", "h2", "n_docs", "max_doc", f"{told} as known"), level))
+            assert found(spark, rows, batches=3) != brute(rows)
+    assert not [d for d in spark.catalog.listDatabases() if d.name.startswith("siftline_")]
