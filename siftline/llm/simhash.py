@@ -11,6 +11,7 @@ fingerprints is parted again: of ``radius + 1`` blocks of the bits that its key
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -384,25 +385,22 @@ def _heads(width: int, similarity: float, common: tuple[np.ndarray, np.ndarray])
 
 
 def _meet(similarity: float):
-    """Rows of cells (token, lo, hi) sorted by cell in, pairs of unlike labels out that share the token and can reach the
-    similarity: with the sizes of both, and the number of tokens at which they met."""
+    """Rows of cells (token, lo, hi) sorted by cell in, pairs (a, b) of unlike labels out for which the token can be the first
+    that both share, in the order of prefixes, of sets that reach the similarity."""
 
     def pairs(rows: np.ndarray) -> np.ndarray:
         lo, hi = rows[0, 1:3]
         x, y = (rows, rows) if lo == hi else (rows[rows[:, 3] == lo], rows[rows[:, 3] == hi])
         n, p = x[:, None, 4] >> 32, x[:, None, 4] & 0xFFFFFFFF
         m, q = y[None, :, 4] >> 32, y[None, :, 4] & 0xFFFFFFFF
-        # No more is common than the tokens up to here and those of the shorter tail.
-        most = np.minimum(p, q) + np.minimum(n - p, m - q)
-        can = (x[:, None, 5] != y[None, :, 5]) & (most + 1e-6 >= similarity * (n + m - most))
+        # Nothing is common before the first shared token, and no more than the shorter tail behind it.
+        can = (x[:, None, 5] != y[None, :, 5]) & (1 + np.minimum(n - p, m - q) + 1e-6 >= similarity / (1 + similarity) * (n + m))
         i, j = np.nonzero(np.triu(can, 1) if lo == hi else can)
         # Nor more than the bits in which the bitmaps differ allow.
         both = (n[i, 0] + m[0, j]).astype(np.float64)
         near = (both - np.bitwise_count((x[i, 7:] ^ y[j, 7:]).view(np.uint64)).sum(axis=1, dtype=np.int64)) / 2 + 1e-6 >= similarity / (1 + similarity) * both
-        i, j = i[near], j[near]
-        one, two = x[i][:, [6, 4]], y[j][:, [6, 4]]
-        turned = (one[:, 0] > two[:, 0])[:, None]
-        return np.hstack([np.where(turned, two, one), np.where(turned, one, two)])[:, [0, 2, 1, 3]]
+        one, two = x[i[near], 6], y[j[near], 6]
+        return np.stack([np.minimum(one, two), np.maximum(one, two)], axis=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -418,10 +416,8 @@ def _meet(similarity: float):
                 yield batch_of(held)
 
         def batch_of(held: list[np.ndarray]) -> pa.RecordBatch:
-            rows = np.concatenate(held)
-            rows[:, 2:] >>= 32
-            rows, many = np.unique(rows, axis=0, return_counts=True)
-            return pa.RecordBatch.from_arrays([*[pa.array(rows[:, i]) for i in range(4)], pa.array(many)], names=["a", "b", "n", "m", "c"])
+            rows = np.unique(np.concatenate(held), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], names=["a", "b"])
 
         rest = np.zeros((0, 7 + BITMAP), dtype=np.int64)
         for batch in batches:
@@ -440,23 +436,48 @@ def _meet(similarity: float):
 
 #: Rows of a token's block in the prefix join; two blocks meet in one cell.
 BLOCK = 256
+#: Ratio of the sizes of sets that a band holds.
+BAND = 1.05
+
+
+def _band(n):
+    return F.floor(F.ln(n.cast("double")) / math.log(BAND)).cast("long")
+
+
+def _cells(heads: DataFrame, similarity: float) -> DataFrame:
+    """Rows of ``_heads`` in the cells (token, lo, hi) where they can meet others; ``block`` says which side of the cell a row is.
+
+    A token of up to ``BLOCK`` rows is one cell. The rows of a larger one are parted by size: where a token stands in a set, and that
+    it be the first shared one, bound the sizes of partners from both sides, so a row goes only to the bands it can
+    meet, and of those only to where it is met in turn. Two bands meet block by block: a family of sets that share a
+    token but cannot be similar by size and place is not copied at all.
+    """
+    held = heads.groupBy("token").agg(F.count("*").alias("rows"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+    dealt = heads.join(held.select("token", "rows"), "token")
+    columns = ["token", "lo", "hi", "block", "size", "label", "short", *HEAD_NAMES[4:]]
+    zero = F.lit(0).cast("long")
+    small = dealt.filter(F.col("rows") <= BLOCK).withColumns({"lo": zero, "hi": zero, "block": zero})
+    n, p = F.shiftright("size", 32), F.col("size").bitwiseAND(F.lit(0xFFFFFFFF))
+    least = F.ceil(similarity * n - 1e-6)
+    most = F.floor((1 + n - p) * ((1 + similarity) / similarity) - n + 1e-6)
+    banded = dealt.filter(F.col("rows") > BLOCK).filter(most >= least).withColumn("own", _band(n)).withColumn("other", F.explode(F.sequence(_band(least), _band(most))))
+    counts = banded.groupBy("token", "own", "other").agg(F.ceil(F.count("*") / BLOCK).alias("k"))
+    both = counts.join(counts.select("token", F.col("own").alias("other"), F.col("other").alias("own"), F.col("k").alias("there")), ["token", "own", "other"])
+    spread = banded.join(both, ["token", "own", "other"]).withColumn("at", F.pmod(F.xxhash64("short"), "k")).withColumn("meets", F.explode(F.sequence(zero, F.col("there") - 1)))
+    code = lambda band, block: F.shiftleft(F.col(band), 32) + F.col(block)
+    large = spread.withColumns({"block": code("own", "at"), "with": code("other", "meets")}).withColumns({"lo": F.least("block", "with"), "hi": F.greatest("block", "with")})
+    return small.select(*columns).unionByName(large.select(*columns))
 
 
 def _prefix_pairs(heads: DataFrame, similarity: float) -> DataFrame:
     """Distinct pairs (a, b) of short names of unlike labels, among them all that reach the similarity: an exact prefix join.
 
-    heads: from ``_heads``. Sets of a shingle are dealt to blocks and every two blocks meet in
-    a cell of their own, so no task holds a whole shingle. Shingles of one label only are left out. What two sets share
-    is in both prefixes, and then counted, or behind the end of one of them, so the count bounds it.
+    heads: from ``_heads``. Two sets that reach it share a token of both prefixes, and the first of these, in the one order
+    of all tokens, passes the test of ``_meet``. No task holds a whole token. Tokens of one label only are left out.
     """
-    held = heads.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).alias("k"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-    dealt = heads.join(held.select("token", "k"), "token").withColumn("block", F.pmod(F.xxhash64("short"), "k"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
-    cells = dealt.select("token", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "size", "label", "short", *HEAD_NAMES[4:])
-    met = cells.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi").mapInArrow(_meet(similarity), "a long, b long, n long, m long, c long")
-    behind = F.ceil(similarity * F.greatest("n", "m") - 1e-6) - 1
-    enough = F.col("c") + behind + 1e-6 >= similarity / (1 + similarity) * (F.col("n") + F.col("m"))
-    return met.groupBy("a", "b", "n", "m").agg(F.sum("c").alias("c")).filter(enough).select("a", "b").distinct()
+    cells = _cells(heads, similarity)
+    met = cells.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi").mapInArrow(_meet(similarity), "a long, b long")
+    return met.distinct()
 
 
 def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 3) -> DataFrame:

@@ -129,3 +129,19 @@ def test_unlike_texts_without_id_or_of_one_id_stay_apart(spark):
     got = simhash.similar_documents(docs).collect()
     assert len({(r.first_doc, r.first_m1, r.first_m2) for r in got}) == 55
     assert {tuple(r["row"])[1:] for r in got} == {(1, "a", 2)}
+
+
+def test_a_template_family_of_unlike_labels_is_not_copied(spark, monkeypatch):
+    """Texts that share 85 of 100 shingles reach a similarity of 0.74: at 0.8 no two of them can be links, however many share a shingle."""
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    template = " ".join(f"common{i}" for i in range(89))
+    texts = [(i, i, template + " " + " ".join(f"own{i}x{j}" for j in range(15))) for i in range(400)]
+    frame = spark.createDataFrame(texts, "short long, label long, text string")
+    common = simhash.common_shingles(frame, 5)
+    heads = frame.mapInArrow(simhash._heads(5, 0.8, common), simhash.HEAD).cache()
+    assert heads.groupBy("token").count().filter("count > 300").count() > 0
+    assert simhash._cells(heads, 0.8).count() < heads.count()
+    assert simhash._prefix_pairs(heads, 0.8).count() == 0
+    # At 0.7 all pairs are links, and all are found, block by block.
+    some = frame.filter("short < 60")
+    assert simhash._prefix_pairs(some.mapInArrow(simhash._heads(5, 0.7, simhash.common_shingles(some, 5)), simhash.HEAD), 0.7).count() == 60 * 59 // 2
