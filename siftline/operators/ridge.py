@@ -17,7 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftline.operators.nullmodels import shuffle_replicates
 from siftline.operators.order import met, quantiles
+from siftline.operators.ranking import spearman
 from siftline.tables import pin
 
 ALPHAS = tuple(np.logspace(-3, 3, 13))
@@ -323,6 +325,28 @@ def bootstrap_coefficients(frame: DataFrame, key: str, features: str, names: lis
     )
 
 
+def permutation_importance(frame: DataFrame, key: str, features: str, names: list[str], target: str, repeats: int = 50, seed: int = 7) -> DataFrame:
+    """(feature, importance, sd): drop of the training Spearman correlation when a feature is permuted, over ``repeats``.
+
+    One ridge is fitted to all rows. A permutation moves one feature's share of the prediction from row to row, so a long table
+    of shares, permuted by feature and repeat at once, gives every prediction; each feature and repeat is ranked as a group.
+    Rows with missing features are left out.
+    """
+    known = frame.filter(F.col(features).isNotNull() & ~F.exists(features, lambda v: v.isNull() | F.isnan(v)))
+    rows = pin(labelled(known.withColumn("__cell", F.lit("train")), [], key, features, target, "__cell").withColumn("only", F.lit(None).cast("string")))
+    model = fit(rows, rows.select("job").distinct().withColumn("cell", F.lit("all")))
+    told = met(rows.drop("cell"), model.select("job", "intercept", "weights"), ["job"]).select(F.col(f"row.{key}").alias("key"), "y", "intercept", F.zip_with("x", "weights", lambda a, b: a * b).alias("shares"))
+    told = pin(told.withColumn("predicted", F.aggregate("shares", F.col("intercept"), lambda s, v: s + v)))
+    base = spearman(told, [], "y", "predicted").select(F.col("spearman").alias("base"))
+    long = told.select("key", "y", "predicted", F.posexplode("shares").alias("i", "share"))
+    moved = shuffle_replicates(long, ["i"], "key", "share", list(range(seed, seed + repeats)))
+    rho = spearman(moved.withColumn("p", F.col("predicted") - F.col("share") + F.col("shuffled")), ["i", "replicate"], "y", "p")
+    drops = rho.crossJoin(F.broadcast(base))  # one row
+    drop = F.coalesce("base", F.lit(0.0)) - F.coalesce("spearman", F.lit(0.0))
+    named = F.get(F.array(*map(F.lit, names)), F.col("i"))
+    return drops.groupBy(named.alias("feature")).agg(F.avg(drop).alias("importance"), F.stddev_pop(drop).alias("sd"))
+
+
 #: Levels of all controls together: their Gram matrix, and a model of that width, are worked out on the driver and broadcast.
 LEVELS = 2_000
 

@@ -569,7 +569,7 @@ def topology_gate(spark: SparkSession, sf: str) -> DataFrame:
     rows = _residues(spark, sf).withColumn("structure_id", F.concat("structure_id", F.lit("_"), F.pmod(F.col("residue_id"), F.lit(4)).cast("string")))
     labels = rows.groupBy("structure_id").agg(F.avg("x").alias("HIC"), F.avg(F.when(F.col("resname").isin("LYS", "ARG"), 1.0).otherwise(0.0)).alias("PR_CHO"))
     long = labels.select("structure_id", F.pmod(F.xxhash64("structure_id"), F.lit(5)).cast("int").alias("fold"), F.expr("stack(2, 'HIC', HIC, 'PR_CHO', PR_CHO)").alias("assay", "y"))
-    return _rounded(gate.topology_gate(rows, long, "fold", [1, 2], [1, 2])[1])
+    return _rounded(gate.topology_gate(rows, long, "fold", list(range(1, 31)), list(range(1, 31)))[1])
 
 
 def family_drops(spark: SparkSession, sf: str) -> DataFrame:
@@ -673,7 +673,7 @@ def coefficient_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def feature_importance(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(models.permutation_importance(_model_rows(spark, sf), "vec_id", "x", [f"x{i}" for i in range(20)], "y", 10))
+    return _rounded(ridge.permutation_importance(_model_rows(spark, sf), "vec_id", "x", [f"x{i}" for i in range(20)], "y"))
 
 
 def triage_audit(spark: SparkSession, sf: str) -> DataFrame:

@@ -17,19 +17,31 @@ def as_array(frame: DataFrame, key: str) -> DataFrame:
     return frame.select(key, F.array(*[F.col(c).cast("double") for c in names]).alias("x"))
 
 
-def scramble(residues: DataFrame, seed: int) -> DataFrame:
-    """Residue identities deranged inside each structure and region; places stay."""
+def scrambles(residues: DataFrame, seeds: list[int]) -> DataFrame:
+    """Residue identities deranged inside each structure and region, once for each seed (``replicate``); places stay."""
     names = residues.withColumn("both", F.struct("resname", "aa"))
-    moved = nullmodels.derange(names, [topology.KEY, "region_bin"], topology.NODE, "both", seed)
-    return moved.withColumn("resname", F.col("scrambled.resname")).withColumn("aa", F.col("scrambled.aa")).select(*residues.columns)
+    moved = nullmodels.derange_replicates(names, [topology.KEY, "region_bin"], topology.NODE, "both", seeds)
+    return moved.withColumn("resname", F.col("scrambled.resname")).withColumn("aa", F.col("scrambled.aa")).select(*residues.columns, "replicate")
+
+
+def scramble(residues: DataFrame, seed: int) -> DataFrame:
+    return scrambles(residues, [seed]).drop("replicate")
 
 
 def feature_blocks(residues: DataFrame, seeds: list[int]) -> DataFrame:
-    """(feature_block, structure_id, x): surface composition, real topology and one scrambled topology for each seed."""
+    """(feature_block, structure_id, x): surface composition, real topology and one scrambled topology for each seed.
+
+    All scrambles are one table: a scrambled structure is a structure of its own, named by its seed behind a #.
+    """
     surface = pin(topology.surface_residues(residues))
     parts = {"surface_composition": topology.surface_composition(surface), "real_topology": topology.topology_features(surface)}
-    parts |= {f"scrambled_topology_{s}": topology.topology_features(scramble(surface, s)) for s in seeds}
-    return pin(union([as_array(f, topology.KEY).withColumn("feature_block", F.lit(n)) for n, f in parts.items()]))
+    blocks = [as_array(f, topology.KEY).withColumn("feature_block", F.lit(n)) for n, f in parts.items()]
+    if seeds:
+        many = pin(scrambles(surface, seeds).withColumn(topology.KEY, F.concat_ws("#", topology.KEY, "replicate")).drop("replicate"))
+        found = as_array(topology.topology_features(many), topology.KEY)
+        seed = F.substring_index(topology.KEY, "#", -1)
+        blocks.append(found.select(F.regexp_replace(topology.KEY, "#[^#]*$", "").alias(topology.KEY), "x", F.concat(F.lit("scrambled_topology_"), seed).alias("feature_block")))
+    return pin(union(blocks))
 
 
 def block_metrics(blocks: DataFrame, labels: DataFrame, fold: str, shuffles: list[int]) -> DataFrame:
@@ -37,11 +49,11 @@ def block_metrics(blocks: DataFrame, labels: DataFrame, fold: str, shuffles: lis
 
     labels: structure_id, ``fold``, assay, y.
     """
-    real = blocks.filter("feature_block = 'real_topology'").drop("feature_block")
     jobs = [blocks.join(labels, topology.KEY)]
-    for s in shuffles:
-        moved = nullmodels.shuffle_labels(labels.filter("y is not null"), ["assay"], topology.KEY, "y", s).drop("y").withColumnRenamed("shuffled", "y")
-        jobs.append(real.join(moved, topology.KEY).withColumn("feature_block", F.lit(f"label_shuffle_{s}")))
+    if shuffles:
+        real = blocks.filter("feature_block = 'real_topology'").drop("feature_block")
+        moved = nullmodels.shuffle_replicates(labels.filter("y is not null"), ["assay"], topology.KEY, "y", shuffles).drop("y").withColumnRenamed("shuffled", "y")
+        jobs.append(real.join(moved, topology.KEY).withColumn("feature_block", F.concat(F.lit("label_shuffle_"), F.col("replicate"))).drop("replicate"))
     found = ridge.fold_predictions(union(jobs), ["assay", "feature_block"], topology.KEY, "x", "y", fold)
     return spearman(found, ["assay", "feature_block"], "y_true", "y_pred")
 

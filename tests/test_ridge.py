@@ -111,3 +111,28 @@ def test_bootstrap_equals_fits_of_drawn_rows(spark, monkeypatch):
             assert r.alpha == pytest.approx(want["alpha"]) and r.weights == pytest.approx(want["weights"].tolist(), rel=1e-6)
     table = {r.feature: r for r in ridge.bootstrap_coefficients(frame, "id", "x", ["a", "b", "c"], "y", 30).collect()}
     assert table["a"].mean > 1 and table["a"].low < table["a"].mean < table["a"].high and table["b"].sign_agreement == 1.0
+
+
+def test_importance_permutes_shares(spark):
+    import hashlib
+
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(40, 3))
+    y = x[:, 0] * 2 + x[:, 1] + rng.normal(size=40) / 3
+    frame = spark.createDataFrame([(i, list(map(float, v)), float(t)) for i, (v, t) in enumerate(zip(x, y, strict=True))], "id int, x array<double>, y double").repartition(3)
+    got = {r.feature: r for r in ridge.permutation_importance(frame, "id", "x", ["a", "b", "c"], "y", 4).collect()}
+    alpha, predicted = brute(x, y, x)
+    scale = x.std(axis=0)
+    z = (x - x.mean(axis=0)) / scale
+    weights = np.linalg.solve(z.T @ z + alpha * np.eye(3), z.T @ (y - y.mean())) / scale
+    rank = lambda v: np.argsort(np.argsort(v))
+    rho = lambda a, b: np.corrcoef(rank(a), rank(b))[0, 1]
+    for k, name in enumerate("abc"):
+        drops = []
+        for seed in range(7, 11):
+            line = sorted(range(40), key=lambda i: int(hashlib.md5(f"{seed}|{i}".encode()).hexdigest()[:15], 16))
+            other = np.empty(40)
+            other[line] = x[:, k]  # the i-th row of the order gets the i-th row's share
+            drops.append(rho(y, predicted) - rho(y, predicted + weights[k] * (other - x[:, k])))
+        assert got[name].importance == pytest.approx(np.mean(drops)) and got[name].sd == pytest.approx(np.std(drops))
+    assert got["a"].importance > got["b"].importance > got["c"].importance
