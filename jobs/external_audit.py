@@ -4,7 +4,8 @@
 
 Every ``external_every``-th order is external. Internal rows alone choose each assay's predictor; the choice is written
 to ``<out>/spec`` before an external value is read, and a later run that would choose otherwise is refused. Written
-by assay, with dynamic partition overwrite: ``audit`` (internal and external scores, deltas, verdict) and ``worklist`` (external
+by assay, with dynamic partition overwrite: ``audit`` (internal and external scores, deltas, the share of shuffles of
+the external truth that correlate as well, verdict, whether the score is of use) and ``worklist`` (external
 rows in the worst tail by truth or by prediction). A rerun replaces the partitions it computes by equal ones.
 """
 
@@ -19,13 +20,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from jobs.common import absent, log, main, partition_name, read_back
-from siftline.operators import compare, stats
+from siftline.operators import compare, nullmodels, stats
+from siftline.plans import audit as audit_module
 from siftline.sources.files import read_parquet, write_spec
 from siftline.tables import pin, round6
 
 SETTINGS = Path(__file__).with_suffix(".json")
 SCORES = ("spearman", "worst_recall", "worst_auroc")
-AUDIT = "model string, internal_n long, external_n long, " + ", ".join(f"{side}_{s} double" for side in ("internal", "external") for s in SCORES) + ", delta_spearman double, delta_auroc double, verdict string, assay string"
+AUDIT = "model string, internal_n long, external_n long, " + ", ".join(f"{side}_{s} double" for side in ("internal", "external") for s in SCORES) + ", delta_spearman double, delta_auroc double, null_p double, verdict string, use string, assay string"
 WORKLIST = "id long, model string, truth double, prediction double, tail string, assay string"
 
 
@@ -61,6 +63,15 @@ def frozen(spark: SparkSession, out: str, chosen: DataFrame) -> DataFrame:
     return spark.createDataFrame([(json.loads(x)["assay"], json.loads(x)["model"]) for x in now], "assay string, model string")
 
 
+def _null_p(outside: DataFrame, shuffles: int) -> DataFrame:
+    """(assay, null_p): the correlation of external rows against the same with the truth shuffled inside the assay."""
+    ranked = nullmodels.ranked_once(outside, ["assay"], "id", "truth", "prediction")
+    rounded = lambda f: f.select("assay", F.round("spearman", 9).alias("spearman"))
+    controls = rounded(nullmodels.null_correlations(ranked, ["assay"], "id", list(range(shuffles))))
+    found = stats.empirical_p(rounded(nullmodels.rank_correlations(ranked, ["assay"])), controls, ["assay"], "spearman")
+    return found.select("assay", round6(F.col("empirical_p")).alias("null_p"))
+
+
 def run(spark: SparkSession, orders: str, lineitem: str, out: str, settings: dict) -> dict:
     """Chooses on internal rows, freezes, scores on external rows, and writes the audit and the worklist by assay."""
     given = read_parquet(spark, orders).select("o_orderkey", settings["truth"], settings["assay"])
@@ -71,8 +82,11 @@ def run(spark: SparkSession, orders: str, lineitem: str, out: str, settings: dic
     spec = frozen(spark, out, stats.best_per(internal, ["assay"], "internal_spearman", "model"))
     outside = rows.filter("external").join(F.broadcast(spec), ["assay", "model"], "left_semi")  # a row for each assay
     met = internal.join(F.broadcast(spec), ["assay", "model"], "left_semi").join(_scores(outside, settings, "external"), ["assay", "model"], "left")
-    audit = met.select(
-        "*", round6(F.col("external_spearman") - F.col("internal_spearman")).alias("delta_spearman"), round6(F.col("external_worst_auroc") - F.col("internal_worst_auroc")).alias("delta_auroc"),
+    met = met.join(_null_p(outside, settings["null_shuffles"]), "assay", "left")
+    bar = settings["useful"]
+    audit = audit_module.useful(met.withColumnsRenamed({"external_spearman": "spearman", "external_worst_auroc": "worst_auroc"}), bar["spearman"], bar["worst_auroc"])
+    audit = audit.withColumnsRenamed({"spearman": "external_spearman", "worst_auroc": "external_worst_auroc"}).select(
+        "*", F.when(F.col("useful"), "useful").otherwise("not useful").alias("use"), round6(F.col("external_spearman") - F.col("internal_spearman")).alias("delta_spearman"), round6(F.col("external_worst_auroc") - F.col("internal_worst_auroc")).alias("delta_auroc"),
         compare.triage_verdict(F.col("external_worst_auroc"), F.col("external_spearman")).alias("verdict"),
     )
     worklist = stats.tail_flags(outside, ["assay", "model"], "truth", "prediction", "id", settings["worst_fraction"]).filter("bad or told")

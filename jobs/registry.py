@@ -74,11 +74,18 @@ WITH {O.ORDER_LINES}, long AS (
   SELECT k FROM (SELECT k, row_number() OVER (PARTITION BY regexp_replace(k, '[|][^|]*$', '') ORDER BY spearman DESC NULLS LAST, k) AS n FROM i) WHERE n = 1
 ), outside AS (SELECT * FROM long WHERE fold = 0 AND k IN (SELECT k FROM best)
 ), e AS (SELECT {rounded} FROM ({O.competitive('outside', 'k', 't', 'p', 'id')})
+), pairs AS (SELECT k, id, t::DOUBLE AS t, p::DOUBLE AS p FROM outside WHERE t IS NOT NULL AND p IS NOT NULL
+), drawn AS (SELECT k, r, p, row_number() OVER (PARTITION BY k, r ORDER BY md5(concat_ws('|', r::VARCHAR, id::VARCHAR)), id) AS i FROM pairs, range(100) q(r)
+), plain AS (SELECT k AS pk, row_number() OVER (PARTITION BY k ORDER BY id) AS pi, t AS shuffled FROM pairs
+), moved AS (SELECT k, r, p, shuffled FROM drawn JOIN plain ON pk = k AND pi = i
+), nulls AS (SELECT k, round(spearman, 9) AS v FROM ({O.spearman('moved', 'k, r', 'shuffled', 'p')})
+), seen AS (SELECT k, round(spearman, 9) AS o FROM ({O.spearman('pairs', 'k', 't', 'p')})
+), chance AS (SELECT k, {O.r6('(1 + count(*) FILTER (v >= o)) / (count(v) + 1)::DOUBLE', 'null_p')} FROM nulls JOIN seen USING (k) GROUP BY k
 ), flags AS ({tails}
 ), audit AS (
   SELECT i.k AS k, i.n::DOUBLE AS internal_n, e.n::DOUBLE AS external_n, {scores('i')}, {scores('e')}, {O.r6('e.spearman - i.spearman', 'delta_spearman')}, {O.r6('e.worst_auroc - i.worst_auroc', 'delta_auroc')},
-    {O.verdict('e.worst_auroc', 'e.spearman')} AS verdict
-  FROM i JOIN best USING (k) LEFT JOIN e USING (k)
+    null_p, {O.verdict('e.worst_auroc', 'e.spearman')} AS verdict, CASE WHEN e.spearman >= 0.3 AND e.worst_auroc >= 0.7 THEN 'useful' ELSE 'not useful' END AS use
+  FROM i JOIN best USING (k) LEFT JOIN e USING (k) LEFT JOIN chance USING (k)
 )
 SELECT 'audit' AS kind, regexp_replace(k, '[|][^|]*$', '') AS assay, regexp_extract(k, '[^|]*$') AS model, * EXCLUDE (k) FROM audit
 UNION ALL BY NAME

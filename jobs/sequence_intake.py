@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from jobs.common import log, main, partition_name, read_back, rows_held
 from siftline.functions.sequences import ascii_upper, clean_sequence, physical_features
 from siftline.sources.files import normalise_sequences
+from siftline.streaming.files import arriving, drain
 from siftline.tables import require_columns
 
 SETTINGS = Path(__file__).with_suffix(".json")
@@ -46,20 +47,11 @@ def features(rows: DataFrame, settings: dict) -> DataFrame:
     )
 
 
-def stream_path(source: str, files: list[str]) -> str:
-    """A file stream takes folders and patterns: one file is given as a pattern that fits it alone."""
-    name = source.rstrip("/").rpartition("/")[2]
-    return f"{source[:-1]}[{source[-1]}]" if len(files) == 1 and files[0].endswith(f"/{name}") else source
-
-
 def run(spark: SparkSession, source: str, out: str, checkpoint: str, settings: dict) -> dict[str, int]:
     """Takes what is new in a growing folder of sequences and adds its features to the output."""
-    there = spark.read.parquet(source)
-    arriving = spark.readStream.schema(there.schema).option("maxFilesPerTrigger", settings["files_per_batch"]).option("maxFileAge", settings["oldest_file"]).parquet(stream_path(source, there.inputFiles()))
-    done = features(arriving, settings)
+    done = features(arriving(spark, source, settings["files_per_batch"], settings["oldest_file"]), settings)
     before = rows_held(spark, out, done.schema, "status")
-    query = done.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).partitionBy(*PARTITIONS).outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
+    drain(done, out, checkpoint, *PARTITIONS)
     held = rows_held(spark, out, done.schema, "status")
     new = {s: held.get(s, 0) - before.get(s, 0) for s in ("accepted", "rejected")}
     log.info("read %d new rows of %s", sum(new.values()), source)

@@ -1 +1 @@
-
+"""Streams: files that arrive, taken once."""

@@ -52,6 +52,34 @@ def test_intake_of_one_file(spark, tmp_path):
     assert [sequence_intake.run(spark, *where, settings)["accepted"] for _ in range(2)] == [16, 0]
 
 
+def test_intake_goes_on_where_a_run_broke_off(spark, tmp_path):
+    """A file that cannot be read fails a run after some batches; the next run takes what is left, each row once."""
+    settings = config(sequence_intake.SETTINGS) | {"files_per_batch": 1}
+    source, out, mark = (f"file://{tmp_path}/{n}" for n in ("in", "out", "mark"))
+    documents(spark, 0, 20).coalesce(1).write.parquet(source)
+    documents(spark, 20, 40).coalesce(1).write.mode("append").parquet(source)
+    good = sorted((tmp_path / "in").glob("part-*"))[0].read_bytes()
+    broken = tmp_path / "in/part-zzz-broken.parquet"
+    os.utime(sorted((tmp_path / "in").glob("part-*"))[0], (1, 1))
+    broken.write_bytes(good[:200])
+    with pytest.raises(Exception):  # noqa: B017
+        sequence_intake.run(spark, source, out, mark, settings)
+    # The file is mended under its name: the batch that failed is planned already and reads it now.
+    documents(spark, 40, 60).coalesce(1).write.parquet(f"file://{tmp_path}/mended")
+    broken.write_bytes(next((tmp_path / "mended").glob("part-*")).read_bytes())
+    for crc in (tmp_path / "in").glob(".*.crc"):
+        crc.unlink()
+    sequence_intake.run(spark, source, out, mark, settings)
+    held = sequence_intake.output(spark, source, out, settings)
+    assert held.count() == 60 and held.select("id").distinct().count() == 60
+
+
+def test_intake_wants_its_columns(spark, tmp_path):
+    spark.range(3).write.parquet(f"file://{tmp_path}/in")
+    with pytest.raises(ValueError, match="missing columns"):
+        sequence_intake.run(spark, *[f"file://{tmp_path}/{n}" for n in ("in", "out", "mark")], config(sequence_intake.SETTINGS))
+
+
 def orders(spark, folder, n=200, flip=False):
     data = [(i, 100.0 * i, "ABC"[i % 3] if i % 7 else None) for i in range(n)]
     lines = [(i, (-i if flip else i) + (i * 37 % 11) * 10.0, float(i * 17 % 50)) for i in range(n) if i % 13] * 2
@@ -70,7 +98,7 @@ def test_audit_reruns_alike_and_is_held_to_its_choice(spark, tmp_path):
     assert spec == ["by_price"] * 4 and held["audit"] == 4
     assert job() == held and {n: rows(external_audit.output(spark, f"{folder}/out", n)) for n in held} == first
     found = {r.assay: r for r in external_audit.output(spark, f"{folder}/out", "audit").collect()}
-    assert found["A"].external_spearman > 0.75 and found["A"].verdict == "EXTERNAL TRIAGE HOLDS" and "unknown" in found
+    assert found["A"].external_spearman > 0.75 and found["A"].verdict == "EXTERNAL TRIAGE HOLDS" and found["A"].use == "useful" and found["A"].null_p < 0.05 and "unknown" in found
     work = external_audit.output(spark, f"{folder}/out", "worklist").collect()
     assert {r.tail for r in work} == {"both", "truth", "prediction"} and all(r.id % 5 == 0 and r.id % 13 for r in work)
     assert spark.conf.get("spark.sql.sources.partitionOverwriteMode") == before
