@@ -35,6 +35,7 @@ ORACLES = {
     "op5_decontaminate": decontaminate.ORACLE_SQL,
     "op6_line_dedup": line_dedup.ORACLE_SQL,
     "op7_phrase_dedup": phrase_dedup.ORACLE_SQL,
+    "op8_suffix_dedup": suffix_dedup.ORACLE_SQL,
     "op11_lexical": lexical.ORACLE_SQL,
     "op12_vector_dedup": vector_dedup.ORACLE_SQL,
 }

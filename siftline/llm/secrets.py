@@ -26,23 +26,31 @@ ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 WINDOW = 20
 #: The lookbehind keeps a match from starting inside a run.
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
-#: Class, what its candidates look like, and the bits that a window must reach; the first class that fits counts. A window of
-#: 20 has at most 4.32 bits, of hex digits at most 4; long words of letters alone stay below 3.65, drawn letters seldom.
+#: Class, what its candidates look like, the bits that a window must reach, and fewer bits that are enough where the candidate
+#: is drawn rather than written; the first class that fits counts. A window of 20 has at most 4.32 bits, of hex digits at
+#: most 4. Long words of letters alone stay below 3.65.
 CLASSES = (
-    ("hex", r"^([0-9a-f]+|[0-9A-F]+)$", 3.0),
-    ("letters", r"^([a-z]+|[A-Z]+)$", 3.65),
-    ("mixed", r"^[A-Za-z]+$", 3.65),
-    ("alnum", r"^[A-Za-z0-9]+$", 3.7),
-    ("token", r"", 3.9),
+    ("hex", r"^([0-9a-f]+|[0-9A-F]+)$", 3.0, 2.9),
+    ("letters", r"^([a-z]+|[A-Z]+)$", 3.65, 3.2),
+    ("mixed", r"^[A-Za-z]+$", 3.65, 3.2),
+    ("alnum", r"^[A-Za-z0-9]+$", 3.7, 3.4),
+    ("token", r"", 3.9, 3.4),
 )
-#: Groups repeat possessively: the engine then loops instead of descending once for each part of a long candidate.
+#: Drawn characters show digits in several places, or many letters that words have few of: at least four, and an eighth of all.
+SCATTERED = r"[0-9][^0-9]+[0-9].*[A-Za-z]|[A-Za-z].*[0-9][^0-9]+[0-9]"
+RARE, RARE_LEAST, RARE_SHARE = "jqxzykwv", 4, 8
+#: Groups repeat possessively: the engine then loops instead of descending once for each part of a long candidate. A joined
+#: word is lower, upper or camel case with a short number behind it.
+_WORD = r"(?:(?:[A-Z][a-z]++)++|[a-z]++|[A-Z]++)?+[0-9]{0,4}+"
 ALLOWED = (
     r"^[0-9_=+/-]+$",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"^[A-Za-z]+[0-9]{1,4}$",
-    r"^[A-Za-z]+(?:[-_/+=][A-Za-z]*+[0-9]{0,4}+)++$",
-    r"^(.)\1++$",
-    r"(?i)(example|placeholder|changeme|xxxxxx|abcdef0123456789)",
+    rf"^{_WORD}(?:[-_/+=]{_WORD})++$",
+    r"(.)\1{5}",
+    r"(?i)abcdef0123456789",
+    r"(?i)^[a-z_=-]*+(?<=example|examplekey|placeholder|changeme)$",
+    r"EXAMPLE(?:KEY)?$",
 )
 #: Items that one inner pass appends to an array; keeps running sums linear in long texts.
 STRIDE = 256
@@ -116,9 +124,11 @@ def _suspicious(token: Column) -> Column:
     allowed = F.lit(False)
     for pattern in ALLOWED:
         allowed = allowed | token.rlike(pattern)
-    bar = F.lit(CLASSES[-1][2])
-    for _, pattern, bits in CLASSES[-2::-1]:
-        bar = F.when(token.rlike(pattern), F.lit(bits)).otherwise(bar)
+    rare = F.length(F.regexp_replace(F.lower(token), f"[^{RARE}]", ""))
+    drawn = token.rlike(SCATTERED) | ((rare >= RARE_LEAST) & (rare * RARE_SHARE >= F.length(token)))
+    bar = F.when(drawn, F.lit(CLASSES[-1][3])).otherwise(F.lit(CLASSES[-1][2]))
+    for _, pattern, bits, fewer in CLASSES[-2::-1]:
+        bar = F.when(token.rlike(pattern), F.when(drawn, F.lit(fewer)).otherwise(F.lit(bits))).otherwise(bar)
     return ~allowed & reaches(token, bar)
 
 
@@ -137,7 +147,7 @@ def _joined(spans: Column, kinds: list[str]) -> Column:
 def scan(docs: DataFrame) -> DataFrame:
     """Adds n_assign, n_access, n_hex, base_sha256 and spans to (doc_id, text).
 
-    Spans are kind:start:end by start, then kind as listed (entropy last), comma-joined; code points, end
+    A very long text is scanned whole, in time linear in its length. Spans are kind:start:end by start, then kind as listed (entropy last), comma-joined; code points, end
     exclusive. Entropy spans may overlap base spans, which all stay. Null text counts as empty. Rows are judged one by one:
     repeated rows repeat their results, an empty table gives an empty one, other columns are not looked at.
     """

@@ -133,3 +133,22 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = dedup_suffixes(docs, digest=True)
     return out.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").cast("string").alias("kept_sha256"))
+
+
+ORACLE_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents
+), w AS (
+  SELECT r, s, array_slice(b, s, s + 199) AS x FROM (SELECT r, b, unnest(generate_series(1, octet_length(b) - 199)) AS s FROM d WHERE octet_length(b) >= 200)
+), twice AS (SELECT x FROM w GROUP BY x HAVING count(*) > 1
+), hit AS (SELECT r, s FROM w SEMI JOIN twice USING (x)
+), marked AS (SELECT r, s, CASE WHEN s > lag(s) OVER (PARTITION BY r ORDER BY s) + 200 THEN 1 ELSE 0 END AS fresh FROM hit
+), spans AS (SELECT r, min(s) AS a, max(s) + 199 AS z FROM (SELECT r, s, sum(fresh) OVER (PARTITION BY r ORDER BY s) AS g FROM marked) GROUP BY r, g
+), stay AS (
+  SELECT r, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) + 1 AS f, a - 1 AS t FROM spans
+  UNION ALL SELECT r, max(z) + 1, octet_length(any_value(b)) FROM spans JOIN d USING (r) GROUP BY r
+), kept AS (SELECT r, string_agg(hex(array_slice(b, f, t)), '' ORDER BY f) FILTER (t >= f) AS h FROM stay JOIN d USING (r) GROUP BY r
+), sums AS (SELECT r, sum(z - a + 1) AS n, count(*) AS k FROM spans GROUP BY r)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(k, 0)::BIGINT AS n_spans,
+  CASE WHEN k IS NULL THEN sha256(b) ELSE sha256(unhex(coalesce(h, ''))) END AS kept_sha256
+FROM d LEFT JOIN sums USING (r) LEFT JOIN kept USING (r)
+"""
