@@ -4,22 +4,26 @@
 its words, written once to the shared folder. Segments are spread over the executors and hold whole documents, so
 postings never cross the network and a phrase never spans two segments. ``find_items`` streams the segments
 past the test set: a window's lists are offset-adjusted and intersected, beginning with the terms rarest in the
-segment. The test set is broadcast in blocks of at most ``block_bytes`` of its text, one after the other; each
-further block reads the stored segments again, never the texts.
+segment. The test set is compiled into blocks of about ``block_bytes`` of its text on the executors and broadcast block
+by block. The index is only ever read: a block writes what it has found, a row for each document that holds an item,
+and with several blocks these rows meet their segment at the end.
 """
 
 from __future__ import annotations
 
+import pickle
+import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType
 
-from siftline.llm.common import as_bytes, carried, forget, need, settle, slices, table
+from siftline.llm.common import as_bytes, carried, need, settle, slices, table
 
 #: A-Z fold to a-z; every other ASCII byte that is no letter or digit parts words.
 FOLD = bytes(
@@ -192,6 +196,7 @@ class PositionalIndex:
 
 
 SEGMENT = "n_words binary, terms binary, counts binary, postings binary"
+PACKED = [c.split()[0] for c in SEGMENT.split(", ")]
 
 
 def _index(slice_bytes: int):
@@ -199,33 +204,35 @@ def _index(slice_bytes: int):
         for batch in slices(batches, "text", slice_bytes):
             packed = Segment.of(as_bytes(batch.column("text"))).packed()
             rows = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column("row"))
-            yield pa.RecordBatch.from_arrays([rows, *[pa.array([x], pa.binary()) for x in packed]], names=["rows", *[c.split()[0] for c in SEGMENT.split(", ")]])
+            yield pa.RecordBatch.from_arrays([rows, pa.array([uuid.uuid4().hex]), *[pa.array([x], pa.binary()) for x in packed]], names=["rows", "segment", *PACKED])
 
     return run
 
 
 def build_index(docs: DataFrame, keep_text: bool = False, slice_bytes: int = SLICE_BYTES) -> DataFrame:
-    """The index of ``docs`` (doc_id, text, any others), stored: one row for each segment, with the documents' rows
-    (a struct of all columns, but the text unless ``keep_text``) in the order of their positions."""
+    """The index of ``docs`` (doc_id, text, any others), stored: one row for each segment, with a name, and with the documents'
+    rows (a struct of all columns, but the text unless ``keep_text``) in the order of their positions."""
     need(docs, "doc_id", "text")
     own = docs.select(carried(docs, *(() if keep_text else ("text",))), "text")
-    schema = StructType([StructField("rows", ArrayType(own.schema["row"].dataType)), *StructType.fromDDL(SEGMENT).fields])
+    schema = StructType([StructField("rows", ArrayType(own.schema["row"].dataType)), *StructType.fromDDL(f"segment string, {SEGMENT}").fields])
     return settle(own.mapInArrow(_index(slice_bytes), schema), "index")
 
 
-def _search(shared, slop: int | None, last: bool):
-    """One pass of one block over segments: grows the bitmap of hit words and each document's items; ``last`` parts segments
-    into documents."""
+FOUND = "hits binary, items array<string>"
+
+
+def _search(shared, slop: int | None, whole: bool):
+    """One block over segments: for every document that holds an item its words hit (bitmap) and its items; with ``whole`` for
+    every document, in place of its segment's row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: Windows = shared.value
         for batch in batches:
             for k in range(batch.num_rows):
-                segment = Segment.unpacked(*[batch.column(c.split()[0])[k].as_py() for c in SEGMENT.split(", ")])
+                segment = Segment.unpacked(*[batch.column(c)[k].as_py() for c in PACKED])
                 index = segment.over(block.vocabulary)
                 delta = np.zeros(index.end + 1, dtype=np.int64)
-                names = batch.column("items")[k].as_py() or [[] for _ in segment.n_words]
-                pairs: set[tuple[int, int]] = set()
+                names: dict[int, set[str]] = {}
                 for n, (windows, begins, items) in block.by_length.items():
                     which, at = index.starts(windows)
                     np.add.at(delta, at, 1)
@@ -235,67 +242,77 @@ def _search(shared, slop: int | None, last: bool):
                         which, at = np.concatenate([which, extra]), np.concatenate([at, where])
                     docs = np.searchsorted(index.begins, at, "right") - 1
                     for w, d in set(zip(which.tolist(), docs.tolist(), strict=True)):
-                        pairs.update((d, i) for i in items[begins[w] : begins[w + 1]].tolist())
-                for d, i in pairs:
-                    names[d].append(block.item_ids[i])
+                        names.setdefault(d, set()).update(block.item_ids[i] for i in items[begins[w] : begins[w + 1]].tolist())
                 hit = np.cumsum(delta[:-1]) > 0
-                if old := batch.column("hits")[k].as_py():
-                    hit |= np.unpackbits(np.frombuffer(old, np.uint8), count=len(hit)).astype(bool)
-                if last:
-                    yield _documents(batch.column("rows")[k].values, segment, hit, names)
-                else:
-                    one = batch.slice(k, 1)
-                    state = [pa.array([np.packbits(hit).tobytes()], pa.binary()), pa.array([names], pa.list_(pa.list_(pa.string())))]
-                    yield pa.RecordBatch.from_arrays([*one.columns[:-2], *state], names=one.schema.names)
+                found = {d: (np.packbits(hit[segment.begins[d] : segment.begins[d] + segment.n_words[d]]).tobytes(), names[d]) for d in names}
+                if whole:
+                    yield _documents(batch.column("rows")[k].values, segment.n_words, found)
+                elif found:
+                    at = sorted(found)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([batch.column("segment")[k].as_py()] * len(at)), pa.array(at, pa.int32()), pa.array([found[d][0] for d in at], pa.binary()), pa.array([sorted(found[d][1]) for d in at], pa.list_(pa.string()))],
+                        names=["segment", "at", "hits", "items"],
+                    )
 
     return run
 
 
-def _documents(rows: pa.Array, segment: Segment, hit: np.ndarray, names: list[list[str]]) -> pa.RecordBatch:
-    hits, bitmaps = [], []
-    for b, n in zip(segment.begins.tolist(), segment.n_words.tolist(), strict=False):
-        own = hit[b : b + n]
-        hits.append(int(own.sum()))
-        bitmaps.append(np.packbits(own).tobytes() if hits[-1] else b"")
+def _documents(rows: pa.Array, n_words: np.ndarray, found: dict[int, tuple[bytes, set[str]]]) -> pa.RecordBatch:
+    hits = [found[d][0] if d in found else b"" for d in range(len(n_words))]
+    many = [int(np.bitwise_count(np.frombuffer(h, np.uint8)).sum()) for h in hits]
     return pa.RecordBatch.from_arrays(
-        [rows, pa.array(segment.n_words), pa.array(hits, pa.int64()), pa.array(bitmaps, pa.binary()), pa.array([sorted(set(x)) for x in names], pa.list_(pa.string()))],
+        [rows, pa.array(n_words, pa.int64()), pa.array(many, pa.int64()), pa.array([h if n else b"" for h, n in zip(hits, many, strict=True)], pa.binary()), pa.array([sorted(found[d][1]) if d in found else [] for d in range(len(n_words))], pa.list_(pa.string()))],
         names=["row", "n_words", "n_hit", "hits", "items"],
     )
 
 
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Segments with what all blocks have found in their documents."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            n_words = np.frombuffer(batch.column("n_words")[k].as_py(), "<i4").astype(np.int64)
+            found: dict[int, tuple[bytes, set[str]]] = {}
+            for f in batch.column("found")[k].as_py() or []:
+                hits, items = found.get(f["at"], (bytes(len(f["hits"])), set()))
+                found[f["at"]] = (np.bitwise_or(np.frombuffer(hits, np.uint8), np.frombuffer(f["hits"], np.uint8)).tobytes(), items | set(f["items"]))
+            yield _documents(batch.column("rows")[k].values, n_words, found)
+
+
+def _compiled(width: int):
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["item_id", "text"])
+        block = compile_windows(zip(part["item_id"], (t.encode() for t in part["text"]), strict=True), width)
+        return pd.DataFrame({"block": [part["block"].iloc[0]], "windows": [pickle.dumps(block)]})
+
+    return run
+
+
 def search_index(index: DataFrame, items: DataFrame, width: int = WINDOW, slop: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(row, n_words, n_hit, hits, items) of every indexed document; see ``find_items``."""
     need(items, "item_id", "text")
     spark = index.sparkSession
     asked = items.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("item_id is not null and text is not null")
-
-    def blocks():
-        block, size = [], 0
-        for row in asked.toLocalIterator():  # one partition of the test set at a time
-            text = row[1].encode()
-            if size and size + len(text) > block_bytes:
-                yield block
-                block, size = [], 0
-            block.append((row[0], text))
-            size += len(text)
-        yield block
-
-    none = {"hits": F.lit(None).cast("binary"), "items": F.lit(None).cast("array<array<string>>")}
-    state = index.select("*", *[x.alias(c) for c, x in none.items()])
-    row = index.schema["rows"].dataType.elementType
-    ahead = blocks()
-    block, written = next(ahead), None
-    while True:
-        following = next(ahead, None)
-        shared = spark.sparkContext.broadcast(compile_windows(block, width))
-        if following is None:
-            schema = StructType([StructField("row", row), *StructType.fromDDL("n_words long, n_hit long, hits binary, items array<string>").fields])
-            return state.mapInArrow(_search(shared, slop, True), schema)
-        after = settle(state.mapInArrow(_search(shared, slop, False), state.schema), "segments")
+    size = asked.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    blocks = max(1, -(-size // block_bytes))
+    dealt = asked.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).cast("int"))
+    windows = settle(dealt.groupBy("block").applyInPandas(_compiled(width), "block int, windows binary"), "windows")
+    schema = StructType([StructField("row", index.schema["rows"].dataType.elementType), *StructType.fromDDL("n_words long, n_hit long, hits binary, items array<string>").fields])
+
+    def broadcast(b: int):
+        """One block, of bounded size."""
+        row = windows.filter(F.col("block") == b).first()
+        return spark.sparkContext.broadcast(pickle.loads(row["windows"]) if row else compile_windows([], width))
+
+    if blocks == 1:
+        return index.mapInArrow(_search(broadcast(0), slop, True), schema)
+    found = None
+    for b in range(blocks):
+        shared = broadcast(b)
+        part = settle(index.select("segment", *PACKED).mapInArrow(_search(shared, slop, False), f"segment string, at int, {FOUND}"), "found")
         shared.destroy()
-        if written is not None:
-            forget(spark, written)
-        state, block, written = after, following, after
+        found = part if found is None else found.unionByName(part)
+    per = found.groupBy("segment").agg(F.collect_list(F.struct("at", "hits", "items")).alias("found"))  # a row for each document and block that met
+    return index.select("segment", "rows", "n_words").join(per, "segment", "left").mapInArrow(_together, schema)
 
 
 def find_items(

@@ -61,8 +61,14 @@ def test_report_matches_brute_force_in_one_block_or_many(spark, monkeypatch):
     want = brute(docs, items)
     key = lambda f: sorted((str(r[0]), *r[1:]) for r in f.collect())
     assert key(d.report(a, b)) == want
+    stored = []
+    real = d.settle
+    monkeypatch.setattr(d, "settle", lambda df, what: stored.append((what, df.columns)) or real(df, what))
     monkeypatch.setattr(d.find_items, "__defaults__", (d.WINDOW, None, 200, 1000))
     assert key(d.report(a, b)) == want
+    # Many blocks, and none of them writes postings or rows of documents again.
+    assert [w for w, _ in stored][:2] == ["index", "windows"] and {w for w, _ in stored[2:]} == {"found"} and len(stored) > 4
+    assert all(c == ["segment", "at", "hits", "items"] for w, c in stored if w == "found")
     assert any(r[5] for r in want) and not all(r[5] for r in want)
 
 
