@@ -6,7 +6,8 @@ the shards keyed by a pair of blocks. Each shard is a BK-tree (children keyed by
 a search follows only edges within the radius. Trees of all fingerprints grow with the data, so a tree isn't
 broadcast to every task: it goes, once, to the task that has the shard's queries. A shard gives at most one link
 for each of its fingerprints, to the least one it is linked with inside the shard. A shard of over ``SHARD``
-fingerprints is parted again: of ``radius + 1`` blocks of the bits that its key leaves open, linked ones agree on one.
+fingerprints is parted again, as often as it takes: of ``radius + 1`` blocks of the bits that its key leaves open, linked
+ones agree on one.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ RADIUS = 2
 SLICE_BYTES = 16_000_000
 #: Fingerprints of whole shards that are built into one forest.
 FOREST = 50_000
-#: Fingerprints of a shard beyond which it is parted again (260 bytes of tree each). With the default radius a part
-#: fixes 42 of 64 bits at least, which bounds it whatever the data.
+#: Fingerprints of a shard beyond which it is parted again (260 bytes of tree each): what a task holds is at most this and a
+#: forest, whatever the data.
 SHARD = 200_000
 
 
@@ -141,26 +142,34 @@ def _shared(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(rows[many, 2]).view(np.uint64), shard[many]
 
 
-def _keys(masks: list[tuple[int, int]]) -> Column:
-    return F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in masks]))
+def _finer(mask: int, radius: int) -> list[int]:
+    """Masks that fix one more of ``radius + 1`` blocks of the open bits: linked fingerprints of a shard agree on one of them."""
+    return [mask | part for part in _cut(~mask & ((1 << BITS) - 1), radius + 1) if part]
+
+
+def _dealt(prints: DataFrame, masks: Column) -> DataFrame:
+    """(mask, key, fp) for every mask of an array: the key is the fixed bits."""
+    return prints.withColumn("mask", F.explode(masks)).select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
 
 
 def _sharded(prints: DataFrame, radius: int, most: int) -> DataFrame:
-    """(mask, key, fp) for every shard of each fingerprint, sorted by shard; shards of over ``most`` rows parted again."""
+    """(mask, key, fp) for every shard of each fingerprint, sorted by shard. Shards of over ``most`` rows are parted again, and
+    their parts too, until none is larger: each step leaves radius / (radius + 1) of the open bits, and two to their number bounds a part."""
     masks = blocks(radius)
-    step = radius + 2
-    dealt = prints.select("fp", _keys([(i * step, m) for i, m in enumerate(masks)]).alias("s")).select("s.mask", "s.key", "fp")
-    large = settle(dealt.groupBy("mask", "key").agg(F.count("*").alias("n")).filter(F.col("n") > most).drop("n"), "large-shards")
-    if not large.isEmpty():
-        again = dealt.join(large, ["mask", "key"], "left_semi")
-        finer = [
-            again.filter(F.col("mask") == i * step).select("fp", _keys([(i * step + 1 + j, m | part) for j, part in enumerate(_cut(~m & ((1 << BITS) - 1), radius + 1))]).alias("s"))
-            for i, m in enumerate(masks)
-        ]
-        dealt = dealt.join(large, ["mask", "key"], "left_anti")
-        for f in finer:
-            dealt = dealt.unionByName(f.select("s.mask", "s.key", "fp"))
-    return dealt.select("mask", "key", "fp").repartition("mask", "key").sortWithinPartitions("mask", "key")
+    dealt, done = _dealt(prints, F.array(*[F.lit(_signed(m)) for m in masks])), None
+    while True:
+        counts = dealt.groupBy("mask", "key").agg(F.count("*").alias("n"))
+        large = settle(counts.filter(F.col("n") > most).drop("n"), "large-shards")
+        if large.isEmpty():
+            break
+        small = dealt.join(large, ["mask", "key"], "left_anti")
+        done = small if done is None else done.unionByName(small)
+        children = F.create_map(*[x for m in masks for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(c)) for c in _finer(m, radius)]))])
+        again = settle(dealt.join(large, ["mask", "key"], "left_semi"), "large-rows")
+        dealt = _dealt(again.withColumnRenamed("mask", "parent"), children[F.col("parent")])
+        masks = list({c for m in masks for c in _finer(m, radius)})
+    every = dealt if done is None else done.unionByName(dealt)
+    return every.repartition("mask", "key").sortWithinPartitions("mask", "key")
 
 
 def link_fingerprints(prints: DataFrame, radius: int = RADIUS, forest: int = FOREST, shard: int = SHARD) -> DataFrame:

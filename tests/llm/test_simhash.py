@@ -1,6 +1,7 @@
 import itertools
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -89,3 +90,36 @@ def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(100, 160)] + [(5, 5), (7, 9), (9, 7)], "a long, b long")
     labels = {r.node: r.label for r in components(edges).collect()}
     assert labels == {i: 100 for i in range(100, 161)} | {7: 7, 9: 7}
+
+
+@pytest.mark.parametrize("radius", [2, 3])
+def test_dense_shards_are_parted_until_they_are_small(spark, radius):
+    """Fingerprints that differ in 12 bits only: every first shard holds most of them, and so do many of the second step."""
+    rng = np.random.default_rng(31)
+    spread = rng.choice(64, 12, replace=False)
+    base = int(rng.integers(1 << 62))
+    prints = sorted({base ^ sum(1 << int(b) for b, on in zip(spread, rng.random(12) < 0.5, strict=True) if on) for _ in range(900)} | {int(x) for x in rng.integers(1 << 62, size=50)})
+    frame = spark.createDataFrame([(p,) for p in prints], "fp long")
+    dealt = simhash._sharded(frame, radius, 40)
+    assert max(r["count"] for r in dealt.groupBy("mask", "key").count().collect()) <= 40
+    links = simhash.link_fingerprints(frame, radius, forest=100, shard=40)
+    label = {p: p for p in prints}
+    for r in links.collect():
+        a, b = label[r.a], label[r.b]
+        if a != b:
+            label = {p: min(a, b) if x in (a, b) else x for p, x in label.items()}
+    array = np.array(prints, dtype=np.uint64)
+    near = np.bitwise_count(array[:, None] ^ array[None]) <= radius
+    want = np.arange(len(prints))
+    while True:
+        least = np.where(near, want[None], len(prints)).min(axis=1)
+        if (least == want).all():
+            break
+        want = least
+    groups = {}
+    for p, w in zip(prints, want.tolist(), strict=True):
+        groups.setdefault(w, set()).add(p)
+    got = {}
+    for p, x in label.items():
+        got.setdefault(x, set()).add(p)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, groups.values()))
