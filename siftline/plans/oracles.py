@@ -278,6 +278,20 @@ FROM orders WHERE o_orderstatus IN ('F', 'O', 'P') GROUP BY o_orderstatus, o_ord
     "pdb_round_trip": """WITH r AS (SELECT label, vec_id, CASE WHEN vec_id % 2 = 0 THEN 'H' ELSE 'L' END AS chain, floor(round(embedding[1]::DOUBLE * 100, 4)) AS x, (floor(embedding[6]::DOUBLE * 1000)::INT % 8 + 8) % 8 AS k FROM embeddings WHERE vec_id < 10000),
 p AS (SELECT *, row_number() OVER (PARTITION BY label, chain ORDER BY vec_id) - 1 AS place FROM r)
 SELECT chain, substring('KDHFAERG', k + 1, 1) AS aa, count(*) AS n, round(sum(x), 6) AS x, sum(place)::BIGINT AS places FROM p GROUP BY ALL""",
+    "literature_conditions": f"""WITH t AS (SELECT event_id AS n, value AS v, user_id,
+  lower(concat_ws(' ', coalesce(['electrostatic patch', 'hydrophobic', 'fab-fab', NULL][event_id % 4 + 1], ''), coalesce(event_type, ''))) AS words FROM events),
+b AS (SELECT n, words, CASE WHEN n % 7 > 0 THEN round(v / 10, 1) END AS ph, CASE WHEN n % 5 > 0 THEN (user_id % 200)::DOUBLE ELSE 0 END AS salt,
+  CASE WHEN n % 2 = 0 THEN greatest(round(v), 10) ELSE round(v) END AS conc, CASE WHEN n % 4 = 3 THEN 37 ELSE 25 END::DOUBLE AS temp, (n % 4 IN (1, 2))::INT::DOUBLE AS arg FROM t),
+c AS (SELECT *, sqrt(50 / (50 + salt)) AS sc, least(greatest(conc / 200, 0), 1.5::DOUBLE) AS cs, least(greatest(7.4::DOUBLE - coalesce(ph, 7.4::DOUBLE), 0), 2) / 2 AS boost,
+  (salt > 0 AND salt <= 50)::INT::DOUBLE AS low, (salt >= 100)::INT::DOUBLE AS high, (conc >= 100)::INT::DOUBLE AS dense,
+  regexp_matches(words, 'charge|electrostatic|fab-fc|fab fc|cation|anion|salt|pi')::INT::DOUBLE AS ch, regexp_matches(words, 'hydrophobic|aromatic|short-range')::INT::DOUBLE AS hy,
+  regexp_matches(words, 'fab-fab|fab fab|fab-fc|fab fc|fv|patch|anisotropic')::INT::DOUBLE AS sp FROM b)
+SELECT n AS anchor_id, {r6('ph', '"pH_numeric"')}, salt AS "salt_mM_numeric", conc AS protein_concentration_mg_ml_numeric, temp AS "temperature_C_numeric", (salt > 0)::INT::DOUBLE AS has_salt, {r6('sc', 'salt_screening_factor')}, {r6('1 - sc', 'salt_load')},
+  low AS low_salt_condition, high AS high_salt_condition, arg AS arginine_or_excipient, {r6('cs', 'concentration_scaled')}, dense AS high_concentration, {r6('boost', '"low_pH_charge_boost"')},
+  ch AS charge_mechanism_signal, hy AS hydrophobic_mechanism_signal, sp AS specific_interface_signal,
+  {r6('least(greatest(cs + 0.5::DOUBLE * sc + 0.6::DOUBLE * ch + 0.4::DOUBLE * hy + 0.4::DOUBLE * boost - 0.3::DOUBLE * arg, 0), 4)', 'attraction_strength')},
+  {r6('least(greatest(0.75::DOUBLE * (1 - sc) + 0.3::DOUBLE * arg + 0.25::DOUBLE * high, 0), 1.5::DOUBLE)', 'repulsion_strength')},
+  CASE WHEN dense + low + sp < 0.75 THEN 1 WHEN dense + low + sp < 1.5 THEN 3 ELSE 5 END::BIGINT AS patch_valence FROM c""",
     "periodic_contacts": f"""WITH {POINTS}, d AS (SELECT a.sid, a.vec_id AS src, b.vec_id AS dst, a.x - b.x AS dx, a.y - b.y AS dy, a.z - b.z AS dz FROM pt a JOIN pt b ON a.sid = b.sid AND a.vec_id < b.vec_id),
 n AS (SELECT sid, src, dst, sqrt((dx - 40 * round_even(dx / 40, 0)) ** 2 + (dy - 40 * round_even(dy / 40, 0)) ** 2 + (dz - 40 * round_even(dz / 40, 0)) ** 2) AS v FROM d)
 SELECT sid, src, dst, {r6('v', 'distance')} FROM n WHERE v <= 9""",
