@@ -194,6 +194,22 @@ def rank_among_baselines(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(stats.rank_of(rows.join(first, "s_nationkey"), ["s_nationkey"], "s_acctbal", F.col("s_suppkey") == F.col("first")))
 
 
+def stacked_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers' own numbers beside those of their orders, whichever they have, the balance turned round where low is risky."""
+    people = load(spark, sf, "customer").filter("c_custkey % 4 <> 0").withColumnRenamed("c_custkey", "k")
+    bought = load(spark, sf, "orders", "o_custkey", "o_totalprice", "o_orderstatus").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("n"), F.max("o_totalprice").alias("most"), F.max("o_orderstatus").alias("state"))
+    wide = compare.stacked({"own": people, "orders": bought}, "k")
+    return _rounded(stats.risk_oriented(wide, "own_c_acctbal", "orders_most", F.col("own_c_nationkey") % 2 == 1))
+
+
+def label_auroc(spark: SparkSession, sf: str) -> DataFrame:
+    """How well hydrophobic and aromatic shares tell labelled documents' quality, by language."""
+    rows = documents_features(spark, sf).join(load(spark, sf, "labels", "doc_id", "quality"), "doc_id").withColumn("good", F.col("quality") == 1)
+    one, two = (stats.auroc(rows, ["lang"], "good", f"t_{c}_fraction", c) for c in ("hydrophobic", "aromatic"))
+    counts = rows.groupBy("lang").agg(F.count_distinct("source").alias("n_sources"), F.count_if("good").alias("n_good"))
+    return _rounded(one.join(two, "lang").join(counts, "lang"))
+
+
 def _own_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_folder(spark)}/round-trips/{what}-{uuid.uuid4().hex}"
 
@@ -684,7 +700,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         triage_flagship, missingness, fold_summary, corr_network, composition_features, region_features, pairwise_identity, knn_loo, knn_grouped, knn_external,
-        failure_matrix, jaccard_labels, metric_row, competitive_metrics, top10_recall, cv_fold_metrics, select_best, compare_targets, external_status, external_compare, key_mapping, join_validation, rank_among_baselines, csv_round_trip, pdb_round_trip,
+        failure_matrix, jaccard_labels, metric_row, competitive_metrics, top10_recall, cv_fold_metrics, select_best, compare_targets, external_status, external_compare, key_mapping, join_validation, stacked_features, label_auroc, rank_among_baselines, csv_round_trip, pdb_round_trip,
         fold_ols_calibration, ridge_1d_oof, ridge_oof_multi, pca_ridge_oof, pca_features, ridge_gram, axis_report, feature_families, grouped_importance, residualize, residual_ridge, group_fold_deal, fold_preprocess,
         residual_nulls, bootstrap_mean_ci, archetypes, medoids, regime_projection, calibrate_grid, leave_group_out, text_numbers, text_condition_flags, surface_mask,
         contact_graph, periodic_contacts, patch_components, patch_summary, spread_components, adjacency_summary, centroid_distance, dipole, scramble_derange, label_shuffle,

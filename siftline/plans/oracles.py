@@ -271,6 +271,14 @@ LEFT JOIN pl g ON g.f = fold AND g.c = 'g' AND g.l = coalesce(grp, a.mode) LEFT
 s AS (SELECT l_orderkey AS k, sum(l_quantity) AS v FROM lineitem WHERE l_orderkey % 5 <> 0 GROUP BY 1), o AS (SELECT s.k AS k, v FROM orders LEFT JOIN s ON s.k = o_orderkey)
 SELECT 'many_to_one' AS cardinality, round(sum(v), 6) AS total, count(*) AS rows, count(*) FILTER (k IS NULL) AS unmatched, 0::BIGINT AS doubled FROM m
 UNION ALL SELECT 'one_to_one', round(sum(v), 6), count(*), count(*) FILTER (k IS NULL), 0::BIGINT FROM o""",
+    "stacked_features": """WITH p AS (SELECT c_custkey AS k, c_nationkey::DOUBLE AS n, c_acctbal AS b FROM customer WHERE c_custkey % 4 <> 0),
+o AS (SELECT o_custkey AS k, count(*)::DOUBLE AS n, max(o_totalprice) AS m FROM orders GROUP BY 1)
+SELECT k, p.n AS own_c_nationkey, round(CASE WHEN p.n % 2 = 1 THEN -b ELSE b END, 6) AS own_c_acctbal, o.n AS orders_n, round(CASE WHEN p.n % 2 = 1 THEN -m ELSE m END, 6) AS orders_most FROM p FULL JOIN o USING (k)""",
+    "label_auroc": f"""WITH {DOCS}, g AS (SELECT lang, source, quality = 1 AS good, {count_of(clean('u'), 'AILMFWYVC')} / greatest(length({clean('u')})::DOUBLE, 1) AS h, {count_of(clean('u'), 'FWY')} / greatest(length({clean('u')})::DOUBLE, 1) AS a FROM df JOIN labels USING (doc_id)),
+r AS (SELECT *, {rank('h', 'lang')} AS rh, {rank('a', 'lang')} AS ra FROM g)
+SELECT lang, {r6("(sum(rh) FILTER (good) - count(*) FILTER (good) * (count(*) FILTER (good) + 1) / 2::DOUBLE) / nullif(count(*) FILTER (good) * count(*) FILTER (NOT good), 0)::DOUBLE", 'hydrophobic')},
+  {r6("(sum(ra) FILTER (good) - count(*) FILTER (good) * (count(*) FILTER (good) + 1) / 2::DOUBLE) / nullif(count(*) FILTER (good) * count(*) FILTER (NOT good), 0)::DOUBLE", 'aromatic')},
+  count(DISTINCT source) AS n_sources, count(*) FILTER (good) AS n_good FROM r GROUP BY lang""",
     "rank_among_baselines": """WITH r AS (SELECT s_nationkey::BIGINT AS s_nationkey, s_suppkey, s_acctbal, rank() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC) AS rank, count(*) OVER (PARTITION BY s_nationkey) AS n, min(s_suppkey) OVER (PARTITION BY s_nationkey) AS f FROM supplier)
 SELECT s_nationkey, round(s_acctbal, 6) AS s_acctbal, rank, n FROM r WHERE s_suppkey = f""",
     "csv_round_trip": """SELECT 'state_' || o_orderstatus AS source_dir, o_orderpriority, count(*) AS n, round(sum(o_totalprice), 6) AS total, count(*) FILTER (o_orderkey % 2 = 0) AS remarks, max(CASE WHEN o_orderkey % 2 = 0 THEN 'says "a, b"' END) AS remark
