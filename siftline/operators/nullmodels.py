@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftline.operators.order import hash_bucket, hashed, met, numbered, numbered_by
+from siftline.operators.order import PLACE, hash_bucket, hashed, in_buckets, met, numbered, numbered_by
 from siftline.operators.ranking import both_ranked
 from siftline.tables import pin
 
@@ -26,17 +26,16 @@ def derange_replicates(frame: DataFrame, by: list[str], key: str, value: str, se
     The next row is in the same bucket of the order, or it is the first of the next bucket that holds any: only those
     first rows, at most one a bucket, are brought into line.
     """
-    dealt = _replicated(frame, seeds, key).withColumn("__bucket", hash_bucket(F.col("__h")))
-    on = [*by, "replicate"]
-    order = Window.partitionBy(*on, "__bucket").orderBy("__h", key)
+    dealt = in_buckets(_replicated(frame, seeds, key), [*by, "replicate"], hash_bucket(F.col("__h")))
+    order = Window.partitionBy(*PLACE).orderBy("__h", key)
     held = F.struct(F.col(value).alias("v"))  # tells a NULL value from no next row
-    firsts = dealt.groupBy(*on, "__bucket").agg(F.min_by(held, F.struct("__h", key)).alias("__first"), F.count("*").alias("__n"))
-    line = Window.partitionBy(*on).orderBy("__bucket")
+    firsts = dealt.groupBy(*PLACE).agg(F.min_by(held, F.struct("__h", key)).alias("__first"), F.count("*").alias("__n"))
+    line = Window.partitionBy("__k").orderBy("__bucket")
     around = F.coalesce(F.lead("__first").over(line), F.first_value("__first").over(line))
-    total = F.sum("__n").over(Window.partitionBy(*on))
-    after = firsts.select(*on, "__bucket", around.alias("__after"), (total <= 1).alias("non_derangeable"))
-    moved = met(dealt.withColumn("__next", F.lead(held).over(order)), after, [*on, "__bucket"])
-    return moved.withColumn(out, F.coalesce("__next", "__after")["v"]).drop("__h", "__bucket", "__next", "__after")
+    total = F.sum("__n").over(Window.partitionBy("__k"))
+    after = firsts.select(*PLACE, around.alias("__after"), (total <= 1).alias("non_derangeable"))
+    moved = dealt.withColumn("__next", F.lead(held).over(order)).join(after, PLACE)
+    return moved.withColumn(out, F.coalesce("__next", "__after")["v"]).drop("__h", *PLACE, "__next", "__after")
 
 
 def derange(frame: DataFrame, by: list[str], key: str, value: str, seed: int, out: str = "scrambled") -> DataFrame:
@@ -53,7 +52,8 @@ def shuffle_replicates(frame: DataFrame, by: list[str], key: str, label: str, se
     else:
         plain = numbered(own.withColumn("__h", hashed(F.lit(""), key)), by, [F.col("__h"), F.col(key)], hash_bucket(F.col("__h")), "__i").drop("__h")
     drawn = numbered(_replicated(frame, seeds, key), [*by, "replicate"], [F.col("__h"), F.col(key)], hash_bucket(F.col("__h")), "__i").drop("__h")
-    return met(drawn, plain.select(*by, "__i", out), [*by, "__i"]).drop("__i")
+    # The labels of one replicate are the small side whatever the number of replicates: hashed, not sorted.
+    return met(drawn, plain.select(*by, "__i", out).hint("shuffle_hash"), [*by, "__i"]).drop("__i")
 
 
 def shuffle_labels(frame: DataFrame, by: list[str], key: str, label: str, seed: int, out: str = "shuffled") -> DataFrame:

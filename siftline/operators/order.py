@@ -27,6 +27,17 @@ def met(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner") ->
     return left.join(named, both([F.col(c).eqNullSafe(F.col(f"__on_{c}")) for c in by]), how).drop(*[f"__on_{c}" for c in by])
 
 
+#: A row's place: a hash of group and bucket, which sorts fast, and both.
+PLACE = ["__s", "__k", "__bucket"]
+
+
+def in_buckets(frame: DataFrame, by: list[str], bucket: Column) -> DataFrame:
+    """Adds ``PLACE``. A group is one value that is never NULL: windows and plain joins on it share one shuffle and one sort, where
+    null-safe joins would ask for others."""
+    dealt = frame.withColumns({"__bucket": bucket, "__k": F.struct(*by) if by else F.struct(F.lit(0).alias("all"))})
+    return dealt.withColumn("__s", F.xxhash64("__k", "__bucket"))
+
+
 def splitters(frame: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
     """(by, splits_<column>): about equally spaced values of every numeric column, all columns and groups in one aggregation."""
     at = F.array(*[F.lit(k / BUCKETS) for k in range(1, BUCKETS)])
@@ -42,14 +53,14 @@ def bucket_of(x: Column, splits: Column) -> Column:
 def numbered(frame: DataFrame, by: list[str], order: list[Column], bucket: Column, out: str, keep_size: str | None = None) -> DataFrame:
     """Adds ``out``: 1-based numbers of the rows of every group in an order, given buckets that follow it; with
     ``keep_size`` also the group's rows. Buckets are the unit of work."""
-    dealt = frame.withColumn("__bucket", bucket)
-    inside = F.row_number().over(Window.partitionBy(*by, "__bucket").orderBy(*order))
-    counts = dealt.groupBy(*by, "__bucket").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy(*by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    size = {keep_size: F.sum("__n").over(Window.partitionBy(*by))} if keep_size else {}
-    offsets = counts.select(*by, "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"), *[v.alias(k) for k, v in size.items()])
-    done = met(dealt.withColumn("__inside", inside), offsets, [*by, "__bucket"])
-    return done.withColumn(out, F.col("__before") + F.col("__inside")).drop("__bucket", "__inside", "__before")
+    dealt = in_buckets(frame, by, bucket)
+    inside = F.row_number().over(Window.partitionBy(*PLACE).orderBy(*order))
+    counts = dealt.groupBy(*PLACE).agg(F.count("*").alias("__n"))
+    before = Window.partitionBy("__k").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    size = {keep_size: F.sum("__n").over(Window.partitionBy("__k"))} if keep_size else {}
+    offsets = counts.select(*PLACE, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"), *[v.alias(k) for k, v in size.items()])
+    done = dealt.withColumn("__inside", inside).join(offsets, PLACE)
+    return done.withColumn(out, F.col("__before") + F.col("__inside")).drop(*PLACE, "__inside", "__before")
 
 
 def numbered_by(frame: DataFrame, by: list[str], key: str, out: str, *ties: str, keep_size: str | None = None) -> DataFrame:
