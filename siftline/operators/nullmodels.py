@@ -1,15 +1,20 @@
 """Null models by seeded hash order, and the verdicts drawn from them. Groups may be of any size: rows are numbered and shifted
-bucket by bucket of the order (see ``order``), and all replicates are rows of one table."""
+bucket by bucket of the order (see ``order``), and all replicates are rows of one table; ``null_correlations`` packs them."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import md5
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftline.operators.order import PLACE, hash_bucket, hashed, in_buckets, met, numbered, numbered_by
 from siftline.operators.ranking import both_ranked
-from siftline.tables import pin
+from siftline.tables import pin, union
 
 
 def _replicated(frame: DataFrame, seeds: list[int], key: str) -> DataFrame:
@@ -43,14 +48,17 @@ def derange(frame: DataFrame, by: list[str], key: str, value: str, seed: int, ou
     return derange_replicates(frame, by, key, value, [seed], out).drop("replicate")
 
 
+def _by_key(frame: DataFrame, by: list[str], key: str) -> DataFrame:
+    """Adds ``__i``: numbers by ``key``, or by its hash where it is no number."""
+    if isinstance(frame.schema[key].dataType, T.NumericType):
+        return numbered_by(frame, by, key, "__i")
+    return numbered(frame.withColumn("__h", hashed(F.lit(""), key)), by, [F.col("__h"), F.col(key)], hash_bucket(F.col("__h")), "__i").drop("__h")
+
+
 def shuffle_replicates(frame: DataFrame, by: list[str], key: str, label: str, seeds: list[int], out: str = "shuffled") -> DataFrame:
     """One permutation of ``label`` inside each group for each seed, as rows with ``replicate``: the i-th row in a seeded
     order gets the label of the i-th row by ``key``, which is numbered once for all seeds (keys that are no numbers by their hash)."""
-    own = frame.select(*by, key, F.col(label).alias(out))
-    if isinstance(frame.schema[key].dataType, T.NumericType):
-        plain = numbered_by(own, by, key, "__i")
-    else:
-        plain = numbered(own.withColumn("__h", hashed(F.lit(""), key)), by, [F.col("__h"), F.col(key)], hash_bucket(F.col("__h")), "__i").drop("__h")
+    plain = _by_key(frame.select(*by, key, F.col(label).alias(out)), by, key)
     drawn = numbered(_replicated(frame, seeds, key), [*by, "replicate"], [F.col("__h"), F.col(key)], hash_bucket(F.col("__h")), "__i").drop("__h")
     # The labels of one replicate are the small side whatever the number of replicates: hashed, not sorted.
     return met(drawn, plain.select(*by, "__i", out).hint("shuffle_hash"), [*by, "__i"]).drop("__i")
@@ -73,15 +81,164 @@ def rank_correlations(ranked: DataFrame, by: list[str], x: str = "cx", y: str =
     """(by, n, spearman) of centred ranks; NULL for fewer than ``least`` rows or a constant side."""
     a, b = F.col(x), F.col(y)
     sums = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.sum(a * b).alias("ab"), F.sum(a * a).alias("aa"), F.sum(b * b).alias("bb"))
+    return sums.select(*by, "n", _correlation(least).alias("spearman"))
+
+
+def _correlation(least: int) -> Column:
     known = (F.col("n") >= least) & (F.col("aa") > 0) & (F.col("bb") > 0)
-    return sums.select(*by, "n", F.when(known, F.col("ab") / F.sqrt("aa") / F.sqrt("bb")).alias("spearman"))
+    return F.when(known, F.col("ab") / F.sqrt("aa") / F.sqrt("bb"))
+
+
+#: Leading bits of a hash that part a group's seeded order into slices, each sorted in one task for one seed at a time. A group of
+#: fewer than ``SLICE_ROWS`` rows a slice has fewer.
+SLICE_BITS = 6
+SLICE_ROWS = 4096
+#: Rows whose places in all seeded orders a task packs at once.
+PACKED_ROWS = 1 << 16
+COUNTED = "__g long, __slice int, replicate int, n long"
+PACKED = f"{COUNTED}, h binary, v binary, w binary"
+SUMS = f"{COUNTED}, vw double, ties long, __first double, __last double"
+
+
+def _float_bytes(x: np.ndarray) -> bytes:
+    """Numbers in half the room where that loses nothing, as for ranks in groups of up to 16 million rows."""
+    short = x.astype(np.float32)
+    return (short if (short == x).all() else x).tobytes()
+
+
+def _floats(x: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(x, np.float32 if len(x) == 4 * n else np.float64).astype(np.float64)
+
+
+def _seeded(seeds: list[int], second: bool | None):
+    """Rows (__g, __bits, key, v, w) in, one row out for each seed, group and slice of its order that they fall in: their number, and
+    unless ``second`` is None, their hashes (7 bytes tell those of a slice apart, but for small groups) and values. So a row costs
+    a seed some ten bytes, a fifth of what it takes as a row of a table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= PACKED_ROWS:
+                yield from packed(pa.Table.from_batches(held))
+                held, size = [], 0
+        if size:
+            yield from packed(pa.Table.from_batches(held))
+
+    def packed(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        g, bits, v, w = (rows.column(c).to_numpy() for c in ("__g", "__bits", "v", "w"))
+        groups, g = np.unique(g, return_inverse=True)
+        # ``concat_ws`` leaves out a NULL and its separator.
+        keys = [b"" if k is None else b"|" + k for k in rows.column("key").cast(pa.binary()).to_pylist()]
+        for seed in seeds:
+            name = str(seed).encode()
+            h = np.frombuffer(b"".join([md5(name + k).digest()[:8] for k in keys]), ">u8").astype(np.uint64) >> np.uint64(4)
+            cell = g << SLICE_BITS | (h >> (60 - bits).astype(np.uint64)).astype(np.int64)
+            order = np.argsort(cell, kind="stable")
+            cells, begin, many = np.unique(cell[order], return_index=True, return_counts=True)
+            columns = [pa.array(groups[cells >> SLICE_BITS]), pa.array((cells & ((1 << SLICE_BITS) - 1)).astype(np.int32)), pa.array(np.full(len(cells), seed, np.int32)), pa.array(many)]
+            if second is not None:
+                cut = lambda x: np.split(x[order], begin[1:])  # noqa: B023, E731
+                wide = np.where(bits[order][begin] >= 4, 7, 8)
+                told = [x.view(np.uint8).reshape(-1, 8)[:, :k].tobytes() for x, k in zip(cut(h), wide, strict=True)]
+                columns += [pa.array(c, pa.binary()) for c in (told, map(_float_bytes, cut(v)), map(_float_bytes, cut(w)) if second else [None] * len(cells))]
+            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in (COUNTED if second is None else PACKED).split(", ")])
+
+    return run
+
+
+def _slice_sums(second: bool):
+    """Rows (__g, __slice, kind, replicate, n, x, h, v, w), sorted so, in, ``SUMS`` of each slice and seed out.
+
+    With ``second`` each row's w is met with the v of the next one in the slice, whose ends are told. Else v is met with the value
+    ``x`` at the same place ``n`` of the order by key: kind 0 are those that any seed needs here, kind 1 says where a seed's slice begins.
+    """
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}
+    schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in SUMS.split(", ")])
+
+    def summed(at: tuple, seed: int, rows: list[tuple], first: int, values: np.ndarray, start: int) -> dict:
+        size = sum(n for n, *_ in rows)
+        h = np.zeros((size, 8), np.uint8)
+        end = 0
+        for n, told, *_ in rows:
+            h[end : end + n, : len(told) // n] = np.frombuffer(told, np.uint8).reshape(n, -1)
+            end += n
+        h = h.view(np.uint64).ravel()
+        order = np.argsort(h, kind="stable")
+        v = np.concatenate([_floats(v, n) for n, _, v, _ in rows])[order]
+        w = np.concatenate([_floats(w, n) for n, *_, w in rows])[order] if second else v
+        total = v[1:] @ w[:-1] if second else v @ values[start - first : start - first + size]
+        ties = int((h[order][1:] == h[order][:-1]).sum())
+        return dict(zip(schema.names, (*at, seed, size, float(total), ties, float(v[0]), float(w[-1])), strict=True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, seed, held, known, starts, values = None, None, [], [], {}, np.zeros(0)
+        for batch in batches:
+            done = []
+            for g, part, kind, replicate, n, x, *packed in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if held and ((g, part) != now or replicate != seed):
+                    done.append(summed(now, seed, held, known[0][0] if known else 0, values, starts.get(seed, 0)))
+                    held = []
+                if (g, part) != now:
+                    now, known, starts, values = (g, part), [], {}, np.zeros(0)
+                if kind == 0:
+                    known.append((n, x))
+                elif kind == 1:
+                    starts[replicate] = n
+                else:
+                    if known and not len(values):
+                        known.sort()
+                        values = np.array([x for _, x in known])
+                    seed = replicate
+                    held.append((n, *packed))
+            yield pa.RecordBatch.from_pylist(done, schema)
+        if held:
+            yield pa.RecordBatch.from_pylist([summed(now, seed, held, known[0][0] if known else 0, values, starts.get(seed, 0))], schema)
+
+    return run
 
 
 def null_correlations(ranked: DataFrame, by: list[str], key: str, seeds: list[int], moved: str = "cx", how: str = "shuffle") -> DataFrame:
-    """(by, replicate, n, spearman) of ``ranked_once`` rows with one side shuffled or deranged inside each group, by seed."""
-    other = "cy" if moved == "cx" else "cx"
-    many = {"shuffle": shuffle_replicates, "derange": derange_replicates}[how](ranked.select(*by, key, "cx", "cy"), by, key, moved, seeds, "__m")
-    return rank_correlations(many, [*by, "replicate"], "__m", other)
+    """(by, replicate, n, spearman) of ``ranked_once`` rows with one side shuffled or deranged inside each group, by seed.
+
+    A seed only moves values along, so its sum of products is all that it takes. No row is copied: tasks deal the hashes and values of
+    their rows to slices of each seed's order, packed, and a slice is sorted for one seed at a time. Rows are told apart by 60
+    bits; a seed for which two of a group are equal is done again row by row, where the key decides.
+    """
+    other, second = ("cy" if moved == "cx" else "cx"), how == "derange"
+    sizes = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.col("cx") * F.col("cx")).alias("aa"), F.sum(F.col("cy") * F.col("cy")).alias("bb"))
+    bits = F.least(F.lit(SLICE_BITS), F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / SLICE_ROWS)))).cast("int")
+    groups = pin(sizes.withColumns({"__g": F.monotonically_increasing_id(), "__bits": bits}))
+    rows = met(ranked.select(*by, key, "cx", "cy"), groups.select(*by, "__g", "__bits"), by)
+    if not by:
+        rows = rows.select("__g", "__bits", key, "cx", "cy")
+    v, w = (moved, other) if second else (other, moved)
+    own = rows.select("__g", "__bits", F.col(key).cast("string").alias("key"), F.col(v).alias("v"), F.col(w).alias("w"))
+    slices = own.mapInArrow(_seeded(seeds, second), PACKED).withColumns({"kind": F.lit(2), "x": F.lit(None).cast("double")})
+    if not second:
+        # Where each seed's slices begin, and the values in the order by key that any seed needs of a slice: about its share of a group.
+        counts = own.mapInArrow(_seeded(seeds, None), COUNTED).groupBy("__g", "replicate", "__slice").agg(F.sum("n").alias("n"))
+        before = Window.partitionBy("__g", "replicate").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+        starts = pin(counts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))))
+        reach = starts.groupBy("__g", "__slice").agg(F.min("start").alias("low"), F.max(F.col("start") + F.col("n")).alias("high"))
+        reach = reach.groupBy("__g").agg(F.collect_list(F.struct("__slice", "low", "high")).alias("reach"))  # 64 at most
+        placed = _by_key(rows.select("__g", key, moved), ["__g"], key).withColumn("n", F.col("__i") - 1).join(reach, "__g")
+        needed = F.filter("reach", lambda r: (r["low"] <= F.col("n")) & (F.col("n") < r["high"]))
+        values = placed.select("__g", F.explode(needed).alias("r"), "n", F.col(moved).alias("x")).select("__g", "r.__slice", "n", "x", F.lit(0).alias("kind"))
+        slices = union([slices, values, starts.select("__g", "__slice", "replicate", F.col("start").alias("n"), F.lit(1).alias("kind"))])
+    columns = ["__g", "__slice", "kind", "replicate", "n", "x", "h", "v", "w"]
+    dealt = slices.select(*columns).repartition("__g", "__slice").sortWithinPartitions(*columns[:4])
+    sums = pin(dealt.mapInArrow(_slice_sums(second), SUMS))
+    line = Window.partitionBy("__g", "replicate").orderBy("__slice")
+    following = F.coalesce(F.lead("__first").over(line), F.first_value("__first").over(line))
+    whole = sums.withColumn("vw", F.col("vw") + F.when(F.lit(second), following * F.col("__last")).otherwise(0.0))
+    total = whole.groupBy("__g", "replicate").agg(F.sum("vw").alias("ab")).join(groups, "__g")
+    found = total.select(*by, "replicate", "n", _correlation(3).alias("spearman"))
+    if not (again := [r.replicate for r in sums.filter("ties > 0").select("replicate").distinct().collect()]):  # a number of each seed
+        return found
+    many = {"shuffle": shuffle_replicates, "derange": derange_replicates}[how](ranked.select(*by, key, "cx", "cy"), by, key, moved, again, "__m")
+    return found.filter(~F.col("replicate").isin(again)).unionByName(rank_correlations(many, [*by, "replicate"], "__m", other))
 
 
 def scramble_diagnostics(scrambled: DataFrame, by: list[str], value: str, out: str = "scrambled") -> DataFrame:

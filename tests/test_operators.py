@@ -255,6 +255,28 @@ def test_nulls_ranked_once_equal_nulls_ranked_each(spark):
         assert key(got) == key(each)
 
 
+def test_nulls_by_slices_equal_nulls_by_rows(spark, monkeypatch):
+    """Slices, packs of a few rows, null groups, keys that are text or missing, and groups of equal hashes; nothing is copied for a seed."""
+    monkeypatch.setattr(nullmodels, "SLICE_ROWS", 2)
+    monkeypatch.setattr(nullmodels, "PACKED_ROWS", 50)
+    rng = np.random.default_rng(9)
+    rows = [(["a", "b", None][i % 3] if i else "one", int(k), float(rng.integers(0, 40)), float(rng.normal())) for i, k in enumerate(rng.permutation(700))]
+    frame = spark.createDataFrame(rows, "g string, id long, x double, y double").repartition(5)
+    text = frame.withColumn("id", F.concat(F.lit("k"), "id"))
+    missing = frame.unionByName(frame.filter("id = 9").withColumn("id", F.lit(None).cast("long")))
+    for own, by, how, moved in ((frame, ["g"], "shuffle", "cx"), (frame, ["g"], "derange", "cy"), (text, ["g"], "shuffle", "cy"), (missing, ["g"], "derange", "cx"), (missing, [], "shuffle", "cx")):
+        ranked, other = own.select("g", "id", F.col("x").alias("cx"), F.col("y").alias("cy")), "cy" if moved == "cx" else "cx"
+        many = nullmodels.shuffle_replicates if how == "shuffle" else nullmodels.derange_replicates
+        want = nullmodels.rank_correlations(many(ranked, by, "id", moved, [3, 4], "m"), [*by, "replicate"], "m", other)
+        got = nullmodels.null_correlations(ranked, by, "id", [3, 4], moved, how)
+        told = lambda f: {(r["g"] if "g" in f.columns else "", r.replicate): (r.n, None if r.spearman is None else round(r.spearman, 11)) for r in f.collect()}
+        assert told(got) == told(want) and len(told(want)) == (8 if by else 2)
+    # Rows of one key have one hash: those seeds are done row by row.
+    twice = nullmodels.ranked_once(spark.createDataFrame([(1, 1.0, 2.0), (1, 1.0, 2.0), (2, 3.0, 1.0), (3, 5.0, 4.0)], "id long, x double, y double"), [], "id", "x", "y")
+    want = nullmodels.rank_correlations(nullmodels.derange_replicates(twice, [], "id", "cx", [1, 2], "m"), ["replicate"], "m", "cy")
+    assert sorted(nullmodels.null_correlations(twice, [], "id", [1, 2], "cx", "derange").collect()) == sorted(want.select("replicate", "n", "spearman").collect())
+
+
 def test_exact_quantiles_by_brackets(spark):
     rng = np.random.default_rng(4)
     rows = [(["a", None, "b"][i % 3], float(v) if i % 11 else None, 7.0 if i % 4 else float(i)) for i, v in enumerate(rng.lognormal(0, 3, 900))] + [("none", None, None), ("one", 2.5, None)]
