@@ -319,3 +319,22 @@ def test_periodic_edges_equal_all_pairs(spark):
         assert {(r.src, r.dst) for r in graph.periodic_edges(frame, "sid", "id", ("x", "y", "z"), cutoff, box).collect()} == want
     with pytest.raises(ValueError, match="half"):
         graph.periodic_edges(frame, "sid", "id", ("x", "y", "z"), 8.0, 15.0)
+
+
+def test_label_auroc_reads_the_texts_once(spark):
+    import __spark_entry__
+
+    found = __spark_entry__.queries()["label_auroc"](spark, "/root/testdata/sf0.001")
+    assert "documents.parquet" not in found._jdf.queryExecution().toString() and found.count() > 0
+
+
+def test_a_tile_of_neighbours_holds_few_products_at_once(spark, monkeypatch):
+    """However many queries a batch has, they meet a block in steps of ``PRODUCTS``; so memory does not follow the number of rows."""
+    import pyarrow as pa
+
+    seen, best = [], pairs._best
+    monkeypatch.setattr(pairs, "_best", lambda keys, v, g, part, k, itself: (seen.append(len(keys) * part.num_rows), best(keys, v, g, part, k, itself))[1])
+    rng = np.random.default_rng(1)
+    rows = lambda kind, n: pa.RecordBatch.from_arrays([pa.array([0] * n), pa.array([kind] * n), pa.array(range(n)), pa.array(rng.random((n, 3)).tolist())], names=["tile", "kind", "key", "v"])
+    found = sum(b.num_rows for b in pairs._tiles(2, True)(iter([rows(0, 20_000), rows(1, 200)])))
+    assert found == 400 and max(seen) <= 1 << 20 and sum(seen) == 20_000 * 200
