@@ -21,6 +21,8 @@ from siftline.tables import pin
 #: Rows of a block of vectors, and points of a grid that may be broadcast.
 BLOCK_ROWS = 20_000
 BROADCAST_ROWS = 20_000
+#: Products of queries and a block that a task holds at once.
+PRODUCTS = 1 << 20
 
 
 def correlation_network(frame: DataFrame, key: str, columns: list[str], least: float = 0.65, min_rows: int = 3) -> DataFrame:
@@ -86,8 +88,9 @@ def _tiles(k: int, itself: bool):
                     rows = pa.Table.from_batches(held).sort_by("key").combine_chunks()
                     column = lambda c: rows.column(c).combine_chunks()
                     block = (np.asarray(column("key")), _matrix(column("v")), np.asarray(column("g")) if "g" in rows.column_names else None)
-                for i in range(0, part.num_rows if block else 0, 512):
-                    yield _best(*block, part.slice(i, 512), k, itself)
+                step = max(1, PRODUCTS // len(block[0])) if block else 1
+                for i in range(0, part.num_rows if block else 0, step):
+                    yield _best(*block, part.slice(i, step), k, itself)
 
     return run
 
