@@ -14,9 +14,10 @@ from siftline.tables import pin
 BUCKETS = 256
 
 
-def value_positions(frame: DataFrame, by: list[str], x: str) -> DataFrame:
-    """(by, x, n, below, total): how often each value occurs, rows below it and rows in its group; NULL values are left out."""
-    values = frame.filter(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count("*").alias("n"))
+def value_positions(frame: DataFrame, by: list[str], x: str, *sums: str) -> DataFrame:
+    """(by, x, n, below, total): how often each value occurs, rows below it and rows in its group; NULL values are left out.
+    Columns named besides are summed by value."""
+    values = frame.filter(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in sums])
     spread = values.groupBy(*by).agg(F.min(x).alias("low"), F.max(x).alias("high"), F.sum("n").alias("total"))
     joined = values.join(spread, by) if by else values.crossJoin(F.broadcast(spread))  # one row
     width = (F.col("high") - F.col("low")).cast("double")
@@ -29,7 +30,7 @@ def value_positions(frame: DataFrame, by: list[str], x: str) -> DataFrame:
     return (
         dealt.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
         .join(offsets, [*by, "bucket"])
-        .select(*by, x, "n", (F.col("offset") + F.col("inside")).alias("below"), "total")
+        .select(*by, x, "n", (F.col("offset") + F.col("inside")).alias("below"), "total", *sums)
     )
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from siftline.operators.nullmodels import shuffle_replicates
 from siftline.operators.order import met, quantiles
-from siftline.operators.ranking import spearman
+from siftline.operators.ranking import average_rank, spearman, value_positions
 from siftline.tables import pin
 
 ALPHAS = tuple(np.logspace(-3, 3, 13))
@@ -328,9 +328,9 @@ def bootstrap_coefficients(frame: DataFrame, key: str, features: str, names: lis
 def permutation_importance(frame: DataFrame, key: str, features: str, names: list[str], target: str, repeats: int = 50, seed: int = 7) -> DataFrame:
     """(feature, importance, sd): drop of the training Spearman correlation when a feature is permuted, over ``repeats``.
 
-    One ridge is fitted to all rows. A permutation moves one feature's share of the prediction from row to row, so a long table
-    of shares, permuted by feature and repeat at once, gives every prediction; each feature and repeat is ranked as a group.
-    Rows with missing features are left out.
+    One ridge is fitted to all rows. A permutation moves one feature's share of the prediction from row to row, the same way for all
+    features: the array of shares is moved once for a repeat. The target is ranked once; each feature and repeat is ranked as a
+    group by its values alone, which carry the sum of the target's ranks. Rows with missing features are left out.
     """
     known = frame.filter(F.col(features).isNotNull() & ~F.exists(features, lambda v: v.isNull() | F.isnan(v)))
     rows = pin(labelled(known.withColumn("__cell", F.lit("train")), [], key, features, target, "__cell").withColumn("only", F.lit(None).cast("string")))
@@ -338,9 +338,17 @@ def permutation_importance(frame: DataFrame, key: str, features: str, names: lis
     told = met(rows.drop("cell"), model.select("job", "intercept", "weights"), ["job"]).select(F.col(f"row.{key}").alias("key"), "y", "intercept", F.zip_with("x", "weights", lambda a, b: a * b).alias("shares"))
     told = pin(told.withColumn("predicted", F.aggregate("shares", F.col("intercept"), lambda s, v: s + v)))
     base = spearman(told, [], "y", "predicted").select(F.col("spearman").alias("base"))
-    long = told.select("key", "y", "predicted", F.posexplode("shares").alias("i", "share"))
-    moved = shuffle_replicates(long, ["i"], "key", "share", list(range(seed, seed + repeats)))
-    rho = spearman(moved.withColumn("p", F.col("predicted") - F.col("share") + F.col("shuffled")), ["i", "replicate"], "y", "p")
+    # Rows are the same for all features and repeats, so are the target's ranks, less their mean, and the sum of their squares.
+    size = told.agg(F.count("*").alias("size"))
+    ranked = average_rank(told, [], "y", "ry").crossJoin(F.broadcast(size))  # one row
+    ranked = pin(ranked.select("key", "predicted", "shares", (F.col("ry") - (F.col("size") + 1) / 2).alias("ry")))
+    squares = ranked.agg(F.sum(F.col("ry") * F.col("ry")).alias("yy"))
+    moved = shuffle_replicates(ranked, [], "key", "shares", list(range(seed, seed + repeats)))
+    other = F.zip_with("shares", "shuffled", lambda a, b: F.col("predicted") - a + b)
+    at = value_positions(moved.select("replicate", "ry", F.posexplode(other).alias("i", "p")), ["i", "replicate"], "p", "ry")
+    rp = F.col("below") + (F.col("n") + 1) / 2 - (F.col("total") + 1) / 2
+    sums = at.groupBy("i", "replicate").agg(F.sum("n").alias("rows"), F.sum(rp * F.col("ry")).alias("py"), F.sum(F.col("n") * rp * rp).alias("pp")).crossJoin(F.broadcast(squares))  # one row
+    rho = sums.select("i", "replicate", F.when((F.col("rows") >= 3) & (F.col("pp") > 0) & (F.col("yy") > 0), F.col("py") / F.sqrt("pp") / F.sqrt("yy")).alias("spearman"))
     drops = rho.crossJoin(F.broadcast(base))  # one row
     drop = F.coalesce("base", F.lit(0.0)) - F.coalesce("spearman", F.lit(0.0))
     named = F.get(F.array(*map(F.lit, names)), F.col("i"))

@@ -136,3 +136,14 @@ def test_importance_permutes_shares(spark):
             drops.append(rho(y, predicted) - rho(y, predicted + weights[k] * (other - x[:, k])))
         assert got[name].importance == pytest.approx(np.mean(drops)) and got[name].sd == pytest.approx(np.std(drops))
     assert got["a"].importance > got["b"].importance > got["c"].importance
+
+
+def test_importance_moves_a_row_once_for_a_repeat(spark, monkeypatch):
+    """All features are permuted alike, so what is shuffled are rows, not rows times features."""
+    seen, plain = [], ridge.shuffle_replicates
+    monkeypatch.setattr(ridge, "shuffle_replicates", lambda frame, *more: (seen.append(frame.count()), plain(frame, *more))[1])
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 3))
+    frame = spark.createDataFrame([(i, v.tolist(), float(v[0] + 0.1 * v[1])) for i, v in enumerate(x)], "id long, x array<double>, y double")
+    ridge.permutation_importance(frame, "id", "x", ["a", "b", "c"], "y", 2)
+    assert seen == [60]
