@@ -462,27 +462,24 @@ def periodic_contacts(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(graph.periodic_edges(_points(spark, sf), "sid", "vec_id", XYZ, 9.0, 40.0))
 
 
-def _patches(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    charged = _points(spark, sf).filter("cls = 'pos'")
-    return charged, graph.contact_edges(charged, "sid", "vec_id", XYZ, 12.0)
+def _charged(spark: SparkSession, sf: str) -> DataFrame:
+    return _points(spark, sf).filter("cls = 'pos'")
 
 
 def patch_components(spark: SparkSession, sf: str) -> DataFrame:
-    nodes, edges = _patches(spark, sf)
-    return graph.component_labels(nodes, edges, "sid", "vec_id")
+    return graph.contact_components(_charged(spark, sf), "sid", "vec_id", XYZ, 12.0)
 
 
 def patch_summary(spark: SparkSession, sf: str) -> DataFrame:
-    nodes, edges = _patches(spark, sf)
-    labels = graph.component_labels(nodes, edges, "sid", "vec_id").join(nodes.select("vec_id", "is_cdr"), "vec_id")
+    nodes = _charged(spark, sf)
+    labels = graph.contact_components(nodes, "sid", "vec_id", XYZ, 12.0).join(nodes.select("vec_id", "is_cdr"), "vec_id")
     return _rounded(graph.patch_summary(labels, "sid", "is_cdr"))
 
 
 def spread_components(spark: SparkSession, sf: str) -> DataFrame:
-    """One graph over all points, without structures: label spreading."""
+    """One graph over all points, without structures: label spreading over cells of points that touch."""
     points = _points(spark, sf).withColumn("sid", F.lit(0).cast("long"))
-    edges = graph.contact_edges(points, "sid", "vec_id", XYZ, 6.0)
-    return graph.spread_components(edges, points, "vec_id")
+    return graph.contact_components(points, "sid", "vec_id", XYZ, 6.0).select("vec_id", "component")
 
 
 def adjacency_summary(spark: SparkSession, sf: str) -> DataFrame:

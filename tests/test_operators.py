@@ -110,6 +110,30 @@ def test_contact_edges_match_all_pairs(spark):
     assert a == {(r.id, r.component) for r in graph.spread_components(edges, frame, "id").collect()}
 
 
+def test_contact_components_are_those_of_the_edges(spark, monkeypatch):
+    """Two facing planes almost in contact, scattered points, copies, keys that come twice, rows without place."""
+    monkeypatch.setattr(graph, "DIRECT_PAIRS", 4)
+    rng = np.random.default_rng(5)
+    plane = lambda x: [(x, y, z) for y in np.linspace(0, 3, 7) for z in np.linspace(0, 3, 7)]
+    cloud = [tuple(p) for p in rng.uniform(-40, 40, (60, 3))]
+    near = plane(100.0) + plane(110.0001) + plane(130.0) + plane(140.0) + [(-70.0, 0.0, 0.0)] * 5 + [(np.nan, 1.0, 1.0), (np.inf, 1.0, 1.0), (np.inf, 1.0, 1.0), (-80.0, 0.0, 0.0)]
+    pts = cloud + near + [(60.0, 60.0, 60.0), (-60.0, 60.0, 60.0)]
+    ids = [*range(3, len(pts) + 1), 1, 1]
+    frame = frame_of(spark, sid=[i % 2 if i < 60 else 0 for i in range(len(pts))], id=ids, x=[p[0] for p in pts], y=[p[1] for p in pts], z=[p[2] for p in pts])
+    frame = frame.unionByName(spark.createDataFrame([(0, 900, None, 1.0, 1.0)], "sid long, id long, x double, y double, z double"))
+    for structure in (frame, frame.withColumn("sid", F.lit(0).cast("long"))):
+        got = {(r.sid, r.id, r.component) for r in graph.contact_components(structure, "sid", "id", ("x", "y", "z"), 10.0).collect()}
+        edges = graph.contact_edges(structure.filter(F.abs("x") < float("inf")), "sid", "id", ("x", "y", "z"), 10.0)
+        assert got == {(r.sid, r.id, r.component) for r in graph.component_labels(structure, edges, "sid", "id").collect()}
+
+
+def test_contact_components_of_a_crowd(spark):
+    """A hundred million contacts, none of which is made."""
+    crowd = spark.range(20000).select(F.lit(0).alias("sid"), "id", *[(F.rand(k) * 5 + F.when(F.col("id") % 2 == 0, 0).otherwise(100)).alias(c) for k, c in enumerate("xyz")])
+    found = graph.contact_components(crowd, "sid", "id", ("x", "y", "z"), 10.0).groupBy("component").count().collect()
+    assert {(r.component, r["count"]) for r in found} == {(0, 10000), (1, 10000)}
+
+
 def test_turnover_and_lifetimes(spark):
     frames = frame_of(spark, step=[0, 0, 1, 3], e=["a", "b", "a", "a"])
     assert {r.step: r.edge_turnover for r in graph.edge_turnover(frames, "step", ["e"]).collect()} == {0: 1.0, 1: 0.5, 3: 1.0}
