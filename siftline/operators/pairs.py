@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from siftline.functions.sequences import aligned_identity
 from siftline.operators.order import numbered_by
-from siftline.operators.ranking import average_rank, guarded_corr
-from siftline.tables import pin
+from siftline.operators.ranking import value_positions
+from siftline.tables import both, pin, union
 
 #: Rows of a block of vectors, and points of a grid that may be broadcast.
 BLOCK_ROWS = 20_000
@@ -28,14 +28,48 @@ PRODUCTS = 1 << 20
 def correlation_network(frame: DataFrame, key: str, columns: list[str], least: float = 0.65, min_rows: int = 3) -> DataFrame:
     """Edges (a, b, correlation, abs_correlation) between columns whose Spearman correlation reaches ``least``.
 
-    Ranks are taken over rows where both columns are known; columns that share their missing rows share one ranking.
+    Ranks are taken over rows where both columns are known; columns that share their missing rows share one ranking. No row is
+    copied for a pair: rows take the ranks of the column with fewer values, by broadcast where it has few, and are summed by the value of the
+    other, which is ranked as a value. ``frame`` is read a few times for each column.
     """
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    entries = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a, b in pairs]))
-    long = frame.select(entries.alias("e")).select("e.*").filter("x is not null and y is not null")
-    ranked = average_rank(average_rank(long, ["a", "b"], "x", "rx"), ["a", "b"], "y", "ry")
-    rho = ranked.groupBy("a", "b").agg(guarded_corr(F.col("rx"), F.col("ry"), min_rows).alias("correlation"))
-    return rho.withColumn("abs_correlation", F.abs("correlation")).filter(F.col("abs_correlation") >= least)
+    names = [f"c{i}" for i in range(len(columns))]
+    title = dict(zip(names, columns, strict=True))
+    wide = frame.select(*[F.col(title[c]).cast("double").alias(c) for c in names])
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    found = [frame.sparkSession.createDataFrame([], "a string, b string, correlation double")]
+    if pairs:
+        unlike = wide.agg(*[F.count_if(F.col(a).isNull() != F.col(b).isNull()).alias(f"{a}_{b}") for a, b in pairs]).first()
+        first = {c: next(d for d in names if d == c or not unlike[f"{d}_{c}"]) for c in names}
+        for kinds in sorted({tuple(sorted((first[a], first[b]))) for a, b in pairs}):
+            own = [(a, b) for a, b in pairs if tuple(sorted((first[a], first[b]))) == kinds]
+            found += _pair_correlations(wide.filter(both([F.col(c).isNotNull() for c in kinds])), own, title, min_rows)
+    rho = union(found).withColumn("abs_correlation", F.abs("correlation"))
+    return rho.filter(F.col("abs_correlation") >= least)
+
+
+def _pair_correlations(rows: DataFrame, pairs: list[tuple[str, str]], title: dict[str, str], min_rows: int) -> list[DataFrame]:
+    """(a, b, correlation) of pairs of columns that are known in all rows; one row for each column reaches the driver."""
+    ranks, sums = {}, {}
+    for c in sorted({c for pair in pairs for c in pair}):
+        centred = (F.col("below") + (F.col("n") + 1) / 2 - (F.col("total") + 1) / 2).alias(f"r_{c}")
+        ranks[c] = pin(value_positions(rows.select(c), [], c).select(c, centred, "n"))
+        sums[c] = ranks[c].agg(F.count("*").alias("values"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col(f"r_{c}") * F.col(f"r_{c}")).alias("squares")).first()
+    known = {c for c, s in sums.items() if (s["n"] or 0) >= min_rows and s["squares"] > 0}
+    fewer = lambda c: (sums[c]["values"], c)
+    out = []
+    for c in sorted(known, key=fewer):
+        partners = [next(d for d in pair if d != c) for pair in pairs if c in pair and known.issuperset(pair) and max(pair, key=fewer) == c]
+        if not partners:
+            continue
+        met = rows.select(c, *partners)
+        for d in partners:
+            side = ranks[d].select(d, f"r_{d}")
+            met = met.join(F.broadcast(side) if sums[d]["values"] <= BROADCAST_ROWS else side, d)
+        by_value = met.groupBy(c).agg(*[F.sum(f"r_{d}").alias(f"s_{d}") for d in partners]).join(ranks[c], c)
+        totals = by_value.agg(*[F.sum(F.col(f"s_{d}") * F.col(f"r_{c}")).alias(d) for d in partners])
+        rho = [F.struct(*[F.lit(title[x]).alias(k) for k, x in zip("ab", sorted((c, d), key=list(title).index), strict=True)], (F.col(d) / F.lit(sums[c]["squares"] ** 0.5) / F.lit(sums[d]["squares"] ** 0.5)).alias("correlation")) for d in partners]
+        out.append(totals.select(F.explode(F.array(*rho)).alias("e")).select("e.*"))
+    return out
 
 
 def pairwise_identity(frame: DataFrame, key: str, sequence: str) -> DataFrame:

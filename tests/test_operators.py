@@ -72,6 +72,31 @@ def test_correlated_assays(spark):
     assert [(e.a, e.b) for e in edges] == [("a", "b")]
 
 
+@pytest.mark.parametrize("broadcast", [20_000, 2])
+def test_correlation_network_ranks_a_column_once(spark, monkeypatch, broadcast):
+    """Columns that share their missing rows are ranked once, others over the rows both have; as in pandas."""
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"k": range(300), **{c: rng.integers(0, n, 300).astype(float) for c, n in (("p.q", 4), ("b", 300), ("c", 9), ("d", 50), ("e", 1))}})
+    pdf.loc[::7, ["c", "d"]] = np.nan
+    pdf.loc[::5, "e"] = np.nan
+    frame = spark.createDataFrame(pdf)
+    frame = frame.select(*[F.when(~F.isnan(F.col(f"`{c}`")), F.col(f"`{c}`")).alias(c.replace(".", "_")) if c != "k" else F.col(c) for c in pdf])
+    pdf = pdf.rename(columns={"p.q": "p_q"})
+    ranked = []
+    monkeypatch.setattr(pairs, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(pairs, "value_positions", lambda rows, by, c, own=pairs.value_positions: ranked.append(c) or own(rows, by, c))
+    columns = ["d", "p_q", "b", "c", "e"]
+    got = {(e.a, e.b): (e.correlation, e.abs_correlation) for e in pairs.correlation_network(frame, "k", columns, 0.0).collect()}
+    assert set(got) == {(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :] if "e" not in (a, b)}
+    for (a, b), (rho, size) in got.items():
+        assert rho == pytest.approx(pdf[[a, b]].corr("spearman").iloc[0, 1], abs=1e-12) and size == abs(rho)
+    ranked.clear()
+    pairs.correlation_network(frame, "k", ["p_q", "b"], 0.0)
+    assert sorted(ranked) == ["c0", "c1"]
+    assert pairs.correlation_network(frame, "k", ["b"], 0.0).collect() == []
+    assert pairs.correlation_network(frame.limit(0), "k", ["b", "c"], 0.0).collect() == []
+
+
 @pytest.mark.parametrize("scale", [0.0, 2.0])
 def test_knn_in_blocks(spark, scale):
     rng = np.random.default_rng(1)
