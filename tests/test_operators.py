@@ -1,3 +1,5 @@
+import threading
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -387,3 +389,23 @@ def test_a_tile_of_neighbours_holds_few_products_at_once(spark, monkeypatch):
     rows = lambda kind, n: pa.RecordBatch.from_arrays([pa.array([0] * n), pa.array([kind] * n), pa.array(range(n)), pa.array(rng.random((n, 3)).tolist())], names=["tile", "kind", "key", "v"])
     found = sum(b.num_rows for b in pairs._tiles(2, True)(iter([rows(0, 20_000), rows(1, 200)])))
     assert found == 400 and max(seen) <= 1 << 20 and sum(seen) == 20_000 * 200
+
+
+def test_boosting_fits_folds_side_by_side(spark, monkeypatch):
+    """All folds are in hand at once, and predict what fits one after the other predict."""
+    rng = np.random.default_rng(4)
+    rows = spark.createDataFrame([(i, i % 3, [float(v) for v in x], float(x[0])) for i, x in enumerate(rng.normal(size=(90, 3)))], "id long, fold int, x array<double>, y double")
+    real, meet = models.ml_regressor, threading.Barrier(3, timeout=60)
+
+    def short(*given):
+        regressor = real(*given).setMaxIter(2)
+        own = regressor.fit
+        regressor.fit = lambda frame: (meet.wait(), own(frame))[1]
+        return regressor
+
+    predict = lambda: {tuple(r) for r in models.ml_fold_predictions(rows, "id", "x", "y", "fold", "hist_gradient_boosting").collect()}
+    monkeypatch.setattr(models, "ml_regressor", short)
+    got = predict()
+    monkeypatch.setattr(models, "ml_regressor", lambda *given: real(*given).setMaxIter(2))
+    monkeypatch.setattr(models, "FITS_AT_ONCE", {})
+    assert got == predict() and len(got) == 90
