@@ -32,16 +32,21 @@ WORKLIST = "id long, model string, truth double, prediction double, tail string,
 
 
 def evaluation_rows(orders: DataFrame, lines: DataFrame, settings: dict) -> DataFrame:
-    """(assay, id, external, model, truth, prediction): each order once for each candidate. Orders without lines have no prediction."""
+    """(assay, id, external, model, truth, prediction): each order once for each candidate, copied behind a checkpoint of the orders.
+    Orders without lines have no prediction."""
     sums = lines.groupBy("l_orderkey").agg(F.round(F.sum("l_extendedprice"), 2).alias("price"), F.sum("l_quantity").alias("quantity"))
     met = orders.join(sums, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    wide = met.select(partition_name(settings["assay"]).alias("assay"), F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % settings["external_every"] == 0).alias("external"), F.col(settings["truth"]).cast("double").alias("truth"), *sorted(set(settings["candidates"].values())))
     each = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(c).cast("double").alias("prediction")) for m, c in sorted(settings["candidates"].items())]))
-    wide = met.select(partition_name(settings["assay"]).alias("assay"), F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % settings["external_every"] == 0).alias("external"), F.col(settings["truth"]).cast("double").alias("truth"), each.alias("e"))
-    return wide.select("assay", "id", "external", "truth", "e.*")
+    return pin(wide).select("assay", "id", "external", "truth", each.alias("e")).select("assay", "id", "external", "truth", "e.*")
 
 
-def _scores(rows: DataFrame, settings: dict, side: str) -> DataFrame:
-    found = stats.competitive_metrics(rows, ["assay", "model"], "truth", "prediction", "id", settings["worst_fraction"])
+def _ranked(rows: DataFrame, settings: dict) -> DataFrame:
+    return stats.ranked_tails(rows, ["assay", "model"], "truth", "prediction", "id", settings["worst_fraction"], pinned=True)
+
+
+def _scores(ranked: DataFrame, side: str) -> DataFrame:
+    found = stats.triage_record(ranked, ["assay", "model"])
     return found.select("assay", "model", F.col("n").alias(f"{side}_n"), *[round6(F.col(s)).alias(f"{side}_{s}") for s in SCORES])
 
 
@@ -64,8 +69,8 @@ def frozen(spark: SparkSession, out: str, chosen: DataFrame) -> DataFrame:
 
 
 def _null_p(outside: DataFrame, shuffles: int) -> DataFrame:
-    """(assay, null_p): the correlation of external rows against the same with the truth shuffled inside the assay."""
-    ranked = nullmodels.ranked_once(outside, ["assay"], "id", "truth", "prediction")
+    """(assay, null_p): the correlation of ranked external rows against the same with the truth shuffled inside the assay."""
+    ranked = nullmodels.centred(outside, ["assay"], "id")
     rounded = lambda f: f.select("assay", F.round("spearman", 9).alias("spearman"))
     controls = rounded(nullmodels.null_correlations(ranked, ["assay"], "id", list(range(shuffles))))
     found = stats.empirical_p(rounded(nullmodels.rank_correlations(ranked, ["assay"])), controls, ["assay"], "spearman")
@@ -77,11 +82,12 @@ def run(spark: SparkSession, orders: str, lineitem: str, out: str, settings: dic
     given = read_parquet(spark, orders).select("o_orderkey", settings["truth"], settings["assay"])
     lines = read_parquet(spark, lineitem).select("l_orderkey", "l_extendedprice", "l_quantity")
     log.info("read %d rows of %s and %d of %s", given.count(), orders, lines.count(), lineitem)
-    rows = pin(evaluation_rows(given, lines, settings))
-    internal = pin(_scores(rows.filter("not external"), settings, "internal"))
+    rows = evaluation_rows(given, lines, settings)
+    internal = pin(_scores(_ranked(rows.filter("not external"), settings), "internal"))
     spec = frozen(spark, out, stats.best_per(internal, ["assay"], "internal_spearman", "model"))
     outside = rows.filter("external").join(F.broadcast(spec), ["assay", "model"], "left_semi")  # a row for each assay
-    met = internal.join(F.broadcast(spec), ["assay", "model"], "left_semi").join(_scores(outside, settings, "external"), ["assay", "model"], "left")
+    outside = pin(_ranked(outside, settings))  # ranked once: for the scores, the shuffles and the worklist
+    met = internal.join(F.broadcast(spec), ["assay", "model"], "left_semi").join(_scores(outside, "external"), ["assay", "model"], "left")
     met = met.join(_null_p(outside, settings["null_shuffles"]), "assay", "left")
     bar = settings["useful"]
     audit = audit_module.useful(met.withColumnsRenamed({"external_spearman": "spearman", "external_worst_auroc": "worst_auroc"}), bar["spearman"], bar["worst_auroc"])
@@ -89,7 +95,7 @@ def run(spark: SparkSession, orders: str, lineitem: str, out: str, settings: dic
         "*", F.when(F.col("useful"), "useful").otherwise("not useful").alias("use"), round6(F.col("external_spearman") - F.col("internal_spearman")).alias("delta_spearman"), round6(F.col("external_worst_auroc") - F.col("internal_worst_auroc")).alias("delta_auroc"),
         compare.triage_verdict(F.col("external_worst_auroc"), F.col("external_spearman")).alias("verdict"),
     )
-    worklist = stats.tail_flags(outside, ["assay", "model"], "truth", "prediction", "id", settings["worst_fraction"]).filter("bad or told")
+    worklist = outside.withColumnsRenamed({"x": "truth", "y": "prediction"}).filter("bad or told")
     worklist = worklist.withColumn("tail", F.when(F.col("bad") & F.col("told"), "both").when(F.col("bad"), "truth").otherwise("prediction"))
     held = {}
     for name, frame, schema in (("audit", audit, AUDIT), ("worklist", worklist, WORKLIST)):

@@ -72,9 +72,13 @@ def shuffle_labels(frame: DataFrame, by: list[str], key: str, label: str, seed:
 def ranked_once(frame: DataFrame, by: list[str], key: str, x: str, y: str) -> DataFrame:
     """Complete pairs (by, key) with ``cx`` and ``cy``: ranks of x and y less the group's mean rank, pinned. Permuting one
     side inside a group moves its ranks along, so no null needs a ranking of its own."""
-    ranked = both_ranked(frame, by, x, y, key)
+    return pin(centred(both_ranked(frame, by, x, y, key), by, key))
+
+
+def centred(ranked: DataFrame, by: list[str], key: str) -> DataFrame:
+    """(by, key, cx, cy) of rows with ranks ``rx`` and ``ry`` of ``x_total``."""
     middle = (F.col("x_total") + 1) / 2
-    return pin(ranked.select(*by, key, (F.col("rx") - middle).alias("cx"), (F.col("ry") - middle).alias("cy")))
+    return ranked.select(*by, key, (F.col("rx") - middle).alias("cx"), (F.col("ry") - middle).alias("cy"))
 
 
 def rank_correlations(ranked: DataFrame, by: list[str], x: str = "cx", y: str = "cy", least: int = 3) -> DataFrame:
@@ -93,27 +97,48 @@ def _correlation(least: int) -> Column:
 #: fewer than ``SLICE_ROWS`` rows a slice has fewer.
 SLICE_BITS = 6
 SLICE_ROWS = 4096
-#: Rows whose places in all seeded orders a task packs at once.
-PACKED_ROWS = 1 << 16
+#: Rows whose places in all seeded orders a task packs at once, and rows below which a task is not worth its smaller packs.
+PACKED_ROWS = 1 << 17
+LEAST_ROWS = 1 << 14
+#: Bytes that tell a row's hash from others of its slice.
+TOLD = 6
 COUNTED = "__g long, __slice int, replicate int, n long"
 PACKED = f"{COUNTED}, h binary, v binary, w binary"
 SUMS = f"{COUNTED}, vw double, ties long, __first double, __last double"
 
 
-def _float_bytes(x: np.ndarray) -> bytes:
-    """Numbers in half the room where that loses nothing, as for ranks in groups of up to 16 million rows."""
+def _bytes_of(x: np.ndarray) -> np.ndarray:
+    """A row of bytes for each number, as few as lose nothing: 3 for halves, as centred ranks in groups of up to 8 million rows are."""
+    twice = 2 * x + (1 << 23)
+    if ((twice == np.floor(twice)) & (twice >= 0) & (twice < 1 << 24)).all():
+        return twice.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
     short = x.astype(np.float32)
-    return (short if (short == x).all() else x).tobytes()
+    return (short if (short == x).all() else x).view(np.uint8).reshape(len(x), -1)
 
 
 def _floats(x: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(x, np.float32 if len(x) == 4 * n else np.float64).astype(np.float64)
+    if len(x) != 3 * n:
+        return np.frombuffer(x, np.float32 if len(x) == 4 * n else np.float64).astype(np.float64)
+    wide = np.zeros((n, 4), np.uint8)
+    wide[:, :3] = np.frombuffer(x, np.uint8).reshape(n, 3)
+    return (wide.view("<u4").ravel().astype(np.float64) - (1 << 23)) / 2
+
+
+def _steps(h: np.ndarray) -> bytes:
+    """Ascending hashes as their differences, byte by byte of all: the leading bytes are mostly zero, which a shuffle's codec leaves out."""
+    return np.diff(h, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :TOLD].T.tobytes()
+
+
+def _hashes(x: bytes, n: int) -> np.ndarray:
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, :TOLD] = np.frombuffer(x, np.uint8).reshape(TOLD, n).T
+    return np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64)
 
 
 def _seeded(seeds: list[int], second: bool | None):
     """Rows (__g, __bits, key, v, w) in, one row out for each seed, group and slice of its order that they fall in: their number, and
-    unless ``second`` is None, their hashes (7 bytes tell those of a slice apart, but for small groups) and values. So a row costs
-    a seed some ten bytes, a fifth of what it takes as a row of a table."""
+    unless ``second`` is None, their hashes in ascending order and values. So a row costs a seed some eight bytes, a sixth of what it
+    takes as a row of a table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -129,20 +154,20 @@ def _seeded(seeds: list[int], second: bool | None):
     def packed(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         g, bits, v, w = (rows.column(c).to_numpy() for c in ("__g", "__bits", "v", "w"))
         groups, g = np.unique(g, return_inverse=True)
+        v, w, one = _bytes_of(v), _bytes_of(w), np.uint64(1)
         # ``concat_ws`` leaves out a NULL and its separator.
         keys = [b"" if k is None else b"|" + k for k in rows.column("key").cast(pa.binary()).to_pylist()]
         for seed in seeds:
             name = str(seed).encode()
             h = np.frombuffer(b"".join([md5(name + k).digest()[:8] for k in keys]), ">u8").astype(np.uint64) >> np.uint64(4)
             cell = g << SLICE_BITS | (h >> (60 - bits).astype(np.uint64)).astype(np.int64)
-            order = np.argsort(cell, kind="stable")
+            order = np.lexsort((h, g))  # the leading bits are the slice
             cells, begin, many = np.unique(cell[order], return_index=True, return_counts=True)
             columns = [pa.array(groups[cells >> SLICE_BITS]), pa.array((cells & ((1 << SLICE_BITS) - 1)).astype(np.int32)), pa.array(np.full(len(cells), seed, np.int32)), pa.array(many)]
             if second is not None:
                 cut = lambda x: np.split(x[order], begin[1:])  # noqa: B023, E731
-                wide = np.where(bits[order][begin] >= 4, 7, 8)
-                told = [x.view(np.uint8).reshape(-1, 8)[:, :k].tobytes() for x, k in zip(cut(h), wide, strict=True)]
-                columns += [pa.array(c, pa.binary()) for c in (told, map(_float_bytes, cut(v)), map(_float_bytes, cut(w)) if second else [None] * len(cells))]
+                told = (h & ((one << (60 - bits).astype(np.uint64)) - one)) >> (60 - bits - 8 * TOLD).astype(np.uint64)
+                columns += [pa.array(c, pa.binary()) for c in (list(map(_steps, cut(told))), [x.tobytes() for x in cut(v)], [x.tobytes() for x in cut(w)] if second else [None] * len(cells))]
             yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in (COUNTED if second is None else PACKED).split(", ")])
 
     return run
@@ -159,12 +184,7 @@ def _slice_sums(second: bool):
 
     def summed(at: tuple, seed: int, rows: list[tuple], first: int, values: np.ndarray, start: int) -> dict:
         size = sum(n for n, *_ in rows)
-        h = np.zeros((size, 8), np.uint8)
-        end = 0
-        for n, told, *_ in rows:
-            h[end : end + n, : len(told) // n] = np.frombuffer(told, np.uint8).reshape(n, -1)
-            end += n
-        h = h.view(np.uint64).ravel()
+        h = np.concatenate([_hashes(told, n) for n, told, *_ in rows])
         order = np.argsort(h, kind="stable")
         v = np.concatenate([_floats(v, n) for n, _, v, _ in rows])[order]
         w = np.concatenate([_floats(w, n) for n, *_, w in rows])[order] if second else v
@@ -203,18 +223,21 @@ def null_correlations(ranked: DataFrame, by: list[str], key: str, seeds: list[in
     """(by, replicate, n, spearman) of ``ranked_once`` rows with one side shuffled or deranged inside each group, by seed.
 
     A seed only moves values along, so its sum of products is all that it takes. No row is copied: tasks deal the hashes and values of
-    their rows to slices of each seed's order, packed, and a slice is sorted for one seed at a time. Rows are told apart by 60
-    bits; a seed for which two of a group are equal is done again row by row, where the key decides.
+    their rows to slices of each seed's order, packed, and a slice is sorted for one seed at a time. Rows of a slice are told apart
+    by 48 bits; a seed for which two are equal is done again row by row, where the key decides.
     """
     other, second = ("cy" if moved == "cx" else "cx"), how == "derange"
     sizes = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.col("cx") * F.col("cx")).alias("aa"), F.sum(F.col("cy") * F.col("cy")).alias("bb"))
     bits = F.least(F.lit(SLICE_BITS), F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / SLICE_ROWS)))).cast("int")
     groups = pin(sizes.withColumns({"__g": F.monotonically_increasing_id(), "__bits": bits}))
-    rows = met(ranked.select(*by, key, "cx", "cy"), groups.select(*by, "__g", "__bits"), by)
+    rows = met(ranked.select(*by, key, "cx", "cy"), F.broadcast(groups.select(*by, "__g", "__bits")), by)  # a row of a group
     if not by:
         rows = rows.select("__g", "__bits", key, "cx", "cy")
     v, w = (moved, other) if second else (other, moved)
     own = rows.select("__g", "__bits", F.col(key).cast("string").alias("key"), F.col(v).alias("v"), F.col(w).alias("w"))
+    many = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]  # one number
+    tasks = max(-(-many // PACKED_ROWS), min(own.sparkSession.sparkContext.defaultParallelism, -(-many // LEAST_ROWS)), 1)
+    own = own.repartition(tasks, "key")  # full packs: what a row takes falls with their size
     slices = own.mapInArrow(_seeded(seeds, second), PACKED).withColumns({"kind": F.lit(2), "x": F.lit(None).cast("double")})
     if not second:
         # Where each seed's slices begin, and the values in the order by key that any seed needs of a slice: about its share of a group.

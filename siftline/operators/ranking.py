@@ -6,10 +6,12 @@ group's range: cumulative counts run inside a bucket, and over the at most ``BUC
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftline.tables import pin
+from siftline.tables import both, pin
 
 BUCKETS = 256
 
@@ -19,7 +21,7 @@ def value_positions(frame: DataFrame, by: list[str], x: str, *sums: str) -> Data
     Columns named besides are summed by value."""
     values = frame.filter(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in sums])
     spread = values.groupBy(*by).agg(F.min(x).alias("low"), F.max(x).alias("high"), F.sum("n").alias("total"))
-    joined = values.join(spread, by) if by else values.crossJoin(F.broadcast(spread))  # one row
+    joined = values.join(F.broadcast(spread), by) if by else values.crossJoin(F.broadcast(spread))  # one row of a group
     width = (F.col("high") - F.col("low")).cast("double")
     at = F.when(width > 0, F.floor((F.col(x) - F.col("low")).cast("double") / width * (BUCKETS - 1))).otherwise(F.lit(0))
     dealt = joined.withColumn("bucket", at.cast("int"))
@@ -46,18 +48,21 @@ def guarded_corr(x: Column, y: Column, least: int = 3) -> Column:
     return F.when(varies, F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
 
 
-def both_ranked(frame: DataFrame, by: list[str], x: str, y: str, *keep: str) -> DataFrame:
-    """Pairwise complete rows with x, y and their positions, each side ranked from the pinned rows on its own."""
+def pairs_of(frame: DataFrame, by: list[str], x: str, y: str, *keep: str, pinned: bool = False) -> DataFrame:
+    """Pairwise complete rows (by, keep, x, y) of known groups, pinned unless ``frame`` comes from pinned rows without a shuffle."""
+    own = frame.select(*by, *keep, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
     # Filtered behind the checkpoint: a filter on an expression before it would compute it twice.
-    pairs = pin(frame.select(*by, *keep, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")))
-    pairs = pairs.filter("x is not null and y is not null")
+    return (own if pinned else pin(own)).filter(both([F.col(c).isNotNull() for c in [*by, "x", "y"]]))
+
 
-    def side(c: str) -> DataFrame:
-        at = value_positions(pairs, by, c)
-        rank = (F.col("below") + (F.col("n") + 1) / 2).alias(f"r{c}")
-        return at.select(*by, c, rank, (F.col("total") - F.col("below") - F.col("n")).alias(f"{c}_above"), F.col("n").alias(f"{c}_ties"), F.col("total").alias(f"{c}_total"))
+def _ranks(at: DataFrame, by: list[str], c: str) -> DataFrame:
+    return at.select(*by, c, (F.col("below") + (F.col("n") + 1) / 2).alias(f"r{c}"), F.col("total").alias(f"{c}_total"))
 
-    return pairs.join(side("x"), [*by, "x"]).join(side("y"), [*by, "y"])
+
+def both_ranked(frame: DataFrame, by: list[str], x: str, y: str, *keep: str) -> DataFrame:
+    """Pairwise complete rows with x, y and their ranks, each side ranked from the pinned rows on its own."""
+    pairs = pairs_of(frame, by, x, y, *keep)
+    return pairs.join(_ranks(value_positions(pairs, by, "x"), by, "x"), [*by, "x"]).join(_ranks(value_positions(pairs, by, "y"), by, "y"), [*by, "y"])
 
 
 def spearman(frame: DataFrame, by: list[str], x: str, y: str, out: str = "spearman", least: int = 3) -> DataFrame:
@@ -66,12 +71,31 @@ def spearman(frame: DataFrame, by: list[str], x: str, y: str, out: str = "spearm
     return ranked.groupBy(*by).agg(F.count("*").alias("n"), guarded_corr(F.col("rx"), F.col("ry"), least).alias(out))
 
 
-def among_top(frame: DataFrame, by: list[str], x: str, k: Column, tie: str, above: str, ties: str, out: str) -> DataFrame:
-    """Adds whether a row is among the ``k`` largest ``x`` of its group, given its positions; ties at the border by least ``tie``.
+def tails_flagged(pairs: DataFrame, by: list[str], k: Callable[[Column], Column], tie: str, ranked: bool = True) -> DataFrame:
+    """``pairs_of`` rows with ``bad`` and ``told``: among the k(total) largest x of their group, and y, ties at the border by least
+    ``tie``. With ``ranked`` also their ranks.
 
-    Only the rows at the border value are numbered; the others are spread by their own key.
+    What is among the largest is told by one row of each group, so rows are not dealt for it and go to the ranks without ``tie``
+    where nothing else needs it. Pinned rows have one place each, which parts rows that are equal in all.
     """
-    border = (F.col(above) < k) & (F.col(above) + F.col(ties) > k)
-    alone = F.when(~border, F.col(tie))
-    place = F.row_number().over(Window.partitionBy(*by, border, F.when(border, F.col(x)), alone).orderBy(tie))
-    return frame.withColumn(out, F.coalesce(F.when(border, F.col(above) + place <= k).otherwise(F.col(above) + F.col(ties) <= k), F.lit(False)))
+    rows = pairs.withColumn("__row", F.monotonically_increasing_id())
+    at = {c: pin(value_positions(pairs, by, c)) for c in "xy"}
+    for c, out in (("x", "bad"), ("y", "told")):
+        rows = _among_top(rows, by, c, at[c], k(F.col("total")), tie, out)
+    rows = rows.drop("__row")
+    return rows.join(_ranks(at["x"], by, "x"), [*by, "x"]).join(_ranks(at["y"], by, "y"), [*by, "y"]) if ranked else rows
+
+
+def _among_top(rows: DataFrame, by: list[str], x: str, at: DataFrame, k: Column, tie: str, out: str) -> DataFrame:
+    """Adds whether a row is among the ``k`` largest ``x``, given the positions of values. Only rows at the border value are numbered."""
+    above = F.col("total") - F.col("below") - F.col("n")
+    least = (above < k) & ((above + F.col("n") >= k) | (F.col("below") == 0))
+    border = at.filter(least).select(*by, F.col(x).alias("__least"), F.when(above + F.col("n") > k, k - above).alias("__taken"))
+    on = lambda frame, one, how: frame.join(F.broadcast(one), by or F.lit(True), how)  # noqa: E731  a row of a group at most
+    order = F.struct(tie, "__row")
+    tied = on(rows, border.filter("__taken is not null"), "inner").filter(F.col(x) == F.col("__least"))
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(tie, "__row"))
+    last = tied.withColumn("__place", place).filter("__place = __taken").select(*by, order.alias("__last"))
+    told = on(on(rows, border, "left"), last, "left")
+    taken = (F.col(x) > F.col("__least")) | ((F.col(x) == F.col("__least")) & (F.col("__taken").isNull() | (order <= F.col("__last"))))
+    return told.withColumn(out, F.coalesce(taken, F.lit(False))).drop("__least", "__taken", "__last")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.operators.order import met, quantiles
-from siftline.operators.ranking import among_top, average_rank, both_ranked, guarded_corr
+from siftline.operators.ranking import average_rank, guarded_corr, pairs_of, tails_flagged
 from siftline.tables import pin, union
 
 
@@ -62,16 +62,15 @@ def error_metrics(frame: DataFrame, by: list[str], truth: str, prediction: str,
     )
 
 
-def _tails(frame: DataFrame, by: list[str], truth: str, prediction: str, tie: str, k) -> DataFrame:
-    """Ranked pairs with the flags ``bad`` and ``told``: among the k(total) largest by truth (x) and by prediction (y)."""
-    ranked = both_ranked(frame, by, truth, prediction, tie)
-    flagged = among_top(ranked, by, "x", k(F.col("x_total")), tie, "x_above", "x_ties", "bad")
-    return among_top(flagged, by, "y", k(F.col("y_total")), tie, "y_above", "y_ties", "told")
+def ranked_tails(frame: DataFrame, by: list[str], truth: str, prediction: str, tie: str, bad_fraction: float = 0.2, pinned: bool = False) -> DataFrame:
+    """Complete pairs (by, tie, x: truth, y: prediction) with their ranks ``rx`` and ``ry`` of ``x_total`` rows, and ``bad`` and ``told``: in
+    the worst tail by truth, and by prediction. ``pinned``: the frame comes from pinned rows without a shuffle."""
+    return tails_flagged(pairs_of(frame, by, truth, prediction, tie, pinned=pinned), by, lambda total: F.ceil(F.lit(bad_fraction) * total), tie)
 
 
 def tail_flags(frame: DataFrame, by: list[str], truth: str, prediction: str, tie: str, bad_fraction: float = 0.2) -> DataFrame:
     """Complete pairs (by, tie, truth, prediction) with ``bad`` and ``told``: in the worst tail by truth, and by prediction."""
-    flagged = _tails(frame, by, truth, prediction, tie, lambda total: F.ceil(F.lit(bad_fraction) * total))
+    flagged = tails_flagged(pairs_of(frame, by, truth, prediction, tie), by, lambda total: F.ceil(F.lit(bad_fraction) * total), tie, ranked=False)
     return flagged.select(*by, tie, F.col("x").alias(truth), F.col("y").alias(prediction), "bad", "told")
 
 
@@ -94,12 +93,16 @@ def risk_oriented(frame: DataFrame, truth: str, prediction: str, low_is_risky: C
     return frame.withColumn(truth, F.col(truth) * sign).withColumn(prediction, F.col(prediction) * sign)
 
 
-def competitive_metrics(frame: DataFrame, by: list[str], truth: str, prediction: str, tie: str, bad_fraction: float = 0.2) -> DataFrame:
+def competitive_metrics(frame: DataFrame, by: list[str], truth: str, prediction: str, tie: str, bad_fraction: float = 0.2, pinned: bool = False) -> DataFrame:
     """The triage record of each group: rank and linear correlation, errors, recall and AUROC of the worst tail.
 
     Values are risk-oriented (high is bad). The tail holds ceil(bad_fraction x n) rows.
     """
-    ranked = _tails(frame, by, truth, prediction, tie, lambda total: F.ceil(F.lit(bad_fraction) * total))
+    return triage_record(ranked_tails(frame, by, truth, prediction, tie, bad_fraction, pinned), by)
+
+
+def triage_record(ranked: DataFrame, by: list[str]) -> DataFrame:
+    """The record of ``competitive_metrics`` from ``ranked_tails``."""
     n_bad, n_good = F.count_if("bad").cast("double"), F.count_if(~F.col("bad")).cast("double")
     t, p = F.col("x"), F.col("y")
     enough = F.count("*") >= 3
@@ -120,7 +123,7 @@ def official_metrics(frame: DataFrame, by: list[str], truth: str, prediction: st
     """n, spearman and recall of the best floor(fraction x n), at least one row; NULL below three rows."""
     sign = 1.0 if higher_is_better else -1.0
     pairs = frame.select(*by, tie, (F.col(truth) * sign).alias("t"), (F.col(prediction) * sign).alias("p"))
-    tails = _tails(pairs, by, "t", "p", tie, lambda total: F.greatest(F.lit(1), F.floor(F.lit(fraction) * total)))
+    tails = tails_flagged(pairs_of(pairs, by, "t", "p", tie), by, lambda total: F.greatest(F.lit(1), F.floor(F.lit(fraction) * total)), tie)
     return tails.groupBy(*by).agg(
         F.count("*").alias("n"), guarded_corr(F.col("rx"), F.col("ry")).alias("spearman"), F.when(F.count("*") >= 3, _recall()).alias("top_recall")
     )

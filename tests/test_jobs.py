@@ -9,6 +9,7 @@ import pytest
 
 from jobs import external_audit, sequence_intake
 from jobs.common import config
+from siftline.operators import ranking
 
 ROOT = Path(__file__).resolve().parents[1]
 
@@ -108,6 +109,15 @@ def test_audit_reruns_alike_and_is_held_to_its_choice(spark, tmp_path):
     assert {n: rows(external_audit.output(spark, f"{folder}/out", n)) for n in held} == first
 
 
+def test_audit_ranks_external_rows_once(spark, tmp_path, monkeypatch):
+    """Scores, shuffles and worklist share one ranking of the external rows: each side of them and of the internal ones is ranked once."""
+    folder, settings, ranked = f"file://{tmp_path}", config(external_audit.SETTINGS), []
+    orders(spark, folder)
+    monkeypatch.setattr(ranking, "value_positions", lambda rows, by, c, *more, own=ranking.value_positions: ranked.append(c) or own(rows, by, c, *more))
+    external_audit.run(spark, f"{folder}/orders", f"{folder}/lines", f"{folder}/out", settings)
+    assert sorted(ranked) == ["x", "x", "y", "y"]
+
+
 def test_command_line(tmp_path, spark):
     documents(spark, 0, 20).write.parquet(f"file://{tmp_path}/in")
     settings = tmp_path / "own.json"

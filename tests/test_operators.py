@@ -44,6 +44,28 @@ def test_worst_tail(spark):
     assert stats.official_metrics(few, ["g"], "t", "p", "id").first().top_recall is None
 
 
+@pytest.mark.parametrize("by", [["g"], []])
+def test_tails_are_exact_with_ties_and_equal_rows(spark, by):
+    """Only border rows are numbered: ties by least id, NULL first; of rows equal in all, as many as are asked for. No row is dealt for it."""
+    rng = np.random.default_rng(4)
+    rows = [("ab"[i % 2], None if i in (5, 6) else int(rng.integers(0, 30)), float(rng.integers(0, 4)), float(rng.integers(0, 60))) for i in range(120)]
+    rows += [("same", 1, 2.0, 3.0)] * 7 + [("one", 1, 1.0, 1.0), (None, 2, 1.0, 1.0), ("a", 3, None, 1.0), ("b", 3, 1.0, None)]
+    frame = spark.createDataFrame(rows, "g string, id long, t double, p double").repartition(5)
+    for fraction in (0.0, 0.2, 0.5, 1.0):
+        found = stats.ranked_tails(frame, by, "t", "p", "id", fraction).toPandas()
+        known = pd.DataFrame([r for r in rows if (r[0] or not by) and None not in r[2:]], columns=["g", "id", "x", "y"])
+        assert len(found) == len(known)
+        for name, part in known.groupby("g") if by else [(None, known)]:
+            own = found[found["g"] == name] if by else found
+            k = int(np.ceil(fraction * len(part)))
+            for c, out in (("x", "bad"), ("y", "told")):
+                place = lambda f, c=c: sorted(zip(-f[c], f["id"].fillna(-1)))  # noqa: E731, B905
+                assert place(own[own[out]]) == place(part)[:k]
+                assert sorted(zip(own[c], own[f"r{c}"])) == sorted(zip(part[c], part[c].rank()))  # noqa: B905
+    plan = stats.ranked_tails(frame, by, "t", "p", "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert all("__taken" in x or "__place" in x for x in plan.splitlines() if x.strip(" :+-").startswith("Window"))
+
+
 def test_fold_totals(spark):
     n = 50
     frame = frame_of(spark, g=["HIC"] * n, id=range(n), fold=[i % 5 for i in range(n)], t=[float(i) for i in range(n)], p=[float(i) for i in range(n)])
@@ -328,6 +350,23 @@ def test_nulls_by_slices_equal_nulls_by_rows(spark, monkeypatch):
     assert sorted(nullmodels.null_correlations(twice, [], "id", [1, 2], "cx", "derange").collect()) == sorted(want.select("replicate", "n", "spearman").collect())
 
 
+@pytest.mark.parametrize("second", [False, True])
+def test_a_row_costs_a_seed_nine_bytes(second):
+    """Packed hashes and values: six bytes, of which the codec leaves out most leading ones, and three for a rank; they come back whole."""
+    import pyarrow as pa
+
+    n, rng = 5000, np.random.default_rng(2)
+    v, w = (rng.permutation(n) - (n - 1) / 2 for _ in range(2))
+    given = pa.RecordBatch.from_pydict({"__g": np.zeros(n, np.int64), "__bits": np.full(n, 3, np.int32), "key": [str(i) for i in range(n)], "v": v, "w": w})
+    slices = [r for b in nullmodels._seeded([7], second)(iter([given])) for r in b.to_pylist()]
+    assert sum(r["n"] for r in slices) == n and sum(len(r["h"]) + len(r["v"]) for r in slices) <= 9 * n
+    hashes = [nullmodels._hashes(r["h"], r["n"]) for r in slices]
+    assert all((np.diff(h.astype(np.int64)) > 0).all() for h in hashes)
+    assert sorted(np.concatenate([nullmodels._floats(r["v"], r["n"]) for r in slices])) == sorted(v)
+    for x in ([0.5, -7.0, 4194303.5], [0.25, 1e6], [1 / 3, 1e300], [float(1 << 23), 1.0], [-float(1 << 22), 0.0]):
+        assert nullmodels._floats(nullmodels._bytes_of(np.array(x)).tobytes(), len(x)).tolist() == x
+
+
 def test_exact_quantiles_by_brackets(spark):
     rng = np.random.default_rng(4)
     rows = [(["a", None, "b"][i % 3], float(v) if i % 11 else None, 7.0 if i % 4 else float(i)) for i, v in enumerate(rng.lognormal(0, 3, 900))] + [("none", None, None), ("one", 2.5, None)]
