@@ -13,6 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+#: Parquet's writers look at the size of a page and of a row group only after 100 rows, and its readers decode a group of up to
+#: 4,096 rows at once: with rows of megabytes both hold a whole file. Such tables, by what they are called, are cut into small groups from the first row on.
+PACKED_TABLES = {"index", "windows", "shards", "impacts"}
+LONG_ROWS = {"parquet.block.size": 8 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
 #: Stands for a null id in keys and orders: nulls come last.
 NULL_ID = 2**63 - 1
 
@@ -42,10 +46,11 @@ def fresh_path(spark: SparkSession, what: str) -> str:
 
 
 def settle(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here, and a lost executor loses nothing."""
+    """Write ``df`` to the shared folder and read it back: lineage ends here, and a lost executor loses nothing. Of
+    ``PACKED_TABLES`` few rows are held at once."""
     spark = df.sparkSession
     path = fresh_path(spark, what)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **(LONG_ROWS if what in PACKED_TABLES else {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -3,6 +3,8 @@ import random
 import re
 from collections import Counter
 
+import pyarrow.parquet as pq
+
 from siftline.llm import lexical
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -60,3 +62,13 @@ def test_empty(spark):
 def test_terms_of_all_documents_weigh_nothing(spark):
     docs = [(i, "common" if i else "common odd") for i in range(9)]
     assert found(spark, docs, [(1, "common"), (2, "common odd")]) == brute(docs, [(1, "common"), (2, "common odd")], 50)
+
+
+def test_stored_shards_are_read_a_few_at_a_time(spark):
+    """A reader decodes a row group at once: a task's shards are many groups, not one."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"{rng.getrandbits(60):x}" for _ in range(60_000))) for i in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    shards, _ = lexical.build_index(docs, shard_bytes=1 << 20)
+    groups = [m.row_group(k) for f in shards.inputFiles() for m in [pq.read_metadata(f.removeprefix("file://"))] for k in range(m.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == 24 and max(g.total_byte_size for g in groups) < 16 << 20
