@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow.parquet as pq
 
 from siftline.llm import decontaminate as d
 
@@ -133,3 +134,12 @@ def test_columns_of_any_name_come_back(spark):
     docs = spark.createDataFrame([(1, "a b c", 5, "x", 7), (None, "one two three", 6, "y", 8)], "doc_id long, text string, k int, `a.b` string, size int")
     items = spark.createDataFrame([(1, "two three")], "item_id long, text string")
     assert [tuple(r) for r in d.decontaminate(docs, items).collect()] == [(1, "a b c", 5, "x", 7)]
+
+
+def test_stored_segments_are_read_a_few_at_a_time(spark):
+    """A reader decodes a row group at once: a task's segments, texts with them, are many groups, not one."""
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(f"{x:x}" for x in rng.integers(1 << 60, size=60_000).tolist())) for i in range(24)]
+    index = d.build_index(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), True, 1 << 20)
+    groups = [m.row_group(k) for f in index.inputFiles() for m in [pq.read_metadata(f.removeprefix("file://"))] for k in range(m.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == 24 and max(g.total_byte_size for g in groups) < 16 << 20
