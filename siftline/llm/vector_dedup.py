@@ -17,13 +17,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from siftline.llm.common import NULL_ID, carried, doc_key, need, quoted, settle, shuffle_partitions, table
 from siftline.llm.components import components
 
 THRESHOLD = 0.9
-#: Rows of a block: a tile multiplies two of them, some 6 MB of rows at 64 dimensions.
+#: Rows of a block at least: a tile multiplies two of them. A row is sent to as many tiles as there are blocks, so blocks grow
+#: with the table where they would be over ``BLOCKS``, up to ``SIDE`` bytes of rows as a task holds them (20 a component).
 TILE = 8_192
+BLOCKS, SIDE = 8, 64 << 20
 #: Rows of a tile that are multiplied at once, and pairs that are computed again at once.
 STRIP, AGAIN = 256, 65_536
 #: Pivots at most, and vectors they are drawn from; both bound what the driver fits and every task holds.
@@ -48,7 +51,7 @@ def quantise(units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.asarray(column.flatten()).astype(np.float64).reshape(len(column), -1)
+    return np.asarray(column.flatten()).reshape(len(column), -1)
 
 
 def fit_pivots(nodes: DataFrame, most: int, sample: int) -> dict[int, np.ndarray]:
@@ -77,7 +80,8 @@ def _placed(pivots: dict[int, np.ndarray], threshold: float):
             lengths = np.asarray(batch.column("d"))
             for d in np.unique(lengths):
                 part = batch.filter(pa.array(lengths == d))
-                u = unit(_matrix(part.column("v")))
+                v = _matrix(part.column("v"))
+                u = unit(v.astype(np.float64))
                 q, scale, gone = quantise(u)
                 base = int(d) * 1_000_000
                 centres = pivots.get(int(d))
@@ -93,7 +97,7 @@ def _placed(pivots: dict[int, np.ndarray], threshold: float):
                 yield pa.RecordBatch.from_arrays(
                     [
                         *[part.column(c) for c in ("id", "h1", "h2", "m")], pa.array(own, pa.int64()), pa.array(meets, pa.list_(pa.int64())), pa.array([r.tobytes() for r in q], pa.binary()),
-                        pa.array(scale), pa.array(gone), pa.array([r.tobytes() for r in _matrix(part.column("v"))], pa.binary()),
+                        pa.array(scale), pa.array(gone), pa.array([r.tobytes() for r in v], pa.binary()),
                     ],
                     names=["id", "h1", "h2", "m", "own", "meets", "q", "scale", "gone", "v"],
                 )
@@ -126,10 +130,13 @@ class Side:
         get = lambda c: np.concatenate([np.asarray(r.column(c)) for r in rows])
         self.id, self.h1, self.h2, self.m, self.scale, self.gone = map(get, ("id", "h1", "h2", "m", "scale", "gone"))
         join = lambda c, t: np.frombuffer(b"".join(x for r in rows for x in r.column(c).to_pylist()), t).reshape(len(self.id), -1)
-        self.q, self.v = join("q", np.int8), join("v", np.float64)
+        self.q = join("q", np.int8)
+        # A vector of floats travels as floats: four bytes a component, or eight.
+        wide = len(rows[0].column("v")[0].as_py()) // max(1, self.q.shape[1])
+        self.v = join("v", np.float32 if wide == 4 else np.float64)
 
     def units(self) -> np.ndarray:
-        return unit(self.v)
+        return unit(self.v.astype(np.float64))
 
 
 def tile_links(a: Side, b: Side | None, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
@@ -210,9 +217,11 @@ def link_vectors(nodes: DataFrame, threshold: float = THRESHOLD, tile: int = TIL
     """Links of distinct vectors ``nodes`` (id, h1, h2, m copies, v), summed up by tile: each linked vector with the number
     of others it links with there, copies counted, and the vector that stands for its part of the tile's links."""
     spark = nodes.sparkSession
-    count = nodes.count()
+    count, widest = nodes.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
+    tile = max(tile, min(-(-count // BLOCKS), SIDE // (20 * widest)))
     centres = fit_pivots(nodes, max(1, min(pivots, count // tile)), sample)
-    rows = nodes.select("id", "h1", "h2", "m", F.size("v").alias("d"), F.col("v").cast("array<double>").alias("v"))
+    kind = "array<float>" if nodes.schema["v"].dataType.elementType == FloatType() else "array<double>"
+    rows = nodes.select("id", "h1", "h2", "m", F.size("v").alias("d"), F.col("v").cast(kind).alias("v"))
     placed = settle(rows.mapInArrow(_placed(centres, threshold), PLACED), "placed")
     # At most pivots x pivots counts (times the lengths that occur): how many rows of a cell meet another one.
     met = {(r[0], r[1]): -(-r[2] // tile) for r in placed.select("own", F.explode("meets").alias("other")).groupBy("own", "other").count().collect()}

@@ -67,3 +67,15 @@ def test_bounds_hold_and_few_pairs_are_computed_again():
     near = (q.astype(float) @ q.astype(float).T) * scale[:, None] * scale[None]
     off = gone[:, None] + (1 + gone[:, None]) * gone[None]
     assert (np.abs(near - x @ x.T) <= off).all() and off.max() < 0.03
+
+
+def test_copies_of_a_row_do_not_grow_with_the_blocks(spark, monkeypatch):
+    """Where no cell can be skipped, a row goes to a bounded number of tiles, as floats."""
+    rows, sent = families(800, 24, 2.0, 8), []
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    kind = type(frame)
+    real = kind.repartitionById
+    monkeypatch.setattr(kind, "repartitionById", lambda self, *a: sent.append(self) or real(self, *a))
+    got = vd.near_vectors(frame, 0.5, tile=8).drop("row")
+    assert sorted([tuple(r) for r in got.collect()], key=str) == brute(rows, 0.5)
+    assert [sent[0].count() <= 2 * vd.BLOCKS * 800, sent[0].selectExpr("max(octet_length(v))").first()[0]] == [True, 4 * 24]
