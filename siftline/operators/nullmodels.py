@@ -48,7 +48,7 @@ def derange(frame: DataFrame, by: list[str], key: str, value: str, seed: int, ou
     return derange_replicates(frame, by, key, value, [seed], out).drop("replicate")
 
 
-def _by_key(frame: DataFrame, by: list[str], key: str) -> DataFrame:
+def by_key(frame: DataFrame, by: list[str], key: str) -> DataFrame:
     """Adds ``__i``: numbers by ``key``, or by its hash where it is no number."""
     if isinstance(frame.schema[key].dataType, T.NumericType):
         return numbered_by(frame, by, key, "__i")
@@ -58,7 +58,7 @@ def _by_key(frame: DataFrame, by: list[str], key: str) -> DataFrame:
 def shuffle_replicates(frame: DataFrame, by: list[str], key: str, label: str, seeds: list[int], out: str = "shuffled") -> DataFrame:
     """One permutation of ``label`` inside each group for each seed, as rows with ``replicate``: the i-th row in a seeded
     order gets the label of the i-th row by ``key``, which is numbered once for all seeds (keys that are no numbers by their hash)."""
-    plain = _by_key(frame.select(*by, key, F.col(label).alias(out)), by, key)
+    plain = by_key(frame.select(*by, key, F.col(label).alias(out)), by, key)
     drawn = numbered(_replicated(frame, seeds, key), [*by, "replicate"], [F.col("__h"), F.col(key)], hash_bucket(F.col("__h")), "__i").drop("__h")
     # The labels of one replicate are the small side whatever the number of replicates: hashed, not sorted.
     return met(drawn, plain.select(*by, "__i", out).hint("shuffle_hash"), [*by, "__i"]).drop("__i")
@@ -246,7 +246,7 @@ def null_correlations(ranked: DataFrame, by: list[str], key: str, seeds: list[in
         starts = pin(counts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))))
         reach = starts.groupBy("__g", "__slice").agg(F.min("start").alias("low"), F.max(F.col("start") + F.col("n")).alias("high"))
         reach = reach.groupBy("__g").agg(F.collect_list(F.struct("__slice", "low", "high")).alias("reach"))  # 64 at most
-        placed = _by_key(rows.select("__g", key, moved), ["__g"], key).withColumn("n", F.col("__i") - 1).join(reach, "__g")
+        placed = by_key(rows.select("__g", key, moved), ["__g"], key).withColumn("n", F.col("__i") - 1).join(reach, "__g")
         needed = F.filter("reach", lambda r: (r["low"] <= F.col("n")) & (F.col("n") < r["high"]))
         values = placed.select("__g", F.explode(needed).alias("r"), "n", F.col(moved).alias("x")).select("__g", "r.__slice", "n", "x", F.lit(0).alias("kind"))
         slices = union([slices, values, starts.select("__g", "__slice", "replicate", F.col("start").alias("n"), F.lit(1).alias("kind"))])

@@ -14,12 +14,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftline.operators.nullmodels import shuffle_replicates
+from siftline.operators.nullmodels import by_key, shuffle_replicates
 from siftline.operators.order import met, quantiles
-from siftline.operators.ranking import average_rank, spearman, value_positions
+from siftline.operators.ranking import average_rank, spearman
 from siftline.tables import pin
 
 ALPHAS = tuple(np.logspace(-3, 3, 13))
@@ -325,12 +325,79 @@ def bootstrap_coefficients(frame: DataFrame, key: str, features: str, names: lis
     )
 
 
+#: Predictions of a feature and repeat that one task sorts, about; rows from which a slice's borders are drawn, which decide only how
+#: even slices are; and rows a task packs at once.
+SLICE_ROWS = 1 << 16
+BORDER_ROWS = 1 << 12
+PACKED_ROWS = 1 << 16
+
+
+def _slice_borders(ranked: DataFrame) -> np.ndarray:
+    """Borders of every feature's slices (features x slices - 1), from rows of least hash whose shares are exchanged."""
+    slices = max(1, -(-ranked.count() // SLICE_ROWS))
+    drawn = ranked.select("predicted", "shares").orderBy(F.xxhash64("at")).limit(BORDER_ROWS).toPandas()
+    if not len(drawn):
+        return np.zeros((0, 0))
+    shares = np.array(drawn["shares"].tolist(), dtype=float)
+    other = drawn["predicted"].to_numpy(float)[:, None] - shares + np.roll(shares, 1, axis=0)
+    return np.quantile(other, np.arange(1, slices) / slices, axis=0).T
+
+
+def _importance_packs(borders: np.ndarray):
+    """Rows (replicate, predicted, shares, other, ry) in; predictions with a feature's share exchanged out, packed by slice, beside twice
+    the target's rank less its mean, a whole number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= PACKED_ROWS:
+                yield from packed(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+                held, rows = [], 0
+        if rows:
+            yield from packed(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+    def packed(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        p = np.asarray(batch.column("predicted"))[:, None] - as_matrix(batch.column("shares")) + as_matrix(batch.column("other"))
+        ry, replicate = np.rint(2 * np.asarray(batch.column("ry"))).astype("<i8"), np.asarray(batch.column("replicate"))
+        if np.abs(ry).max() < 1 << 31:
+            ry = ry.astype("<i4")
+        for i in range(p.shape[1]):
+            place = np.searchsorted(borders[i], p[:, i], "right")
+            order = np.lexsort((place, replicate))
+            r, s, v, y = replicate[order], place[order], p[order, i], ry[order]
+            cuts = [0, *(np.flatnonzero((r[1:] != r[:-1]) | (s[1:] != s[:-1])) + 1).tolist(), len(r)]
+            starts = cuts[:-1]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(len(starts), i), pa.int32()), pa.array(r[starts], pa.int32()), pa.array(s[starts], pa.int32()),
+                    *[pa.array([x[b:e].tobytes() for b, e in zip(cuts, cuts[1:], strict=False)], pa.binary()) for x in (v.astype("<f8"), y)],
+                ],
+                names=["i", "replicate", "slice", "p", "ry"],
+            )
+
+    return run
+
+
+def _slice_ranks(part: pd.DataFrame) -> pd.DataFrame:
+    """Of a slice: rows, sums of their average ranks inside it, of the ranks' squares and products with the target's, and the target's."""
+    p = np.concatenate([np.frombuffer(x, "<f8") for x in part["p"]])
+    y = np.concatenate([np.frombuffer(b, "<i4" if 2 * len(b) == len(x) else "<i8") for x, b in zip(part["p"], part["ry"], strict=True)]) / 2
+    order = np.argsort(p)
+    p, y = p[order], y[order]
+    begins = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
+    many = np.diff(np.append(begins, len(p)))
+    a = np.repeat(begins + (many + 1) / 2, many)
+    return part[["i", "replicate", "slice"]].head(1).assign(n=len(p), a=a.sum(), aa=a @ a, ay=a @ y, y=y.sum())
+
+
 def permutation_importance(frame: DataFrame, key: str, features: str, names: list[str], target: str, repeats: int = 50, seed: int = 7) -> DataFrame:
     """(feature, importance, sd): drop of the training Spearman correlation when a feature is permuted, over ``repeats``.
 
     One ridge is fitted to all rows. A permutation moves one feature's share of the prediction from row to row, the same way for all
-    features: the array of shares is moved once for a repeat. The target is ranked once; each feature and repeat is ranked as a
-    group by its values alone, which carry the sum of the target's ranks. Rows with missing features are left out.
+    features: the array of shares is moved once for a repeat. The target is ranked once. Predictions of a feature and repeat are packed
+    with the target's ranks, 12 bytes a row, and sorted slice by slice; of a slice only sums go on. Rows with missing features are left out.
     """
     known = frame.filter(F.col(features).isNotNull() & ~F.exists(features, lambda v: v.isNull() | F.isnan(v)))
     rows = pin(labelled(known.withColumn("__cell", F.lit("train")), [], key, features, target, "__cell").withColumn("only", F.lit(None).cast("string")))
@@ -341,13 +408,21 @@ def permutation_importance(frame: DataFrame, key: str, features: str, names: lis
     # Rows are the same for all features and repeats, so are the target's ranks, less their mean, and the sum of their squares.
     size = told.agg(F.count("*").alias("size"))
     ranked = average_rank(told, [], "y", "ry").crossJoin(F.broadcast(size))  # one row
-    ranked = pin(ranked.select("key", "predicted", "shares", (F.col("ry") - (F.col("size") + 1) / 2).alias("ry")))
+    ranked = by_key(ranked.select("key", "predicted", "shares", (F.col("ry") - (F.col("size") + 1) / 2).alias("ry")), [], "key")
+    ranked = pin(ranked.filter("shares is not null").withColumnRenamed("__i", "at"))
     squares = ranked.agg(F.sum(F.col("ry") * F.col("ry")).alias("yy"))
-    moved = shuffle_replicates(ranked, [], "key", "shares", list(range(seed, seed + repeats)))
-    other = F.zip_with("shares", "shuffled", lambda a, b: F.col("predicted") - a + b)
-    at = value_positions(moved.select("replicate", "ry", F.posexplode(other).alias("i", "p")), ["i", "replicate"], "p", "ry")
-    rp = F.col("below") + (F.col("n") + 1) / 2 - (F.col("total") + 1) / 2
-    sums = at.groupBy("i", "replicate").agg(F.sum("n").alias("rows"), F.sum(rp * F.col("ry")).alias("py"), F.sum(F.col("n") * rp * rp).alias("pp")).crossJoin(F.broadcast(squares))  # one row
+    # Only numbers are put in order for a repeat: whose shares a row gets. Rows and shares are then met once.
+    moved = shuffle_replicates(ranked.select("key", "at"), [], "key", "at", list(range(seed, seed + repeats))).select("replicate", "at", "shuffled")
+    got = ranked.select(F.col("at").alias("shuffled"), F.col("shares").alias("other")).hint("shuffle_hash")
+    whole = moved.join(got, "shuffled").join(ranked.drop("key").hint("shuffle_hash"), "at").select("replicate", "predicted", "shares", "other", "ry")
+    packs = whole.mapInArrow(_importance_packs(_slice_borders(ranked)), "i int, replicate int, slice int, p binary, ry binary")
+    parts = packs.groupBy("i", "replicate", "slice").applyInPandas(_slice_ranks, "i int, replicate int, slice int, n long, a double, aa double, ay double, y double")
+    line = Window.partitionBy("i", "replicate")
+    before = F.coalesce(F.sum("n").over(line.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shift = before - (F.sum("n").over(line) + 1) / 2  # a row's rank less the mean is its rank inside its slice and this
+    at = parts.select("i", "replicate", "n", "a", "aa", "ay", "y", shift.alias("s"))
+    s = F.col("s")
+    sums = at.groupBy("i", "replicate").agg(F.sum("n").alias("rows"), F.sum(F.col("ay") + s * F.col("y")).alias("py"), F.sum(F.col("aa") + 2 * s * F.col("a") + s * s * F.col("n")).alias("pp")).crossJoin(F.broadcast(squares))  # one row
     rho = sums.select("i", "replicate", F.when((F.col("rows") >= 3) & (F.col("pp") > 0) & (F.col("yy") > 0), F.col("py") / F.sqrt("pp") / F.sqrt("yy")).alias("spearman"))
     drops = rho.crossJoin(F.broadcast(base))  # one row
     drop = F.coalesce("base", F.lit(0.0)) - F.coalesce("spearman", F.lit(0.0))

@@ -147,3 +147,22 @@ def test_importance_moves_a_row_once_for_a_repeat(spark, monkeypatch):
     frame = spark.createDataFrame([(i, v.tolist(), float(v[0] + 0.1 * v[1])) for i, v in enumerate(x)], "id long, x array<double>, y double")
     ridge.permutation_importance(frame, "id", "x", ["a", "b", "c"], "y", 2)
     assert seen == [60]
+
+
+def test_importance_ranks_slices_of_a_repeat(spark, monkeypatch):
+    """Several slices, ties and equal rows give what one gives; a row and feature cost a repeat some 12 bytes and are shuffled once."""
+    rng = np.random.default_rng(21)
+    x = np.round(rng.normal(size=(1500, 3)), 1)
+    y = np.round(x[:, 0] + 0.2 * x[:, 1] ** 2 + 0.1 * rng.normal(size=1500), 1)
+    frame = spark.createDataFrame([(i, v.tolist(), float(t)) for i, (v, t) in enumerate(zip(x, y, strict=True))], "id long, x array<double>, y double")
+    rows, sent, kind = {}, [], type(frame)
+    real = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, f, schema, *a: sent.append((schema, out := real(self, f, schema, *a))) or out)
+    for size in (1 << 16, 200):
+        monkeypatch.setattr(ridge, "SLICE_ROWS", size)
+        rows[size] = {r.feature: (r.importance, r.sd) for r in ridge.permutation_importance(frame, "id", "x", ["a", "b", "c"], "y", 3).collect()}
+    for f, got in rows[200].items():
+        assert got == pytest.approx(rows[1 << 16][f], abs=1e-9)
+    packs = [out for schema, out in sent if "slice" in schema]
+    assert [p.selectExpr("sum(octet_length(p) + octet_length(ry))").first()[0] for p in packs] == [1500 * 3 * 3 * 12] * 2
+    assert packs[1].select("slice").distinct().count() == 8
